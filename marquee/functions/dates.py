@@ -67,7 +67,10 @@ def marketing_season(d, seasons: Sequence[tuple[str, int, int]] = MARKETING_SEAS
 
 
 def holiday_table(spark: SparkSession, holidays=HOLIDAYS) -> DataFrame:
-    return spark.createDataFrame(list(holidays), "h_month int, h_day int, holiday_name string")
+    """Parameter table built JVM-side (no Python rows shipped)."""
+    rows = [F.struct(F.lit(m).cast("int").alias("h_month"), F.lit(d).cast("int").alias("h_day"),
+                     F.lit(n).alias("holiday_name")) for m, d, n in holidays]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def date_attributes(df: DataFrame, d: str = "proper_date", holidays: DataFrame | None = None,

@@ -4,11 +4,12 @@
 the single-partition window Spark would plan for it:
 
 1. range-partition on the key and sort inside each partition;
-2. ``checkpoint()`` to the shared checkpoint folder, which fixes the
-   partition boundaries (range sampling must not be re-run on recompute or
-   after a lost executor) and cuts lineage;
-3. ``monotonically_increasing_id`` = partition index << 33 | position, so the
-   position inside the sorted partition is free;
+2. tag rows with ``monotonically_increasing_id`` = partition index << 33 |
+   position, in the same stage as the sort, so the position inside the
+   sorted partition is free;
+3. write that frame once under the shared checkpoint folder: the tags are
+   fixed on disk (range sampling must not re-run on a recompute or after a
+   lost executor) and lineage is cut;
 4. per-partition row counts (one row per partition — bounded by the
    partition count, not the data) -> running offsets -> broadcast join.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.session import checkpoint_dir
+from marquee.session import materialize
 
 _POS_BITS = 33
 
@@ -28,15 +29,16 @@ _POS_BITS = 33
 def surrogate_key(df: DataFrame, bk: str | list[str], name: str,
                   num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
-    checkpoint_dir(spark)
     keys = [bk] if isinstance(bk, str) else list(bk)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys])
-               .sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
-               .checkpoint(eager=True))
-    mid = F.monotonically_increasing_id()
-    pos = ordered.select("*", (mid.bitwiseAND(F.lit((1 << _POS_BITS) - 1))).alias("_pos"),
-                         F.shiftright(mid, _POS_BITS).alias("_pid"))
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = materialize(tagged, f"sk-{name}")
+    mid = F.col("_mid")
+    pos = tagged.select(*[F.col(c) for c in df.columns],
+                        mid.bitwiseAND(F.lit((1 << _POS_BITS) - 1)).alias("_pos"),
+                        F.shiftright(mid, _POS_BITS).alias("_pid"))
     counts = pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_off"))

@@ -25,12 +25,15 @@ def register(key: str):
     return deco
 
 
-def full(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return warehouse.build(spark, sf_dir)
+def loaded(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return warehouse.load(spark, sf_dir)
 
 
-def films(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return warehouse.film_warehouse(spark, sf_dir)
+def dirty(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return warehouse.load(spark, sf_dir, dirty=True)
+
+
+full = films = loaded
 
 
 def _on(builder, fn):
@@ -47,3 +50,34 @@ for _k, _fn, _b in [
     ("bqp1_genre_trend", Q.genre_trend, films),
 ]:
     QUERIES[_k] = _on(_b, _fn)
+
+
+# ---------------------------------------------------------------- DQ + load
+from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+from marquee.operators import quality as DQ  # noqa: E402
+
+
+def as_report(df: DataFrame) -> DataFrame:
+    """Present decimals as double (same text in the oracle)."""
+    return df.select(*[F.col(f.name).cast("double").alias(f.name)
+                       if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
+                       for f in df.schema.fields])
+
+
+QUERIES.update({
+    "dq_log": _on(loaded, DQ.run_rules),
+    "dq_log_dirty": _on(dirty, DQ.run_rules),
+    "dq_r2_detail": _on(loaded, lambda t: as_report(DQ.r2_detail(t))),
+    "dq_r2_detail_dirty": _on(dirty, lambda t: as_report(DQ.r2_detail(t))),
+    "dq_r7_detail_dirty": _on(dirty, DQ.r7_detail),
+    "dw_fk_check": _on(loaded, DQ.dw_fk_check),
+    "dim_date": _on(loaded, lambda w: w["dim_date"]),
+    "dim_film_sk": _on(loaded, lambda w: as_report(w["dim_film"])),
+    "dim_actor_sk": _on(loaded, lambda w: w["dim_actor"]),
+    "dim_director_sk": _on(loaded, lambda w: w["dim_director"]),
+    "dim_company_sk": _on(loaded, lambda w: w["dim_production_company"]),
+    "fact_sk": _on(loaded, lambda w: as_report(w["fact_daily_box_office"])),
+    "stg_fact": _on(loaded, lambda w: as_report(w["stg_fact_daily_box_office"])),
+})

@@ -25,6 +25,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -52,3 +53,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="marquee-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
+
+
+def materialize(df, name: str = "t"):
+    """Stage boundary: write ``df`` once as Parquet under the shared
+    checkpoint folder and read it back.
+
+    One job (a reliable ``checkpoint()`` computes its input twice), lineage
+    cut, files survive executor loss, and AQE gets real statistics.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root = checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -182,3 +182,89 @@ reg("bqp1_genre_trend", "SELECT * FROM trend", [GENRE_YEAR, TREND])
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+# ------------------------------------------------------------------ DQ
+from marquee.operators import quality as QC  # noqa: E402
+from marquee.sources import schemas as SC  # noqa: E402
+
+_STG_COLS = {n: [f.name for f in s.fields] for n, s in SC.STAGING.items()}
+
+
+def _log(rule: int, table: str, check: str, msg: str, n_sql: str) -> str:
+    return (f"SELECT cast({rule} AS integer) AS id_check, {q(QC.PHASE)} AS etl_phase, "
+            f"{q(table)} AS etl_table, {q(check)} AS etl_checktype, "
+            f"concat({q(msg)}, lpad(cast(n AS varchar), 10, ' ')) AS description_result, "
+            f"CASE WHEN n > 0 THEN 'FAIL' ELSE 'OK' END AS etl_result FROM ({n_sql}) x")
+
+
+def dq_log_sql() -> str:
+    parts = []
+    for tb, bk, _ in QC.DIMENSIONS:
+        parts.append(_log(1, tb, QC.CHECK_BK, QC.MSG_BK,
+                          f"SELECT count(*) FILTER (WHERE c > 1) AS n FROM "
+                          f"(SELECT {bk}, count(*) AS c FROM {tb} GROUP BY {bk}) g"))
+    for tb, bk, attrs in QC.DIMENSIONS:
+        cols = ", ".join(attrs or [c for c in _STG_COLS[tb] if c != bk])
+        parts.append(_log(2, tb, QC.CHECK_ATTR, QC.MSG_ATTR,
+                          f"SELECT cast(coalesce(sum(c) FILTER (WHERE c > 1), 0) AS bigint) AS n FROM "
+                          f"(SELECT {cols}, count(*) AS c FROM {tb} GROUP BY ALL) g"))
+    keys = ", ".join(QC.FACT_KEYS)
+    parts.append(_log(3, QC.FACT, QC.CHECK_PK, QC.MSG_PK,
+                      f"SELECT count(*) FILTER (WHERE c > 1) AS n FROM "
+                      f"(SELECT {keys}, count(*) AS c FROM {QC.FACT} GROUP BY ALL) g"))
+    for label, fk, dim, key in QC.PARENTS:
+        parts.append(_log(4, QC.FACT, QC.CHECK_FK.format(label), QC.MSG_FK,
+                          f"SELECT count(*) AS n FROM {QC.FACT} f LEFT JOIN {dim} d ON f.{fk} = d.{key} "
+                          f"WHERE d.{key} IS NULL"))
+    for rid, cond, check, msg in [
+        (5, "gross_revenue_per_day < 0", QC.CHECK_REV, QC.MSG_REV),
+        (6, "days_since_release < 0", QC.CHECK_DAYS, QC.MSG_DAYS),
+        (7, "gross_revenue_per_day IS NOT NULL AND days_since_release IS NULL", QC.CHECK_REV_DAYS,
+         QC.MSG_REV_DAYS)]:
+        parts.append(_log(rid, QC.FACT, check, msg, f"SELECT count(*) AS n FROM {QC.FACT} WHERE {cond}"))
+    return "\nUNION ALL\n".join(parts)
+
+
+reg("dq_log", dq_log_sql())
+reg("dq_log_dirty", dq_log_sql(), dirty=True)
+
+_R2 = " AND ".join(f"f.{a} IS NOT DISTINCT FROM d.{a}" for a in QC.FILM_ATTRS)
+_R2_BODY = f"""SELECT f.* FROM stg_dim_film f
+ WHERE EXISTS (SELECT 1 FROM (SELECT {', '.join(QC.FILM_ATTRS)} FROM stg_dim_film
+                               GROUP BY ALL HAVING count(*) > 1) d WHERE {_R2})"""
+
+
+def _film_out(alias: str = "") -> str:
+    """Film columns with decimals presented as double."""
+    cols = []
+    for f in SC.STG_DIM_FILM.fields:
+        c = f"{alias}{f.name}"
+        cols.append(f"cast({c} AS double) AS {f.name}" if "Decimal" in type(f.dataType).__name__ else c)
+    return ", ".join(cols)
+
+
+reg("dq_r2_detail", f"SELECT {_film_out()} FROM ({_R2_BODY}) r")
+reg("dq_r2_detail_dirty", f"SELECT {_film_out()} FROM ({_R2_BODY}) r", dirty=True)
+reg("dq_r7_detail_dirty", """SELECT d.film_title, f.fk_date, cast(f.gross_revenue_per_day AS double) AS gross_revenue_per_day,
+       f.days_since_release
+  FROM stg_fact_daily_box_office f JOIN stg_dim_film d ON f.fk_film = d.bk_film
+ WHERE f.gross_revenue_per_day IS NOT NULL AND f.days_since_release IS NULL""", dirty=True)
+reg("dw_fk_check", """SELECT f.fk_date, d.proper_date, cast(f.gross_revenue_per_day AS double) AS gross_revenue_per_day,
+       f.days_since_release, film.film_title
+  FROM fact_daily_box_office f JOIN dim_date d ON f.fk_date = d.sk_date
+  JOIN dim_film film ON f.fk_film = film.sk_film
+ ORDER BY f.fk_date, f.fk_film LIMIT 10""")
+
+# ------------------------------------------------------------------ warehouse tables
+reg("dim_date", "SELECT * FROM dim_date")
+reg("dim_film_sk", f"SELECT sk_film, {_film_out()} FROM dim_film")
+reg("dim_actor_sk", "SELECT * FROM dim_actor")
+reg("dim_director_sk", "SELECT * FROM dim_director")
+reg("dim_company_sk", "SELECT * FROM dim_production_company")
+reg("fact_sk", """SELECT fk_date, fk_film, fk_production_company, fk_director, fk_actor,
+       cast(gross_revenue_per_day AS double) AS gross_revenue_per_day, days_since_release
+  FROM fact_daily_box_office""")
+reg("stg_fact", """SELECT fk_date, fk_film, fk_production_company, fk_director, fk_actor,
+       cast(gross_revenue_per_day AS double) AS gross_revenue_per_day, days_since_release
+  FROM stg_fact_daily_box_office""")
