@@ -81,3 +81,58 @@ QUERIES.update({
     "fact_sk": _on(loaded, lambda w: as_report(w["fact_daily_box_office"])),
     "stg_fact": _on(loaded, lambda w: as_report(w["stg_fact_daily_box_office"])),
 })
+
+
+# ---------------------------------------------------------------- measures
+from marquee.operators import measures as M  # noqa: E402
+
+
+def _star(w, dims=("film", "date")):
+    return warehouse.star(w, dims)
+
+
+MEASURES = {
+    "m_total_revenue": (M.total_revenue, ["calendar_year"], ("film", "date")),
+    "m_total_films": (M.total_films, ["calendar_year"], ("film", "date")),
+    "m_avg_daily": (M.avg_daily_revenue, ["calendar_year"], ("film", "date")),
+    "m_avg_days": (M.avg_days_since_release, ["film_genre"], ("film", "date")),
+    "m_avg_imdb": (M.avg_imdb_rating, ["calendar_year"], ("film", "date")),
+    "m_avg_rt": (M.avg_rt_rating, ["calendar_year"], ("film", "date")),
+    "m_avg_actor_rev": (M.avg_actor_revenue, ["nationality_actor"], ("film", "date", "actor")),
+    "m_avg_genre_rev": (M.avg_genre_revenue, ["calendar_year"], ("film", "date")),
+    "m_avg_rev_per_film": (M.avg_revenue_per_film, ["film_genre"], ("film", "date")),
+    "m_avg_genre_days": (M.avg_genre_days, [], ("film", "date")),
+    "m_avg_weekly_change": (M.avg_weekly_change, ["film_age_classification"], ("film", "date")),
+    "m_weekly_change": (M.weekly_revenue_change, ["film_genre"], ("film", "date")),
+    "m_last_week": (M.revenue_last_week, ["film_genre"], ("film", "date")),
+    "m_rev_per_budget": (M.revenue_per_budget_dollar, ["calendar_year"], ("film", "date")),
+}
+for _k, (_fn, _by, _dims) in MEASURES.items():
+    QUERIES[_k] = (lambda fn, by, dims: lambda spark, sf: fn(_star(loaded(spark, sf), dims), by))(_fn, _by, _dims)
+
+for _k, _fn in {"m_kpi_days": M.kpi_days_vs_genre, "m_kpi_actor": M.kpi_revenue_vs_actor,
+                "m_kpi_genre": M.kpi_revenue_vs_genre, "m_roi": M.kpi_roi}.items():
+    QUERIES[_k] = (lambda fn: lambda spark, sf: fn(_star(loaded(spark, sf))))(_fn)
+
+# ---------------------------------------------------------------- hierarchies
+HIERARCHIES = {
+    "h_calendar": (["calendar_year", "calendar_season", "month_number"], ("date",)),
+    "h_marketing": (["calendar_year", "marketing_season", "is_holiday", "holiday_name"], ("date",)),
+    "h_weekday": (["weekday_type", "weekday_name"], ("date",)),
+    "h_actor": (["nationality_actor", "surname_actor", "first_name_actor"], ("actor",)),
+    "h_director": (["nationality_director", "surname_director", "first_name_director"], ("director",)),
+    "h_company": (["continent_production_company", "country_production_company",
+                   "city_production_company", "production_company"], ("company",)),
+}
+
+
+def _hier(levels, dims):
+    def run(spark, sf):
+        s = _star(loaded(spark, sf), dims)
+        return M.hierarchy(s, levels, [F.sum(M.G).cast("double").alias("total_revenue"),
+                                       F.countDistinct("fk_film").alias("n_films")])
+    return run
+
+
+for _k, (_lv, _dims) in HIERARCHIES.items():
+    QUERIES[_k] = _hier(_lv, _dims)

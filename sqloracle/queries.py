@@ -268,3 +268,93 @@ reg("fact_sk", """SELECT fk_date, fk_film, fk_production_company, fk_director, f
 reg("stg_fact", """SELECT fk_date, fk_film, fk_production_company, fk_director, fk_actor,
        cast(gross_revenue_per_day AS double) AS gross_revenue_per_day, days_since_release
   FROM stg_fact_daily_box_office""")
+
+
+# ------------------------------------------------------------------ measures
+STAR = [("star", """SELECT f.*, df.*, d.* FROM fact_daily_box_office f
+  JOIN dim_film df ON f.fk_film = df.sk_film JOIN dim_date d ON f.fk_date = d.sk_date"""),
+        ("star_a", "SELECT s.*, a.* FROM star s JOIN dim_actor a ON s.fk_actor = a.sk_actor"),
+        ("star_d", """SELECT f.*, x.* FROM fact_daily_box_office f
+  JOIN dim_director x ON f.fk_director = x.sk_director"""),
+        ("star_c", """SELECT f.*, x.* FROM fact_daily_box_office f
+  JOIN dim_production_company x ON f.fk_production_company = x.sk_production_company"""),
+        ("star_t", "SELECT f.*, d.* FROM fact_daily_box_office f JOIN dim_date d ON f.fk_date = d.sk_date")]
+G = "gross_revenue_per_day"
+
+
+def regm(key, body, extra=None):
+    reg(key, body, STAR + (extra or []))
+
+
+regm("m_total_revenue", f"SELECT calendar_year, {D(f'sum({G})')} AS total_revenue FROM star GROUP BY 1")
+regm("m_total_films", "SELECT calendar_year, count(DISTINCT fk_film) AS total_films FROM star GROUP BY 1")
+regm("m_avg_daily", f"SELECT calendar_year, {R(f'sum({G})', 'count(*)')} AS avg_daily_revenue FROM star GROUP BY 1")
+regm("m_avg_days", f"""SELECT film_genre, {R('sum(days_since_release)', 'count(days_since_release)')}
+       AS avg_days_since_release FROM star GROUP BY 1""")
+for _k, _a in [("m_avg_imdb", "imdb_rating"), ("m_avg_rt", "rt_rating")]:
+    regm(_k, f"""SELECT calendar_year, {R('sum(v)', 'count(v)')} AS avg_{_a}
+  FROM (SELECT calendar_year, fk_film, any_value({_a}) AS v FROM star GROUP BY 1, 2) x GROUP BY 1""")
+regm("m_avg_actor_rev", f"""SELECT nationality_actor, {R('sum(r)', 'count(*)')} AS avg_actor_revenue
+  FROM (SELECT nationality_actor, fk_actor, sum({G}) AS r FROM star_a GROUP BY 1, 2) x GROUP BY 1""")
+regm("m_avg_genre_rev", f"""SELECT calendar_year, {R('sum(r)', 'count(*)')} AS avg_genre_revenue
+  FROM (SELECT calendar_year, film_genre, sum({G}) AS r FROM star WHERE film_genre IS NOT NULL
+        GROUP BY 1, 2) x GROUP BY 1""")
+regm("m_avg_rev_per_film", f"""SELECT film_genre, {R('sum(r)', 'count(*)')} AS avg_revenue_per_film
+  FROM (SELECT film_genre, fk_film, sum({G}) AS r FROM star GROUP BY 1, 2) x GROUP BY 1""")
+FILM_DAYS = ("fdays", f"""SELECT fk_film, film_genre, max(days_since_release) AS film_days,
+       sum({G}) AS film_revenue FROM star GROUP BY 1, 2""")
+regm("m_avg_genre_days", f"""SELECT film_genre, {R('sum(film_days)', 'count(film_days)')} AS avg_genre_days
+  FROM fdays WHERE film_genre IS NOT NULL GROUP BY 1""", [FILM_DAYS])
+_WK = f"cast(floor(datediff('day', DATE '{Q.WEEK_ORIGIN}', proper_date) / 7) AS integer)"
+
+
+def _weekly(by: str) -> list:
+    return [("wk", f"SELECT {by}, {_WK} AS week_no, sum({G}) AS rev FROM star GROUP BY 1, 2"),
+            ("wd", f"""SELECT w.{by}, w.week_no, w.rev, w.rev - p.rev AS delta FROM wk w
+  LEFT JOIN wk p ON p.{by} IS NOT DISTINCT FROM w.{by} AND p.week_no = w.week_no - 1""")]
+
+
+regm("m_avg_weekly_change", f"""SELECT film_age_classification, {R('sum(delta)', 'count(delta)')} AS avg_weekly_change
+  FROM wd GROUP BY 1""", _weekly("film_age_classification"))
+regm("m_weekly_change", """SELECT film_genre, week_no, cast(rev AS double) AS weekly_revenue,
+       cast(delta AS double) AS weekly_revenue_change FROM wd""", _weekly("film_genre"))
+regm("m_last_week", f"""SELECT film_genre, {D(f'sum({G})')} AS revenue_last_week FROM star
+ WHERE proper_date > (SELECT max(proper_date) FROM star) - INTERVAL 7 DAY GROUP BY 1""")
+regm("m_rev_per_budget", f"""SELECT calendar_year, {R('sum(r)', 'sum(b)')} AS revenue_per_budget_dollar
+  FROM (SELECT calendar_year, fk_film, sum({G}) AS r, any_value(film_budget_usd) AS b FROM star GROUP BY 1, 2) x
+ GROUP BY 1""")
+
+
+def _vs(per: str, key: str, value: str, grp: str, kpi: str, cols: str) -> str:
+    return f"""SELECT {cols}, a.{grp}, cast(p.{value} AS double) - a.{grp} AS {kpi}
+  FROM {per} p JOIN (SELECT {key}, {R(f'sum({value})', f'count({value})')} AS {grp} FROM {per} GROUP BY 1) a
+    ON p.{key} = a.{key}"""
+
+
+regm("m_kpi_days", _vs("(SELECT * FROM fdays WHERE film_genre IS NOT NULL)", "film_genre", "film_days",
+                       "genre_avg_days", "kpi_days_vs_genre", "p.fk_film, p.film_genre, p.film_days"),
+     [FILM_DAYS])
+regm("m_kpi_genre", _vs("(SELECT * FROM fdays WHERE film_genre IS NOT NULL)", "film_genre", "film_revenue",
+                        "genre_avg_revenue", "kpi_revenue_vs_genre",
+                        "p.fk_film, p.film_genre, cast(p.film_revenue AS double) AS film_revenue"), [FILM_DAYS])
+regm("m_kpi_actor", _vs("fa", "fk_actor", "film_revenue", "actor_avg_revenue", "kpi_revenue_vs_actor",
+                        "p.fk_actor, p.fk_film, cast(p.film_revenue AS double) AS film_revenue"),
+     [("fa", f"SELECT fk_actor, fk_film, sum({G}) AS film_revenue FROM star GROUP BY 1, 2")])
+regm("m_roi", f"""SELECT fk_film, cast(rev AS double) AS film_revenue, cast(b AS double) AS film_budget_usd,
+       CASE WHEN b > 0 THEN {R('rev', 'b')} END AS roi
+  FROM (SELECT fk_film, sum({G}) AS rev, any_value(film_budget_usd) AS b FROM star GROUP BY 1) x""")
+
+# ------------------------------------------------------------------ hierarchies
+for _k, _levels, _src in [
+    ("h_calendar", ["calendar_year", "calendar_season", "month_number"], "star_t"),
+    ("h_marketing", ["calendar_year", "marketing_season", "is_holiday", "holiday_name"], "star_t"),
+    ("h_weekday", ["weekday_type", "weekday_name"], "star_t"),
+    ("h_actor", ["nationality_actor", "surname_actor", "first_name_actor"], "star_a"),
+    ("h_director", ["nationality_director", "surname_director", "first_name_director"], "star_d"),
+    ("h_company", ["continent_production_company", "country_production_company",
+                   "city_production_company", "production_company"], "star_c"),
+]:
+    _lv = ", ".join(_levels)
+    regm(_k, f"""SELECT {_lv}, {D(f'sum({G})')} AS total_revenue, count(DISTINCT fk_film) AS n_films,
+       grouping_id({_lv}) AS level_id
+  FROM {_src} GROUP BY ROLLUP ({_lv})""")
