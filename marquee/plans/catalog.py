@@ -136,3 +136,63 @@ def _hier(levels, dims):
 
 for _k, (_lv, _dims) in HIERARCHIES.items():
     QUERIES[_k] = _hier(_lv, _dims)
+
+
+# ---------------------------------------------------------------- cleaners
+from marquee.functions import clean as C  # noqa: E402
+from marquee.sources import adapter  # noqa: E402
+
+
+def _texts(kind):
+    def get(spark, sf):
+        dv = adapter.driver(spark, sf)
+        return adapter.film_texts(dv) if kind == "film" else adapter.person_texts(dv)
+    return get
+
+
+def _clean(kind, fn):
+    key = "p_partkey" if kind == "film" else "c_custkey"
+
+    def run(spark, sf):
+        t = _texts(kind)(spark, sf)
+        return t.select(key, *fn(t))
+    return run
+
+
+_col = F.col
+CLEANERS = {
+    "b1_norm_title": ("film", lambda t: ["title_raw", C.norm_title("title_raw").alias("title_norm")]),
+    "b2_norm_text": ("person", lambda t: ["studio_text", C.norm_text("studio_text").alias("studio_norm")]),
+    "b3_row_year": ("film", lambda t: [
+        F.when(_col("p_partkey") % 4 == 0, F.lit("N/A")).when(_col("p_partkey") % 4 == 1, F.lit(""))
+         .otherwise(F.substring("release_text", 1, 4)).alias("year_text"),
+        F.when(_col("p_partkey") % 3 != 0, _col("release_text")).otherwise(F.lit("N/A")).alias("date_text"),
+        C.row_year(F.when(_col("p_partkey") % 4 == 0, F.lit("N/A")).when(_col("p_partkey") % 4 == 1, F.lit(""))
+                   .otherwise(F.substring("release_text", 1, 4)),
+                   F.when(_col("p_partkey") % 3 != 0, _col("release_text")).otherwise(F.lit("N/A"))
+                   ).alias("row_year")]),
+    "b4_prefix_year": ("film", lambda t: ["release_text", C.prefix_year("release_text").alias("release_year")]),
+    "b5_minutes": ("film", lambda t: ["runtime_text", C.minutes("runtime_text").alias("runtime_parsed")]),
+    "b6_token_count": ("film", lambda t: ["languages_text", C.token_count("languages_text").alias("n_languages")]),
+    "b7_money": ("film", lambda t: ["budget_text", C.money("budget_text").alias("budget_usd")]),
+    "b8_city": ("person", lambda t: ["hq_text", C.first_part("hq_text").alias("city")]),
+    "b9_nationality": ("person", lambda t: ["birthplace", C.last_part("birthplace").alias("nationality")]),
+    "b12_runtime_segment": ("film", lambda t: ["runtime_min", C.runtime_segment("runtime_min").alias("segment")]),
+    "b15_name_split": ("person", lambda t: ["name_text", C.split_name("name_text").first_name.alias("first_name"),
+                                             C.split_name("name_text").surname.alias("surname")]),
+    "b16_awards": ("film", lambda t: ["awards_text"] + [
+        C.award_counts("awards_text")[f].alias(f) for f in ("wins", "nominations", "oscars_won",
+                                                            "oscar_nominations")]),
+    "b17_genre_blend": ("film", lambda t: ["genre_text", C.genre_blend("genre_text").alias("genre_blend")]),
+    "b18_countries": ("film", lambda t: ["countries_text"] + [
+        C.nth_token("countries_text", i).alias(n) for i, n in enumerate(("main_country", "secondary_country",
+                                                                        "tertiary_country"))]),
+    "b19_percent": ("film", lambda t: ["rt_text", C.percent("rt_text").cast("double").alias("rt_rating")]),
+    "b27_birthdate": ("person", lambda t: ["birth_existing", "birth_candidate",
+                                           C.better_date("birth_existing", "birth_candidate").alias("birth_date")]),
+    "b29_inception": ("person", lambda t: ["inception_text", C.inception_year("inception_text").alias("founded_year")]),
+    "b35_day_distance": ("person", lambda t: ["hint_date", C.day_distance("hint_date", F.lit("1995-06-30"))
+                                              .alias("days_apart")]),
+}
+for _k, (_kind, _fn) in CLEANERS.items():
+    QUERIES[_k] = _clean(_kind, _fn)

@@ -221,3 +221,84 @@ def dirty_staging(spark: SparkSession, sf_dir: str, dv: DriverFrames | None = No
     )
     return {**clean, "stg_dim_film": dirty_film, "stg_dim_actor": dirty_actor,
             "stg_fact_daily_box_office": dirty_fact}
+
+
+# --- text fixtures: dirty free-text columns derived from the driver tables,
+# the inputs of the scalar cleaners (B1-B35).  Variants rotate with the key
+# so every branch of every cleaner is exercised on whole tables.
+def _case(x: Column, branches) -> Column:
+    expr = None
+    for i, v in enumerate(branches):
+        expr = F.when(x == i, v) if expr is None else expr.when(x == i, v)
+    return expr
+
+
+def film_texts(dv: DriverFrames, first: DataFrame | None = None) -> DataFrame:
+    if first is None:
+        first = first_day(daily_revenue(dv))
+    part = dv.t("part")
+    nat = dv.t("nation", ["n_nationkey", "n_name"])
+    n1 = F.broadcast(nat.withColumnsRenamed({"n_nationkey": "k1", "n_name": "c1"}))
+    n2 = F.broadcast(nat.withColumnsRenamed({"n_nationkey": "k2", "n_name": "c2"}))
+    p = F.col("p_partkey")
+    df = (part.join(first, part["p_partkey"] == first["l_partkey"], "left")
+          .join(n1, (p % 25) == F.col("k1"), "left").join(n2, ((p * 7) % 25) == F.col("k2"), "left"))
+    s = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    year, d0 = F.year("d0"), s("d0")
+    wins, noms = F.greatest(p % 7 - 3, F.lit(0)), p % 11
+    osc, osc_n = F.when(p % 97 == 0, 1).otherwise(0), p % 13
+    tail = F.concat(s(wins), F.lit(" wins & "), s(noms), F.lit(" nominations total"))
+    budget = s((F.col("p_retailprice").cast("decimal(18,2)") * 1000).cast("bigint"))
+    primary = _pick(p % 4, LANGUAGES)
+    ptype = F.col("p_type")
+    return df.select(
+        p.alias("p_partkey"),
+        _case(p % 4, [F.concat("p_name", F.lit(" ("), s(year), F.lit(")")),
+                      F.concat(F.upper("p_name"), F.lit("!")),
+                      F.concat(F.lit("  "), "p_name", F.lit(": Part "), s("p_size"), F.lit(" ")),
+                      F.col("p_name")]).alias("title_raw"),
+        _case(p % 3, [F.substring(d0, 3, 8), d0, d0]).alias("release_text"),
+        _case(p % 3, [F.concat(s(60 + 2 * F.col("p_size")), F.lit(" min")), F.lit("N/A"),
+                      F.concat(s("p_size"), F.lit(" h"))]).alias("runtime_text"),
+        _case(p % 3, [F.concat(primary, F.lit(", Italian, ")), primary, F.lit("")]).alias("languages_text"),
+        _case(p % 3, [F.concat(F.lit("$"), F.substring(budget, 1, 3), F.lit(","), F.substring(budget, 4, 3)),
+                      F.lit("N/A"), F.concat(F.lit("$"), s("p_size"), F.lit(".5M"))]).alias("budget_text"),
+        F.when(p % 7 == 0, F.lit("N/A"))
+         .when(osc > 0, F.concat(F.lit("Won "), s(osc), F.lit(" Oscars. "), tail))
+         .when(osc_n > 0, F.concat(F.lit("Nominated for "), s(osc_n), F.lit(" Oscar. "), tail))
+         .otherwise(tail).alias("awards_text"),
+        F.concat(F.upper(F.substring(ptype, 1, 1)), F.lower(F.substring(ptype, 2, 100)), F.lit(", Drama"),
+                 F.when(p % 2 == 0, F.lit(", Comedy")).otherwise(F.lit(""))).alias("genre_text"),
+        F.when(p % 2 == 0, F.concat("c1", F.lit(" , "), "c2")).otherwise(F.col("c1")).alias("countries_text"),
+        F.concat(s((p * 37) % 101), F.lit("%")).alias("rt_text"),
+        F.when(p % 29 != 0, 60 + 2 * F.col("p_size")).cast("int").alias("runtime_min"),
+    )
+
+
+def person_texts(dv: DriverFrames) -> DataFrame:
+    cust = dv.t("customer", ["c_custkey", "c_name", "c_nationkey"])
+    nat = F.broadcast(dv.t("nation", ["n_nationkey", "n_name"]))
+    c = F.col("c_custkey")
+    s = lambda x: x.cast("string")
+    y = 1950 + c % 40
+    cy = F.when(c % 6 < 4, y).otherwise(y + 1)
+    df = cust.join(nat, cust["c_nationkey"] == nat["n_nationkey"], "left")
+    return df.select(
+        c.alias("c_custkey"),
+        F.concat(F.lit("  "), F.upper("c_name"), F.lit("   Studios ")).alias("studio_text"),
+        _case(c % 5, [F.concat(F.lit("  First"), s(c % 17), F.lit("   Last"), s(c % 23), F.lit(" Jr ")),
+                      F.concat(F.lit("Mono"), s(c % 9)), F.concat(F.lit("Ann"), s(c % 13), F.lit(" Lee"), s(c % 29)),
+                      F.concat(F.lit("Ann"), s(c % 13), F.lit(" Lee"), s(c % 29)),
+                      F.lit("   ")]).alias("name_text"),
+        F.when(c % 7 == 0, F.lit(" , ")).otherwise(
+            F.concat(F.lit("Town"), s(c % 11), F.lit(", Region"), s(c % 3), F.lit(", "), "n_name")).alias("birthplace"),
+        _case(c % 6, [F.lit(""), F.concat(F.lit("City"), s(c % 7))]).otherwise(
+            F.concat(F.lit("City"), s(c % 7), F.lit(", "), "n_name")).alias("hq_text"),
+        _case(c % 4, [F.lit(None).cast("string"), s(y),
+                      F.concat(s(y), F.lit("-0"), s(1 + c % 9), F.lit("-1"), s(c % 9)), F.lit("")]).alias("birth_existing"),
+        _case(c % 5, [F.concat(s(cy), F.lit("-0"), s(1 + c % 9), F.lit("-2"), s(c % 9)), s(cy), F.lit("bad"),
+                      F.lit(None).cast("string"),
+                      F.concat(s(cy), F.lit("-1"), s(c % 3), F.lit("-0"), s(1 + c % 8))]).alias("birth_candidate"),
+        F.when(c % 9 != 0, F.concat(F.lit("+"), s(1900 + c % 100), F.lit("-04-04T00:00:00Z"))).alias("inception_text"),
+        s(F.date_add(F.lit("1995-01-01").cast("date"), (c % 400).cast("int"))).alias("hint_date"),
+    )

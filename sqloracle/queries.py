@@ -358,3 +358,149 @@ for _k, _levels, _src in [
     regm(_k, f"""SELECT {_lv}, {D(f'sum({G})')} AS total_revenue, count(DISTINCT fk_film) AS n_films,
        grouping_id({_lv}) AS level_id
   FROM {_src} GROUP BY ROLLUP ({_lv})""")
+
+
+# ------------------------------------------------------------------ cleaners
+from sqloracle.adapter import _case_mod  # noqa: E402
+from marquee.sources.adapter import LANGUAGES  # noqa: E402
+
+
+def _cs(x: str, branches) -> str:
+    return "CASE " + " ".join(f"WHEN {x} = {i} THEN {b}" for i, b in enumerate(branches)) + " END"
+
+
+def S(x: str) -> str:
+    return f"cast({x} AS varchar)"
+
+
+_p = "p.p_partkey"
+_budget = S(f"cast(cast(p.p_retailprice AS decimal(18,2)) * 1000 AS bigint)")
+_tail = f"concat({S(f'greatest({_p} % 7 - 3, 0)')}, ' wins & ', {S(f'{_p} % 11')}, ' nominations total')"
+_osc = f"(CASE WHEN {_p} % 97 = 0 THEN 1 ELSE 0 END)"
+_primary = _case_mod(f"{_p} % 4", LANGUAGES)
+FILM_TEXTS = ("film_texts", f"""SELECT {_p} AS p_partkey,
+  {_cs(f'{_p} % 4', [f"concat(p.p_name, ' (', {S('year(fs.d0)')}, ')')", "concat(upper(p.p_name), '!')",
+                      f"concat('  ', p.p_name, ': Part ', {S('p.p_size')}, ' ')", 'p.p_name'])} AS title_raw,
+  {_cs(f'{_p} % 3', [f"substr({S('fs.d0')}, 3, 8)", S('fs.d0'), S('fs.d0')])} AS release_text,
+  {_cs(f'{_p} % 3', [f"concat({S('60 + 2 * p.p_size')}, ' min')", "'N/A'", f"concat({S('p.p_size')}, ' h')"])}
+    AS runtime_text,
+  {_cs(f'{_p} % 3', [f"concat({_primary}, ', Italian, ')", _primary, "''"])} AS languages_text,
+  {_cs(f'{_p} % 3', [f"concat('$', substr({_budget}, 1, 3), ',', substr({_budget}, 4, 3))", "'N/A'",
+                      f"concat('$', {S('p.p_size')}, '.5M')"])} AS budget_text,
+  CASE WHEN {_p} % 7 = 0 THEN 'N/A'
+       WHEN {_osc} > 0 THEN concat('Won ', {S(_osc)}, ' Oscars. ', {_tail})
+       WHEN {_p} % 13 > 0 THEN concat('Nominated for ', {S(f'{_p} % 13')}, ' Oscar. ', {_tail})
+       ELSE {_tail} END AS awards_text,
+  concat(upper(substr(p.p_type, 1, 1)), lower(substr(p.p_type, 2, 100)), ', Drama',
+         CASE WHEN {_p} % 2 = 0 THEN ', Comedy' ELSE '' END) AS genre_text,
+  CASE WHEN {_p} % 2 = 0 THEN concat(n1.n_name, ' , ', n2.n_name) ELSE n1.n_name END AS countries_text,
+  concat({S(f'({_p} * 37) % 101')}, '%') AS rt_text,
+  CASE WHEN {_p} % 29 <> 0 THEN cast(60 + 2 * p.p_size AS integer) END AS runtime_min
+FROM part p LEFT JOIN first_ship fs ON p.p_partkey = fs.l_partkey
+LEFT JOIN nation n1 ON n1.n_nationkey = {_p} % 25 LEFT JOIN nation n2 ON n2.n_nationkey = ({_p} * 7) % 25""")
+
+_c = "c.c_custkey"
+_y = f"(1950 + {_c} % 40)"
+_cy = f"(CASE WHEN {_c} % 6 < 4 THEN {_y} ELSE {_y} + 1 END)"
+PERSON_TEXTS = ("person_texts", f"""SELECT {_c} AS c_custkey,
+  concat('  ', upper(c.c_name), '   Studios ') AS studio_text,
+  {_cs(f'{_c} % 5', [f"concat('  First', {S(f'{_c} % 17')}, '   Last', {S(f'{_c} % 23')}, ' Jr ')",
+                      f"concat('Mono', {S(f'{_c} % 9')})",
+                      f"concat('Ann', {S(f'{_c} % 13')}, ' Lee', {S(f'{_c} % 29')})",
+                      f"concat('Ann', {S(f'{_c} % 13')}, ' Lee', {S(f'{_c} % 29')})", "'   '"])} AS name_text,
+  CASE WHEN {_c} % 7 = 0 THEN ' , '
+       ELSE concat('Town', {S(f'{_c} % 11')}, ', Region', {S(f'{_c} % 3')}, ', ', n.n_name) END AS birthplace,
+  CASE WHEN {_c} % 6 = 0 THEN '' WHEN {_c} % 6 = 1 THEN concat('City', {S(f'{_c} % 7')})
+       ELSE concat('City', {S(f'{_c} % 7')}, ', ', n.n_name) END AS hq_text,
+  {_cs(f'{_c} % 4', ['cast(NULL AS varchar)', S(_y),
+                      f"concat({S(_y)}, '-0', {S(f'1 + {_c} % 9')}, '-1', {S(f'{_c} % 9')})", "''"])}
+    AS birth_existing,
+  {_cs(f'{_c} % 5', [f"concat({S(_cy)}, '-0', {S(f'1 + {_c} % 9')}, '-2', {S(f'{_c} % 9')})", S(_cy), "'bad'",
+                      'cast(NULL AS varchar)',
+                      f"concat({S(_cy)}, '-1', {S(f'{_c} % 3')}, '-0', {S(f'1 + {_c} % 8')})"])} AS birth_candidate,
+  CASE WHEN {_c} % 9 <> 0 THEN concat('+', {S(f'1900 + {_c} % 100')}, '-04-04T00:00:00Z') END AS inception_text,
+  {S(f"DATE '1995-01-01' + cast({_c} % 400 AS integer)")} AS hint_date
+FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey""")
+
+
+def regt(key: str, src: str, cols: str) -> None:
+    k = "p_partkey" if src == "film_texts" else "c_custkey"
+    reg(key, f"SELECT {k}, {cols} FROM {src}", [FILM_TEXTS, PERSON_TEXTS])
+
+
+def NORM_TITLE(c: str) -> str:
+    s = f"trim(lower(coalesce({c}, '')))"
+    s = f"regexp_replace({s}, '\\s*\\(\\d{{4}}\\)$', '')"
+    s = f"regexp_replace({s}, '[^a-z0-9 ]+', ' ', 'g')"
+    s = f"regexp_replace({s}, ' +', ' ', 'g')"
+    return f"trim({s})"
+
+
+def PARSE_YEAR(c: str) -> str:
+    return f"year(try_strptime(trim({c}), ['%Y-%m-%d', '%Y']))"
+
+
+def BLANK(c: str) -> str:
+    return f"({c} IS NULL OR trim({c}) = '')"
+
+
+regt("b1_norm_title", "film_texts", f"title_raw, {NORM_TITLE('title_raw')} AS title_norm")
+regt("b2_norm_text", "person_texts",
+     "studio_text, regexp_replace(trim(lower(coalesce(studio_text, ''))), '\\s+', ' ', 'g') AS studio_norm")
+_yt = "CASE WHEN p_partkey % 4 = 0 THEN 'N/A' WHEN p_partkey % 4 = 1 THEN '' ELSE substr(release_text, 1, 4) END"
+_dt = "CASE WHEN p_partkey % 3 <> 0 THEN release_text ELSE 'N/A' END"
+regt("b3_row_year", "film_texts", f"""{_yt} AS year_text, {_dt} AS date_text,
+  coalesce(TRY_CAST(trim({_yt}) AS INTEGER), {PARSE_YEAR(_dt)}) AS row_year""")
+regt("b4_prefix_year", "film_texts",
+     "release_text, TRY_CAST(regexp_extract(release_text, '^(\\d{4})', 1) AS INTEGER) AS release_year")
+regt("b5_minutes", "film_texts", """runtime_text,
+  CASE WHEN contains(runtime_text, 'min') THEN TRY_CAST(split_part(runtime_text, ' ', 1) AS INTEGER) END
+    AS runtime_parsed""")
+regt("b6_token_count", "film_texts", """languages_text,
+  CASE WHEN languages_text IS NULL OR languages_text = '' THEN NULL
+       ELSE cast(len(list_filter(string_split(languages_text, ','), lambda x: trim(x) <> '')) AS integer) END
+    AS n_languages""")
+regt("b7_money", "film_texts",
+     "budget_text, TRY_CAST(regexp_replace(budget_text, '[$,]', '', 'g') AS BIGINT) AS budget_usd")
+regt("b8_city", "person_texts", "hq_text, nullif(trim(split_part(hq_text, ',', 1)), '') AS city")
+regt("b9_nationality", "person_texts", """birthplace,
+  list_filter(list_transform(string_split(birthplace, ','), lambda x: trim(x)), lambda x: x <> '')[-1]
+    AS nationality""")
+regt("b12_runtime_segment", "film_texts",
+     f"runtime_min, {bracket('runtime_min', [(90, 'Short'), (121, 'Standard')], 'Long')} AS segment")
+_nm = "regexp_replace(trim(name_text), '\\s+', ' ', 'g')"
+regt("b15_name_split", "person_texts", f"""name_text,
+  CASE WHEN {_nm} <> '' THEN split_part({_nm}, ' ', 1) END AS first_name,
+  nullif(regexp_extract({_nm}, '^\\S+ (.+)$', 1), '') AS surname""")
+
+
+def _award(pat: str, name: str) -> str:
+    v = "nullif(trim(awards_text), 'N/A')"
+    n = f"regexp_extract({v}, '{pat}', 1)"
+    return f"CASE WHEN {v} IS NOT NULL THEN coalesce(TRY_CAST(nullif({n}, '') AS INTEGER), 0) END AS {name}"
+
+
+regt("b16_awards", "film_texts", ", ".join(["awards_text", _award("(\\d+) wins?\\b", "wins"),
+                                            _award("(\\d+) nominations?\\b", "nominations"),
+                                            _award("Won (\\d+) Oscars?\\b", "oscars_won"),
+                                            _award("Nominated for (\\d+) Oscars?\\b", "oscar_nominations")]))
+regt("b17_genre_blend", "film_texts", """genre_text,
+  array_to_string(list_filter(list_transform(string_split(genre_text, ','), lambda x: trim(x)),
+                              lambda x: x <> ''), '') AS genre_blend""")
+regt("b18_countries", "film_texts", """countries_text,
+  string_split_regex(trim(countries_text), '\\s*,\\s*')[1] AS main_country,
+  string_split_regex(trim(countries_text), '\\s*,\\s*')[2] AS secondary_country,
+  string_split_regex(trim(countries_text), '\\s*,\\s*')[3] AS tertiary_country""")
+regt("b19_percent", "film_texts",
+     "rt_text, cast(TRY_CAST(regexp_replace(trim(rt_text), '%$', '') AS DECIMAL(4,1)) AS double) AS rt_rating")
+_e, _cd = "birth_existing", "birth_candidate"
+regt("b27_birthdate", "person_texts", f"""{_e}, {_cd},
+  CASE WHEN {BLANK(_cd)} THEN {_e} WHEN {BLANK(_e)} THEN {_cd}
+       WHEN {PARSE_YEAR(_cd)} IS NULL THEN {_e}
+       WHEN {PARSE_YEAR(_e)} IS NOT NULL AND {PARSE_YEAR(_e)} <> {PARSE_YEAR(_cd)} THEN {_e}
+       WHEN length({_cd}) > length({_e}) THEN {_cd} ELSE {_e} END AS birth_date""")
+regt("b29_inception", "person_texts",
+     "inception_text, TRY_CAST(regexp_extract(inception_text, '^.(\\d{4})', 1) AS INTEGER) AS founded_year")
+regt("b35_day_distance", "person_texts", """hint_date,
+  cast(abs(datediff('day', cast(try_strptime(trim(hint_date), ['%Y-%m-%d', '%Y']) AS date), DATE '1995-06-30'))
+       AS integer) AS days_apart""")
