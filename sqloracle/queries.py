@@ -504,3 +504,48 @@ regt("b29_inception", "person_texts",
 regt("b35_day_distance", "person_texts", """hint_date,
   cast(abs(datediff('day', cast(try_strptime(trim(hint_date), ['%Y-%m-%d', '%Y']) AS date), DATE '1995-06-30'))
        AS integer) AS days_apart""")
+
+
+# ------------------------------------------------------------------ reports
+from marquee.plans import reports as RP  # noqa: E402
+
+TIERS = ("tiers", f"""SELECT *, CASE WHEN cast(film_budget_usd AS double) >= q[2] THEN 'High'
+                 WHEN cast(film_budget_usd AS double) >= q[1] THEN 'Mid' ELSE 'Low' END AS budget_tier
+  FROM fwr, (SELECT quantile_cont(cast(film_budget_usd AS double), [{RP.TIERS[0]}, {RP.TIERS[1]}]) AS q
+               FROM fwr WHERE film_budget_usd > 0) qq
+ WHERE film_budget_usd > 0""")
+reg("p1_budget_tier_roi", f"""SELECT budget_tier, count(*) AS n_films, {D('sum(rev)')} AS total_revenue,
+       {D('sum(film_budget_usd)')} AS total_budget, {R('sum(rev)', 'sum(film_budget_usd)')} AS revenue_per_budget_dollar
+  FROM tiers GROUP BY 1""", [TIERS])
+reg("p1_low_budget_genre_roi", f"""SELECT film_genre, count(*) AS n_films,
+       {R('sum(rev)', 'sum(film_budget_usd)')} AS revenue_per_budget_dollar
+  FROM tiers WHERE budget_tier = 'Low' AND film_genre IS NOT NULL GROUP BY 1""", [TIERS])
+reg("p2_weekend_share", f"""SELECT weekday_type, n_days, {D('rev')} AS total_revenue,
+       {R('rev', '(SELECT sum(rev) FROM g)')} AS revenue_share FROM g""",
+    [("g", """SELECT d.weekday_type, sum(pd.rev) AS rev, count(*) AS n_days
+  FROM (SELECT fk_date, sum(gross_revenue_per_day) AS rev FROM fact_daily_box_office GROUP BY 1) pd
+  JOIN dim_date d ON pd.fk_date = d.sk_date GROUP BY 1""")])
+reg("p3_decay_curve", f"""SELECT days_since_release, {D('rev')} AS revenue,
+       {R('sum(rev) OVER (ORDER BY days_since_release ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)',
+          'sum(rev) OVER ()')} AS cum_share
+  FROM (SELECT days_since_release, sum(gross_revenue_per_day) AS rev FROM fact_daily_box_office
+         WHERE days_since_release IS NOT NULL GROUP BY 1) g""")
+reg("p3_decay_70", f"""SELECT {R(f'sum(CASE WHEN days_since_release <= {RP.DECAY_WINDOW} THEN gross_revenue_per_day END)',
+                            'sum(gross_revenue_per_day)')} AS share_within_window, {RP.DECAY_WINDOW} AS window_days
+  FROM fact_daily_box_office""")
+_ord = "rev DESC, main_filming_country ASC NULLS FIRST"
+reg("p4_country_share", f"""SELECT main_filming_country,
+       cast(row_number() OVER (ORDER BY {_ord}) AS integer) AS country_rank, {D('rev')} AS total_revenue,
+       {R('rev', 'sum(rev) OVER ()')} AS revenue_share,
+       {R(f'sum(rev) OVER (ORDER BY {_ord} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'sum(rev) OVER ()')}
+         AS cum_share
+  FROM (SELECT main_filming_country, sum(rev) AS rev FROM fwr GROUP BY 1) g""")
+for _who in ("actor", "director"):
+    reg(f"p6_top_{_who}s", f"""SELECT cast(rank AS integer) AS rank, bk_{_who}, first_name_{_who}, surname_{_who},
+       nationality_{_who}, {D('rev')} AS total_revenue, n_films
+  FROM (SELECT x.*, row_number() OVER (ORDER BY rev DESC, bk_{_who} ASC) AS rank
+          FROM (SELECT d.*, p.rev, p.n_films
+                  FROM (SELECT fk_{_who}, sum(gross_revenue_per_day) AS rev, count(DISTINCT fk_film) AS n_films
+                          FROM fact_daily_box_office GROUP BY 1) p
+                  JOIN dim_{_who} d ON p.fk_{_who} = d.sk_{_who}) x) r
+ WHERE rank <= {RP.TOP_PEOPLE}""")
