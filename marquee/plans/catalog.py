@@ -211,3 +211,167 @@ QUERIES.update({
     "p6_top_actors": _on(loaded, lambda w: P.league_table(w, "actor")),
     "p6_top_directors": _on(loaded, lambda w: P.league_table(w, "director")),
 })
+
+
+# ---------------------------------------------------------------- enrichment
+from marquee.functions.clean import money, norm_title, percent, prefix_year, last_part  # noqa: E402
+from marquee.operators import enrich as EN  # noqa: E402
+from marquee.sources import lookups as LK  # noqa: E402
+from marquee.sources.io import split_entities  # noqa: E402
+
+COMPANY_SCHEMA = "array<struct<id:bigint,name:string,origin_country:string>>"
+
+
+def _details(spark, sf):
+    dv = adapter.driver(spark, sf)
+    return dv, LK.movie_details(dv)
+
+
+def e5_lead_actor(spark, sf):
+    _, d = _details(spark, sf)
+    la = EN.lead_actor("cast")
+    return d.select("movie_id", la["id"].alias("lead_actor_id"), la["name"].alias("lead_actor_name"))
+
+
+def e6_lead_director(spark, sf):
+    _, d = _details(spark, sf)
+    ld = EN.lead_director("crew")
+    return d.select("movie_id", ld["id"].alias("director_id"), ld["name"].alias("director_name"))
+
+
+def e7_lead_producer(spark, sf):
+    _, d = _details(spark, sf)
+    lp = EN.lead_producer("crew")
+    return d.select("movie_id", lp["id"].alias("producer_id"), lp["name"].alias("producer_name"))
+
+
+def e4_franchise(spark, sf):
+    _, d = _details(spark, sf)
+    return EN.franchise_flags(d, EN.franchise_position(LK.collection_parts(d)))
+
+
+def h1_json_roundtrip(spark, sf):
+    _, d = _details(spark, sf)
+    rt = EN.json_roundtrip("production_companies", COMPANY_SCHEMA)
+    return d.select("movie_id", F.size(rt).alias("n_companies"), F.get(rt, 0)["name"].alias("first_company"),
+                    F.get(rt, 2)["origin_country"].alias("third_origin"))
+
+
+def h2_languages(spark, sf):
+    _, d = _details(spark, sf)
+    return d.select("movie_id", F.get("spoken_languages", 0)["name"].alias("primary_language"),
+                    F.size("spoken_languages").alias("n_languages"))
+
+
+def h3_company_names(spark, sf):
+    _, d = _details(spark, sf)
+    names = F.transform(F.filter("production_companies", lambda c: c["origin_country"].isNotNull()),
+                        lambda c: c["name"])
+    return d.select("movie_id", F.array_join(names, "|").alias("companies_with_country"))
+
+
+def h4_rating_source(spark, sf):
+    dv = adapter.driver(spark, sf)
+    r = LK.ratings(dv)
+    v = EN.source_value("ratings", "Rotten Tomatoes")
+    return r.select("imdb_id", v.alias("rt_value"), percent(v).cast("double").alias("rt_rating"))
+
+
+def c13_fallback(spark, sf):
+    """Budget: movie record (0 = missing) -> ratings text -> staging film."""
+    dv, d = _details(spark, sf)
+    r = LK.ratings(dv).select(F.substring("imdb_id", 3, 7).cast("bigint").alias("movie_id"),
+                              money("budget").alias("v"))
+    film = loaded(spark, sf)["stg_dim_film"].select(
+        F.substring("bk_film", 2, 8).cast("bigint").alias("movie_id"),
+        F.when(F.col("film_budget_usd") > 0, F.col("film_budget_usd").cast("bigint")).alias("v"))
+    base = d.select("movie_id", F.when(F.col("budget") > 0, F.col("budget")).alias("budget"))
+    out = EN.lookup_fill(base, ["movie_id"], [(r, F.col("v")), (film, F.col("v"))], "budget_usd",
+                         existing=F.col("budget"))
+    return out.select("movie_id", "budget_usd", "budget_usd_source")
+
+
+def c14_company_choice(spark, sf):
+    dv, d = _details(spark, sf)
+    return EN.choose_company(d, LK.companies(dv), LK.countries(dv))
+
+
+def c15_geo_binding(spark, sf):
+    dv = adapter.driver(spark, sf)
+    return EN.first_geo_binding(LK.company_geo(dv))
+
+
+def d12_most_frequent_studio(spark, sf):
+    dv = adapter.driver(spark, sf)
+    raw = LK.raw_daily(dv, loaded(spark, sf))
+    return EN.most_frequent(raw, "bk_film", "studio", "main_studio")
+
+
+def d14_best_person(spark, sf):
+    dv = adapter.driver(spark, sf)
+    b = EN.best_by_popularity(LK.people(dv))
+    return b.select("name", "person_id", "popularity", "birthday", "place_of_birth",
+                    last_part("place_of_birth").alias("nationality"),
+                    prefix_year("birthday").alias("birth_year"))
+
+
+def _movie_cache(spark, sf):
+    dv = adapter.driver(spark, sf)
+    film = loaded(spark, sf)["stg_dim_film"]
+    d = LK.movie_details(dv)
+    j = d.join(film, F.substring(film["bk_film"], 2, 8).cast("bigint") == d["movie_id"])
+    return j.select(norm_title("film_title").alias("title_norm"), F.col("film_release_year").alias("year"),
+                    F.col("movie_id").alias("tmdb_id"), "imdb_id", "runtime",
+                    F.size("spoken_languages").alias("num_langs"))
+
+
+def a7_cache_upsert(spark, sf):
+    c = _movie_cache(spark, sf)
+    old = c.filter(F.col("tmdb_id") % 2 == 0)
+    new = c.filter(F.col("tmdb_id") % 3 == 0).withColumn("runtime", F.col("runtime") + 1)
+    return EN.cache_upsert(old, new, ["title_norm", "year"], ["tmdb_id"])
+
+
+def c16_cache_hit(spark, sf):
+    c = _movie_cache(spark, sf)
+    cache = EN.cache_upsert(c.filter(F.col("tmdb_id") % 2 == 0), c.limit(0), ["title_norm", "year"], ["tmdb_id"])
+    dv = adapter.driver(spark, sf)
+    rows = adapter.film_texts(dv).join(
+        loaded(spark, sf)["stg_dim_film"].select(F.substring("bk_film", 2, 8).cast("bigint").alias("p_partkey"),
+                                                F.col("film_release_year").alias("year")), "p_partkey")
+    rows = rows.select("p_partkey", norm_title("title_raw").alias("title_norm"), "year")
+    return EN.cache_hits(rows, cache, ["title_norm", "year"], "tmdb_id")
+
+
+def a10_split_entities(spark, sf):
+    dv = adapter.driver(spark, sf)
+    raw = LK.raw_daily(dv, loaded(spark, sf))
+    spec = {
+        "film": ["bk_film", "film_title", "film_release_year", "film_genre"],
+        "actor": ["bk_actor", "first_name_actor", "surname_actor", "nationality_actor"],
+        "director": ["bk_director", "first_name_director", "surname_director", "nationality_director"],
+        "company": ["bk_production_company", "production_company", "country_production_company"],
+        "daily": ["fk_date", "bk_film", "bk_actor", "bk_director", "bk_production_company",
+                  "gross_revenue_per_day", "days_since_release"],
+    }
+    parts = split_entities(raw, spec)
+    out = None
+    for name, df in parts.items():
+        r = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("entity"), "n_rows")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def i1_incremental_append(spark, sf):
+    f = loaded(spark, sf)["stg_fact_daily_box_office"]
+    existing = f.filter(F.col("fk_date") < 19990101)
+    batch = f.filter(F.col("fk_date") >= 19980101)
+    keys = ["fk_date", "fk_film", "fk_production_company", "fk_director", "fk_actor"]
+    return as_report(EN.append_new(existing, batch, keys))
+
+
+for _fn in (e4_franchise, e5_lead_actor, e6_lead_director, e7_lead_producer, h1_json_roundtrip, h2_languages,
+            h3_company_names, h4_rating_source, c13_fallback, c14_company_choice, c15_geo_binding,
+            d12_most_frequent_studio, d14_best_person, a7_cache_upsert, c16_cache_hit, a10_split_entities,
+            i1_incremental_append):
+    QUERIES[_fn.__name__] = _fn

@@ -549,3 +549,182 @@ for _who in ("actor", "director"):
                           FROM fact_daily_box_office GROUP BY 1) p
                   JOIN dim_{_who} d ON p.fk_{_who} = d.sk_{_who}) x) r
  WHERE rank <= {RP.TOP_PEOPLE}""")
+
+
+# ------------------------------------------------------------------ enrichment
+from marquee.operators import enrich as ENR  # noqa: E402
+from marquee.sources import lookups as LKS  # noqa: E402
+
+
+def ISO2(x: str) -> str:
+    return f"concat(chr(cast(65 + ({x}) % 26 AS integer)), chr(cast(65 + (({x}) * 7) % 26 AS integer)))"
+
+
+def PAD(prefix: str, x: str) -> str:
+    return f"concat('{prefix}', lpad(cast({x} AS varchar), 9, '0'))"
+
+
+def _struct_list(items) -> str:
+    return "[" + ", ".join("{" + ", ".join(f"'{k}': {v}" for k, v in it) + "}" for it in items) + "]"
+
+
+_pp = "p.p_partkey"
+_prim = _case_mod(f"{_pp} % 4", LANGUAGES)
+_jobs = _case_mod("({x}) % 5", LKS.CREW_JOBS)
+MOVIE_DETAILS = ("movie_details", f"""SELECT {_pp} AS movie_id,
+  concat('tt', lpad(cast({_pp} AS varchar), 7, '0')) AS imdb_id,
+  CASE WHEN {_pp} % 29 <> 0 THEN cast(60 + 2 * p.p_size AS integer) END AS runtime,
+  CASE WHEN {_pp} % 19 = 0 THEN cast(0 AS bigint) ELSE cast(cast(p.p_retailprice AS decimal(18,2)) * 1000 AS bigint) END
+    AS budget,
+  CASE WHEN {_pp} % 11 <> 0 THEN concat('/poster', cast({_pp} AS varchar), '.jpg') END AS poster_path,
+  CASE WHEN {_pp} % 4 = 0 THEN {_pp} % 97 END AS collection_id,
+  CASE WHEN {_pp} % 5 <> 0 THEN cast(fs.d0 AS varchar) ELSE '' END AS release_date,
+  CASE WHEN {_pp} % 3 = 0 THEN [{{'name': {_prim}}}, {{'name': 'Italian'}}] ELSE [{{'name': {_prim}}}] END
+    AS spoken_languages,
+  {_struct_list([[('id', f'({_pp} + {17 * k}) % cnt.n_sup'),
+                  ('name', PAD('Supplier#', f'({_pp} + {17 * k}) % cnt.n_sup')),
+                  ('origin_country', f"CASE WHEN ({_pp} + {k}) % 3 <> 0 THEN {ISO2(f'({_pp} + {17 * k}) % 25')} END")]
+                 for k in range(LKS.N_COMPANIES)])} AS production_companies,
+  {_struct_list([[('id', f'({_pp} * 7 + {11 * k}) % cnt.n_cust'),
+                  ('name', PAD('Customer#', f'({_pp} * 7 + {11 * k}) % cnt.n_cust')),
+                  ('order', f"CASE WHEN ({_pp} + {k}) % 6 <> 0 THEN cast(({_pp} * 3 + {5 * k}) % 7 AS integer) END")]
+                 for k in range(LKS.N_CAST)])} AS "cast",
+  {_struct_list([[('id', f'({_pp} * 13 + {k}) % cnt.n_sup'),
+                  ('name', PAD('Supplier#', f'({_pp} * 13 + {k}) % cnt.n_sup')),
+                  ('job', _jobs.format(x=f'{_pp} + {k}'))]
+                 for k in range(LKS.N_CREW)])} AS crew
+FROM part p LEFT JOIN first_ship fs ON p.p_partkey = fs.l_partkey CROSS JOIN cnt""")
+_rk = "s.s_suppkey"
+COMPANIES = ("companies", f"""SELECT {_rk} AS company_id, s.s_name AS name,
+  CASE WHEN {_rk} % 4 = 0 THEN NULL WHEN {_rk} % 4 = 1 THEN ''
+       ELSE concat('City', cast({_rk} % 7 AS varchar), ', ', n.n_name) END AS headquarters,
+  CASE WHEN {_rk} % 3 <> 0 THEN {ISO2('s.s_nationkey')} END AS origin_country
+FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey""")
+COUNTRIES = ("countries", f"""SELECT n.n_name AS name, {ISO2('n.n_nationkey')} AS iso2,
+  upper(substr(r.r_name, 1, 2)) AS continent_code, r.r_name AS continent
+FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""")
+GEO = ("company_geo", " UNION ALL ".join(f"""SELECT s.s_name AS name, {i} AS pos,
+  CASE WHEN ({_rk} + {i}) % 3 = 2 THEN concat('City', cast({_rk} % 7 AS varchar)) END AS hq,
+  CASE WHEN ({_rk} + {i}) % 4 = 3 THEN n.n_name END AS country,
+  CASE WHEN ({_rk} + {i}) % 5 = 4 THEN {ISO2('s.s_nationkey')} END AS iso2
+FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey""" for i in range(LKS.N_GEO)))
+_pb = f"cast(cast(p.p_retailprice AS decimal(18,2)) * 1100 AS bigint)"
+RATINGS = ("ratings", f"""SELECT concat('tt', lpad(cast({_pp} AS varchar), 7, '0')) AS imdb_id,
+  CASE WHEN {_pp} % 2 = 0 THEN concat('$', cast({_pb} AS varchar)) ELSE 'N/A' END AS budget,
+  [{{'Source': 'Internet Movie Database', 'Value': concat(cast(10 + {_pp} % 91 AS varchar), '/100')}},
+   {{'Source': CASE WHEN {_pp} % 4 <> 0 THEN 'Rotten Tomatoes' ELSE 'Metacritic' END,
+     'Value': concat(cast(({_pp} * 37) % 101 AS varchar), '%')}}] AS ratings
+FROM part p""")
+_c2 = "c.c_custkey"
+PEOPLE = ("people", f"""SELECT {_c2} AS person_id, concat('Ann', cast({_c2} % 13 AS varchar), ' Lee', cast({_c2} % 29 AS varchar)) AS name,
+  CASE WHEN {_c2} % 10 <> 0 THEN (({_c2} * 31) % 1000) / 10.0 END AS popularity,
+  CASE WHEN {_c2} % 4 <> 0 THEN concat(cast(1940 + {_c2} % 50 AS varchar), '-0', cast(1 + {_c2} % 9 AS varchar), '-1',
+                                         cast({_c2} % 9 AS varchar)) END AS birthday,
+  CASE WHEN {_c2} % 7 <> 0 THEN concat('Town', cast({_c2} % 11 AS varchar), ', ', n.n_name) END AS place_of_birth
+FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey""")
+RAW_DAILY = ("raw_daily", f"""SELECT f.*, fi.*, a.*, di.*, co.*,
+  CASE WHEN f.fk_date % 5 = 0 THEN {PAD('Supplier#', '(cast(substr(f.fk_film, 2, 8) AS bigint) + 1) % cnt.n_sup')}
+       ELSE co.production_company END AS studio
+FROM stg_fact_daily_box_office f JOIN stg_dim_film fi ON f.fk_film = fi.bk_film
+JOIN stg_dim_actor a ON f.fk_actor = a.bk_actor JOIN stg_dim_director di ON f.fk_director = di.bk_director
+JOIN stg_dim_production_company co ON f.fk_production_company = co.bk_production_company CROSS JOIN cnt""")
+ENRICH = [MOVIE_DETAILS, COMPANIES, COUNTRIES, GEO, RATINGS, PEOPLE, RAW_DAILY, FILM_TEXTS]
+
+
+def rege(key: str, body: str, extra=None) -> None:
+    reg(key, body, ENRICH + (extra or []))
+
+
+rege("e5_lead_actor", """SELECT movie_id, la.id AS lead_actor_id, la.name AS lead_actor_name
+  FROM (SELECT movie_id, list_sort(list_transform("cast", lambda x, i: {'o': coalesce(x."order", 9999), 'pos': i,
+                                                   'id': x.id, 'name': x.name}))[1] AS la FROM movie_details) t""")
+rege("e6_lead_director", """SELECT movie_id, ld.id AS director_id, ld.name AS director_name
+  FROM (SELECT movie_id, list_filter(crew, lambda x: x.job = 'Director')[1] AS ld FROM movie_details) t""")
+_prio = "CASE " + " ".join(f"WHEN lower(trim(x.job)) = '{r}' THEN {i}" for i, r in enumerate(ENR.PRODUCER_ROLES)) + " END"
+rege("e7_lead_producer", f"""SELECT movie_id, lp.id AS producer_id, lp.name AS producer_name
+  FROM (SELECT movie_id, list_sort(list_filter(list_transform(crew, lambda x, i: {{'p': {_prio}, 'pos': i,
+                 'id': x.id, 'name': x.name}}), lambda y: y.p IS NOT NULL))[1] AS lp FROM movie_details) t""")
+rege("e4_franchise", f"""SELECT m.movie_id, cast(fp.franchise_position AS integer) AS franchise_position,
+       fp.franchise_total,
+       CASE WHEN fp.franchise_position > 1 THEN 'Yes' ELSE 'No' END AS is_sequel,
+       CASE WHEN fp.franchise_position = 1 AND fp.franchise_total > 1 THEN 'Yes' ELSE 'No' END AS is_prequel
+  FROM movie_details m LEFT JOIN (
+    SELECT movie_id,
+           row_number() OVER (PARTITION BY collection_id ORDER BY
+             coalesce(nullif(trim(release_date), ''), '{ENR.MISSING_DATE}'), movie_id % 10, movie_id) AS franchise_position,
+           count(*) OVER (PARTITION BY collection_id) AS franchise_total
+      FROM movie_details WHERE collection_id IS NOT NULL) fp ON m.movie_id = fp.movie_id""")
+_rt = """from_json(to_json(production_companies), '[{"id":"BIGINT","name":"VARCHAR","origin_country":"VARCHAR"}]')"""
+rege("h1_json_roundtrip", f"""SELECT movie_id, cast(len({_rt}) AS integer) AS n_companies,
+       ({_rt})[1].name AS first_company, ({_rt})[3].origin_country AS third_origin FROM movie_details""")
+rege("h2_languages", """SELECT movie_id, spoken_languages[1].name AS primary_language,
+       cast(len(spoken_languages) AS integer) AS n_languages FROM movie_details""")
+rege("h3_company_names", """SELECT movie_id, array_to_string(list_transform(list_filter(production_companies,
+       lambda c: c.origin_country IS NOT NULL), lambda c: c.name), '|') AS companies_with_country FROM movie_details""")
+rege("h4_rating_source", """SELECT imdb_id, v AS rt_value,
+       cast(TRY_CAST(regexp_replace(trim(v), '%$', '') AS DECIMAL(4,1)) AS double) AS rt_rating
+  FROM (SELECT imdb_id, list_filter(ratings, lambda r: r.Source = 'Rotten Tomatoes')[1].Value AS v FROM ratings) t""")
+rege("c13_fallback", """SELECT m.movie_id, coalesce(m.b, r.v, f.v) AS budget_usd,
+       CASE WHEN m.b IS NOT NULL THEN 'existing' WHEN r.v IS NOT NULL THEN 'source_1'
+            WHEN f.v IS NOT NULL THEN 'source_2' END AS budget_usd_source
+  FROM (SELECT movie_id, CASE WHEN budget > 0 THEN budget END AS b FROM movie_details) m
+  LEFT JOIN (SELECT cast(substr(imdb_id, 3, 7) AS bigint) AS movie_id,
+                    TRY_CAST(regexp_replace(budget, '[$,]', '', 'g') AS BIGINT) AS v FROM ratings) r
+    ON m.movie_id = r.movie_id
+  LEFT JOIN (SELECT cast(substr(bk_film, 2, 8) AS bigint) AS movie_id,
+                    CASE WHEN film_budget_usd > 0 THEN cast(film_budget_usd AS bigint) END AS v FROM stg_dim_film) f
+    ON m.movie_id = f.movie_id""")
+rege("c14_company_choice", """SELECT b.movie_id, b.company_id, b.company_name, b.city, b.iso2, ct.continent
+  FROM (SELECT movie_id, unnest(bb) FROM (SELECT movie_id, arg_min({'company_id': id, 'company_name': name,
+                                  'city': city, 'iso2': iso},
+                                  (NOT (city IS NOT NULL OR iso IS NOT NULL), pos)) AS bb
+          FROM (SELECT e.movie_id, e.u.pos AS pos, e.u.id AS id, e.u.name AS name,
+                       nullif(trim(split_part(c.headquarters, ',', 1)), '') AS city,
+                       coalesce(c.origin_country, e.u.origin_country) AS iso
+                  FROM (SELECT movie_id, unnest(list_transform(production_companies, lambda c, i:
+                          {'pos': i - 1, 'id': c.id, 'name': c.name, 'origin_country': c.origin_country})) AS u
+                          FROM movie_details) e
+                  LEFT JOIN companies c ON e.u.id = c.company_id) x
+         GROUP BY movie_id) y) b
+  LEFT JOIN countries ct ON length(b.iso2) = 2 AND upper(b.iso2) = upper(ct.iso2)""")
+rege("c15_geo_binding", """SELECT name, unnest(b) FROM (
+  SELECT name, arg_min({'pos': pos, 'hq': hq, 'country': country, 'iso2': iso2}, pos) AS b
+    FROM company_geo WHERE hq IS NOT NULL OR country IS NOT NULL OR iso2 IS NOT NULL GROUP BY name) t""")
+rege("d12_most_frequent_studio", """SELECT bk_film, arg_min(studio, (-n, studio)) AS main_studio, max(n) AS main_studio_days
+  FROM (SELECT bk_film, studio, count(*) AS n FROM raw_daily WHERE studio IS NOT NULL GROUP BY 1, 2) g
+ GROUP BY bk_film""")
+rege("d14_best_person", """SELECT name, person_id, popularity, birthday, place_of_birth,
+       list_filter(list_transform(string_split(place_of_birth, ','), lambda x: trim(x)), lambda x: x <> '')[-1]
+         AS nationality,
+       TRY_CAST(regexp_extract(birthday, '^(\\d{4})', 1) AS INTEGER) AS birth_year
+  FROM (SELECT name, unnest(bb) FROM (SELECT name, arg_max({'person_id': person_id, 'popularity': popularity,
+                               'birthday': birthday, 'place_of_birth': place_of_birth},
+                               (coalesce(popularity, 0.0), -person_id)) AS bb
+          FROM people GROUP BY name) y) b""")
+MOVIE_CACHE = ("movie_cache", f"""SELECT {NORM_TITLE('f.film_title')} AS title_norm, f.film_release_year AS year,
+       m.movie_id AS tmdb_id, m.imdb_id, m.runtime, cast(len(m.spoken_languages) AS integer) AS num_langs
+  FROM movie_details m JOIN stg_dim_film f ON cast(substr(f.bk_film, 2, 8) AS bigint) = m.movie_id""")
+_CACHE_COLS = "tmdb_id, imdb_id, runtime, num_langs"
+rege("a7_cache_upsert", f"""SELECT title_norm, year, unnest(b) FROM (
+SELECT title_norm, year, arg_min({{'tmdb_id': tmdb_id, 'imdb_id': imdb_id,
+         'runtime': runtime, 'num_langs': num_langs}}, (-is_new, tmdb_id)) AS b
+  FROM (SELECT *, 0 AS is_new FROM movie_cache WHERE tmdb_id % 2 = 0
+        UNION ALL SELECT title_norm, year, tmdb_id, imdb_id, runtime + 1, num_langs, 1 FROM movie_cache
+         WHERE tmdb_id % 3 = 0) u
+ GROUP BY title_norm, year) t""", [MOVIE_CACHE])
+rege("c16_cache_hit", f"""SELECT r.p_partkey, r.title_norm, r.year, c.tmdb_id AS cached_tmdb_id,
+       c.tmdb_id IS NOT NULL AS cache_hit
+  FROM (SELECT t.p_partkey, {NORM_TITLE('t.title_raw')} AS title_norm, f.film_release_year AS year
+          FROM film_texts t JOIN stg_dim_film f ON cast(substr(f.bk_film, 2, 8) AS bigint) = t.p_partkey) r
+  LEFT JOIN (SELECT title_norm, year, min(tmdb_id) AS tmdb_id FROM movie_cache WHERE tmdb_id % 2 = 0
+              GROUP BY 1, 2) c
+    ON r.title_norm IS NOT DISTINCT FROM c.title_norm AND r.year IS NOT DISTINCT FROM c.year""", [MOVIE_CACHE])
+rege("a10_split_entities", " UNION ALL ".join(
+    f"SELECT '{n}' AS entity, count(*) AS n_rows FROM (SELECT DISTINCT {cols} FROM raw_daily) x"
+    for n, cols in [("film", "bk_film, film_title, film_release_year, film_genre"),
+                    ("actor", "bk_actor, first_name_actor, surname_actor, nationality_actor"),
+                    ("director", "bk_director, first_name_director, surname_director, nationality_director"),
+                    ("company", "bk_production_company, production_company, country_production_company"),
+                    ("daily", "fk_date, bk_film, bk_actor, bk_director, bk_production_company, "
+                              "gross_revenue_per_day, days_since_release")]))
+ORACLE["i1_incremental_append"] = ORACLE["stg_fact"]
