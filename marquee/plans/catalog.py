@@ -375,3 +375,57 @@ for _fn in (e4_franchise, e5_lead_actor, e6_lead_director, e7_lead_producer, h1_
             d12_most_frequent_studio, d14_best_person, a7_cache_upsert, c16_cache_hit, a10_split_entities,
             i1_incremental_append):
     QUERIES[_fn.__name__] = _fn
+
+
+# ---------------------------------------------------------------- fuzzy matching
+from marquee.functions.similarity import indel_ratio  # noqa: E402
+from marquee.operators import match as MT  # noqa: E402
+
+
+def k1_ratio(spark, sf):
+    dv = adapter.driver(spark, sf)
+    w = LK.wanted_titles(dv).select("row_id", "w_norm")
+    c = LK.catalogue(dv).select(F.col("cand_id").alias("row_id"), norm_title("title").alias("c_norm"))
+    return MT.with_similarity(w.join(c, "row_id"), "w_norm", "c_norm", "ratio")
+
+
+def _match(weights):
+    def run(spark, sf):
+        dv = adapter.driver(spark, sf)
+        first = adapter.first_day(adapter.daily_revenue(dv))
+        comp = LK.candidate_companies(LK.movie_details(dv, first))
+        return MT.pick(LK.wanted_titles(dv, first), LK.catalogue(dv, first), weights, comp)
+    return run
+
+
+QUERIES["k1_ratio"] = k1_ratio
+QUERIES["k10_match"] = _match(MT.V3)
+QUERIES["k10_match_v1"] = _match(MT.V1)
+QUERIES["k10_match_v2"] = _match(MT.V2)
+QUERIES["k10_match_v4"] = _match(MT.V4)
+QUERIES["d18_match_stats"] = lambda spark, sf: MT.match_stats(_match(MT.V3)(spark, sf))
+
+
+# ---------------------------------------------------------------- tier model
+from marquee.plans import ml as ML  # noqa: E402
+
+
+def n_tier_labels(spark, sf):
+    f = ML.tier_labels(ML.tier_features(loaded(spark, sf)))
+    return f.select("bk_film", "total_revenue", "release_season", "runtime_segment", "tier")
+
+
+def n_tier_features(spark, sf):
+    f = ML.impute(ML.tier_labels(ML.tier_features(loaded(spark, sf))))
+    return f.select("bk_film", *ML.CAT_COLS, *ML.NUM_COLS)
+
+
+QUERIES.update({
+    "n_tier_labels": n_tier_labels,
+    "n_tier_features": n_tier_features,
+    "n_cv_scores": lambda spark, sf: ML.run_once(spark, sf, loaded).cv,
+    "n_tier_predictions": lambda spark, sf: ML.run_once(spark, sf, loaded).predictions,
+    "n_feature_importance": lambda spark, sf: ML.run_once(spark, sf, loaded).importances,
+    "p5_where_to_invest": lambda spark, sf: ML.where_to_invest(
+        Q.genre_trend(loaded(spark, sf)), ML.run_once(spark, sf, loaded).predictions),
+})

@@ -163,3 +163,38 @@ def raw_daily(dv: DriverFrames, stg: dict[str, DataFrame]) -> DataFrame:
         "bk_production_company", "production_company", "country_production_company",
         "gross_revenue_per_day", "days_since_release",
         F.when(F.col("fk_date") % 5 == 0, alt).otherwise(F.col("production_company")).alias("studio"))
+
+
+def catalogue(dv: DriverFrames, first: DataFrame | None = None) -> DataFrame:
+    """Movie search catalogue (FIXTURES §4): one candidate per part."""
+    if first is None:
+        first = first_day(daily_revenue(dv))
+    part = dv.t("part", ["p_partkey", "p_name", "p_size", "p_retailprice"])
+    p = F.col("p_partkey")
+    genres = F.when(p % 17 == 0, F.array((p % 5).cast("int"), F.lit(99))).otherwise(F.array((p % 5).cast("int")))
+    j = part.join(first, part["p_partkey"] == first["l_partkey"], "left")
+    return j.select(p.alias("cand_id"), (p % 20).cast("int").alias("cand_pos"), F.col("p_name").alias("title"),
+                    s("d0").alias("release_date"), F.col("p_size").cast("bigint").alias("vote_count"),
+                    (F.col("p_retailprice") / 100).alias("popularity"), genres.alias("genre_ids"))
+
+
+def wanted_titles(dv: DriverFrames, first: DataFrame | None = None) -> DataFrame:
+    """Rows of the daily sheet to match: the title without its last
+    character, the release year (NULL for some), a release-date hint and a
+    studio hint."""
+    from marquee.functions.clean import norm_title
+    if first is None:
+        first = first_day(daily_revenue(dv))
+    part = dv.t("part", ["p_partkey", "p_name"])
+    p = F.col("p_partkey")
+    j = part.join(first, part["p_partkey"] == first["l_partkey"], "left")
+    title = F.expr("substring(p_name, 1, length(p_name) - 1)")
+    return j.select(p.alias("row_id"), title.alias("title"), norm_title(title).alias("w_norm"),
+                    F.when(p % 37 != 0, F.year("d0")).alias("w_year"),
+                    s(F.date_add("d0", (p % 40).cast("int"))).alias("date_hint"),
+                    padded("Supplier#", p % F.lit(dv.n_supplier)).alias("studio_hint"))
+
+
+def candidate_companies(details: DataFrame) -> DataFrame:
+    return details.select(F.col("movie_id").alias("cand_id"),
+                          F.explode("production_companies").alias("c")).select("cand_id", F.col("c.name").alias("company"))

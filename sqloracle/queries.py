@@ -728,3 +728,29 @@ rege("a10_split_entities", " UNION ALL ".join(
                     ("daily", "fk_date, bk_film, bk_actor, bk_director, bk_production_company, "
                               "gross_revenue_per_day, days_since_release")]))
 ORACLE["i1_incremental_append"] = ORACLE["stg_fact"]
+
+
+# ------------------------------------------------------------------ tier labels / features
+from marquee.plans import ml as MLP  # noqa: E402
+
+TIER_BASE = ("tier_base", f"""SELECT * FROM (
+  SELECT df.sk_film, df.bk_film, df.film_genre, df.film_age_classification, d.calendar_season AS release_season,
+         {', '.join(f'cast(df.{c} AS double) AS {c}' for c in MLP.NUM_COLS)},
+         cast(coalesce(p.rev, 0) AS double) AS total_revenue,
+         row_number() OVER (PARTITION BY df.bk_film ORDER BY df.sk_film) AS rn
+    FROM dim_film df
+    LEFT JOIN (SELECT fk_film, min(fk_date) AS first_date_key, sum(gross_revenue_per_day) AS rev
+                 FROM fact_daily_box_office GROUP BY 1) p ON df.sk_film = p.fk_film
+    LEFT JOIN dim_date d ON p.first_date_key = d.sk_date) x WHERE rn = 1""")
+TIER_LAB = ("tier_lab", f"""SELECT t.*,
+  {bracket('t.film_runtime_min', [(90, 'Short'), (121, 'Standard')], 'Long')} AS runtime_segment,
+  CASE WHEN t.total_revenue <= 0 THEN NULL WHEN t.total_revenue >= q.q[2] THEN 'High'
+       WHEN t.total_revenue >= q.q[1] THEN 'Mid' ELSE 'Low' END AS tier
+  FROM tier_base t, (SELECT quantile_cont(total_revenue, [{MLP.TIER_CUTS[0]}, {MLP.TIER_CUTS[1]}]) AS q
+                       FROM tier_base WHERE total_revenue > 0) q""")
+reg("n_tier_labels", "SELECT bk_film, total_revenue, release_season, runtime_segment, tier FROM tier_lab",
+    [TIER_BASE, TIER_LAB])
+_med = ", ".join(f"median({c}) AS m_{c}" for c in MLP.NUM_COLS)
+reg("n_tier_features", f"""SELECT bk_film, {', '.join(f"coalesce({c}, 'Unknown') AS {c}" for c in MLP.CAT_COLS)},
+       {', '.join(f'coalesce({c}, m_{c}) AS {c}' for c in MLP.NUM_COLS)}
+  FROM tier_lab, (SELECT {_med} FROM tier_lab) m""", [TIER_BASE, TIER_LAB])
