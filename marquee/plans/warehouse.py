@@ -92,11 +92,16 @@ def load(spark: SparkSession, sf_dir: str, dirty: bool = False) -> dict[str, Dat
         return _LOADED[key]
     make = adapter.dirty_staging if dirty else adapter.staging
     stg = load_staging(make(spark, sf_dir, materialize=lambda d: materialize(d, "daily")))
-    stg = _parallel({k: (lambda v=v, k=k: materialize(v, k)) for k, v in stg.items()})
+    # stage boundaries: the facts (large, read by every question); the
+    # dimensions stay lazy (small, recomputed from the materialized daily
+    # aggregate and the dimension sources)
+    stg["stg_fact_daily_box_office"] = materialize(stg["stg_fact_daily_box_office"], "stg_fact")
     out = dict(stg)
     if not dirty:
-        plans = load_dimensions(stg)  # surrogate keys: one write per dimension
-        dims = _parallel({k: (lambda v=v, k=k: materialize(v, k)) for k, v in plans.items()})
+        # surrogate keys: one tag write per dimension, submitted concurrently
+        dims = _parallel({dw: (lambda src=src, bk=bk, sk=sk: surrogate_key(stg[src], bk, sk))
+                          for dw, src, bk, sk, _ in DIMS})
+        dims["dim_date"] = conform(stg["stg_dim_date"], DIM_DATE)
         out.update(dims)
         out["fact_daily_box_office"] = materialize(
             load_fact(stg["stg_fact_daily_box_office"], dims), "fact_daily_box_office")
