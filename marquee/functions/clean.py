@@ -254,3 +254,14 @@ def clamp_zero(c) -> Column:
 def safe_ratio(num, den) -> Column:
     """NULL on a zero or NULL denominator."""
     return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))
+
+
+def business_key(*parts, sep: str = "|") -> Column:
+    """Business key = normalised parts joined by ``sep`` (NULL part ->
+    empty string, so the key is never NULL)."""
+    return F.concat_ws(sep, *[norm_text(p) for p in parts])
+
+
+def claim_year(claims_json, path: str = "$.P571[0].mainsnak.datavalue.value.time") -> Column:
+    """H5 + B29: year of a time claim inside a nested JSON claim document."""
+    return inception_year(F.get_json_object(_c(claims_json), path))

@@ -46,6 +46,7 @@ class Weights:
     studio: float = 0.0             # re-rank weight among the top `top`
     top: int = 3
     ties: tuple = ("sim",)          # descending tie-breaks after the score
+    min_score: float | None = None  # the winner's score must exceed this
 
 
 # --- fixed values: the four scorer presets of the reference --------------
@@ -53,6 +54,8 @@ V1 = Weights(10, 1, 5, 2, 5, ties=("votes", "pop", "sim", "dyear", "doc"))
 V2 = Weights(12, 2, 8, 2, 20, min_sim=0.60)
 V3 = Weights(12, 2, 8, 2, 20, date_bonus=((7, 15), (30, 8), (60, 4)), min_sim=0.60, studio=20)
 V4 = Weights(10, 2, 15, 3, 0, min_sim=0.60, doc_filter=False)
+# K8: secondary title/year search — 5·sim − Δyear, first strict maximum, must exceed −1
+SECONDARY = Weights(0, 0, 5, 1, 0, doc_filter=False, ties=(), min_score=-1.0)
 DOC_GENRE = 99
 EPS = 1e-6
 
@@ -165,6 +168,8 @@ def pick(wanted: DataFrame, catalogue: DataFrame, w: Weights = V3, companies: Da
     ranked = ranked.filter(F.col("rank") <= top)  # WindowGroupLimit before the shuffle
     first = ranked.filter(F.col("rank") == 1)
     ok = F.lit(True) if w.min_sim is None else (F.col("sim") >= F.lit(w.min_sim) - 1e-12)
+    if w.min_score is not None:
+        ok = ok & (F.col("score") > F.lit(w.min_score))
     passed = first.filter(ok).select("row_id")
     chosen = ranked.join(passed, "row_id")
     if w.studio and companies is not None and "studio_hint" in wanted.columns:

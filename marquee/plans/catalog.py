@@ -429,3 +429,54 @@ QUERIES.update({
     "p5_where_to_invest": lambda spark, sf: ML.where_to_invest(
         Q.genre_trend(loaded(spark, sf)), ML.run_once(spark, sf, loaded).predictions),
 })
+
+
+# ---------------------------------------------------------------- remaining lookups / SQL text
+from marquee.functions.clean import business_key, claim_year  # noqa: E402
+
+
+def b26_country_iso2(spark, sf):
+    """B26 (+B25): country name -> iso2 -> continent through the country
+    lookup (a fixed 25-row table: broadcast is bounded)."""
+    dv = adapter.driver(spark, sf)
+    film = loaded(spark, sf)["stg_dim_film"]
+    ct = F.broadcast(LK.countries(dv).select(F.trim("name").alias("_n"), "iso2", "continent"))
+    j = film.join(ct, F.trim(film["main_filming_country"]) == ct["_n"], "left")
+    return j.select("bk_film", "main_filming_country", "iso2", "continent")
+
+
+def b30_business_key(spark, sf):
+    t = _texts("film")(spark, sf)
+    return t.select("p_partkey", business_key("title_raw", "genre_text").alias("bk"))
+
+
+def h5_company_founded(spark, sf):
+    dv = adapter.driver(spark, sf)
+    return LK.companies(dv).select("company_id", claim_year("claims_json").alias("founded_year"))
+
+
+def k8_secondary_search(spark, sf):
+    dv = adapter.driver(spark, sf)
+    first = adapter.first_day(adapter.daily_revenue(dv))
+    return MT.pick(LK.wanted_titles(dv, first), LK.catalogue(dv, first), MT.SECONDARY)
+
+
+def a3_read_sql(spark, sf):
+    """A3: a question given as SQL text runs through ``spark.sql`` over
+    temp views of the loaded warehouse (Catalyst plans it like the
+    DataFrame version)."""
+    w = loaded(spark, sf)
+    for name in ("fact_daily_box_office", "dim_film", "dim_date"):
+        w[name].createOrReplaceTempView(name)
+    return spark.sql("""
+        SELECT f.film_genre, d.calendar_year AS box_year,
+               CAST(SUM(b.gross_revenue_per_day) AS DOUBLE) AS annual_revenue
+        FROM fact_daily_box_office b
+        JOIN dim_film f ON b.fk_film = f.sk_film
+        JOIN dim_date d ON b.fk_date = d.sk_date
+        WHERE f.film_genre IS NOT NULL
+        GROUP BY f.film_genre, d.calendar_year""")
+
+
+for _fn in (b26_country_iso2, b30_business_key, h5_company_founded, k8_secondary_search, a3_read_sql):
+    QUERIES[_fn.__name__] = _fn

@@ -102,6 +102,9 @@ def companies(dv: DriverFrames) -> DataFrame:
          .otherwise(F.concat(F.lit("City"), s(k % 7), F.lit(", "), "n_name")).alias("headquarters"),
         F.when(k % 3 != 0, iso2(F.col("s_nationkey"))).alias("origin_country"),
         F.concat(F.lit("+"), s(1900 + k % 100), F.lit("-01-01T00:00:00Z")).alias("inception"),
+        F.when(k % 5 != 0, F.concat(
+            F.lit('{"P571":[{"mainsnak":{"datavalue":{"value":{"time":"+'), s(1900 + k % 100),
+            F.lit('-01-01T00:00:00Z"}}}}]}'))).otherwise(F.lit('{"P17":[]}')).alias("claims_json"),
     )
 
 

@@ -754,3 +754,21 @@ _med = ", ".join(f"median({c}) AS m_{c}" for c in MLP.NUM_COLS)
 reg("n_tier_features", f"""SELECT bk_film, {', '.join(f"coalesce({c}, 'Unknown') AS {c}" for c in MLP.CAT_COLS)},
        {', '.join(f'coalesce({c}, m_{c}) AS {c}' for c in MLP.NUM_COLS)}
   FROM tier_lab, (SELECT {_med} FROM tier_lab) m""", [TIER_BASE, TIER_LAB])
+
+
+# ------------------------------------------------------------------ remaining lookups / SQL text
+rege("b26_country_iso2", """SELECT f.bk_film, f.main_filming_country, c.iso2, c.continent
+  FROM stg_dim_film f LEFT JOIN countries c ON trim(f.main_filming_country) = trim(c.name)""")
+_NT = lambda c: f"regexp_replace(trim(lower(coalesce({c}, ''))), '\\s+', ' ', 'g')"
+regt("b30_business_key", "film_texts", f"concat_ws('|', {_NT('title_raw')}, {_NT('genre_text')}) AS bk")
+_k = "s.s_suppkey"
+reg("h5_company_founded", f"""SELECT {_k} AS company_id,
+  TRY_CAST(regexp_extract(json_extract_string(
+    CASE WHEN {_k} % 5 <> 0 THEN concat('{{"P571":[{{"mainsnak":{{"datavalue":{{"value":{{"time":"+',
+         cast(1900 + {_k} % 100 AS varchar), '-01-01T00:00:00Z"}}}}}}}}]}}') ELSE '{{"P17":[]}}' END,
+    '$.P571[0].mainsnak.datavalue.value.time'), '^.(\\d{{4}})', 1) AS INTEGER) AS founded_year
+  FROM supplier s""")
+reg("a3_read_sql", """SELECT df.film_genre, d.calendar_year AS box_year,
+       cast(sum(f.gross_revenue_per_day) AS double) AS annual_revenue
+  FROM fact_daily_box_office f JOIN dim_film df ON f.fk_film = df.sk_film JOIN dim_date d ON f.fk_date = d.sk_date
+ WHERE df.film_genre IS NOT NULL GROUP BY 1, 2""")
