@@ -772,3 +772,4 @@ reg("a3_read_sql", """SELECT df.film_genre, d.calendar_year AS box_year,
        cast(sum(f.gross_revenue_per_day) AS double) AS annual_revenue
   FROM fact_daily_box_office f JOIN dim_film df ON f.fk_film = df.sk_film JOIN dim_date d ON f.fk_date = d.sk_date
  WHERE df.film_genre IS NOT NULL GROUP BY 1, 2""")
+ORACLE["q1_pipeline_fact"] = ORACLE["fact_sk"]
