@@ -187,6 +187,15 @@ def hierarchy(df: DataFrame, levels: list[str], aggs: list[Column]) -> DataFrame
     return df.rollup(*levels).agg(*aggs, F.grouping_id(*levels).alias("level_id"))
 
 
+def revenue_hierarchy(star: DataFrame, levels: list[str]) -> DataFrame:
+    """D15 for revenue and distinct films: the fact is first reduced to
+    (levels, film) — a partial aggregate — so the rollup's row expansion
+    runs on that small frame, not on fact rows."""
+    pre = star.groupBy(*levels, "fk_film").agg(F.sum(G).alias("_rev"))
+    return hierarchy(pre, levels, [F.sum("_rev").cast("double").alias("total_revenue"),
+                                   F.countDistinct("fk_film").alias("n_films")])
+
+
 def running_share(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
     """Cumulative share of ``value`` along ``order`` (E12).  Meant for
     pre-aggregated frames (days, countries): the single ordered window is

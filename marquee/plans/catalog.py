@@ -67,8 +67,8 @@ def as_report(df: DataFrame) -> DataFrame:
 
 
 QUERIES.update({
-    "dq_log": _on(loaded, DQ.run_rules),
-    "dq_log_dirty": _on(dirty, DQ.run_rules),
+    "dq_log": _on(loaded, DQ.run_rules_eager),
+    "dq_log_dirty": _on(dirty, DQ.run_rules_eager),
     "dq_r2_detail": _on(loaded, lambda t: as_report(DQ.r2_detail(t))),
     "dq_r2_detail_dirty": _on(dirty, lambda t: as_report(DQ.r2_detail(t))),
     "dq_r7_detail_dirty": _on(dirty, DQ.r7_detail),
@@ -128,9 +128,7 @@ HIERARCHIES = {
 
 def _hier(levels, dims):
     def run(spark, sf):
-        s = _star(loaded(spark, sf), dims)
-        return M.hierarchy(s, levels, [F.sum(M.G).cast("double").alias("total_revenue"),
-                                       F.countDistinct("fk_film").alias("n_films")])
+        return M.revenue_hierarchy(_star(loaded(spark, sf), dims), levels)
     return run
 
 
