@@ -9,7 +9,10 @@ of ``b``), i.e. O(|a|·|b| / word) per pair.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +46,11 @@ def _indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio_py(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+# Ship this module's functions by value with the UDF, so executors need no
+# installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def indel_ratio(a, b) -> Column:
     """Column of indel similarity between two string columns."""
     a = F.col(a) if isinstance(a, str) else a

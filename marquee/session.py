@@ -69,3 +69,23 @@ def materialize(df, name: str = "t"):
     path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark) -> None:
+    """Make ``marquee`` importable on executors: zip the package once and
+    add it with ``addPyFile`` (Spark distributes it to every executor)."""
+    import os
+    import shutil
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="marquee-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "marquee"), "zip", os.path.dirname(pkg), "marquee")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
