@@ -13,13 +13,18 @@ guaranteed score ``LB`` (similarity 0, worst year gap, no bonus) and a best
 possible score ``UB``.  A candidate whose ``UB`` is below the ``k``-th largest
 ``LB`` of a block it belongs to can never reach the top ``k`` of any wanted
 row that reaches that block, so it is dropped before the pair join.  The
-k-th largest ``LB`` is computed with ``k`` rounds of grouped max/count
-aggregates (partial aggregation; a hot block is not sent to one task).
+k-th largest ``LB`` comes from (block, value) counts and a per-block rank
+filter that Spark applies before the shuffle, so a hot block is not sent
+whole to one task.
 Documentaries are dropped from blocks that contain a non-documentary, which
 is exactly the reference's row-level rule restricted to one block.
 
-Similarity is computed once per distinct (wanted title, candidate title)
-pair with the Arrow UDF of ``functions.similarity``.
+Candidates are generated and scored once per distinct wanted (title, year)
+key — only the date bonus depends on the row — and a second exact prune
+keeps per key only candidates whose key score plus the largest bonus can
+still reach the key's k-th score.  Similarity is computed once per distinct
+(wanted title, candidate title) pair with the Arrow UDF of
+``functions.similarity``.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.functions.clean import day_distance, norm_text, norm_title, prefix_year
+from marquee.functions.clean import day_distance, norm_text, norm_title, parse_date, prefix_year
 from marquee.functions.similarity import indel_ratio
 
 
@@ -109,20 +114,23 @@ def pruned_blocks(cands: DataFrame, w: Weights, by_year: bool, year_gap: int) ->
     return tok.join(th, keys, "left").filter(F.col("kth").isNull() | (F.col("ub") >= F.col("kth") - EPS))
 
 
-def candidates(wanted: DataFrame, cands: DataFrame, w: Weights, year_tol: int = 1) -> DataFrame:
-    """Distinct (row_id, cand_id) pairs of the blocking rule, after
-    exact pruning.  ``wanted`` = row_id, w_norm, w_year (+ hints)."""
+def candidates(wanted: DataFrame, cands: DataFrame, w: Weights, year_tol: int = 1,
+               key=("row_id",)) -> DataFrame:
+    """Distinct (key, cand_id) pairs of the blocking rule, after exact
+    pruning.  ``wanted`` holds ``key`` columns plus w_norm, w_year."""
+    key = list(key)
+    base = list(dict.fromkeys(key + ["w_norm", "w_year"]))
     cols = ["cand_id", "cand_pos", "c_norm", "c_year", "release_date", "votes", "pop", "doc"]
-    wt = wanted.select("row_id", "w_norm", "w_year", F.explode(title_tokens(F.col("w_norm"))).alias("token"))
+    wt = wanted.select(*base, F.explode(title_tokens(F.col("w_norm"))).alias("token"))
     known = wt.filter(F.col("w_year").isNotNull()).select(
-        "row_id", "token", F.explode(F.sequence(F.col("w_year") - year_tol, F.col("w_year") + year_tol))
+        *base, "token", F.explode(F.sequence(F.col("w_year") - year_tol, F.col("w_year") + year_tol))
         .alias("c_year"))
     by_year = pruned_blocks(cands, w, True, year_tol)
-    p1 = known.join(by_year, ["token", "c_year"]).select("row_id", *cols)
-    unknown = wt.filter(F.col("w_year").isNull()).select("row_id", "token")
+    p1 = known.join(by_year, ["token", "c_year"]).select(*base, *cols)
+    unknown = wt.filter(F.col("w_year").isNull()).select(*base, "token")
     any_year = pruned_blocks(cands, w, False, 0)
-    p2 = unknown.join(any_year, ["token"]).select("row_id", *cols)
-    return p1.unionByName(p2).dropDuplicates(["row_id", "cand_id"])
+    p2 = unknown.join(any_year, ["token"]).select(*base, *cols)
+    return p1.unionByName(p2).dropDuplicates([*key, "cand_id"])
 
 
 def with_similarity(pairs: DataFrame, left: str, right: str, name: str) -> DataFrame:
@@ -132,20 +140,69 @@ def with_similarity(pairs: DataFrame, left: str, right: str, name: str) -> DataF
     return pairs.join(d, (pairs[left] == d["_a"]) & (pairs[right] == d["_b"])).drop("_a", "_b")
 
 
-def score(pairs: DataFrame, wanted: DataFrame, w: Weights) -> DataFrame:
-    p = pairs.join(wanted, "row_id")
-    p = with_similarity(p, "w_norm", "c_norm", "sim")
+NO_YEAR = -99999  # join stand-in for a NULL wanted year (not a valid year)
+
+
+def key_scores(wanted: DataFrame, cands: DataFrame, w: Weights, year_tol: int = 1) -> DataFrame:
+    """Candidates and their row-independent score (everything but the date
+    bonus) once per distinct (title, year) key — the candidate set depends
+    only on that key.  Documentary rule applied per key (exact: a row's
+    candidate set is its key's).  Then a second exact prune: a candidate
+    whose key score plus the largest possible bonus is below the key's k-th
+    score cannot enter the top k of any row of that key."""
+    keys = wanted.select("w_norm", "w_year").distinct()
+    kp = candidates(keys, cands, w, year_tol, key=["w_norm", "w_year"])
+    kp = with_similarity(kp, "w_norm", "c_norm", "sim")
     dyear = F.coalesce(F.abs(F.col("c_year") - F.col("w_year")), F.lit(0)).cast("double")
+    base = (w.votes * F.col("votes") + w.pop * F.col("pop") + w.sim * F.col("sim") - w.year * dyear
+            - w.doc * F.col("doc").cast("double"))
+    kp = kp.withColumns({"dyear": dyear, "base": base,
+                         "_wy": F.coalesce(F.col("w_year"), F.lit(NO_YEAR))})
+    kk = ["w_norm", "_wy"]
+    if w.doc_filter:
+        nd = kp.groupBy(*kk).agg(F.max((~F.col("doc")).cast("int")).alias("_nd"))
+        kp = kp.join(nd, kk).filter(~(F.col("doc") & (F.col("_nd") == 1))).drop("_nd")
+    best_bonus = max([b for _, b in w.date_bonus], default=0)
+    kth = kth_largest(kp, kk, "base", w.top if w.studio else 1)
+    return kp.join(kth, kk, "left").filter(
+        F.col("kth").isNull() | (F.col("base") + best_bonus >= F.col("kth") - EPS))
+
+
+def score(wanted: DataFrame, keyed: DataFrame, w: Weights) -> DataFrame:
+    """Row-level pairs and score = key score + date bonus of the row's hint.
+
+    Without a date bonus every row of a key sees the same ranking, so only
+    the key's top k (ties included) are paired with its rows.  With a bonus,
+    a row's pairs are (a) that top k plus (b) candidates released within the
+    bonus window of the row's hint, found by a band join: buckets of
+    the window width, equi-join on (key, bucket ± 1), then the exact day
+    test.  Every other candidate has no bonus and a key score below k others
+    that are paired, so it cannot enter the row's top k."""
+    rows = wanted.withColumn("_wy", F.coalesce(F.col("w_year"), F.lit(NO_YEAR)))
+    kk = ["w_norm", "_wy"]
+    keyed = keyed.drop("w_year")
+    top = keyed.filter(F.col("kth").isNull() | (F.col("base") >= F.col("kth") - EPS))
+    pairs = rows.join(top, kk)
     bonus = F.lit(0.0)
     if w.date_bonus and "date_hint" in wanted.columns:
+        width = max(lim for lim, _ in w.date_bonus) + 1
+        origin = F.lit("1900-01-01").cast("date")
+        c_day = parse_date(F.col("release_date"))
+        near = (keyed.filter(c_day.isNotNull())
+                .withColumn("_b", F.explode(F.sequence(
+                    F.floor(F.datediff(c_day, origin) / width).cast("int") - 1,
+                    F.floor(F.datediff(c_day, origin) / width).cast("int") + 1))))
+        h_day = parse_date(F.col("date_hint"))
+        rb = rows.filter(h_day.isNotNull()).withColumn("_b", F.floor(F.datediff(h_day, origin) / width).cast("int"))
+        band = rb.join(near, [*kk, "_b"]).drop("_b").filter(
+            day_distance(F.col("date_hint"), F.col("release_date")) <= width - 1)
+        pairs = pairs.unionByName(band).dropDuplicates(["row_id", "cand_id"])
         days = day_distance(F.col("date_hint"), F.col("release_date"))
         expr = None
         for lim, b in w.date_bonus:
             expr = F.when(days <= lim, F.lit(float(b))) if expr is None else expr.when(days <= lim, F.lit(float(b)))
         bonus = F.coalesce(expr, F.lit(0.0))
-    s = (w.votes * F.col("votes") + w.pop * F.col("pop") + w.sim * F.col("sim") - w.year * dyear
-         - w.doc * F.col("doc").cast("double") + bonus)
-    return p.withColumns({"dyear": dyear, "score": s})
+    return pairs.withColumn("score", F.col("base") + bonus)
 
 
 def pick(wanted: DataFrame, catalogue: DataFrame, w: Weights = V3, companies: DataFrame | None = None,
@@ -155,11 +212,9 @@ def pick(wanted: DataFrame, catalogue: DataFrame, w: Weights = V3, companies: Da
     from marquee.session import materialize
 
     cands = prepare_catalogue(catalogue)
-    # stage boundary: the UDF runs once per distinct pair, later steps reuse it
-    sc = materialize(score(candidates(wanted, cands, w, year_tol), wanted, w), "match-scored")
-    if w.doc_filter:
-        nd = sc.groupBy("row_id").agg(F.max((~F.col("doc")).cast("int")).alias("_nd"))
-        sc = sc.join(nd, "row_id").filter(~(F.col("doc") & (F.col("_nd") == 1))).drop("_nd")
+    # stage boundary: key-level candidates (UDF run once per distinct title pair)
+    keyed = materialize(key_scores(wanted, cands, w, year_tol), "match-keyed")
+    sc = score(wanted, keyed, w)
     tie_cols = {"sim": F.col("sim"), "votes": F.col("votes"), "pop": F.col("pop"),
                 "dyear": F.col("dyear"), "doc": F.col("doc").cast("int")}
     order = [F.desc("score")] + [tie_cols[t].desc() for t in w.ties] + [F.asc("cand_pos"), F.asc("cand_id")]
