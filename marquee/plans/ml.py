@@ -36,6 +36,7 @@ TIER_CUTS = (0.33, 0.66)
 TIERS = ("Low", "Mid", "High")
 SEED = 42
 FOLDS = 5
+ROWS_PER_PARTITION = 100_000  # training rows per partition for the model fits
 
 
 @dataclass
@@ -191,6 +192,10 @@ def run(w: dict[str, DataFrame], candidates=CANDIDATES, k: int = FOLDS) -> TierR
     feats = materialize(impute(tier_labels(tier_features(w))), "tier-features")
     hist = feats.filter(F.col("tier").isNotNull())
     labelled = materialize(class_weights(stratified_folds(hist)), "tier-folds")
+    # iterative learners run one job per tree level: size partitions by rows
+    parts = max(1, -(-labelled.count() // ROWS_PER_PARTITION))
+    if parts < labelled.rdd.getNumPartitions():
+        labelled = labelled.coalesce(parts)
     cv = materialize(evaluate(candidates, labelled, k), "tier-cv")
     best = choose(cv, candidates)
     model = fit(labelled, best)

@@ -93,16 +93,18 @@ def country_share(w: dict[str, DataFrame]) -> DataFrame:
 
 
 def league_table(w: dict[str, DataFrame], who: str = "actor", n: int = TOP_PEOPLE) -> DataFrame:
-    """P6 (F4): top-n people by total revenue, ties by business key.  The
-    rank filter lets Spark limit each partition before the single ordered
-    window (WindowGroupLimit)."""
+    """P6 (F4): top-n people by total revenue, ties by business key.  An
+    ordered limit (per-partition top n, then a merge of n x partitions rows)
+    picks the n; ranks are then numbered over those n rows only."""
     fk, dim, sk, bk = {"actor": ("fk_actor", "dim_actor", "sk_actor", "bk_actor"),
                        "director": ("fk_director", "dim_director", "sk_director", "bk_director")}[who]
     f = w["fact_daily_box_office"]
     per = f.groupBy(fk).agg(F.sum(G).alias("rev"), F.countDistinct("fk_film").alias("n_films"))
     d = w[dim]
     j = per.join(d, per[fk] == d[sk])
-    r = j.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("rev"), F.asc(bk))))
-    return r.filter(F.col("rank") <= n).select(
+    order = [F.desc("rev"), F.asc(bk)]
+    top = j.orderBy(*order).limit(n)
+    r = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return r.select(
         F.col("rank").cast("int"), bk, f"first_name_{who}", f"surname_{who}", f"nationality_{who}",
         F.col("rev").cast("double").alias("total_revenue"), "n_films")

@@ -57,9 +57,31 @@ class DriverFrames:
         return df.select(*cols) if cols else df
 
 
+_DRIVERS: dict = {}
+
+
+def _stamp(sf_dir: str) -> tuple:
+    import os
+    out = []
+    for name in ("lineitem", "part", "orders", "customer", "supplier", "nation", "region"):
+        try:
+            out.append(os.stat(f"{sf_dir.rstrip('/')}/{name}.parquet").st_mtime_ns)
+        except OSError:
+            out.append(None)
+    return tuple(out)
+
+
 def driver(spark: SparkSession, sf_dir: str) -> DriverFrames:
-    # two scalar row counts (one global aggregate job), used as the modulus
-    # of the FK map
+    """Table handles + the two row counts used as modulus of the FK map,
+    once per (application, folder, file stamps)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _stamp(sf_dir))
+    if key not in _DRIVERS:
+        _DRIVERS[key] = _driver(spark, sf_dir)
+    return _DRIVERS[key]
+
+
+def _driver(spark: SparkSession, sf_dir: str) -> DriverFrames:
+    # two scalar row counts (one global aggregate job)
     s = read_table(spark, sf_dir, "supplier", ["s_suppkey"]).agg(F.count(F.lit(1)).alias("n"))
     c = read_table(spark, sf_dir, "customer", ["c_custkey"]).agg(F.count(F.lit(1)).alias("n"))
     row = s.unionByName(c).collect()
@@ -183,7 +205,10 @@ def staging(spark: SparkSession, sf_dir: str, dv: DriverFrames | None = None,
     dv = dv or driver(spark, sf_dir)
     daily = daily_revenue(dv)
     if materialize is not None:
-        daily = materialize(daily)
+        daily = dv._frames.get("_daily_materialized")
+        if daily is None:
+            daily = materialize(daily_revenue(dv))
+            dv._frames["_daily_materialized"] = daily
     first = first_day(daily)
     return {
         "stg_dim_date": stg_dim_date(daily),
