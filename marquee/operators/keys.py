@@ -28,11 +28,13 @@ _POS_BITS = 33
 
 def surrogate_key(df: DataFrame, bk: str | list[str], name: str,
                   num_partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
     keys = [bk] if isinstance(bk, str) else list(bk)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(k).asc_nulls_first() for k in keys]
-    tagged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Without an explicit count AQE may merge adjacent range partitions
+    # (contiguous reducer ranges keep the global order), so a small
+    # dimension is not written as thousands of tiny files.
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    tagged = (ranged.sortWithinPartitions(*order)
               .withColumn("_mid", F.monotonically_increasing_id()))
     tagged = materialize(tagged, f"sk-{name}")
     mid = F.col("_mid")

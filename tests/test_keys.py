@@ -24,3 +24,11 @@ def test_keep_first(spark):
     df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("b", 2, "z")], "k string, o int, v string")
     got = sorted(tuple(r) for r in keep_first(df, ["k"], [F.col("o")]).collect())
     assert got == [("a", 1, "y"), ("b", 2, "z")]
+
+
+def test_surrogate_key_default_partitioning(spark):
+    rows = [("b%04d" % ((i * 7919) % 5000), i) for i in range(5000)]
+    df = spark.createDataFrame(rows, "bk string, v int").repartition(11)
+    got = sorted((r["bk"], r["sk"]) for r in surrogate_key(df, "bk", "sk").collect())
+    assert [sk for _, sk in got] == list(range(1, 5001))
+    assert [bk for bk, _ in got] == sorted(bk for bk, _ in rows)
