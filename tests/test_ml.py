@@ -30,3 +30,14 @@ def test_small_run_end_to_end(spark):
     lo, hi = pred.agg(F.min("tier_confidence"), F.max("tier_confidence")).first()
     assert 0 < lo <= hi <= 1
     assert r.cv.count() == 3
+
+
+def test_tier_labels_are_terciles(spark):
+    w = warehouse.load(spark, SF001)
+    f = ML.tier_labels(ML.tier_features(w))
+    stats = {r["tier"]: (r["n"], r["m"]) for r in
+             f.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg("total_revenue").alias("m")).collect()}
+    n = sum(v[0] for k, v in stats.items() if k is not None)
+    assert all(0.30 <= stats[t][0] / n <= 0.37 for t in ML.TIERS)
+    assert stats["High"][1] > stats["Mid"][1] > stats["Low"][1]
+    assert f.filter(F.col("tier").isNull() & (F.col("total_revenue") > 0)).count() == 0
