@@ -390,7 +390,7 @@ def k1_ratio(spark, sf):
 def _match(weights):
     def run(spark, sf):
         dv = adapter.driver(spark, sf)
-        first = adapter.first_day(adapter.daily_revenue(dv))
+        first = adapter.shared_first(dv)
         comp = LK.candidate_companies(LK.movie_details(dv, first))
         return MT.pick(LK.wanted_titles(dv, first), LK.catalogue(dv, first), weights, comp)
     return run
@@ -455,7 +455,7 @@ def h5_company_founded(spark, sf):
 
 def k8_secondary_search(spark, sf):
     dv = adapter.driver(spark, sf)
-    first = adapter.first_day(adapter.daily_revenue(dv))
+    first = adapter.shared_first(dv)
     return MT.pick(LK.wanted_titles(dv, first), LK.catalogue(dv, first), MT.SECONDARY)
 
 

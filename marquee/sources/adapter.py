@@ -109,6 +109,24 @@ def first_day(daily: DataFrame) -> DataFrame:
     return daily.groupBy("l_partkey").agg(F.min("d").alias("d0"))
 
 
+def shared_daily(dv: DriverFrames) -> DataFrame:
+    """The daily aggregate, written once per folder (stage boundary under
+    the checkpoint folder) and shared by every consumer."""
+    from marquee.session import materialize
+    if "_daily_materialized" not in dv._frames:
+        dv._frames["_daily_materialized"] = materialize(daily_revenue(dv), "daily")
+    return dv._frames["_daily_materialized"]
+
+
+def shared_first(dv: DriverFrames) -> DataFrame:
+    """Per-part first day, written once per folder: every film-level lookup
+    reuses it instead of re-aggregating lineitem."""
+    from marquee.session import materialize
+    if "_first_materialized" not in dv._frames:
+        dv._frames["_first_materialized"] = materialize(first_day(shared_daily(dv)), "first_day")
+    return dv._frames["_first_materialized"]
+
+
 def stg_dim_film(dv: DriverFrames, first: DataFrame) -> DataFrame:
     part = dv.t("part")
     n1 = F.broadcast(dv.t("nation", ["n_nationkey", "n_name"])
@@ -203,13 +221,11 @@ def staging(spark: SparkSession, sf_dir: str, dv: DriverFrames | None = None,
     checkpoint) is applied to the daily aggregate that both the film
     dimension and the fact derive from, so ``lineitem`` is read once."""
     dv = dv or driver(spark, sf_dir)
-    daily = daily_revenue(dv)
     if materialize is not None:
-        daily = dv._frames.get("_daily_materialized")
-        if daily is None:
-            daily = materialize(daily_revenue(dv))
-            dv._frames["_daily_materialized"] = daily
-    first = first_day(daily)
+        daily, first = shared_daily(dv), shared_first(dv)
+    else:
+        daily = daily_revenue(dv)
+        first = first_day(daily)
     return {
         "stg_dim_date": stg_dim_date(daily),
         "stg_dim_film": stg_dim_film(dv, first),
@@ -260,7 +276,7 @@ def _case(x: Column, branches) -> Column:
 
 def film_texts(dv: DriverFrames, first: DataFrame | None = None) -> DataFrame:
     if first is None:
-        first = first_day(daily_revenue(dv))
+        first = shared_first(dv)
     part = dv.t("part")
     nat = dv.t("nation", ["n_nationkey", "n_name"])
     n1 = F.broadcast(nat.withColumnsRenamed({"n_nationkey": "k1", "n_name": "c1"}))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.sources.adapter import LANGUAGES, DriverFrames, _pick, daily_revenue, first_day
+from marquee.sources.adapter import LANGUAGES, DriverFrames, _pick, shared_first
 
 # --- fixed values: fixture layout ---------------------------------------
 CREW_JOBS = ("Director", "Producer", "Executive Producer", " Co-Producer ", "Writer")
@@ -35,7 +35,7 @@ def padded(prefix: str, k: Column) -> Column:
 
 def movie_details(dv: DriverFrames, first: DataFrame | None = None) -> DataFrame:
     if first is None:
-        first = first_day(daily_revenue(dv))
+        first = shared_first(dv)
     part = dv.t("part", ["p_partkey", "p_size", "p_retailprice"])
     p = F.col("p_partkey")
     ns, nc = F.lit(dv.n_supplier), F.lit(dv.n_customer)
@@ -171,7 +171,7 @@ def raw_daily(dv: DriverFrames, stg: dict[str, DataFrame]) -> DataFrame:
 def catalogue(dv: DriverFrames, first: DataFrame | None = None) -> DataFrame:
     """Movie search catalogue (FIXTURES §4): one candidate per part."""
     if first is None:
-        first = first_day(daily_revenue(dv))
+        first = shared_first(dv)
     part = dv.t("part", ["p_partkey", "p_name", "p_size", "p_retailprice"])
     p = F.col("p_partkey")
     genres = F.when(p % 17 == 0, F.array((p % 5).cast("int"), F.lit(99))).otherwise(F.array((p % 5).cast("int")))
@@ -187,7 +187,7 @@ def wanted_titles(dv: DriverFrames, first: DataFrame | None = None) -> DataFrame
     studio hint."""
     from marquee.functions.clean import norm_title
     if first is None:
-        first = first_day(daily_revenue(dv))
+        first = shared_first(dv)
     part = dv.t("part", ["p_partkey", "p_name"])
     p = F.col("p_partkey")
     j = part.join(first, part["p_partkey"] == first["l_partkey"], "left")
