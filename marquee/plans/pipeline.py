@@ -20,8 +20,18 @@ from marquee.sources.schemas import LOG_QUALITY_CHECKS, STAGING, WAREHOUSE
 STAGING_DIR, DW_DIR, LOG_DIR = "staging", "dw", "log_quality_checks"
 
 
+FACT_YEAR = "fact_year"  # directory partition of the written fact (fk_date div 10000)
+
+
 def _read(spark: SparkSession, root: str, sub: str, names) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{root.rstrip('/')}/{sub}/{n}") for n in names}
+    """Read written tables back in their registry layout (the fact's year
+    partition column is dropped; a filter on fk_date still prunes by it
+    when the caller also filters ``fact_year``)."""
+    out = {}
+    for n, schema in names.items():
+        df = spark.read.parquet(f"{root.rstrip('/')}/{sub}/{n}")
+        out[n] = df.select(*[f.name for f in schema.fields])
+    return out
 
 
 def stage(spark: SparkSession, sf_dir: str, root: str, dirty: bool = False) -> dict[str, DataFrame]:
@@ -48,8 +58,10 @@ def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Dimensions with surrogate keys, then the fact, overwritten."""
     stg = _read(spark, root, STAGING_DIR, STAGING)
     dims = warehouse.load_dimensions(stg)
-    tables = {**dims, "fact_daily_box_office": warehouse.load_fact(stg["stg_fact_daily_box_office"], dims)}
-    warehouse.persist_tables(tables, f"{root.rstrip('/')}/{DW_DIR}")
+    fact = warehouse.load_fact(stg["stg_fact_daily_box_office"], dims)
+    fact = fact.withColumn(FACT_YEAR, (F.col("fk_date") / 10000).cast("int"))
+    tables = {**dims, "fact_daily_box_office": fact}
+    warehouse.persist_tables(tables, f"{root.rstrip('/')}/{DW_DIR}", fact_partition=FACT_YEAR)
     return _read(spark, root, DW_DIR, WAREHOUSE)
 
 
