@@ -100,8 +100,10 @@ def load(spark: SparkSession, sf_dir: str, dirty: bool = False) -> dict[str, Dat
     stg["stg_dim_film"] = materialize(stg["stg_dim_film"], "stg_dim_film")
     out = dict(stg)
     if not dirty:
-        # surrogate keys: one tag write per dimension, submitted concurrently
-        dims = _parallel({dw: (lambda src=src, bk=bk, sk=sk: surrogate_key(stg[src], bk, sk))
+        # surrogate keys: one tag write per dimension, then the finished
+        # dimension (so questions read it directly), submitted concurrently
+        dims = _parallel({dw: (lambda src=src, bk=bk, sk=sk, dw=dw:
+                               materialize(surrogate_key(stg[src], bk, sk), dw))
                           for dw, src, bk, sk, _ in DIMS})
         dims["dim_date"] = conform(stg["stg_dim_date"], DIM_DATE)
         out.update(dims)
