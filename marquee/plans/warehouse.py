@@ -93,11 +93,13 @@ def load(spark: SparkSession, sf_dir: str, dirty: bool = False) -> dict[str, Dat
     make = adapter.dirty_staging if dirty else adapter.staging
     stg = load_staging(make(spark, sf_dir, materialize=lambda d: materialize(d, "daily")))
     # stage boundaries: the facts (large, read by every question) and the
-    # film dimension (derived from a fact aggregate); the other dimensions
-    # are plain scans of their sources and stay lazy
+    # dimensions derived from fact aggregates; actor/director/company
+    # dimensions are plain scans of their sources and stay lazy
     stg["stg_fact_daily_box_office"] = materialize(stg["stg_fact_daily_box_office"], "stg_fact")
-    # the film dimension derives from an aggregate of the fact: write it once
+    # the film and date dimensions derive from aggregates of the fact (first
+    # day per film, min/max day): write them once instead of re-scanning
     stg["stg_dim_film"] = materialize(stg["stg_dim_film"], "stg_dim_film")
+    stg["stg_dim_date"] = materialize(stg["stg_dim_date"], "stg_dim_date")
     out = dict(stg)
     if not dirty:
         # surrogate keys: one tag write per dimension, then the finished
