@@ -174,35 +174,35 @@ def score(wanted: DataFrame, keyed: DataFrame, w: Weights) -> DataFrame:
     Without a date bonus every row of a key sees the same ranking, so only
     the key's top k (ties included) are paired with its rows.  With a bonus,
     a row's pairs are (a) that top k plus (b) candidates released within the
-    bonus window of the row's hint, found by a band join: buckets of
-    the window width, equi-join on (key, bucket ± 1), then the exact day
-    test.  Every other candidate has no bonus and a key score below k others
-    that are paired, so it cannot enter the row's top k."""
+    bonus window of the row's hint, found by a band join: buckets of the
+    window width, equi-join on (key, bucket ± 1), then the exact day test.
+    Every other candidate has no bonus and a key score below k others that
+    are paired, so it cannot enter the row's top k.  Dates are parsed once
+    per row and once per candidate, not per pair."""
     rows = wanted.withColumn("_wy", F.coalesce(F.col("w_year"), F.lit(NO_YEAR)))
     kk = ["w_norm", "_wy"]
     keyed = keyed.drop("w_year")
     top = keyed.filter(F.col("kth").isNull() | (F.col("base") >= F.col("kth") - EPS))
-    pairs = rows.join(top, kk)
-    bonus = F.lit(0.0)
-    if w.date_bonus and "date_hint" in wanted.columns:
-        width = max(lim for lim, _ in w.date_bonus) + 1
-        origin = F.lit("1900-01-01").cast("date")
-        c_day = parse_date(F.col("release_date"))
-        near = (keyed.filter(c_day.isNotNull())
-                .withColumn("_b", F.explode(F.sequence(
-                    F.floor(F.datediff(c_day, origin) / width).cast("int") - 1,
-                    F.floor(F.datediff(c_day, origin) / width).cast("int") + 1))))
-        h_day = parse_date(F.col("date_hint"))
-        rb = rows.filter(h_day.isNotNull()).withColumn("_b", F.floor(F.datediff(h_day, origin) / width).cast("int"))
-        band = rb.join(near, [*kk, "_b"]).drop("_b").filter(
-            day_distance(F.col("date_hint"), F.col("release_date")) <= width - 1)
-        pairs = pairs.unionByName(band).dropDuplicates(["row_id", "cand_id"])
-        days = day_distance(F.col("date_hint"), F.col("release_date"))
-        expr = None
-        for lim, b in w.date_bonus:
-            expr = F.when(days <= lim, F.lit(float(b))) if expr is None else expr.when(days <= lim, F.lit(float(b)))
-        bonus = F.coalesce(expr, F.lit(0.0))
-    return pairs.withColumn("score", F.col("base") + bonus)
+    if not (w.date_bonus and "date_hint" in wanted.columns):
+        return rows.join(top, kk).withColumn("score", F.col("base"))
+    width = max(lim for lim, _ in w.date_bonus) + 1
+    origin = F.lit("1900-01-01").cast("date")
+    rows = rows.withColumn("_hd", parse_date(F.col("date_hint")))
+    keyed = keyed.withColumn("_cd", parse_date(F.col("release_date")))
+    top = top.withColumn("_cd", parse_date(F.col("release_date")))
+    bucket = lambda d: F.floor(F.datediff(d, origin) / width).cast("int")
+    near = keyed.filter(F.col("_cd").isNotNull()).withColumn(
+        "_b", F.explode(F.sequence(bucket(F.col("_cd")) - 1, bucket(F.col("_cd")) + 1)))
+    rb = rows.filter(F.col("_hd").isNotNull()).withColumn("_b", bucket(F.col("_hd")))
+    days = F.abs(F.datediff(F.col("_hd"), F.col("_cd")))
+    band = rb.join(near, [*kk, "_b"]).drop("_b").filter(days <= width - 1)
+    pairs = rows.join(top, kk).unionByName(band).dropDuplicates(["row_id", "cand_id"])
+    expr = None
+    for lim, b in w.date_bonus:
+        expr = F.when(days <= lim, F.lit(float(b))) if expr is None else expr.when(days <= lim, F.lit(float(b)))
+    out = pairs.withColumn("score", F.col("base") + F.coalesce(expr, F.lit(0.0)))
+    # exact: k members of the key's top k score at least ``kth`` for this row
+    return out.filter(F.col("kth").isNull() | (F.col("score") >= F.col("kth") - EPS))
 
 
 def pick(wanted: DataFrame, catalogue: DataFrame, w: Weights = V3, companies: DataFrame | None = None,
