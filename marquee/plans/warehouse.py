@@ -7,8 +7,6 @@ Stages are plain functions over DataFrames; ``persist_tables`` writes them
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,25 +45,13 @@ def load_fact(stg_fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
 
 
 def build(spark: SparkSession, sf_dir: str, dirty: bool = False) -> dict[str, DataFrame]:
-    """Staging + warehouse tables for one driver-table folder."""
+    """Staging + warehouse tables for one driver-table folder, fully lazy
+    (no stage boundaries) — for plan inspection; ``load`` is the runtime path."""
     stg = (adapter.dirty_staging if dirty else adapter.staging)(spark, sf_dir)
     dims = load_dimensions(stg)
     return {**stg, **dims, "fact_daily_box_office": load_fact(stg["stg_fact_daily_box_office"], dims)}
 
 
-
-
-def _stamp(sf_dir: str) -> tuple:
-    out = []
-    for name in ("lineitem", "part", "orders", "customer", "supplier", "nation", "region"):
-        p = f"{sf_dir.rstrip('/')}/{name}.parquet"
-        try:
-            out.append(os.stat(p).st_mtime_ns)
-        except OSError:
-            out.append(None)
-    return tuple(out)
-
-
 _LOADED: dict = {}
 
 
@@ -87,7 +73,7 @@ def load(spark: SparkSession, sf_dir: str, dirty: bool = False) -> dict[str, Dat
     Later questions read these loaded tables, as the reference's questions
     read the warehouse rather than the raw sheet.
     """
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), dirty, _stamp(sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), dirty, adapter._stamp(sf_dir))
     if key in _LOADED:
         return _LOADED[key]
     make = adapter.dirty_staging if dirty else adapter.staging
