@@ -110,8 +110,9 @@ def choose_company(details: DataFrame, companies: DataFrame, countries: DataFram
     best = j.groupBy("movie_id").agg(F.min_by(row, F.struct((~has_geo).alias("g"), F.col("pos"))).alias("b"))
     out = best.select("movie_id", "b.*")
     if countries is not None:
-        # fixed lookup (one row per country): broadcast is bounded
-        ct = F.broadcast(countries.select(F.upper("iso2").alias("_iso"), "continent"))
+        # country lookup: broadcast only behind a size check
+        from marquee.session import broadcast_checked
+        ct = broadcast_checked(countries.select(F.upper("iso2").alias("_iso"), "continent"))
         out = out.join(ct, (F.length("iso2") == 2) & (F.upper(F.col("iso2")) == ct["_iso"]), "left").drop("_iso")
     return out
 

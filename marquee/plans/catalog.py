@@ -430,10 +430,10 @@ from marquee.functions.clean import business_key, claim_year  # noqa: E402
 
 def b26_country_iso2(spark, sf):
     """B26 (+B25): country name -> iso2 -> continent through the country
-    lookup (a fixed 25-row table: broadcast is bounded)."""
+    lookup (broadcast only behind the nation table's size check)."""
     dv = adapter.driver(spark, sf)
     film = loaded(spark, sf)["stg_dim_film"]
-    ct = F.broadcast(LK.countries(dv).select(F.trim("name").alias("_n"), "iso2", "continent"))
+    ct = dv.bc("nation")(LK.countries(dv).select(F.trim("name").alias("_n"), "iso2", "continent"))
     j = film.join(ct, F.trim(film["main_filming_country"]) == ct["_n"], "left")
     return j.select("bk_film", "main_filming_country", "iso2", "continent")
 
