@@ -16,6 +16,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values ---------------------------------------------------------
+# Title normalisation patterns (B1): trailing "(yyyy)", runs of characters
+# outside [a-z0-9 ] (replaced by one space).
+TITLE_YEAR_SUFFIX = r"\s*\(\d{4}\)$"
+TITLE_DROP = "[^a-z0-9 ]+"
+# Money text characters removed before the integer cast.
+MONEY_CHARS = "[$,]"
+# Year at the start of an ISO date (B4) and of a signed time claim.
+ISO_YEAR_PREFIX = r"^(\d{4})"
+CLAIM_YEAR_PREFIX = r"^.(\d{4})"
 # Placeholder texts treated as missing.
 PLACEHOLDERS = ("N/A", "")
 # Date formats tried in order when a date is parsed from free text.
@@ -47,9 +56,9 @@ def norm_title(c, variant: str = "canonical") -> Column:
     ``variant='year_anywhere'`` removes "(yyyy)" wherever it occurs.
     """
     s = strip(F.lower(F.coalesce(_c(c).cast("string"), F.lit(""))))
-    year_re = r"(?U)\s*\(\d{4}\)" if variant == "year_anywhere" else r"(?U)\s*\(\d{4}\)$"
+    year_re = "(?U)" + (TITLE_YEAR_SUFFIX[:-1] if variant == "year_anywhere" else TITLE_YEAR_SUFFIX)
     s = F.regexp_replace(s, year_re, "")
-    s = F.regexp_replace(s, "[^a-z0-9 ]+", " ")
+    s = F.regexp_replace(s, TITLE_DROP, " ")
     s = F.regexp_replace(s, " +", " ")
     return s if variant == "keep_edges" else F.trim(s)
 
@@ -86,7 +95,7 @@ def row_year(year_c, date_c=None, formats: Sequence[str] = DATE_FORMATS,
 
 def prefix_year(c) -> Column:
     """Year from an ISO prefix ``yyyy...``; anything else NULL."""
-    return F.regexp_extract(_c(c), r"^(\d{4})", 1).try_cast("int")
+    return F.regexp_extract(_c(c), ISO_YEAR_PREFIX, 1).try_cast("int")
 
 
 def minutes(c) -> Column:
@@ -104,7 +113,7 @@ def token_count(c) -> Column:
 
 def money(c) -> Column:
     """``'$1,234'`` -> 1234 (bigint); placeholders and suffixes -> NULL."""
-    return F.regexp_replace(_c(c), r"[$,]", "").try_cast("bigint")
+    return F.regexp_replace(_c(c), MONEY_CHARS, "").try_cast("bigint")
 
 
 def first_part(c, sep: str = ",") -> Column:
@@ -228,7 +237,7 @@ def fill_missing(existing, candidate, blank_is_missing: bool = False) -> Column:
 
 def inception_year(c) -> Column:
     """``'+1923-04-04T00:00:00Z'`` -> 1923."""
-    return F.regexp_extract(_c(c), r"^.(\d{4})", 1).try_cast("int")
+    return F.regexp_extract(_c(c), CLAIM_YEAR_PREFIX, 1).try_cast("int")
 
 
 def dq_message(text: str, n) -> Column:
