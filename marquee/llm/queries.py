@@ -16,6 +16,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.page_text import extract
+
+    return extract(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])).select("page_id", "url", "text", "n_chars")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.llm.packing import pack
 
@@ -29,5 +35,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip_digests(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), _vocabulary("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op8_byte_bpe)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm import secret_scan as secrets
+
+    found = secrets.scan(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.joined(F.col("spans"), secrets.BASE), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op2_html_text, op3_packing, op8_byte_bpe, op9_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
