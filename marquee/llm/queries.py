@@ -29,6 +29,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.minhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.llm.bpe import roundtrip_digests
 
@@ -46,5 +52,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.joined(F.col("spans"), secrets.BASE), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_text, op3_packing, op8_byte_bpe, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_html_text, op3_packing, op7_bag_minhash, op8_byte_bpe, op9_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
