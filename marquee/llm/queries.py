@@ -16,6 +16,16 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm import quality
+
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    model = quality.train(docs, quality.ratings_of(read_table(spark, sf_dir, "labels")), quality.N_GRADES)
+    rated = quality.score(docs, model, keep_text=False)
+    tails = [F.try_element_at("tails", F.lit(k)).alias(f"p_grade_{k}") for k in range(1, quality.N_GRADES)]
+    return rated.select("doc_id", "expected_grade", *tails, quality.keep().alias("keep"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.llm.page_text import extract
 
@@ -29,6 +39,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm import warc
+
+    files = warc.write(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]), warc.new_folder(spark))
+    return warc.read(files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.llm.minhash import near_duplicates
 
@@ -52,5 +69,14 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.joined(F.col("spans"), secrets.BASE), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_html_text, op3_packing, op7_bag_minhash, op8_byte_bpe, op9_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_html_text, op3_packing, op5_warc, op7_bag_minhash, op8_byte_bpe, op9_secret_scan)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+        f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+        FROM f""",
+}
