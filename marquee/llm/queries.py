@@ -39,6 +39,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.suffix_dedup import dedup, kept_digest
+
+    return kept_digest(dedup(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.llm import warc
 
@@ -69,7 +75,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.joined(F.col("spans"), secrets.BASE), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_html_text, op3_packing, op5_warc, op7_bag_minhash, op8_byte_bpe, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_html_text, op3_packing, op4_suffix_dedup, op5_warc, op7_bag_minhash, op8_byte_bpe, op9_secret_scan)}
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
