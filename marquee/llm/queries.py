@@ -75,8 +75,22 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.joined(F.col("spans"), secrets.BASE), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_html_text, op3_packing, op4_suffix_dedup, op5_warc, op7_bag_minhash, op8_byte_bpe, op9_secret_scan)}
+def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.topk import quantized, top_k
+
+    vectors = quantized(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+    return top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(100)) == 0))
+
+
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_html_text, op3_packing, op4_suffix_dedup, op5_warc, op7_bag_minhash, op8_byte_bpe, op9_secret_scan, op10_pivot_topk)}
 ORACLE_SQL: dict[str, str] = {
+    "op10_pivot_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op5_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
