@@ -52,6 +52,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.winnowing import compare_edited
+
+    return compare_edited(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.llm.minhash import near_duplicates
 
@@ -82,7 +88,7 @@ def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(100)) == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_html_text, op3_packing, op4_suffix_dedup, op5_warc, op7_bag_minhash, op8_byte_bpe, op9_secret_scan, op10_pivot_topk)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_html_text, op3_packing, op4_suffix_dedup, op5_warc, op6_winnowing, op7_bag_minhash, op8_byte_bpe, op9_secret_scan, op10_pivot_topk)}
 ORACLE_SQL: dict[str, str] = {
     "op10_pivot_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
