@@ -11,12 +11,14 @@ probability equal to the weighted Jaccard similarity.  Points are made in
 order of time, and a process ends once it is later than the worst component.
 
 Bands of components give buckets.  Every bucket first links its members to
-its smallest one, each pair verified on the exact multisets; classes are the
-components of these links.  Then buckets that still hold several classes
-compare the pairs across classes, except those that the triangle inequality
-of the Jaccard distance rules out; so no candidate link between different
-texts is lost, and a large group of copies costs a pair per member rather
-than per pair.  Equal texts are one representative throughout.
+its most central one, which meets the most others in all its buckets, each
+pair verified on the exact multisets; classes are the components of these
+links.  Then buckets that still hold several classes compare across classes,
+except for pairs that cannot reach the similarity: by their sizes, by the
+triangle inequality of the Jaccard distance to the pivot, or because too many
+of a text's shingles are its own alone.  So no candidate link between
+different texts is lost, and a large group of copies costs a pair per member
+rather than per pair.  Equal texts are one representative throughout.
 """
 
 from __future__ import annotations
@@ -132,6 +134,21 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
     return ordered.mapInArrow(compare, "a long, b long, similarity double")
 
 
+def own_weight(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(rep, lone): how much of each text's multiset no other of ``texts``
+    (rep, text) holds; texts without such shingles don't appear."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep = batch.column(0).to_numpy()
+            for i, part in by_slice([canonical(t) for t in batch.column(1).to_pylist()]):
+                shingle, count, doc, _ = multisets(part, words)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(rep[i:i + len(part)][doc]), pa.array(count.astype(np.int64))], names=["shingle", "rep", "count"])
+
+    held = texts.select("rep", "text").mapInArrow(run, "shingle long, rep long, count long")
+    single = held.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.min("count").alias("count")).where("rep = last")
+    return single.groupBy("rep").agg(F.sum("count").alias("lone"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, rep_id, class_id), a row per row of ``docs``: the smallest
     doc_id with equal words, and the smallest doc_id of the class, the
@@ -150,29 +167,37 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     rows_in = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seen = materialize(sketch(rows_in.where("doc_id is not null"), bands, rows), "minhash-sketch")
     reps = materialize(seen.groupBy("digest").agg(F.min_by(F.struct("n", "keys"), "doc_id").alias("x"), F.min("doc_id").alias("rep")).select("digest", "rep", "x.n", "x.keys"), "minhash-reps")
-    # buckets of two or more, each with its smallest member as pivot
+    # buckets of two or more; each has its most central member as pivot
     banded = reps.select("rep", "n", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
-    members = materialize(banded.join(materialize(buckets, "minhash-buckets"), "key"), "minhash-members")
-    texts = rows_in.join(members.select("rep").distinct(), rows_in["doc_id"] == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    buckets = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "minhash-buckets")
+    members = materialize(banded.join(buckets, "key"), "minhash-members")
+    central = materialize(members.groupBy("rep").agg(F.sum("size").alias("met")), "minhash-central")
+    pivots = materialize(members.join(central, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("of"))).alias("x")).select("key", (-F.col("x.of")).alias("pivot")), "minhash-pivots")
+    members = members.join(pivots, "key").select("key", "pivot", "rep", "n")
+    texts = rows_in.join(central.select("rep"), rows_in["doc_id"] == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
     texts = materialize(texts.dropDuplicates(["rep"]), "minhash-texts")
 
     star = members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     stars = materialize(verify(star, texts), "minhash-stars")
     links = stars.where(F.col("similarity") >= similarity).select("a", "b")
     classes = components(links)
-    # pairs across classes within a bucket: distances to the pivot bound theirs
-    placed = (members.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-              .join(stars.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (1 - F.col("similarity")).alias("far")), ["pivot", "rep"], "left")
-              .select("key", "pivot", "rep", "n", F.coalesce("component", "rep").alias("class"), F.coalesce("far", F.lit(0.0)).alias("far")))
-    mixed = placed.groupBy("key").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one < other").select("key")
-    open_ = materialize(placed.join(materialize(mixed, "minhash-mixed"), "key", "left_semi").where("rep != pivot"), "minhash-open")
-    x, y = open_.alias("x"), open_.alias("y")
+    # across the classes of a bucket: outsiders of the pivot's class with all others
+    placed = materialize(members.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+                         .join(classes.select(F.col("node").alias("pivot"), F.col("component").alias("home")), "pivot", "left")
+                         .join(stars.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (1 - F.col("similarity")).alias("far")), ["pivot", "rep"], "left")
+                         .select("key", "pivot", "rep", "n", F.coalesce("component", "rep").alias("class"), F.coalesce("home", "pivot").alias("home"), F.coalesce("far", F.lit(0.0)).alias("far")), "minhash-placed")
+    mixed = materialize(placed.where("class != home").select("key").distinct(), "minhash-mixed")
+    open_ = placed.join(mixed, "key", "left_semi").where("rep != pivot")
+    lone = own_weight(texts.join(open_.select("rep").distinct(), "rep", "left_semi"))
+    # shingles that another open text may share; at least 0.8 of them must be
+    open_ = open_.join(lone, "rep", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0)))
+    open_ = materialize(open_.where(F.col("common") >= similarity * F.col("n") - 1e-6).drop("lone"), "minhash-open")
+    x, y = open_.where("class != home").alias("x"), open_.alias("y")
     limit = 1 - similarity
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.class") != F.col("y.class"))
-                   & (F.abs(F.col("x.far") - F.col("y.far")) <= limit + 1e-9)
-                   & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * (similarity - 1e-9)))
-    more = materialize(verify(cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), texts), "minhash-cross")
+    need = (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-6
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & ((F.col("y.class") == F.col("y.home")) | (F.col("x.rep") < F.col("y.rep")))
+                   & (F.abs(F.col("x.far") - F.col("y.far")) <= limit + 1e-9) & (F.least("x.common", "y.common") >= need))
+    more = materialize(verify(cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), texts), "minhash-cross")
     found = links.unionByName(more.where(F.col("similarity") >= similarity).select("a", "b"))
     classes = components(found)
     of = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.col("rep").alias("rep_id"), F.coalesce("component", "rep").alias("class_id"))

@@ -40,9 +40,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marquee.llm.suffix_dedup import dedup, kept_digest
+    from marquee.llm.suffix_dedup import dedup
 
-    return kept_digest(dedup(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return dedup(read_table(spark, sf_dir, "documents", ["doc_id", "text"])).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,10 +36,10 @@ from marquee.llm import byte_segments as seg
 from marquee.llm.byte_segments import LENGTH
 from marquee.session import materialize
 
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 300_000
 BUCKET_IN_TASK = 256             # open segments of one bucket that a task compares at once
-COMBINED_KEYS = 200_000          # repeated keys that a task remembers
-CONTEXT_BYTES = 4_000_000        # open segments refined at once
+COMBINED_KEYS = 100_000          # repeated keys that a task remembers
+CONTEXT_BYTES = 1_000_000        # open segments refined at once
 _TIE_BITS, _LOW_BITS = 24, 8     # place: start, tie of the document, flag and number of windows
 _FLAG = 64
 NO_ID = (1 << 63) - 1            # null doc_ids come last
@@ -324,23 +324,25 @@ def _cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[int, int, list[tup
     return removed, spans, kept
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", clean: bool = False) -> DataFrame:
     """``docs`` with, appended: n_bytes, n_removed, n_spans (maximal removed
-    runs) and ``kept``, the array of [begin, stop) byte runs that stay.
+    runs), ``kept``, the array of [begin, stop) byte runs that stay, and
+    kept_sha256 of their bytes.  The text column goes, or with ``clean``
+    holds what stays; characters cut by a run are dropped.
 
     Null text counts as empty and loses nothing, like any text of less than
     100 bytes.  Matches never cross documents.  Rows with equal doc_id and
     text are one document and get equal results; different texts under one
     doc_id are separate documents, at equal starts in a fixed order of their
-    hashes; null doc_ids come last.  Columns of the four names are replaced,
+    hashes; null doc_ids come last.  Columns of the five names are replaced,
     and an empty table stays empty."""
     spark = docs.sparkSession
-    spark = docs.sparkSession
-    added = ("n_bytes", "n_removed", "n_spans", "kept")
+    added = ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept_columns = docs.drop(*added)
     names = kept_columns.columns
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_columns.schema.fields)
+    out = [f for f in kept_columns.schema.fields if clean or f.name != text]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)
     tie = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND((1 << _TIE_BITS) - 1).cast("int")
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary")).alias("__data")
     rows = kept_columns.withColumns({"__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), "__tie": tie})
@@ -360,30 +362,19 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     def finish(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for data, ranges in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("gone").to_pylist()):
-                data = data or b""
-                removed, spans, kept = _cut(data, [(r["begin"], r["stop"]) for r in ranges or ()])
-                out.append((len(data), removed, spans, [list(k) for k in kept]))
-            n_bytes, n_removed, n_spans, kept = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.list_(pa.list_(pa.int64())))], names=[*names, *added])
+            rows_out, texts = [], []
+            for value, ranges in zip(batch.column(text), batch.column("gone")):
+                data = (value.as_py() or "").encode("utf-8", "surrogatepass")
+                removed, spans, kept = _cut(data, [(r["begin"], r["stop"]) for r in ranges.as_py() or ()])
+                digest = hashlib.sha256()
+                for a, b in kept:
+                    digest.update(data[a:b])
+                rows_out.append((len(data), removed, spans, [list(k) for k in kept], digest.hexdigest()))
+                if clean:
+                    texts.append("".join(data[a:b].decode("utf-8", "ignore") for a, b in kept) if removed else value.as_py())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string())
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows_out), kinds)] if rows_out else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if f.name == text else batch.column(f.name) for f in out), *columns], names=[*(f.name for f in out), *added])
 
     joined = by_doc.join(gone, same(gone), "left").select(*names, "gone")
-    return joined.mapInArrow(finish, types + ", n_bytes long, n_removed long, n_spans long, kept array<array<long>>")
-
-
-def kept_bytes(data: bytes, kept) -> bytes:
-    return b"".join(data[a:b] for a, b in kept)
-
-
-def kept_digest(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds kept_sha256 of the remaining bytes and drops the text."""
-    names = [f.name for f in docs.schema.fields if f.name not in (text, "kept")]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            digests = [hashlib.sha256(kept_bytes(d or b"", k)).hexdigest() for d, k in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column("kept").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(digests, pa.string())], names=[*names, "kept_sha256"])
-
-    return docs.mapInArrow(run, types + ", kept_sha256 string")
+    return joined.mapInArrow(finish, types + ", n_bytes long, n_removed long, n_spans long, kept array<array<long>>, kept_sha256 string")
