@@ -15,8 +15,9 @@ its most central one, which meets the most others in all its buckets, each
 pair verified on the exact multisets; classes are the components of these
 links.  Then buckets that still hold several classes compare across classes,
 except for pairs that cannot reach the similarity: by their sizes, by the
-triangle inequality of the Jaccard distance to the pivot, or because too many
-of a text's shingles are its own alone.  So no candidate link between
+triangle inequality of the Jaccard distance to the pivot, or because what they
+can share is too little: what both share with the pivot, and of the rest only
+shingles that some other open text holds.  So no candidate link between
 different texts is lost, and a large group of copies costs a pair per member
 rather than per pair.  Equal texts are one representative throughout.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.components import components
-from marquee.llm.shingles import WORDS, by_slice, canonical, jaccard, mix, multisets
+from marquee.llm.shingles import WORDS, by_slice, canonical, mix, multisets, overlap
 from marquee.session import materialize
 
 SIMILARITY = 0.8
@@ -100,7 +101,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = W
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """(a, b, similarity) of all ``pairs`` (a, b) over ``texts`` (rep, text).
+    """(a, b, shared, similarity) of all ``pairs`` (a, b) over ``texts`` (rep, text).
 
     The partners of an ``a`` with many are dealt in runs of about PAIRS_IN_RUN
     by a hash, so they go to many tasks; each run gets a's text once and
@@ -127,11 +128,12 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
                     if b[i + k] is None:
                         head = own[0].copy(), own[1].copy()
                     else:
-                        out.append((a[i + k], b[i + k], jaccard(head, own)))
-            cols = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
+                        shared, near = overlap(head, own)
+                        out.append((a[i + k], b[i + k], shared, near))
+            cols = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "shared", "similarity"])
 
-    return ordered.mapInArrow(compare, "a long, b long, similarity double")
+    return ordered.mapInArrow(compare, "a long, b long, shared long, similarity double")
 
 
 def own_weight(texts: DataFrame, words: int = WORDS) -> DataFrame:
@@ -184,19 +186,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     # across the classes of a bucket: outsiders of the pivot's class with all others
     placed = materialize(members.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
                          .join(classes.select(F.col("node").alias("pivot"), F.col("component").alias("home")), "pivot", "left")
-                         .join(stars.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (1 - F.col("similarity")).alias("far")), ["pivot", "rep"], "left")
-                         .select("key", "pivot", "rep", "n", F.coalesce("component", "rep").alias("class"), F.coalesce("home", "pivot").alias("home"), F.coalesce("far", F.lit(0.0)).alias("far")), "minhash-placed")
+                         .join(stars.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "shared", (1 - F.col("similarity")).alias("far")), ["pivot", "rep"], "left")
+                         .select("key", "pivot", "rep", "n", F.coalesce("shared", "n").alias("shared"), F.coalesce("component", "rep").alias("class"), F.coalesce("home", "pivot").alias("home"), F.coalesce("far", F.lit(0.0)).alias("far")), "minhash-placed")
     mixed = materialize(placed.where("class != home").select("key").distinct(), "minhash-mixed")
     open_ = placed.join(mixed, "key", "left_semi").where("rep != pivot")
-    lone = own_weight(texts.join(open_.select("rep").distinct(), "rep", "left_semi"))
-    # shingles that another open text may share; at least 0.8 of them must be
-    open_ = open_.join(lone, "rep", "left").withColumn("common", F.col("n") - F.coalesce("lone", F.lit(0)))
-    open_ = materialize(open_.where(F.col("common") >= similarity * F.col("n") - 1e-6).drop("lone"), "minhash-open")
+    lone = own_weight(texts.join(open_.select("rep").unionByName(open_.select(F.col("pivot").alias("rep"))).distinct(), "rep", "left_semi"))
+    # beyond what it shares with the pivot, only shingles of other open texts can be common
+    open_ = open_.join(lone, "rep", "left").withColumn("rest", F.col("n") - F.col("shared") - F.coalesce("lone", F.lit(0)))
+    open_ = materialize(open_.where(F.col("shared") + F.col("rest") >= similarity * F.col("n") - 1e-6).drop("lone"), "minhash-open")
     x, y = open_.where("class != home").alias("x"), open_.alias("y")
     limit = 1 - similarity
     need = (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-6
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class")) & ((F.col("y.class") == F.col("y.home")) | (F.col("x.rep") < F.col("y.rep")))
-                   & (F.abs(F.col("x.far") - F.col("y.far")) <= limit + 1e-9) & (F.least("x.common", "y.common") >= need))
+                   & (F.abs(F.col("x.far") - F.col("y.far")) <= limit + 1e-9) & (F.least("x.shared", "y.shared") + F.least("x.rest", "y.rest") >= need))
     more = materialize(verify(cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), texts), "minhash-cross")
     found = links.unionByName(more.where(F.col("similarity") >= similarity).select("a", "b"))
     classes = components(found)

@@ -65,15 +65,15 @@ def multisets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndar
     return shingle[at], count, doc, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
-def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two multisets (sorted hashes, counts); two empty
-    ones are equal."""
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, float]:
+    """Weight of the common part and weighted Jaccard similarity of two
+    multisets (sorted hashes, counts); two empty ones are equal."""
     total = int(a[1].sum() + b[1].sum())
     if not total:
-        return 1.0
+        return 0, 1.0
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     both = int(np.minimum(a[1][i], b[1][j]).sum())
-    return both / (total - both)
+    return both, both / (total - both)
 
 
 def by_slice(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
