@@ -1,10 +1,57 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame.
+
+All but the last return the columns of ``documents``; ``n_chars`` follows the
+text.  Null texts count as empty and stay; a document whose text goes to
+nothing stays with an empty text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.sources.tables import read_table
+
+
+def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    return docs.select(*columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of the highest grade is too low go.  The
+    model is fitted on the rated documents of the stage's input."""
+    from marquee.llm import quality
+
+    model = quality.train(docs, quality.ratings_of(read_table(spark, sf_dir, "labels")), quality.N_GRADES)
+    return quality.score(docs, model).where(quality.keep()).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id
+    stays.  Documents with a null id are no duplicates; of rows with equal id
+    and text one stays."""
+    from marquee.llm.minhash import near_duplicates
+
+    stay = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
+    with_id = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
+    return with_id.drop("__text").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of repeated 100-byte strings go from the texts."""
+    from marquee.llm.suffix_dedup import dedup
+
+    return _with_length(dedup(docs, clean=True), docs.columns)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark."""
+    from marquee.llm.secret_scan import redact
+
+    return _with_length(redact(docs), docs.columns)
+
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of the texts that are left, one row per piece."""
@@ -16,4 +63,4 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("packing", packing_stage)]
+STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("repeats", repeats_stage), ("secrets", secrets_stage), ("packing", packing_stage)]
