@@ -84,10 +84,11 @@ def band_keys(best: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndar
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """(doc_id, digest of the canonical text, n shingles, band keys)."""
+    """(doc_id, tie, digest of the canonical text, n shingles, band keys) of
+    docs (doc_id, tie, text)."""
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [canonical(t) for t in batch.column(1).to_pylist()]
+            texts = [canonical(t) for t in batch.column(2).to_pylist()]
             for i, part in by_slice(texts):
                 shingle, count, doc, at = multisets(part, words)
                 keys = band_keys(signatures(shingle, count, doc, len(part), bands * rows), bands, rows).view(np.int64)
@@ -95,9 +96,9 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = W
                 n = sums[at[1:]] - sums[at[:-1]]
                 digests = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in part]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]), pa.int32()), pa.array(keys[n > 0].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), lists], names=["doc_id", "digest", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), batch.column(1).slice(i, len(part)), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), lists], names=["doc_id", "tie", "digest", "n", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, n long, keys array<long>")
+    return docs.select("doc_id", "tie", "text").mapInArrow(run, "doc_id long, tie long, digest binary, n long, keys array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
@@ -161,22 +162,27 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     nothing else; texts of fewer than five words have one shingle.  Words
     are runs without white space, in lower case.  Repeated rows share their
     class; rows with a null doc_id come back as a class of their own (null
-    class_id) and take no part.  Two different texts under one doc_id are
-    told apart by their digest while links are sought and then share a
-    class.  Other columns are not read; an empty table gives no rows.
+    class_id) and take no part.  Each text of an id that has several gets the
+    class of its own words; where two texts have the same smallest id, the
+    one with the smaller hash is searched and both share its class.  Other
+    columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows_in = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows_in = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
     seen = materialize(sketch(rows_in.where("doc_id is not null"), bands, rows), "minhash-sketch")
-    reps = materialize(seen.groupBy("digest").agg(F.min_by(F.struct("n", "keys"), "doc_id").alias("x"), F.min("doc_id").alias("rep")).select("digest", "rep", "x.n", "x.keys"), "minhash-reps")
+    reps = materialize(seen.groupBy("digest").agg(F.min_by(F.struct("n", "keys"), F.struct("doc_id", "tie")).alias("x"), F.min(F.struct("doc_id", "tie")).alias("r")).select("digest", F.col("r.doc_id").alias("rep"), "r.tie", "x.n", "x.keys"), "minhash-reps")
+    # of different texts under one representative id, the one with the least hash stands for it
+    one = reps.groupBy("rep").agg(F.min(F.struct("tie", "digest")).alias("x")).select("rep", F.col("x.digest").alias("digest"))
+    searched = reps.join(one, ["rep", "digest"])
     # buckets of two or more; each has its most central member as pivot
-    banded = reps.select("rep", "n", F.explode("keys").alias("key"))
+    banded = searched.select("rep", "n", F.explode("keys").alias("key"))
     buckets = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "minhash-buckets")
     members = materialize(banded.join(buckets, "key"), "minhash-members")
     central = materialize(members.groupBy("rep").agg(F.sum("size").alias("met")), "minhash-central")
     pivots = materialize(members.join(central, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("of"))).alias("x")).select("key", (-F.col("x.of")).alias("pivot")), "minhash-pivots")
     members = members.join(pivots, "key").select("key", "pivot", "rep", "n")
-    texts = rows_in.join(central.select("rep"), rows_in["doc_id"] == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    wanted = searched.join(central, "rep", "left_semi").select("rep", "tie")
+    texts = rows_in.join(wanted, (rows_in["doc_id"] == wanted["rep"]) & (rows_in["tie"] == wanted["tie"]), "left_semi").select(F.col("doc_id").alias("rep"), "text")
     texts = materialize(texts.dropDuplicates(["rep"]), "minhash-texts")
 
     star = members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()

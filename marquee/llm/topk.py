@@ -212,7 +212,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
             out = []
             for ids, known in zip(batch.column("ids").to_pylist(), batch.column("known").to_pylist()):
                 floor = {x["query_id"]: x["floor"] for x in known or ()}
-                out.append(np.array([floor.get(i, -np.inf) for i in np.frombuffer(ids, dtype=np.int64).tolist()]).tobytes())
+                out.append(np.array([floor.get(i, -np.inf) for i in np.frombuffer(ids, dtype=np.int64).tolist()], dtype=np.float64).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("queries"), batch.column("ids"), batch.column("data"), pa.array(out, pa.binary())], names=["queries", "ids", "data", "floors"])
 
     heads = materialize(query_blocks.join(floors_of, "queries", "left").mapInArrow(widen, "queries long, ids binary, data binary, floors binary"), "topk-heads")

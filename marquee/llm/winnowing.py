@@ -72,21 +72,23 @@ def _chosen(tokens: Column, only: Column) -> Column:
 def entries(parts: Column) -> Column:
     """array<struct<pos, hash>> from the column of token chunks: the number
     of tokens before the gram, and the hash without its lowest bits."""
-    many = F.size(parts) > 1
+    def of_tokens(tokens: Column, only: bool) -> Column:
+        return F.transform(_chosen(tokens, F.lit(only)), lambda x: F.struct((F.lit(_PLACES) - x.bitwiseAND(F.lit(_PLACES))).cast("int").alias("pos"), F.shiftright(x, 13).alias("hash")))
+
+    def count(chunks: Column) -> Column:
+        return F.aggregate(chunks, F.lit(0), lambda n, p: n + F.size(p))
 
     def of_chunk(i: Column) -> Column:
         following = F.get(parts, i + 1)
         rest = F.when(F.size(following) >= _OVERLAP, F.slice(following, 1, _OVERLAP)).otherwise(F.slice(F.flatten(F.slice(parts, i + 2, F.lit(_OVERLAP))), 1, _OVERLAP))
-        before = F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, p: n + F.size(p))
-
-        def of_tokens(tokens: Column) -> Column:
-            return F.transform(_chosen(tokens, ~many), lambda x: F.struct((F.lit(_PLACES) - x.bitwiseAND(F.lit(_PLACES))).cast("int").alias("pos"), F.shiftright(x, 13).alias("hash")))
-
-        found = _let(F.when(many, F.concat(F.get(parts, i), F.coalesce(rest, F.array().cast("array<long>")))).otherwise(F.get(parts, i)), of_tokens)
-        return F.when(i == 0, found).otherwise(_let(before, lambda n: F.transform(found, lambda e: F.struct((e["pos"] + n).alias("pos"), e["hash"].alias("hash")))))
-
-    found = F.flatten(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), of_chunk))
-    return F.when(F.size(parts) > 0, found).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+        found = _let(F.concat(F.get(parts, i), rest), lambda tokens: of_tokens(tokens, False))
+        return _let(count(F.slice(parts, F.lit(1), i)), lambda n: F.transform(found, lambda e: F.struct((e["pos"] + n).alias("pos"), e["hash"].alias("hash"))))
+
+    # windows on either side of a chunk's end may choose the same gram
+    chunked = _let(F.flatten(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), of_chunk)),
+                   lambda a: F.filter(a, lambda e, i: (i == 0) | (F.get(a, i - 1)["pos"] != e["pos"])))
+    one = F.when(F.size(parts) == 1, F.get(parts, F.lit(0))).when(count(parts) <= _OVERLAP, F.flatten(parts))    # else null: more than a window in several chunks
+    return _let(one, lambda tokens: F.when(tokens.isNotNull(), of_tokens(tokens, True)).otherwise(chunked))
 
 
 def likeness(a: Column, b: Column) -> Column:
