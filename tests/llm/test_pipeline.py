@@ -1,0 +1,69 @@
+"""The pipeline against plain versions of its stages, on a small table."""
+
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers as P
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from marquee.llm import quality, secret_scan
+from marquee.sources.tables import read_table
+from test_minhash import brute as classes_of
+from test_suffix_dedup import brute as repeats_of
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "repeats", "secrets", "packing"]
+    docs = read_table(spark, SF, "documents")
+    columns, frames = docs.columns, [docs]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frames.append(stage(spark, frames[-1], SF).cache())
+        assert frames[-1].columns == columns
+    start, good, single, cut, clean = ({r.doc_id: r for r in f.collect()} for f in frames)
+    # quality: rated poor documents go, rated good and clean ones stay
+    grades = {r.doc_id: r.grade for r in quality.ratings_of(read_table(spark, SF, "labels")).collect()}
+    assert all(d in good for d, g in grades.items() if g == 2 and d in start)
+    assert sum(d in good for d, g in grades.items() if g == 0) <= 0.05 * len(grades)
+    # near duplicates: one of each class
+    classes = classes_of([(d, r.text) for d, r in good.items()])
+    assert set(single) == set(classes.values())
+    # repeats: byte for byte
+    want = repeats_of([(d, r.text) for d, r in single.items()])
+    for d, r in single.items():
+        assert len(cut[d].text.encode()) >= want[d, r.text][0] - want[d, r.text][1] - 8
+        assert len(cut[d].text.encode()) <= want[d, r.text][0] - want[d, r.text][1]
+        assert cut[d].n_chars == len(cut[d].text)
+    # secrets: none left, the rest as it was
+    for d, r in cut.items():
+        assert not secret_scan.find(clean[d].text)
+        assert clean[d].text.count("[secret]") <= len(secret_scan.find(r.text)) and (clean[d].text == r.text) == (not secret_scan.find(r.text))
+    # packing: every id of what is left, once
+    rows = corpus_pipeline.STAGES[-1][1](spark, frames[-1], SF).collect()
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    parts = defaultdict(list)
+    for r in rows:
+        parts[r.doc_id].append(r)
+    assert set(parts) == set(clean)
+    for d, r in clean.items():
+        ids = np.array([*tok.encode(r.text, add_special_tokens=False).ids, 1], dtype="<u4")
+        assert sorted((p.start, p.length, p.ids_crc32) for p in parts[d]) == [(p.start, p.length, zlib.crc32(ids[p.start:p.start + p.length].tobytes())) for p in sorted(parts[d], key=lambda p: p.start)]
+        assert sum(p.length for p in parts[d]) == len(ids)
+
+
+def test_run_equals_the_stages(spark):
+    rows = corpus_pipeline.run(spark, SF).collect()
+    docs = read_table(spark, SF, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    total = defaultdict(int)
+    for r in docs.collect():
+        total[r.doc_id] += r.length
+    for r in rows:
+        total[r.doc_id] -= r.length
+    assert not any(total.values()) and re.fullmatch("None", str(corpus_pipeline.ORACLE_SQL))

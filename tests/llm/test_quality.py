@@ -1,0 +1,69 @@
+import numpy as np
+
+from llm_cases import EDGES
+from marquee.llm import queries
+from marquee.llm import quality as Q
+from marquee.sources.tables import read_table
+
+SF = "/root/testdata/sf0.1"
+
+
+def test_held_out_accuracy(spark):
+    """Fit on three quarters of the rated documents, judge on the others."""
+    docs = read_table(spark, SF, "documents", ["doc_id", "text"])
+    rated = Q.ratings_of(read_table(spark, SF, "labels")).collect()
+    grades = {r.doc_id: r.grade for r in rated}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(grades, key=lambda d: hash((d, 1)))
+    rows = [Q.features(texts[d]) for d in ids]
+    y = np.array([grades[d] for d in ids])
+    n = len(ids) * 3 // 4
+    model = Q.fit(rows[:n], y[:n], Q.N_GRADES)
+    assert np.all(np.diff(model.thresholds) > 0)
+    tails = model.tails(np.array([model.weights[r].sum() for r in rows[n:]]))
+    kept, truth = tails[:, -1] >= Q.KEEP_TAIL, y[n:]
+    assert kept[truth == 2].mean() > 0.99
+    assert kept[truth == 0].mean() < 0.05
+    assert kept[truth == 1].mean() < 0.5
+    assert np.all(tails[:, 0] >= tails[:, 1])
+
+
+def test_likelihood_gradient():
+    """The fitted thresholds and weights are better than any near them."""
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 30, 6)).astype(np.int32) for _ in range(300)]
+    y = np.array([min(2, int(3 in r) + int(5 in r) + int(rng.random() < 0.2)) for r in rows])
+    model = Q.fit(rows, y, 3, penalty=0.0, rounds=3000)
+
+    def loss(weights, theta):
+        tails = Q.Model(weights, theta).tails(np.array([weights[r].sum() for r in rows]))
+        p = np.concatenate([np.ones((300, 1)), tails, np.zeros((300, 1))], axis=1)
+        return -np.log(p[np.arange(300), y] - p[np.arange(300), y + 1]).mean()
+    best = loss(model.weights, model.thresholds)
+    for k in range(30):
+        for step in (-0.02, 0.02):
+            moved = model.weights.copy()
+            moved[k] += step
+            assert loss(moved, model.thresholds) > best - 1e-5
+    for k in range(2):
+        for step in (-0.02, 0.02):
+            theta = model.thresholds.copy()
+            theta[k] += step
+            assert loss(model.weights, theta) > best - 1e-5
+
+
+def test_edges(spark, docs_of):
+    docs = docs_of(EDGES)
+    ratings = spark.createDataFrame([(4, 2), (4, 0), (3, 2), (6, 1), (None, 1), (7, None), (77, 1)], "doc_id long, grade int")
+    model = Q.train(docs, ratings, 3)
+    rows = Q.score(docs, model).collect()
+    assert len(rows) == len(EDGES) and all(0 <= r.expected_grade <= 2 and r.spans == "y" for r in rows)
+    assert len({r.expected_grade for r in rows if r.doc_id in (4, 5)}) == 1
+    none = Q.score(docs, Q.train(docs, ratings.limit(0), 3)).select("expected_grade", Q.keep().alias("k")).collect()
+    assert all(r.expected_grade is None and r.k for r in none)
+    assert Q.score(docs.limit(0), model).count() == 0
+
+
+def test_query(spark):
+    rows = queries.op1_ordinal_quality(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 1000 and all(abs(r.expected_grade - r.p_grade_1 - r.p_grade_2) < 1e-9 and r.keep == (r.p_grade_2 >= Q.KEEP_TAIL) for r in rows)
