@@ -76,7 +76,7 @@ def franchise_position(parts: DataFrame, group: str = "collection_id", item: str
     instead of landing in one window task."""
     keyed = parts.select(group, item, pos,
                          F.coalesce(F.when(~is_blank(date), F.col(date)), F.lit(MISSING_DATE)).alias("_dk"))
-    ranked = surrogate_key(keyed, [group, "_dk", pos, item], "_rk")
+    ranked = surrogate_key(keyed, [group, "_dk", pos, item], "_rk", dtype="long")
     bounds = ranked.groupBy(group).agg(F.min("_rk").alias("_first"), F.count(F.lit(1)).alias("franchise_total"))
     j = ranked.join(bounds, group)
     return j.select(group, item, (F.col("_rk") - F.col("_first") + 1).cast("int").alias("franchise_position"),
@@ -110,9 +110,7 @@ def choose_company(details: DataFrame, companies: DataFrame, countries: DataFram
     best = j.groupBy("movie_id").agg(F.min_by(row, F.struct((~has_geo).alias("g"), F.col("pos"))).alias("b"))
     out = best.select("movie_id", "b.*")
     if countries is not None:
-        # country lookup: broadcast only behind a size check
-        from marquee.session import broadcast_checked
-        ct = broadcast_checked(countries.select(F.upper("iso2").alias("_iso"), "continent"))
+        ct = countries.select(F.upper("iso2").alias("_iso"), "continent")
         out = out.join(ct, (F.length("iso2") == 2) & (F.upper(F.col("iso2")) == ct["_iso"]), "left").drop("_iso")
     return out
 
@@ -146,10 +144,12 @@ def lookup_fill(df: DataFrame, on: list[str], sources: list[tuple[DataFrame, Col
                 existing: Column | None = None) -> DataFrame:
     """Fill one attribute from several lookups in priority order.
     Each source is (frame keyed by ``on``, value column on that frame); a
-    NULL (or a value the caller mapped to NULL) falls through to the next."""
+    NULL (or a value the caller mapped to NULL) falls through to the next.
+    A key that a source holds more than once gives its least value."""
     out, vals = df, []
     for i, (src, val) in enumerate(sources):
         s = src.select(*[F.col(k).alias(f"_s{i}_{k}") for k in on], val.alias(f"_v{i}"))
+        s = s.groupBy(*[f"_s{i}_{k}" for k in on]).agg(F.min(f"_v{i}").alias(f"_v{i}"))
         cond = None
         for k in on:
             c = out[k].eqNullSafe(s[f"_s{i}_{k}"])
@@ -185,13 +185,30 @@ def cache_hits(rows: DataFrame, cache: DataFrame, keys: list[str], value: str) -
                     F.col(f"cached_{value}").isNotNull().alias("cache_hit"))
 
 
-def append_new(existing: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``batch`` whose composite key is not yet loaded (NULL-safe
-    anti join on the reduced key set), appended to ``existing``."""
+def fresh_rows(existing: DataFrame, batch: DataFrame, keys: list[str], range_col: str | None = None) -> DataFrame:
+    """Rows of ``batch`` whose composite key (NULLs equal) is not in
+    ``existing``; of rows that share a key within the batch the least stays.
+
+    With ``range_col``, one of the keys, only loaded rows inside the batch's
+    span of it are compared: a pushed-down range filter, which lets loaded
+    NULLs through whenever the batch holds NULLs."""
+    if range_col:
+        lo, hi, nulls = batch.agg(F.min(range_col), F.max(range_col), F.count_if(F.col(range_col).isNull())).first()
+        near = F.lit(False) if lo is None else F.col(range_col).between(lo, hi)
+        existing = existing.filter(near | F.col(range_col).isNull() if nulls else near)
     k = existing.select(*[F.col(c).alias(f"_e_{c}") for c in keys]).distinct()
     cond = None
     for c in keys:
         e = batch[c].eqNullSafe(k[f"_e_{c}"])
         cond = e if cond is None else cond & e
+    rest = [c for c in batch.columns if c not in keys]
     fresh = batch.join(k, cond, "left_anti")
-    return existing.unionByName(fresh)
+    if not rest:
+        return fresh.distinct()
+    once = fresh.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row"))
+    return once.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in batch.columns])
+
+
+def append_new(existing: DataFrame, batch: DataFrame, keys: list[str], range_col: str | None = None) -> DataFrame:
+    """``existing`` with the fresh rows of ``batch``."""
+    return existing.unionByName(fresh_rows(existing, batch, keys, range_col))

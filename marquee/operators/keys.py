@@ -27,7 +27,7 @@ _POS_BITS = 33
 
 
 def surrogate_key(df: DataFrame, bk: str | list[str], name: str,
-                  num_partitions: int | None = None) -> DataFrame:
+                  num_partitions: int | None = None, dtype: str = "int") -> DataFrame:
     keys = [bk] if isinstance(bk, str) else list(bk)
     order = [F.col(k).asc_nulls_first() for k in keys]
     # Without an explicit count AQE may merge adjacent range partitions
@@ -46,7 +46,7 @@ def surrogate_key(df: DataFrame, bk: str | list[str], name: str,
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_off"))
     # one row per partition: the broadcast is bounded by the partition count
     out = pos.join(F.broadcast(offsets), "_pid")
-    return out.select((F.col("_off") + F.col("_pos") + 1).cast("int").alias(name),
+    return out.select((F.col("_off") + F.col("_pos") + 1).cast(dtype).alias(name),
                       *[F.col(c) for c in df.columns])
 
 

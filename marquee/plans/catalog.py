@@ -430,10 +430,10 @@ from marquee.functions.clean import business_key, claim_year  # noqa: E402
 
 def b26_country_iso2(spark, sf):
     """B26 (+B25): country name -> iso2 -> continent through the country
-    lookup (broadcast only behind the nation table's size check)."""
+    lookup."""
     dv = adapter.driver(spark, sf)
     film = loaded(spark, sf)["stg_dim_film"]
-    ct = dv.bc("nation")(LK.countries(dv).select(F.trim("name").alias("_n"), "iso2", "continent"))
+    ct = LK.countries(dv).select(F.trim("name").alias("_n"), "iso2", "continent")
     j = film.join(ct, F.trim(film["main_filming_country"]) == ct["_n"], "left")
     return j.select("bk_film", "main_filming_country", "iso2", "continent")
 
@@ -455,20 +455,16 @@ def k8_secondary_search(spark, sf):
 
 
 def a3_read_sql(spark, sf):
-    """A3: a question given as SQL text runs through ``spark.sql`` over
-    temp views of the loaded warehouse (Catalyst plans it like the
-    DataFrame version)."""
+    """A3: a question given as SQL text over loaded tables, which enter it as
+    parameters (no session-wide views): how busy each season is."""
     w = loaded(spark, sf)
-    for name in ("fact_daily_box_office", "dim_film", "dim_date"):
-        w[name].createOrReplaceTempView(name)
     return spark.sql("""
-        SELECT f.film_genre, d.calendar_year AS box_year,
-               CAST(SUM(b.gross_revenue_per_day) AS DOUBLE) AS annual_revenue
-        FROM fact_daily_box_office b
-        JOIN dim_film f ON b.fk_film = f.sk_film
-        JOIN dim_date d ON b.fk_date = d.sk_date
-        WHERE f.film_genre IS NOT NULL
-        GROUP BY f.film_genre, d.calendar_year""")
+        WITH shown AS (SELECT fk_film, fk_date, gross_revenue_per_day AS gross FROM {fact})
+        SELECT calendar_season, count(*) AS film_days, count(DISTINCT fk_film) AS films,
+               CAST(max(gross) AS DOUBLE) AS best_day
+        FROM {dates} JOIN shown ON fk_date = sk_date
+        GROUP BY calendar_season HAVING count(*) > 1""",
+        fact=w["fact_daily_box_office"], dates=w["dim_date"])
 
 
 for _fn in (b26_country_iso2, b30_business_key, h5_company_founded, k8_secondary_search, a3_read_sql):

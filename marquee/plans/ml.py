@@ -18,7 +18,6 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -36,7 +35,8 @@ TIER_CUTS = (0.33, 0.66)
 TIERS = ("Low", "Mid", "High")
 SEED = 42
 FOLDS = 5
-ROWS_PER_PARTITION = 100_000  # training rows per partition for the model fits
+TRAIN_PARTITIONS = 8             # of the training rows, by hash of bk_film; bagging draws per partition
+FITS_AT_ONCE = 8
 
 
 @dataclass
@@ -103,7 +103,7 @@ def stratified_folds(df: DataFrame, label: str = "tier", key: str = "bk_film", k
                      seed: int = SEED) -> DataFrame:
     """fold = (rank inside the class by hash(key, seed)) mod k."""
     h = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
-    ranked = surrogate_key(h, [label, "_h", key], "_rk")
+    ranked = surrogate_key(h, [label, "_h", key], "_rk", dtype="long")
     first = ranked.groupBy(label).agg(F.min("_rk").alias("_first"))
     return ranked.join(first, label).withColumn(
         "fold", ((F.col("_rk") - F.col("_first")) % k).cast("int")).drop("_h", "_rk", "_first")
@@ -114,56 +114,94 @@ def feature_pipeline() -> list:
     ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in CAT_COLS], outputCols=[f"{c}_oh" for c in CAT_COLS],
                         dropLast=True)
     asm = VectorAssembler(inputCols=[f"{c}_oh" for c in CAT_COLS] + list(NUM_COLS), outputCol="features")
-    lab = StringIndexer(inputCol="tier", outputCol="label", stringOrderType="alphabetAsc")
-    return [*idx, ohe, asm, lab]
+    return [*idx, ohe, asm]
+
+
+def label_indexer(train: DataFrame):
+    return StringIndexer(inputCol="tier", outputCol="label", stringOrderType="alphabetAsc").fit(train)
 
 
 def estimator(c: Candidate):
+    """Trees without checkpoints: the training rows are cached, so lineage
+    stays one step long, and node ids are not kept between levels."""
+    tree = dict(featuresCol="features", labelCol="label", seed=SEED, checkpointInterval=-1, cacheNodeIds=False,
+                maxMemoryInMB=1024)
     if c.kind == "rf":
-        return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                                      seed=SEED, **c.params)
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", seed=SEED, **c.params)
-    return OneVsRest(classifier=gbt, featuresCol="features", labelCol="label", parallelism=3)
+        return RandomForestClassifier(weightCol="weight", **tree, **c.params)
+    return OneVsRest(classifier=GBTClassifier(**tree, **c.params), featuresCol="features", labelCol="label", parallelism=3)
 
 
-def fit(train: DataFrame, c: Candidate) -> PipelineModel:
-    return Pipeline(stages=[*feature_pipeline(), estimator(c)]).fit(train)
+def dealt(df: DataFrame) -> DataFrame:
+    """Training rows in TRAIN_PARTITIONS partitions by hash of the film and
+    in a fixed order within them, whatever the number of rows: bagging and
+    subsampling, which draw per partition, give the same model each time."""
+    return df.repartition(TRAIN_PARTITIONS, "bk_film").sortWithinPartitions("bk_film")
 
 
-def evaluate(candidates, labelled: DataFrame, k: int = FOLDS, parallelism: int = 10) -> DataFrame:
+def fit(train: DataFrame, c: Candidate) -> PipelineModel:
+    """Feature stages, the tree model, and nothing that needs a label."""
+    features = Pipeline(stages=feature_pipeline()).fit(train)
+    ready = dealt(label_indexer(train).transform(features.transform(train)).select("bk_film", "features", "label", "weight")).persist()
+    try:
+        return PipelineModel([*features.stages, estimator(c).fit(ready)])
+    finally:
+        ready.unpersist()
+
+
+def scores(counts: list[tuple[float, float, int]]) -> tuple[float, float]:
+    """Accuracy and F1 weighted by class size, of (label, prediction, rows)."""
+    total = sum(n for *_, n in counts)
+    f1 = 0.0
+    for label in {y for y, _, _ in counts}:
+        size = sum(n for y, _, n in counts if y == label)
+        given = sum(n for _, p, n in counts if p == label)
+        right = sum(n for y, p, n in counts if y == p == label)
+        f1 += size * (2 * right / (size + given))
+    return sum(n for y, p, n in counts if y == p) / total, f1 / total
+
+
+def evaluate(candidates, labelled: DataFrame, k: int = FOLDS, parallelism: int = FITS_AT_ONCE, done: dict | None = None) -> DataFrame:
     """Per candidate and fold, train/test accuracy and weighted F1.
 
-    The (candidate, fold) fits are independent Spark jobs submitted from a
-    thread pool: small models are bound by per-job latency, so running them
-    concurrently keeps the executors busy."""
+    The feature stages are fitted once per fold and its rows cached for all
+    candidates; all four metrics of a fit come from one count of (split,
+    label, prediction).  Independent fits run at once, up to ``parallelism``.
+    ``done`` keeps the row of every finished fit, so an interrupted
+    evaluation that is called again goes on from there."""
     from concurrent.futures import ThreadPoolExecutor
 
-    spark = labelled.sparkSession
-    acc = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="accuracy")
-    f1 = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="f1")
-
-    def one(c: Candidate, fold: int):
-        tr = labelled.filter(F.col("fold") != fold)
-        te = labelled.filter(F.col("fold") == fold)
-        m = fit(tr, c)
-        ptr, pte = m.transform(tr), m.transform(te)
-        return (c.name, fold, acc.evaluate(ptr), f1.evaluate(ptr), acc.evaluate(pte), f1.evaluate(pte))
-
-    jobs = [(c, fold) for c in candidates for fold in range(k)]
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as pool:
-        rows = list(pool.map(lambda a: one(*a), jobs))
-    return spark.createDataFrame(rows, "model string, fold int, train_accuracy double, train_f1 double, "
-                                       "test_accuracy double, test_f1 double")
+    done = {} if done is None else done
+    folds = {}
+    for fold in range(k):
+        if all((c.name, fold) in done for c in candidates):
+            continue
+        train = labelled.filter(F.col("fold") != fold)
+        features = Pipeline(stages=feature_pipeline()).fit(train)
+        rows = label_indexer(train).transform(features.transform(labelled))
+        folds[fold] = dealt(rows.select("bk_film", "features", "label", "weight", "fold")).persist()
+        folds[fold].count()
+
+    def one(c: Candidate, fold: int) -> None:
+        model = estimator(c).fit(folds[fold].filter(F.col("fold") != fold))
+        seen = model.transform(folds[fold]).groupBy((F.col("fold") == fold).alias("test"), "label", "prediction").agg(F.count(F.lit(1)).alias("n")).collect()
+        train, test = ([(r["label"], r["prediction"], r["n"]) for r in seen if r["test"] == t] for t in (False, True))
+        done[c.name, fold] = (c.name, fold, *scores(train), *scores(test))
+
+    todo = [(c, fold) for fold in folds for c in candidates if (c.name, fold) not in done]
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(todo)))) as pool:
+            list(pool.map(lambda a: one(*a), todo))
+    finally:
+        for rows in folds.values():
+            rows.unpersist()
+    return labelled.sparkSession.createDataFrame([done[c.name, fold] for c in candidates for fold in range(k)],
+                                                 "model string, fold int, train_accuracy double, train_f1 double, test_accuracy double, test_f1 double")
 
 
 def choose(cv: DataFrame, candidates) -> Candidate:
-    """Highest mean test F1; strict > keeps the earlier candidate."""
+    """Highest mean test F1, of equal ones the earlier candidate."""
     means = {r["model"]: r["f1"] for r in cv.groupBy("model").agg(F.avg("test_f1").alias("f1")).collect()}
-    best, best_f1 = None, 0.0
-    for c in candidates:
-        if means.get(c.name, 0.0) > best_f1:
-            best, best_f1 = c, means[c.name]
-    return best or candidates[0]
+    return max(candidates, key=lambda c: means.get(c.name, 0.0))
 
 
 def confidence(pred: DataFrame, kind: str) -> DataFrame:
@@ -187,22 +225,17 @@ class TierRun:
     importances: DataFrame
 
 
-def run(w: dict[str, DataFrame], candidates=CANDIDATES, k: int = FOLDS) -> TierRun:
+def run(w: dict[str, DataFrame], candidates=CANDIDATES, k: int = FOLDS, done: dict | None = None) -> TierRun:
     """N1-N10 end to end."""
     feats = materialize(impute(tier_labels(tier_features(w))), "tier-features")
     hist = feats.filter(F.col("tier").isNotNull())
     labelled = materialize(class_weights(stratified_folds(hist)), "tier-folds")
-    # iterative learners run one job per tree level: size partitions by rows
-    parts = max(1, -(-labelled.count() // ROWS_PER_PARTITION))
-    if parts < labelled.rdd.getNumPartitions():
-        labelled = labelled.coalesce(parts)
-    cv = materialize(evaluate(candidates, labelled, k), "tier-cv")
+    cv = materialize(evaluate(candidates, labelled, k, done=done), "tier-cv")
     best = choose(cv, candidates)
     model = fit(labelled, best)
-    pred = model.transform(feats.withColumn("tier", F.coalesce("tier", F.lit("Low"))))
-    labels = model.stages[len(CAT_COLS) + 2].labels  # label indexer
+    labels = label_indexer(labelled).labels
     to_tier = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
-    pred = confidence(pred, best.kind).withColumn("predicted_tier", to_tier)
+    pred = confidence(model.transform(feats), best.kind).withColumn("predicted_tier", to_tier)
     out = pred.select("bk_film", "film_title", "film_genre", "runtime_segment", "release_season",
                       "film_age_classification", "predicted_tier", "tier_confidence")
     return TierRun(feats, cv, best, model, out, importances(model, best.kind))
@@ -240,6 +273,7 @@ def where_to_invest(trend: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 _RUNS: dict = {}
+_DONE: dict = {}                 # finished fits of runs that were ended, by run
 
 
 def run_once(spark, sf_dir: str, loader, candidates=CANDIDATES) -> TierRun:
@@ -247,7 +281,7 @@ def run_once(spark, sf_dir: str, loader, candidates=CANDIDATES) -> TierRun:
     predictions and importances of that run serve every ML query."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(c.name for c in candidates))
     if key not in _RUNS:
-        r = run(loader(spark, sf_dir), candidates)
+        r = run(loader(spark, sf_dir), candidates, done=_DONE.setdefault(key, {}))
         r.predictions = materialize(r.predictions, "tier-predictions")
         _RUNS[key] = r
     return _RUNS[key]

@@ -89,19 +89,3 @@ def ship_package(spark) -> None:
     archive = shutil.make_archive(os.path.join(out, "marquee"), "zip", os.path.dirname(pkg), "marquee")
     sc.addPyFile(archive)
     _SHIPPED.add(key)
-
-
-BROADCAST_MAX_ROWS = 100_000
-
-
-def is_small(df, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """Size check behind every data-derived broadcast: a bounded count (at
-    most ``max_rows + 1`` rows are read)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_checked(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Broadcast hint only when the frame passed the size check; beyond the
-    bound the planner (AQE) chooses a shuffle join."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if is_small(df, max_rows) else df

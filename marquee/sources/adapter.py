@@ -48,15 +48,6 @@ class DriverFrames:
     n_supplier: int
     n_customer: int
     _frames: dict = field(default_factory=dict)
-    _small: dict = field(default_factory=dict)
-
-    def bc(self, name: str):
-        """``F.broadcast`` when table ``name`` passed the size check (checked
-        once per folder), identity otherwise."""
-        if name not in self._small:
-            from marquee.session import is_small
-            self._small[name] = is_small(self.t(name))
-        return F.broadcast if self._small[name] else (lambda d: d)
 
     def t(self, name, cols=None) -> DataFrame:
         # one relation per table: the file listing / footer read happens once
@@ -138,10 +129,9 @@ def shared_first(dv: DriverFrames) -> DataFrame:
 
 def stg_dim_film(dv: DriverFrames, first: DataFrame) -> DataFrame:
     part = dv.t("part")
-    bc = dv.bc("nation")
-    n1 = bc(dv.t("nation", ["n_nationkey", "n_name"])
+    n1 = (dv.t("nation", ["n_nationkey", "n_name"])
             .withColumnsRenamed({"n_nationkey": "n1_key", "n_name": "n1_name"}))
-    n2 = bc(dv.t("nation", ["n_nationkey", "n_name"])
+    n2 = (dv.t("nation", ["n_nationkey", "n_name"])
             .withColumnsRenamed({"n_nationkey": "n2_key", "n_name": "n2_name"}))
     p = F.col("p_partkey")
     df = (part.join(first, part["p_partkey"] == first["l_partkey"], "left")
@@ -172,9 +162,8 @@ def stg_dim_film(dv: DriverFrames, first: DataFrame) -> DataFrame:
 
 
 def _person(df: DataFrame, nation: DataFrame, prefix: str, id_c: str, name_c: str,
-            nat_c: str, role: str, age_base: int, age_mod: int, bc=None) -> DataFrame:
+            nat_c: str, role: str, age_base: int, age_mod: int) -> DataFrame:
     i = F.col(id_c)
-    nation = (bc or (lambda d: d))(nation)
     return df.join(nation, df[nat_c] == nation["n_nationkey"], "left").select(
         key(prefix, i).alias(f"bk_{role}"),
         F.split_part(name_c, F.lit("#"), F.lit(1)).alias(f"first_name_{role}"),
@@ -187,21 +176,19 @@ def _person(df: DataFrame, nation: DataFrame, prefix: str, id_c: str, name_c: st
 def stg_dim_actor(dv: DriverFrames) -> DataFrame:
     return _person(dv.t("customer", ["c_custkey", "c_name", "c_nationkey"]),
                    dv.t("nation", ["n_nationkey", "n_name"]),
-                   "A", "c_custkey", "c_name", "c_nationkey", "actor", 20, 60, dv.bc("nation"))
+                   "A", "c_custkey", "c_name", "c_nationkey", "actor", 20, 60)
 
 
 def stg_dim_director(dv: DriverFrames) -> DataFrame:
     return _person(dv.t("supplier", ["s_suppkey", "s_name", "s_nationkey"]),
                    dv.t("nation", ["n_nationkey", "n_name"]),
-                   "D", "s_suppkey", "s_name", "s_nationkey", "director", 30, 50, dv.bc("nation"))
+                   "D", "s_suppkey", "s_name", "s_nationkey", "director", 30, 50)
 
 
 def stg_dim_company(dv: DriverFrames) -> DataFrame:
     s = dv.t("supplier", ["s_suppkey", "s_name", "s_nationkey"])
     geo = dv.t("nation", ["n_nationkey", "n_name", "n_regionkey"]).join(
         dv.t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    small = dv.bc("nation") is F.broadcast and dv.bc("region") is F.broadcast
-    geo = F.broadcast(geo) if small else geo
     i = F.col("s_suppkey")
     return s.join(geo, s["s_nationkey"] == geo["n_nationkey"], "left").select(
         key("C", i).alias("bk_production_company"),
@@ -292,8 +279,8 @@ def film_texts(dv: DriverFrames, first: DataFrame | None = None) -> DataFrame:
         first = shared_first(dv)
     part = dv.t("part")
     nat = dv.t("nation", ["n_nationkey", "n_name"])
-    n1 = dv.bc("nation")(nat.withColumnsRenamed({"n_nationkey": "k1", "n_name": "c1"}))
-    n2 = dv.bc("nation")(nat.withColumnsRenamed({"n_nationkey": "k2", "n_name": "c2"}))
+    n1 = nat.withColumnsRenamed({"n_nationkey": "k1", "n_name": "c1"})
+    n2 = nat.withColumnsRenamed({"n_nationkey": "k2", "n_name": "c2"})
     p = F.col("p_partkey")
     df = (part.join(first, part["p_partkey"] == first["l_partkey"], "left")
           .join(n1, (p % 25) == F.col("k1"), "left").join(n2, ((p * 7) % 25) == F.col("k2"), "left"))
@@ -331,7 +318,7 @@ def film_texts(dv: DriverFrames, first: DataFrame | None = None) -> DataFrame:
 
 def person_texts(dv: DriverFrames) -> DataFrame:
     cust = dv.t("customer", ["c_custkey", "c_name", "c_nationkey"])
-    nat = dv.bc("nation")(dv.t("nation", ["n_nationkey", "n_name"]))
+    nat = dv.t("nation", ["n_nationkey", "n_name"])
     c = F.col("c_custkey")
     s = lambda x: x.cast("string")
     y = 1950 + c % 40

@@ -52,26 +52,16 @@ def _cast(c: Column, t: T.DataType) -> Column:
     return c.try_cast(t) if hasattr(c, "try_cast") else c.cast(t)
 
 
-def conform(df: DataFrame, schema: T.StructType, on_overflow: str = "raise") -> DataFrame:
-    """A4: project to the table layout with safe casts.
-
-    VARCHAR limits become a check column evaluated lazily: with
-    ``on_overflow='raise'`` an over-long value fails the job through
-    ``raise_error``; ``'null'`` replaces it; ``'truncate'`` cuts it.
-    """
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """A4: project to the table layout with safe casts.  A value longer than
+    its VARCHAR limit fails the job through ``raise_error``."""
     df = ensure_columns(df, schema)
     cols = []
     for f in schema.fields:
         c = _cast(F.col(f.name), f.dataType)
         limit = MAX_LENGTH.get(f.name)
         if limit is not None and isinstance(f.dataType, T.StringType):
-            too_long = F.length(c) > F.lit(limit)
-            if on_overflow == "raise":
-                c = F.when(too_long, F.raise_error(F.lit(f"{f.name} longer than {limit}"))).otherwise(c)
-            elif on_overflow == "null":
-                c = F.when(too_long, F.lit(None).cast("string")).otherwise(c)
-            else:
-                c = F.substring(c, 1, limit)
+            c = F.when(F.length(c) > F.lit(limit), F.raise_error(F.lit(f"{f.name} longer than {limit}"))).otherwise(c)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 

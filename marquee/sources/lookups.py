@@ -93,7 +93,7 @@ def ratings(dv: DriverFrames) -> DataFrame:
 
 def companies(dv: DriverFrames) -> DataFrame:
     sup = dv.t("supplier", ["s_suppkey", "s_name", "s_nationkey"])
-    nat = dv.bc("nation")(dv.t("nation", ["n_nationkey", "n_name"]))
+    nat = dv.t("nation", ["n_nationkey", "n_name"])
     k = F.col("s_suppkey")
     j = sup.join(nat, sup["s_nationkey"] == nat["n_nationkey"], "left")
     return j.select(
@@ -111,7 +111,7 @@ def companies(dv: DriverFrames) -> DataFrame:
 def company_geo(dv: DriverFrames) -> DataFrame:
     """Up to N_GEO knowledge-graph bindings per company name."""
     sup = dv.t("supplier", ["s_suppkey", "s_name", "s_nationkey"])
-    nat = dv.bc("nation")(dv.t("nation", ["n_nationkey", "n_name"]))
+    nat = dv.t("nation", ["n_nationkey", "n_name"])
     j = sup.join(nat, sup["s_nationkey"] == nat["n_nationkey"], "left")
     k = F.col("s_suppkey")
     rows = F.array(*[F.struct(
@@ -125,7 +125,7 @@ def company_geo(dv: DriverFrames) -> DataFrame:
 def countries(dv: DriverFrames) -> DataFrame:
     nat = dv.t("nation", ["n_nationkey", "n_name", "n_regionkey"])
     reg = dv.t("region")
-    j = nat.join(dv.bc("region")(reg), nat["n_regionkey"] == reg["r_regionkey"], "left")
+    j = nat.join(reg, nat["n_regionkey"] == reg["r_regionkey"], "left")
     return j.select(F.col("n_name").alias("name"), iso2(F.col("n_nationkey")).alias("iso2"),
                     F.upper(F.substring("r_name", 1, 2)).alias("continent_code"),
                     F.col("r_name").alias("continent"))
@@ -135,7 +135,7 @@ def people(dv: DriverFrames) -> DataFrame:
     """Person search results: several people share a name (arg-max by
     popularity picks one)."""
     cust = dv.t("customer", ["c_custkey", "c_nationkey"])
-    nat = dv.bc("nation")(dv.t("nation", ["n_nationkey", "n_name"]))
+    nat = dv.t("nation", ["n_nationkey", "n_name"])
     c = F.col("c_custkey")
     j = cust.join(nat, cust["c_nationkey"] == nat["n_nationkey"], "left")
     return j.select(

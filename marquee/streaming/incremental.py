@@ -10,46 +10,34 @@ checkpoint folder, so a restarted (or executor-lost) run resumes.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marquee.operators.enrich import fresh_rows
 
 FACT_KEYS = ["fk_date", "fk_film", "fk_production_company", "fk_director", "fk_actor"]
 
 
 def _target(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
+    """The loaded rows; none before the first append.  Only a missing folder
+    counts as that: any other failure to read it is raised."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - first run: nothing loaded yet
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def append_batch(batch: DataFrame, target_path: str, keys=FACT_KEYS, range_col: str = "fk_date") -> None:
     """Append the rows of one micro-batch whose key is not loaded yet.  Only
-    the target's rows inside the batch's ``range_col`` span are compared
-    (a pushed-down range filter: Parquet row groups outside it are skipped),
-    so the work per batch follows the batch, not the loaded history."""
-    spark = batch.sparkSession
+    the target's rows inside the batch's ``range_col`` span are compared, so
+    the work per batch follows the batch, not the loaded history."""
     batch = batch.persist()
     try:
-        lo, hi = batch.agg(F.min(range_col), F.max(range_col)).first()
-        if lo is None:
-            return
-        existing = _target(spark, target_path, batch.schema).filter(F.col(range_col).between(lo, hi))
-        _fresh(existing, batch, keys).write.mode("append").parquet(target_path)
+        loaded = _target(batch.sparkSession, target_path, batch.schema)
+        fresh_rows(loaded, batch, list(keys), range_col).write.mode("append").parquet(target_path)
     finally:
         batch.unpersist()
 
 
-def _fresh(existing: DataFrame, batch: DataFrame, keys) -> DataFrame:
-    k = existing.select(*[existing[c].alias(f"_e_{c}") for c in keys]).distinct()
-    cond = None
-    for c in keys:
-        e = batch[c].eqNullSafe(k[f"_e_{c}"])
-        cond = e if cond is None else cond & e
-    return batch.join(k, cond, "left_anti").dropDuplicates(keys)
-
-
 def run_available(spark: SparkSession, source_dir: str, schema: T.StructType, target_path: str,
                   checkpoint: str, keys=FACT_KEYS):
     """Process every file currently in ``source_dir`` and stop."""

@@ -768,8 +768,8 @@ reg("h5_company_founded", f"""SELECT {_k} AS company_id,
          cast(1900 + {_k} % 100 AS varchar), '-01-01T00:00:00Z"}}}}}}}}]}}') ELSE '{{"P17":[]}}' END,
     '$.P571[0].mainsnak.datavalue.value.time'), '^.(\\d{{4}})', 1) AS INTEGER) AS founded_year
   FROM supplier s""")
-reg("a3_read_sql", """SELECT df.film_genre, d.calendar_year AS box_year,
-       cast(sum(f.gross_revenue_per_day) AS double) AS annual_revenue
-  FROM fact_daily_box_office f JOIN dim_film df ON f.fk_film = df.sk_film JOIN dim_date d ON f.fk_date = d.sk_date
- WHERE df.film_genre IS NOT NULL GROUP BY 1, 2""")
+reg("a3_read_sql", """SELECT d.calendar_season, count(f.fk_date) AS film_days, count(DISTINCT f.fk_film) AS films,
+       cast(max(f.gross_revenue_per_day) AS double) AS best_day
+  FROM dim_date d INNER JOIN fact_daily_box_office f ON d.sk_date = f.fk_date
+ GROUP BY d.calendar_season HAVING count(f.fk_date) > 1""")
 ORACLE["q1_pipeline_fact"] = ORACLE["fact_sk"]

@@ -21,3 +21,17 @@ def test_available_now_append_is_idempotent(spark):
     assert 0 < first < n
     assert out.count() == n
     assert out.dropDuplicates(FACT_KEYS).count() == n
+
+
+def test_null_dates_and_redelivery(spark):
+    """NULL keys equal each other; a batch that comes again adds nothing."""
+    root = tempfile.mkdtemp(prefix="marquee-stream-")
+    src, tgt, ck = (os.path.join(root, x) for x in ("src", "tgt", "ck"))
+    rows = [(None, "a", 1), (None, "b", 2), (20200101, "a", 3), (20200101, "a", 2)]
+    batch = spark.createDataFrame(rows, "fk_date int, fk_film string, gross int")
+    nulls = batch.filter("fk_date is null")
+    for k, part in enumerate([nulls, batch, batch, nulls]):
+        part.write.parquet(os.path.join(src, f"b{k}"))
+        run_available(spark, os.path.join(src, "*"), batch.schema, tgt, ck, keys=["fk_date", "fk_film"])
+    got = sorted(map(tuple, spark.read.parquet(tgt).collect()), key=str)
+    assert got == [(20200101, "a", 2), (None, "a", 1), (None, "b", 2)]
