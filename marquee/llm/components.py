@@ -14,7 +14,7 @@ from marquee.session import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "edges-least")
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -31,11 +31,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     while True:
         after = materialize(_small_star(_large_star(edges)), "edges")
-        # done when every edge leads to a node that has no smaller neighbour
-        # and each node has one edge: then a further round changes nothing
-        roots = after.select("b").distinct()
-        open_ = after.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"))
-        if open_.where("n > 1").limit(1).count() == 0 and after.join(roots.withColumnRenamed("b", "a"), "a", "left_semi").limit(1).count() == 0:
+        # done when no node has two smaller neighbours, or one that has one itself
+        ends = after.select(F.col("a").alias("node"), F.lit(2).alias("weight")).unionByName(after.select(F.col("b").alias("node"), F.lit(0).alias("weight")))
+        if ends.groupBy("node").agg(F.sum("weight").alias("up"), F.min("weight").alias("least")).where("up > 2 or (up = 2 and least = 0)").limit(1).count() == 0:
             break
         edges = after
     leaves = after.select(F.col("a").alias("node"), F.col("b").alias("component"))

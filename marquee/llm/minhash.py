@@ -110,9 +110,8 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
     many = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIRS_IN_RUN), "minhash-many")
     run = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("n", F.lit(1)) / F.lit(PAIRS_IN_RUN))))
     dealt = pairs.join(many, "a", "left").select("a", "b", run.alias("run"))
-    partners = dealt.join(texts, dealt["b"] == texts["rep"]).select("a", "run", "b", "text")
-    heads = dealt.select("a", "run").distinct().join(texts, F.col("a") == texts["rep"]).select("a", "run", F.lit(None).cast("long").alias("b"), "text")
-    both = heads.unionByName(partners)
+    heads = dealt.select("a", "run", F.lit(None).cast("long").alias("b"), F.col("a").alias("rep")).distinct()
+    both = heads.unionByName(dealt.select("a", "run", "b", F.col("b").alias("rep"))).join(texts, "rep").select("a", "run", "b", "text")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = both.repartition(n, "a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
 
@@ -180,7 +179,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     members = materialize(banded.join(buckets, "key"), "minhash-members")
     central = materialize(members.groupBy("rep").agg(F.sum("size").alias("met")), "minhash-central")
     pivots = materialize(members.join(central, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("of"))).alias("x")).select("key", (-F.col("x.of")).alias("pivot")), "minhash-pivots")
-    members = members.join(pivots, "key").select("key", "pivot", "rep", "n")
+    members = materialize(members.join(pivots, "key").select("key", "pivot", "rep", "n"), "minhash-pivoted")
     wanted = searched.join(central, "rep", "left_semi").select("rep", "tie")
     texts = rows_in.join(wanted, (rows_in["doc_id"] == wanted["rep"]) & (rows_in["tie"] == wanted["tie"]), "left_semi").select(F.col("doc_id").alias("rep"), "text")
     texts = materialize(texts.dropDuplicates(["rep"]), "minhash-texts")
@@ -191,11 +190,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     classes = components(links)
     # across the classes of a bucket: outsiders of the pivot's class with all others
     placed = materialize(members.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-                         .join(classes.select(F.col("node").alias("pivot"), F.col("component").alias("home")), "pivot", "left")
                          .join(stars.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "shared", (1 - F.col("similarity")).alias("far")), ["pivot", "rep"], "left")
-                         .select("key", "pivot", "rep", "n", F.coalesce("shared", "n").alias("shared"), F.coalesce("component", "rep").alias("class"), F.coalesce("home", "pivot").alias("home"), F.coalesce("far", F.lit(0.0)).alias("far")), "minhash-placed")
-    mixed = materialize(placed.where("class != home").select("key").distinct(), "minhash-mixed")
-    open_ = placed.join(mixed, "key", "left_semi").where("rep != pivot")
+                         .select("key", "pivot", "rep", "n", F.coalesce("shared", "n").alias("shared"), F.coalesce("component", "rep").alias("class"), F.coalesce("far", F.lit(0.0)).alias("far")), "minhash-placed")
+    mixed = materialize(placed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.max(F.when(F.col("rep") == F.col("pivot"), F.col("class"))).alias("home")).where("least < most").select("key", "home"), "minhash-mixed")
+    open_ = placed.join(mixed, "key").where("rep != pivot")
     lone = own_weight(texts.join(open_.select("rep").unionByName(open_.select(F.col("pivot").alias("rep"))).distinct(), "rep", "left_semi"))
     # beyond what it shares with the pivot, only shingles of other open texts can be common
     open_ = open_.join(lone, "rep", "left").withColumn("rest", F.col("n") - F.col("shared") - F.coalesce("lone", F.lit(0)))
