@@ -97,6 +97,29 @@ ORACLE_SQL: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op4_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents),
+        w AS (SELECT doc_id, i AS start, substr(h, 2 * i + 1, 200) AS s FROM d, unnest(range(0, n_bytes - 99)) AS t(i)),
+        r AS (SELECT doc_id, start, row_number() OVER (PARTITION BY s ORDER BY doc_id, start) AS nth FROM w),
+        g AS (SELECT doc_id, start, CASE WHEN start - lag(start) OVER (PARTITION BY doc_id ORDER BY start) <= 100 THEN 0 ELSE 1 END AS opens FROM r WHERE nth > 1),
+        k AS (SELECT doc_id, start, sum(opens) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM g),
+        x AS (SELECT doc_id, run, min(start) AS b, max(start) + 100 AS e FROM k GROUP BY ALL),
+        y AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS from_ FROM x),
+        z AS (SELECT doc_id, CAST(sum(e - b) AS BIGINT) AS n_removed, count(*) AS n_spans, max(e) AS last_e, string_agg(substr(h, 2 * from_ + 1, 2 * (b - from_)), '' ORDER BY b) AS head
+              FROM y JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last_e, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN z USING (doc_id)""",
+    "op7_bag_minhash": """
+        WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents),
+        reps AS (SELECT array_to_string(w, ' ') AS words, min(doc_id) AS rep, any_value(w) AS w FROM t GROUP BY 1),
+        s AS (SELECT rep, shingle, count(*) AS n FROM (SELECT rep, unnest(CASE WHEN len(w) < 5 THEN list_filter([words], lambda x: x <> '') ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM reps) GROUP BY ALL),
+        z AS (SELECT rep, sum(n) AS size FROM s GROUP BY rep),
+        o AS (SELECT a.rep AS a, b.rep AS b, sum(least(a.n, b.n)) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.rep < b.rep GROUP BY ALL),
+        l AS (SELECT a, b FROM o JOIN z x ON x.rep = a JOIN z y ON y.rep = b WHERE shared >= 0.8 * (x.size + y.size - shared)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        c(node, root) AS (SELECT rep, rep FROM reps UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node),
+        m AS (SELECT node, min(root) AS class_id FROM c GROUP BY node)
+        SELECT doc_id, rep AS rep_id, class_id FROM t JOIN reps ON array_to_string(t.w, ' ') = words JOIN m ON node = rep""",
     "op5_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
