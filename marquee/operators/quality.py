@@ -204,7 +204,8 @@ def gate(log: DataFrame, waivers=()) -> list:
 
 
 def r2_detail(t: dict[str, DataFrame], table: str = "stg_dim_film", attrs=FILM_ATTRS) -> DataFrame:
-    """Rows of the dimension inside duplicate attribute groups."""
+    """Rows of the dimension inside duplicate attribute groups, ordered
+    by the first two attributes and the business key, the first column."""
     df = t[table]
     dup = (df.groupBy(*attrs).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > 1)
            .select(*[F.col(a).alias(f"_d_{a}") for a in attrs]))
@@ -212,7 +213,7 @@ def r2_detail(t: dict[str, DataFrame], table: str = "stg_dim_film", attrs=FILM_A
     for a in attrs:
         c = df[a].eqNullSafe(dup[f"_d_{a}"])
         cond = c if cond is None else cond & c
-    return df.join(dup, cond, "left_semi")
+    return df.join(dup, cond, "left_semi").orderBy(*attrs[:2], df.columns[0])
 
 
 def r7_detail(t: dict[str, DataFrame]) -> DataFrame:
@@ -221,7 +222,7 @@ def r7_detail(t: dict[str, DataFrame]) -> DataFrame:
     film = t["stg_dim_film"]
     return f.join(film, f["fk_film"] == film["bk_film"]).select(
         "film_title", "fk_date", F.col("gross_revenue_per_day").cast("double").alias("gross_revenue_per_day"),
-        "days_since_release")
+        "days_since_release").orderBy("film_title", "fk_date")
 
 
 def dw_fk_check(w: dict[str, DataFrame], n: int = 10) -> DataFrame:

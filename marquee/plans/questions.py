@@ -145,11 +145,11 @@ def genre_weekly(w: dict[str, DataFrame]) -> DataFrame:
 
 
 def bq4(w: dict[str, DataFrame]) -> DataFrame:
-    """Genres by average week-over-week revenue change."""
+    """Genres by average week-over-week revenue change, largest first."""
     ch = weekly_change(genre_weekly(w), ["film_genre"])
     return ch.groupBy("film_genre").agg(
         ratio(F.sum("delta"), F.count("delta")).alias("avg_weekly_change"),
-        F.count("delta").alias("n_changes"))
+        F.count("delta").alias("n_changes")).orderBy(F.abs("avg_weekly_change").desc(), "film_genre")
 
 
 # ---------------------------------------------------------------- BQ5
@@ -239,13 +239,13 @@ def bq9(w: dict[str, DataFrame]) -> DataFrame:
 
 # ---------------------------------------------------------------- BQ10
 def bq10(w: dict[str, DataFrame]) -> DataFrame:
-    """Weekdays by average daily (all-film) revenue."""
+    """Weekdays by average daily (all-film) revenue, highest first."""
     f, d = w["fact_daily_box_office"], w["dim_date"]
     per_day = f.groupBy("fk_date").agg(F.sum("gross_revenue_per_day").alias("rev"))
     j = per_day.join(d, per_day["fk_date"] == d["sk_date"])
     return j.groupBy("weekday_number", "weekday_name").agg(
         F.count(F.lit(1)).alias("n_days"),
-        ratio(F.sum("rev"), F.count(F.lit(1))).alias("avg_daily_revenue"))
+        ratio(F.sum("rev"), F.count(F.lit(1))).alias("avg_daily_revenue")).orderBy(F.col("avg_daily_revenue").desc(), "weekday_number")
 
 
 # ---------------------------------------------------------------- BQ11

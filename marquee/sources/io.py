@@ -53,8 +53,9 @@ def _cast(c: Column, t: T.DataType) -> Column:
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """A4: project to the table layout with safe casts.  A value longer than
-    its VARCHAR limit fails the job through ``raise_error``."""
+    """A4: project to the table layout with safe casts.  A NULL where the
+    layout has none, or a value longer than its VARCHAR limit, fails the job
+    through ``raise_error``."""
     df = ensure_columns(df, schema)
     cols = []
     for f in schema.fields:
@@ -62,6 +63,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
         limit = MAX_LENGTH.get(f.name)
         if limit is not None and isinstance(f.dataType, T.StringType):
             c = F.when(F.length(c) > F.lit(limit), F.raise_error(F.lit(f"{f.name} longer than {limit}"))).otherwise(c)
+        if not f.nullable:
+            c = F.when(c.isNull(), F.raise_error(F.lit(f"{f.name} is NULL")).cast(f.dataType)).otherwise(c)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 

@@ -76,12 +76,17 @@ LOG_QUALITY_CHECKS = _struct(
 
 # VARCHAR(n) limits of the staging DDL (checked by conform()).
 MAX_LENGTH = {
-    "bk_film": 400, "film_title": 200, "film_genre": 100, "bk_actor": 150,
-    "bk_director": 150, "bk_production_company": 150, "production_company": 200,
-    "continent_production_company": 50, "full_date": 50, "weekday_type": 10,
-    "weekday_name_short": 10, "calendar_season": 20, "holiday_name": 50,
-    "marketing_season": 50, "etl_phase": 20, "etl_table": 100,
-    "etl_checktype": 150, "description_result": 150, "etl_result": 10,
+    "bk_film": 400, "film_title": 200, "film_genre": 100, "film_age_classification": 100,
+    "primary_language_film": 100, "secondary_language_film": 100, "main_filming_country": 100,
+    "secondary_filming_country": 100, "tertiary_filming_country": 100,
+    "bk_actor": 150, "first_name_actor": 100, "surname_actor": 100, "nationality_actor": 100,
+    "bk_director": 150, "first_name_director": 100, "surname_director": 100, "nationality_director": 100,
+    "bk_production_company": 150, "production_company": 200, "country_production_company": 100,
+    "continent_production_company": 50, "city_production_company": 100,
+    "fk_film": 400, "fk_production_company": 150, "fk_director": 150, "fk_actor": 150,
+    "full_date": 50, "weekday_name": 50, "weekday_type": 10, "weekday_name_short": 10, "month_name": 50,
+    "month_name_short": 50, "calendar_season": 20, "holiday_name": 50, "marketing_season": 50,
+    "etl_phase": 20, "etl_table": 100, "etl_checktype": 150, "description_result": 150, "etl_result": 10,
 }
 
 

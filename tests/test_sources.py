@@ -38,6 +38,17 @@ def test_conform_varchar_limits(spark):
     assert [r[0] for r in io.conform(df.limit(1), schema).collect()] == ["OK"]
 
 
+def test_conform_not_null_and_name_limits(spark):
+    from marquee.sources.schemas import STG_DIM_ACTOR
+
+    layout = "bk_actor string, first_name_actor string, surname_actor string, nationality_actor string, age_actor int"
+    good = [("A1", "Ann", None, None, None)]
+    assert io.conform(spark.createDataFrame(good, layout), STG_DIM_ACTOR).count() == 1
+    for bad in ((None, "Ann", None, None, 3), ("A1", "x" * 101, None, None, 3)):
+        with pytest.raises(Exception, match="is NULL|longer than"):
+            io.conform(spark.createDataFrame([bad], layout), STG_DIM_ACTOR).collect()
+
+
 def test_split_entities(spark):
     df = spark.createDataFrame([("F1", "A", 1), ("F1", "A", 2), ("F2", "B", 3)], "bk string, t string, v int")
     parts = io.split_entities(df, {"film": ["bk", "t"], "daily": ["bk", "v"]})
