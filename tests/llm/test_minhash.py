@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from llm_cases import EDGES
+from llm_cases import EDGES, docs_of  # noqa: F401
 from marquee.llm import minhash as M
 from marquee.llm import shingles as S
 from marquee.llm.components import components

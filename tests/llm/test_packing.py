@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from llm_cases import EDGES
+from llm_cases import EDGES, docs_of  # noqa: F401
 from marquee.llm.packing import END_ID, Packer, pack
 
 FILE = P.path("byte_bpe_50k.json")

@@ -1,6 +1,6 @@
 import numpy as np
 
-from llm_cases import EDGES
+from llm_cases import EDGES, docs_of  # noqa: F401
 from marquee.llm import queries
 from marquee.llm import quality as Q
 from marquee.sources.tables import read_table

@@ -3,7 +3,7 @@ import hashlib
 import json
 import re
 
-from llm_cases import EDGES
+from llm_cases import EDGES, docs_of  # noqa: F401
 from marquee.llm import queries
 from marquee.llm import secret_scan as S
 from pyspark.sql import functions as F

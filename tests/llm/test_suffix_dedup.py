@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from llm_cases import EDGES
+from llm_cases import EDGES, docs_of  # noqa: F401
 from marquee.llm import suffix_dedup as S
 
 

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from llm_cases import EDGES
+from llm_cases import EDGES, docs_of  # noqa: F401
 from marquee.llm import winnowing as W
 from pyspark.sql import functions as F
 
