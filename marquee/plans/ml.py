@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from marquee.functions.clean import runtime_segment
 from marquee.operators.keys import keep_first, surrogate_key
 from marquee.session import materialize
+from marquee.sources import adapter
 
 # --- fixed values: feature lists and model settings of the reference -----
 NUM_COLS = ("film_runtime_min", "film_budget_usd", "imdb_rating", "rt_rating",
@@ -279,7 +280,7 @@ _DONE: dict = {}                 # finished fits of runs that were ended, by run
 def run_once(spark, sf_dir: str, loader, candidates=CANDIDATES) -> TierRun:
     """One tier run per (application, folder, candidate set); the CV table,
     predictions and importances of that run serve every ML query."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(c.name for c in candidates))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), adapter._stamp(spark, sf_dir), tuple(c.name for c in candidates))
     if key not in _RUNS:
         r = run(loader(spark, sf_dir), candidates, done=_DONE.setdefault(key, {}))
         r.predictions = materialize(r.predictions, "tier-predictions")

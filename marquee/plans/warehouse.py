@@ -73,7 +73,7 @@ def load(spark: SparkSession, sf_dir: str, dirty: bool = False) -> dict[str, Dat
     Later questions read these loaded tables, as the reference's questions
     read the warehouse rather than the raw sheet.
     """
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), dirty, adapter._stamp(sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), dirty, adapter._stamp(spark, sf_dir))
     if key in _LOADED:
         return _LOADED[key]
     make = adapter.dirty_staging if dirty else adapter.staging
@@ -129,11 +129,20 @@ def star(w: dict[str, DataFrame], dims=("film", "date")) -> DataFrame:
     return f
 
 
+FILES_PER_PARTITION = 16
+
+
 def persist_tables(tables: dict[str, DataFrame], root: str, fact_partition: str | None = None) -> None:
-    """Clear-and-reload — dims first, then the fact."""
+    """Clear-and-reload — dims first, then the fact.  Rows of a fact
+    partition are dealt to at most FILES_PER_PARTITION tasks, by a hash of
+    the row, so it is not written as a file per task."""
     order = sorted(tables, key=lambda n: n.startswith("fact") or n.startswith("stg_fact"))
     for name in order:
-        w = tables[name].write.mode("overwrite")
-        if fact_partition and "fact" in name and fact_partition in tables[name].columns:
+        table = tables[name]
+        split = fact_partition and "fact" in name and fact_partition in table.columns
+        if split:
+            table = table.repartition(F.col(fact_partition), F.pmod(F.xxhash64(*table.columns), F.lit(FILES_PER_PARTITION)))
+        w = table.write.mode("overwrite")
+        if split:
             w = w.partitionBy(fact_partition)
         w.parquet(f"{root.rstrip('/')}/{name}")

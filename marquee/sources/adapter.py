@@ -60,21 +60,22 @@ class DriverFrames:
 _DRIVERS: dict = {}
 
 
-def _stamp(sf_dir: str) -> tuple:
-    import os
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Modification times of the tables as Spark's file systems report them,
+    so that changed data is noticed on shared stores too."""
+    sc = spark.sparkContext
     out = []
     for name in ("lineitem", "part", "orders", "customer", "supplier", "nation", "region"):
-        try:
-            out.append(os.stat(f"{sf_dir.rstrip('/')}/{name}.parquet").st_mtime_ns)
-        except OSError:
-            out.append(None)
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        out.append(fs.getFileStatus(path).getModificationTime() if fs.exists(path) else None)
     return tuple(out)
 
 
 def driver(spark: SparkSession, sf_dir: str) -> DriverFrames:
     """Table handles + the two row counts used as modulus of the FK map,
     once per (application, folder, file stamps)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _stamp(sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), _stamp(spark, sf_dir))
     if key not in _DRIVERS:
         _DRIVERS[key] = _driver(spark, sf_dir)
     return _DRIVERS[key]

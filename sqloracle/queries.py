@@ -708,15 +708,14 @@ _CACHE_COLS = "tmdb_id, imdb_id, runtime, num_langs"
 rege("a7_cache_upsert", f"""SELECT title_norm, year, unnest(b) FROM (
 SELECT title_norm, year, arg_min({{'tmdb_id': tmdb_id, 'imdb_id': imdb_id,
          'runtime': runtime, 'num_langs': num_langs}}, (-is_new, tmdb_id)) AS b
-  FROM (SELECT *, 0 AS is_new FROM movie_cache WHERE tmdb_id % 2 = 0
-        UNION ALL SELECT title_norm, year, tmdb_id, imdb_id, runtime + 1, num_langs, 1 FROM movie_cache
-         WHERE tmdb_id % 3 = 0) u
+  FROM (SELECT *, 0 AS is_new FROM movie_cache
+        UNION ALL SELECT title_norm, year + 1, tmdb_id, imdb_id, runtime + 1, num_langs, 1 FROM movie_cache) u
  GROUP BY title_norm, year) t""", [MOVIE_CACHE])
 rege("c16_cache_hit", f"""SELECT r.p_partkey, r.title_norm, r.year, c.tmdb_id AS cached_tmdb_id,
        c.tmdb_id IS NOT NULL AS cache_hit
   FROM (SELECT t.p_partkey, {NORM_TITLE('t.title_raw')} AS title_norm, f.film_release_year AS year
           FROM film_texts t JOIN stg_dim_film f ON cast(substr(f.bk_film, 2, 8) AS bigint) = t.p_partkey) r
-  LEFT JOIN (SELECT title_norm, year, min(tmdb_id) AS tmdb_id FROM movie_cache WHERE tmdb_id % 2 = 0
+  LEFT JOIN (SELECT title_norm, year, min(tmdb_id) AS tmdb_id FROM movie_cache WHERE runtime >= 110
               GROUP BY 1, 2) c
     ON r.title_norm IS NOT DISTINCT FROM c.title_norm AND r.year IS NOT DISTINCT FROM c.year""", [MOVIE_CACHE])
 rege("a10_split_entities", " UNION ALL ".join(
