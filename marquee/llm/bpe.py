@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm.pieces import PieceEncoder
 
+CACHED_SEAMS = 400_000           # decided token pairs kept per worker
 DECODE_MAX_TOKENS = 1 << 20      # ids turned back into bytes at once
 
 
@@ -108,7 +109,7 @@ class PrefixTable:
                     seam = (last[i - n - 1], token)
                     ok = seams.get(seam)
                     if ok is None:
-                        if len(seams) > 1_000_000:
+                        if len(seams) > CACHED_SEAMS:
                             seams.clear()
                         ok = seams[seam] = apart(*seam)
                     if ok:

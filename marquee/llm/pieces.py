@@ -17,7 +17,7 @@ import pandas as pd
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 SLICE_CHARS = 1_000_000          # code points handled at once (one longer text is a slice of its own)
-CACHED_PIECES = 400_000          # encoded pieces kept per worker before the cache starts anew
+CACHED_PIECES = 250_000          # encoded pieces kept per worker before the cache starts anew
 
 _ODD1, _ODD2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _state: dict = {}
@@ -124,11 +124,11 @@ class PieceEncoder:
 
     def __init__(self, encode_new: Callable[[list[str]], list]):
         self.encode_new = encode_new
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}      # ids as 32-bit integers
 
-    def _ids_of(self, pieces: list[str]) -> list[np.ndarray]:
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
         new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        got = {p: np.asarray(ids, dtype=np.uint32) for p, ids in zip(new, self.encode_new(new))} if new else {}
+        got = {p: np.array(ids, dtype=np.uint32).tobytes() for p, ids in zip(new, self.encode_new(new))} if new else {}
         out = [self.known[p] if p in self.known else got[p] for p in pieces]
         if len(self.known) + len(got) > CACHED_PIECES:
             self.known = {}
@@ -155,8 +155,8 @@ class PieceEncoder:
             rep = np.full(codes.max() + 1, -1, dtype=np.int64)
             rep[codes[::-1]] = np.arange(len(codes))[::-1]
         kinds = self._ids_of([joined[a:b] for a, b in zip(begin[rep].tolist(), end[rep].tolist())])
-        size = np.fromiter(map(len, kinds), dtype=np.int64, count=len(kinds))
-        flat = np.concatenate(kinds)
+        size = np.fromiter(map(len, kinds), dtype=np.int64, count=len(kinds)) // 4
+        flat = np.frombuffer(b"".join(kinds), dtype=np.uint32)
         kind_at = np.cumsum(size) - size
         lens = size[codes]
         ends = np.cumsum(lens)

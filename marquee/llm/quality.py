@@ -30,7 +30,7 @@ BITS = 18                        # 2**BITS weights
 MAX_RATED = 12_000               # rated documents used for the fit, the first by a hash of their id
 PENALTY = 1e-4
 ROUNDS = 300
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 STEPS = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75)
 _SIGNS = string.punctuation + "“”„‘’«»…–—¿¡"
 _RUN = re.compile(r"(.)\1+", re.S)
