@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags.  First pass, every block on
 its own: one in a container that is named as boilerplate (menu, header,
 footer, sidebar, notice, advert, form, comments), or with mostly link text,
-is dropped; one that is long and rich in stop words is kept; the others stay
+is dropped; a form or a container named after its layout (content and sidebar
+together) is a mere wrapper, which marked text inside it or the larger part
+of the running text overrules; one that is long and rich in stop words is kept; the others stay
 open (``short``, or ``near`` when they lean towards text).  Second pass: an
 open block takes the label of the decided neighbours, nearest first, within
 the container of the main text where the page marks one; a heading follows
@@ -31,6 +33,11 @@ ONE_BY_ONE = frozenset("li dt dd td th tr option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN_TAGS = frozenset("article main".split())
 UNNAMED_TAGS = frozenset("html body main".split())      # their class names speak of the whole page
+WRAPPER_TAGS = frozenset("form fieldset".split())        # may hold a whole page
+WRAPPER_ENDS = frozenset("wrap wrapper wrapping container inner outer holder row area group".split())
+LAYOUT_WORDS = frozenset("layout template columns".split())
+CONTENT_WORDS = frozenset("content main article post primary body text story entry center centre".split())
+SIDE_WORDS = frozenset("sidebar sidebars rail widget widgets header banner ad ads".split())    # what a layout has beside its content
 MODIFIERS = ("has-", "with-", "no-", "is-", "not-")
 HEADER_WORDS = frozenset("header head masthead banner".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -63,6 +70,7 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)
 _NAME_PART = re.compile(r"[a-z]+")
 _STRIP = re.compile(r"^\W+|\W+$")
 KEEP, DROP, SHORT, NEAR = "keep", "drop", "short", "near"
+WRAPPER, FIRM = 1, 2             # strengths of a boilerplate flag
 
 
 @dataclass
@@ -71,45 +79,62 @@ class Block:
     links: int                   # code points inside links
     tag: str
     main: bool                   # inside the container of the main text
-    boiler: bool                 # inside a container named as boilerplate
+    boiler: int                  # inside a container named as boilerplate: WRAPPER, FIRM or 0
     label: str = ""
 
 
-def _hints(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """(named as boilerplate, named as main text) for an element; ``inside``:
-    within the main text, where a header holds the headline."""
-    boiler = tag in BOILER_TAGS and not (inside and tag == "header")
+def _named(name: str, inside: bool) -> int:
+    """Strength of the boilerplate flag that a class name or id gives."""
+    parts = _NAME_PART.findall(name)
+    for k, part in enumerate(parts[1:], 1):
+        if part + "-" in MODIFIERS or part == "without":     # page-with-sidebar: what follows is beside the text
+            parts, name = parts[:k], "-".join(parts[:k])
+            break
+    found = {name, *parts} & BOILER_WORDS
+    if inside:
+        found -= HEADER_WORDS
+    if not found:
+        return 0
+    layout = LAYOUT_WORDS.intersection(parts) or (parts[0] not in BOILER_WORDS and parts[-1] in WRAPPER_ENDS and CONTENT_WORDS.intersection(parts))
+    return WRAPPER if layout and found <= SIDE_WORDS else FIRM
+
+
+def _hints(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
+    """(strength of the boilerplate flag, named as main text) for an element;
+    ``inside``: within the main text, where a header holds the headline."""
+    boiler = 0
+    if tag in BOILER_TAGS and not (inside and tag == "header"):
+        boiler = WRAPPER if tag in WRAPPER_TAGS else FIRM
     main = named_main = tag in MAIN_TAGS
     if attributes and "=" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "").lower()
             if key == "role":
-                boiler |= value in BOILER_ROLES
+                if value in BOILER_ROLES:
+                    boiler = max(boiler, WRAPPER if value == "form" else FIRM)
                 named_main |= value in ("main", "article")
             elif key in ("class", "id"):
                 for name in value.replace("_", "-").split():
                     if name in MAIN_WORDS:
                         named_main = True
                     elif tag == "article":
-                        boiler |= name in BOILER_WORDS or name.startswith("comment")
+                        if name in BOILER_WORDS or name.startswith("comment"):
+                            boiler = FIRM
                     elif tag not in UNNAMED_TAGS and not name.startswith(MODIFIERS):
-                        found = {name, *_NAME_PART.findall(name)} & BOILER_WORDS
-                        boiler |= bool(found - HEADER_WORDS if inside else found)
+                        boiler = max(boiler, _named(name, inside))
             elif key == "itemprop":
                 named_main |= value == "articlebody"
-            elif key == "aria-hidden":
-                boiler |= value == "true"
-            elif key == "style":
-                boiler |= "display:none" in value.replace(" ", "")
-    return boiler and (tag == "article" or not named_main), main or named_main
+            elif (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
+                boiler = FIRM
+    return 0 if named_main and tag != "article" else boiler, main or named_main
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []     # (tag, boilerplate, main text)
+    stack: list[tuple[str, int, bool]] = []      # (tag, boilerplate, main text)
     parts: list[str] = []
     links, in_link = 0, False
-    tag, boiler, main, cut = "body", False, False, False     # of the open block; cut: in an inline element named as boilerplate
+    tag, boiler, main, cut = "body", 0, False, False     # of the open block; cut: in an inline element named as boilerplate
 
     def finish() -> None:
         nonlocal links
@@ -171,11 +196,13 @@ def blocks(page: str) -> list[Block]:
             in_link = in_link or name == "a"
             while block and stack and (stack[-1][0] not in BLOCK_TAGS or stack[-1][0] == "p" or (name == stack[-1][0] and name in ONE_BY_ONE)):
                 stack.pop()                      # open inline elements, paragraphs and items end here
-            _, up_boiler, up_main = stack[-1] if stack else ("", False, False)
+            _, up_boiler, up_main = stack[-1] if stack else ("", 0, False)
             hints = _hints(name, attributes, up_main)
-            stack.append((name, up_boiler or hints[0], up_main or hints[1]))
-        tag, boiler, main = next((x for x in reversed(stack) if x[0] in BLOCK_TAGS), ("body", False, False))
-        cut = bool(stack) and stack[-1][1] and not boiler
+            if hints[1] and up_boiler == WRAPPER:            # marked text inside a mere wrapper
+                up_boiler = 0
+            stack.append((name, max(up_boiler, hints[0]), up_main or hints[1]))
+        tag, boiler, main = next((x for x in reversed(stack) if x[0] in BLOCK_TAGS), ("body", 0, False))
+        cut = bool(stack) and stack[-1][1] > boiler
     finish()
     return out
 
@@ -183,7 +210,7 @@ def blocks(page: str) -> list[Block]:
 def first_pass(found: list[Block]) -> None:
     for b in found:
         size = len(b.text)
-        if b.boiler or b.links > LINKS_MOST * size or b.text.startswith("©"):
+        if b.boiler == FIRM or b.links > LINKS_MOST * size or b.text.startswith("©"):
             b.label = DROP
             continue
         tokens = b.text.lower().split()
@@ -196,6 +223,14 @@ def first_pass(found: list[Block]) -> None:
             b.label = NEAR
         else:
             b.label = SHORT if b.main else DROP
+    # a wrapper drops its text unless that is the larger part of what runs
+    wrapped = [b for b in found if b.boiler == WRAPPER]
+    if wrapped:
+        inside, outside = (sum(len(b.text) for b in found if b.label in (KEEP, NEAR) and bool(b.boiler) == x) for x in (True, False))
+        marked = any(b.main and not b.boiler and b.label != DROP and b.tag not in HEADINGS for b in found)
+        if marked or inside <= outside:
+            for b in wrapped:
+                b.label = DROP
 
 
 def second_pass(found: list[Block]) -> list[Block]:

@@ -22,6 +22,21 @@ def test_unmarked_page():
     assert H.main_text(page) == f"Headline\n{LONG}\nShort bit.\n{LONG}"
 
 
+@pytest.mark.parametrize("wrapper", ["form action=x method=post", "fieldset", 'div role="form"', 'div class="content-sidebar-wrap"', 'div class="page-with-sidebar"', 'div id="main_sidebar_container"', 'div class="layout-right-sidebar"'])
+def test_page_inside_a_wrapper(wrapper):
+    tag = wrapper.split()[0]
+    rest = f"<nav><article>{LONG}</article></nav><aside><article>{LONG}</article></aside><footer><article>{LONG}</article></footer><div class=comment-list><article>{LONG}</article></div>"
+    for mark in ("article", "main", "div class=entry-content", "div role=main", "div itemprop=articleBody"):
+        assert H.main_text(f"<body><{wrapper}>{rest}<{mark}><h1>Headline</h1><p>{LONG}</p><p>Short one.</p></{mark.split()[0]}></{tag}></body>") == f"Headline\n{LONG}\nShort one."
+    # no mark: the wrapper holds the running text
+    assert H.main_text(f"<body><{wrapper}><a href=1>Home</a><div><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div></{tag}></body>") == f"{LONG}\nShort one.\n{LONG}"
+
+
+def test_wrappers_beside_the_text():
+    beside = f"<form><p>{LONG}</p></form><div class=sidebar-wrap><article>{LONG}</article></div><div class=page-sidebar><article>{LONG}</article></div>"
+    assert H.main_text(f"<article><p>Short one.</p>{beside}</article>{beside}") == "Short one."
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "<!-- x", "<script>", "<p>&nbsp;</p>", "<a title='x>y'>z</a>", "</p></div>", "<p " + "'" * 999, "<" * 999, "<div>" * 3000])
 def test_odd_pages(page):
     assert isinstance(H.main_text(page), str)
