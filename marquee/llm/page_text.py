@@ -6,7 +6,8 @@ footer, sidebar, notice, advert, form, comments), or with mostly link text,
 is dropped; a form or a container named after its layout (content and sidebar
 together) is a mere wrapper, which marked text inside it or the larger part
 of the running text overrules; one that is long and rich in stop words is kept; the others stay
-open (``short``, or ``near`` when they lean towards text).  Second pass: an
+open (``short``, or ``near`` when they lean towards text).  On a page whose
+stop words are not known length alone decides.  Second pass: an
 open block takes the label of the decided neighbours, nearest first, within
 the container of the main text where the page marks one; a heading follows
 what comes after it.
@@ -61,13 +62,15 @@ STOP_WORDS = frozenset("""a about after all also an and any are as at be been bu
 LONG, SOME = 140, 40             # code points: a block is long, a block is more than a scrap
 STOP_HIGH, STOP_LOW = 0.20, 0.08
 LINKS_MOST = 0.4
-SENTENCE_ENDS = ".!?…。！？\"'”»"
+SENTENCE_ENDS = ".!?…。！？।॥؟۔」』\"'”»"
 HEADING_REACH = 400              # code points between a heading and the text it belongs to
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _NAME_PART = re.compile(r"[a-z]+")
+_WIDE = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff]")
+WIDE = 3                         # letters that a character of the East Asian scripts counts for
 _STRIP = re.compile(r"^\W+|\W+$")
 KEEP, DROP, SHORT, NEAR = "keep", "drop", "short", "near"
 WRAPPER, FIRM = 1, 2             # strengths of a boilerplate flag
@@ -208,21 +211,33 @@ def blocks(page: str) -> list[Block]:
 
 
 def first_pass(found: list[Block]) -> None:
+    rich = poor = 0                              # text with and without known stop words
+    loose: list[tuple[Block, int]] = []          # blocks of few links without known stop words
     for b in found:
         size = len(b.text)
         if b.boiler == FIRM or b.links > LINKS_MOST * size or b.text.startswith("©"):
             b.label = DROP
             continue
+        if not b.text.isascii():
+            size += (WIDE - 1) * len(_WIDE.findall(b.text))
         tokens = b.text.lower().split()
         density = sum(t in STOP_WORDS or _STRIP.sub("", t) in STOP_WORDS for t in tokens) / len(tokens)
         if size < SOME or b.tag in HEADINGS:
             b.label = SHORT
-        elif density >= STOP_HIGH:
-            b.label = KEEP if size >= LONG else NEAR
         elif density >= STOP_LOW:
-            b.label = NEAR
+            b.label = KEEP if size >= LONG and density >= STOP_HIGH else NEAR
+            rich += size
         else:
-            b.label = SHORT if b.main else DROP
+            b.label = NEAR if b.tag == "pre" else SHORT
+            poor += size
+            loose.append((b, size))
+    if poor > rich:                              # the page's language has other stop words, or none
+        for b, size in loose:
+            b.label = KEEP if size >= LONG else NEAR
+    if not any(b.label == KEEP for b in found):  # no long paragraph: the shorter ones are the text
+        for b in found:
+            if b.label == NEAR:
+                b.label = KEEP
     # a wrapper drops its text unless that is the larger part of what runs
     wrapped = [b for b in found if b.boiler == WRAPPER]
     if wrapped:

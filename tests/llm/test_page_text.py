@@ -37,6 +37,36 @@ def test_wrappers_beside_the_text():
     assert H.main_text(f"<article><p>Short one.</p>{beside}</article>{beside}") == "Short one."
 
 
+RUSSIAN = "Город стоит на берегу большой реки, и каждое утро над водой поднимается туман, который медленно уходит в сторону старого моста и дальних холмов за ним."
+POLISH = "Miasto leży nad brzegiem dużej rzeki, a każdego ranka nad wodą unosi się mgła, która powoli odpływa w stronę starego mostu oraz odległych wzgórz za nim."
+CHINESE = "这座城市位于一条大河的岸边，每天早晨水面上都会升起薄雾，慢慢地飘向古老的桥和远处的山丘，人们在河边散步聊天。"
+JAPANESE = "この町は大きな川のほとりにあり、毎朝、水面に霧が立ちのぼり、古い橋と遠くの丘のほうへゆっくりと流れていきます。"
+ENDS = "<div id=top><a href=1>Home</a> | <a href=2>News</a></div>", "<div><a href=3>Imprint and contact of the site</a></div>"
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, POLISH, CHINESE, JAPANESE, RUSSIAN[:61], POLISH[:90], CHINESE[:25]])
+def test_unmarked_page_in_other_languages(text):
+    assert H.main_text(f"{ENDS[0]}<div><p>{text}</p><p>{text}</p><p>{text}</p></div>{ENDS[1]}") == "\n".join([text] * 3)
+
+
+def test_mixed_language_page():
+    assert H.main_text(f"{ENDS[0]}<p>{RUSSIAN}</p><p>{RUSSIAN}</p><p>It is said in English that this is so.</p><p>{RUSSIAN}</p>{ENDS[1]}") == f"{RUSSIAN}\n{RUSSIAN}\nIt is said in English that this is so.\n{RUSSIAN}"
+
+
+def test_blocks_without_stop_words_between_paragraphs():
+    code = "total = 0 for row in rows: total += row.price * row.amount print(total)"
+    names = "Alice Smith, Robert Brown, Carla Jones, David Miller, Erika Wilson, Frank Moore, Gina Taylor"
+    page = f"<p>{LONG}</p><pre>{code}</pre><p>{LONG}</p><table><tr><td>{names}</td></tr></table><p>{LONG}</p><pre><code>{code}</code></pre>"
+    want = f"{LONG}\n{code}\n{LONG}\n{names}\n{LONG}\n{code}"
+    assert H.main_text(f"{ENDS[0]}<div>{page}</div>{ENDS[1]}") == want
+    # beside links such a block is none of the text
+    assert H.main_text(f"{ENDS[0]}<div>{names}</div>{ENDS[0]}<div>{page}</div>{ENDS[1]}<div>{names}</div>{ENDS[1]}") == want
+
+
+def test_unmarked_page_of_short_paragraphs():
+    assert H.main_text(f"{ENDS[0]}<h2>Headline</h2><p>{LONG[:90]}</p><p>{LONG[:70]}</p>{ENDS[1]}") == f"Headline\n{LONG[:90].strip()}\n{LONG[:70].strip()}"
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "<!-- x", "<script>", "<p>&nbsp;</p>", "<a title='x>y'>z</a>", "</p></div>", "<p " + "'" * 999, "<" * 999, "<div>" * 3000])
 def test_odd_pages(page):
     assert isinstance(H.main_text(page), str)
