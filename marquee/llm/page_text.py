@@ -10,13 +10,15 @@ open (``short``, or ``near`` when they lean towards text).  On a page whose
 stop words are not known length alone decides.  Second pass: an
 open block takes the label of the decided neighbours, nearest first, within
 the container of the main text where the page marks one; a heading follows
-what comes after it.
+what comes after it.  A mark counts when one marked container holds at least
+as much running text as all that is outside of them.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -81,7 +83,7 @@ class Block:
     text: str
     links: int                   # code points inside links
     tag: str
-    main: bool                   # inside the container of the main text
+    main: int                    # number of the container of the main text that it is in, or 0
     boiler: int                  # inside a container named as boilerplate: WRAPPER, FIRM or 0
     label: str = ""
 
@@ -108,36 +110,45 @@ def _hints(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
     boiler = 0
     if tag in BOILER_TAGS and not (inside and tag == "header"):
         boiler = WRAPPER if tag in WRAPPER_TAGS else FIRM
+    firm = boiler == FIRM                        # by more than a name like right-sidebar, which may say what is beside
     main = named_main = tag in MAIN_TAGS
+    class_main = False                           # the bare class name says little: main menu, main header
     if attributes and "=" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or "").lower()
             if key == "role":
                 if value in BOILER_ROLES:
                     boiler = max(boiler, WRAPPER if value == "form" else FIRM)
+                    firm |= value != "form"
                 named_main |= value in ("main", "article")
             elif key in ("class", "id"):
                 for name in value.replace("_", "-").split():
-                    if name in MAIN_WORDS:
+                    if name == "main" and key == "class":
+                        class_main = True
+                    elif name in MAIN_WORDS:
                         named_main = True
                     elif tag == "article":
                         if name in BOILER_WORDS or name.startswith("comment"):
                             boiler = FIRM
                     elif tag not in UNNAMED_TAGS and not name.startswith(MODIFIERS):
-                        boiler = max(boiler, _named(name, inside))
+                        named = _named(name, inside)
+                        boiler = max(boiler, named)
+                        firm |= named == FIRM and (name in BOILER_WORDS or "sidebar" not in name)
             elif key == "itemprop":
                 named_main |= value == "articlebody"
             elif (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
-                boiler = FIRM
-    return 0 if named_main and tag != "article" else boiler, main or named_main
+                boiler, firm = FIRM, True
+    if tag != "article" and (named_main or (class_main and not firm)):
+        boiler = 0
+    return boiler, main or named_main or (class_main and not boiler)
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []      # (tag, boilerplate, main text)
+    stack: list[tuple[str, int, int]] = []       # (tag, boilerplate, main text)
     parts: list[str] = []
-    links, in_link = 0, False
-    tag, boiler, main, cut = "body", 0, False, False     # of the open block; cut: in an inline element named as boilerplate
+    links, in_link, n_main = 0, False, 0
+    tag, boiler, main, cut = "body", 0, 0, False     # of the open block; cut: in an inline element named as boilerplate
 
     def finish() -> None:
         nonlocal links
@@ -199,12 +210,15 @@ def blocks(page: str) -> list[Block]:
             in_link = in_link or name == "a"
             while block and stack and (stack[-1][0] not in BLOCK_TAGS or stack[-1][0] == "p" or (name == stack[-1][0] and name in ONE_BY_ONE)):
                 stack.pop()                      # open inline elements, paragraphs and items end here
-            _, up_boiler, up_main = stack[-1] if stack else ("", 0, False)
-            hints = _hints(name, attributes, up_main)
+            _, up_boiler, up_main = stack[-1] if stack else ("", 0, 0)
+            hints = _hints(name, attributes, up_main > 0)
             if hints[1] and up_boiler == WRAPPER:            # marked text inside a mere wrapper
                 up_boiler = 0
-            stack.append((name, max(up_boiler, hints[0]), up_main or hints[1]))
-        tag, boiler, main = next((x for x in reversed(stack) if x[0] in BLOCK_TAGS), ("body", 0, False))
+            if hints[1] and not up_main:
+                n_main += 1
+                up_main = n_main
+            stack.append((name, max(up_boiler, hints[0]), up_main))
+        tag, boiler, main = next((x for x in reversed(stack) if x[0] in BLOCK_TAGS), ("body", 0, 0))
         cut = bool(stack) and stack[-1][1] > boiler
     finish()
     return out
@@ -250,11 +264,20 @@ def first_pass(found: list[Block]) -> None:
 
 def second_pass(found: list[Block]) -> list[Block]:
     """Open blocks inherit; returns the kept ones in page order."""
-    marked = any(b.main and b.label != DROP for b in found)
+    sizes: Counter[int] = Counter()              # running text of each marked container, and outside (0)
+    for b in found:
+        if b.label in (KEEP, NEAR):
+            sizes[b.main] += len(b.text)
+    outside = sizes.pop(0, 0)
+    marked = any(b.main and b.label != DROP for b in found) and max(sizes.values(), default=0) >= outside
     if marked:                                   # the page says where its text is
         for b in found:
             if not b.main:
                 b.label = DROP
+    else:                                        # a mark that is not trusted still speaks for its own text
+        for b in found:
+            if b.main and b.label == NEAR:
+                b.label = KEEP
     # labels that others inherit; within marked text a block dropped by its
     # name says nothing about the paragraphs around it
     n = len(found)

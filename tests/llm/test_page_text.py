@@ -67,6 +67,38 @@ def test_unmarked_page_of_short_paragraphs():
     assert H.main_text(f"{ENDS[0]}<h2>Headline</h2><p>{LONG[:90]}</p><p>{LONG[:70]}</p>{ENDS[1]}") == f"Headline\n{LONG[:90].strip()}\n{LONG[:70].strip()}"
 
 
+MENU = "Products and services of the house, prices, places"
+
+
+@pytest.mark.parametrize("teasers", [1, 2, 9])
+def test_story_outside_of_marked_teasers(teasers):
+    cards = f"<article class=card><h3>Teaser</h3><p>{LONG}</p></article>" * teasers
+    story = f"<div class=entry><h1>Headline</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div>"
+    kept = H.main_text(f"{ENDS[0]}{story}{cards}{ENDS[1]}")
+    assert kept.startswith(f"Headline\n{LONG}\nShort one.\n{LONG}") and kept.count(LONG) == 2 + teasers
+
+
+@pytest.mark.parametrize("menu", ["div class='nav main'", "nav class=main", "ul class='main menu'", "div class='main navbar'", "div class='story'", "div class='main'"])
+def test_menu_with_a_main_name(menu):
+    tag = menu.split()[0]
+    kept = H.main_text(f"<{menu}><p>{MENU}</p></{tag}><div><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div>")
+    assert kept.endswith(f"{LONG}\nShort one.\n{LONG}")
+    if menu not in ("div class='story'", "div class='main'"):
+        assert MENU not in kept
+
+
+@pytest.mark.parametrize("mark", ["div class=main", "div class='main content-sidebar-wrap'", "div class='main right-sidebar'", "div id=main", "form class=main", "article"])
+def test_mark_with_the_larger_part(mark):
+    tag = mark.split()[0]
+    beside = f"<div class=unknown><p>{LONG}</p></div>"
+    assert H.main_text(f"{beside}<{mark}><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></{tag}>") == f"{LONG}\nShort one.\n{LONG}"
+
+
+def test_short_marked_text_beside_longer_text():
+    kept = H.main_text(f"{ENDS[0]}<article><p>{LONG[:90]}</p></article>{ENDS[1]}<div><p>{LONG}</p></div>{ENDS[1]}")
+    assert kept == f"{LONG[:90].strip()}\n{LONG}"
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "<!-- x", "<script>", "<p>&nbsp;</p>", "<a title='x>y'>z</a>", "</p></div>", "<p " + "'" * 999, "<" * 999, "<div>" * 3000])
 def test_odd_pages(page):
     assert isinstance(H.main_text(page), str)
