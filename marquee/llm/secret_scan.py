@@ -5,7 +5,8 @@ the candidate decodes and its structure holds: base64 or hex text must parse
 as nested DER whose lengths fill their parents exactly and whose members form
 a private key; OpenSSH keys must consist of length-prefixed strings; signed
 tokens need a JSON header that names an algorithm, a JSON object as payload
-and a signature that decodes.
+and a signature that decodes.  The body of a PEM block may stand in escaped,
+joined, quoted or commented lines.
 """
 
 from __future__ import annotations
@@ -29,6 +30,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_VALUE, MIN_ACCESS = 6, 20
 
 PEM_BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+DASHES = re.compile(r"-{5,}")
+ESCAPED_CODE = re.compile(r"\\+u([0-9A-Fa-f]{4})")
+ESCAPED_SLASH = re.compile(r"\\+/")
+ESCAPED_END = re.compile(r"\\+[nrt]|<br\s*/?>|&(?:[a-z]+|#x?[0-9A-Fa-f]+);")
+ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED[^A-Za-z0-9]+DEK-Info:\s*[A-Z0-9-]+,\s*[0-9A-Fa-f]+")
+LINE_SUM = re.compile(r"""["'`]\s*\+\s*(?=\\*["'`]|\Z)""")      # strings added up in source
+NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/_=-]+")
 BASE64_DER = re.compile(r"(?<![A-Za-z0-9+/_=-])M[A-Za-z0-9+/_-]{39,}={0,2}")
 HEX_DER = re.compile(r"(?<![0-9A-Za-z])30[0-9A-Fa-f]{62,}")
 BASE64_SSH = re.compile(r"(?<![A-Za-z0-9+/_=-])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{20,}={0,2}")
@@ -141,18 +149,35 @@ def base_spans(text: str) -> Iterator[Span]:
         yield "hex", m.start(), m.end()
 
 
+def is_pem_key(raw: str) -> bool:
+    """Whether the text between the two marks of a PEM block is a key: as it
+    stands, or without escapes, white space, quotes and line prefixes."""
+    data = unbase64("".join(x.strip() for x in raw.split("\n") if ":" not in x))
+    if data and (is_key(data) or is_ssh_key(data) or ("Proc-Type: 4,ENCRYPTED" in raw and len(data) >= 32)):
+        return True
+    plain = ESCAPED_SLASH.sub("/", ESCAPED_END.sub("\n", ESCAPED_CODE.sub(lambda m: chr(int(m[1], 16)), raw)))
+    lines = plain.split("\n")
+    prefix = lines[-1]                           # what stands before the end mark stands before every line
+    cut = [x.removeprefix(prefix) if x.startswith(prefix) else x.removeprefix(prefix.rstrip()) for x in lines[1:]]
+    for body in (plain, "\n".join([lines[0], *cut])):
+        bare = ENCRYPTED.sub("\n", body)
+        kept = "\n".join(x for x in LINE_SUM.sub("", bare).split("\n") if ":" not in x)
+        data = unbase64(NOT_BASE64.sub("", kept))
+        if data and (is_key(data) or is_ssh_key(data) or (bare != body and len(data) >= 32 and len(data) % 8 == 0)):
+            return True
+    return False
+
+
 def confirmed_spans(text: str) -> Iterator[Span]:
     if "PRIVATE KEY-----" in text:
         at = 0
         while m := PEM_BEGIN.search(text, at):
             at = m.end()
             close = f"-----END {m[1]}-----"
-            end = text.find("-----", m.end())
-            if end < 0 or not text.startswith(close, end):
+            dashes = DASHES.search(text, at)
+            if not dashes or not text.startswith(close, end := dashes.end() - 5):
                 continue
-            lines = text[m.end():end].split("\n")
-            data = unbase64("".join(x.strip() for x in lines if ":" not in x))
-            if data and (is_key(data) or is_ssh_key(data) or ("Proc-Type: 4,ENCRYPTED" in text[m.end():end] and len(data) >= 32)):
+            if is_pem_key(text[at:end]):
                 yield "pem", m.start(), end + len(close)
     for m in BASE64_DER.finditer(text):
         data = unbase64(m[0])

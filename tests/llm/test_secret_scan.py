@@ -59,6 +59,43 @@ def test_confirmed_kinds():
     assert ("ssh", text64(SSH)) in kinds(text64(SSH))
 
 
+def pem_forms(data, name="PRIVATE KEY", head=()):
+    """How the lines of a PEM block are written in texts."""
+    lines = [f"-----BEGIN {name}-----", *head, *re.findall(".{1,64}", text64(data)), f"-----END {name}-----"]
+    yield "json", json.dumps({"type": "service_account", "private_key": "\n".join(lines) + "\n"})
+    yield "json in json", json.dumps(json.dumps({"key": "\r\n".join(lines)}))
+    yield "escaped slashes and signs", json.dumps("\n".join(lines)).replace("/", "\\/").replace("=", "\\u003d")
+    yield "env", "KEY=" + "\\n".join(lines)
+    yield "one line", " ".join(lines)
+    yield "windows", "\r\n".join(lines)
+    for prefix in ("> ", "# ", "+", "-", "// ", " * ", "; ", "    ", "> > "):
+        yield f"prefix {prefix}", "\n".join(prefix + x for x in lines)
+    yield "concatenated", "key = " + " +\n    ".join(f'"{x}\\n"' for x in lines)
+    yield "plus first", "key = " + "\n    + ".join(f"'{x}'" for x in lines)
+    yield "tuple", "key = (" + "\n    ".join(f'"{x}\\n"' for x in lines) + ")"
+    yield "array", "[" + ",\n".join(f"'{x}'" for x in lines) + "].join()"
+    yield "macro", " \\\n".join(f'"{x}\\n"' for x in lines)
+
+
+def test_pem_written_in_other_ways():
+    plus = tlv(0x30, number(1), tlv(4, b"\xfb\xef\xbe" * 15), tlv(0xA0, tlv(6, b"\x2a\x86\x48")))      # base64 with many + signs
+    slash = tlv(0x30, number(1), tlv(4, b"\xff" * 45), tlv(0xA0, tlv(6, b"\x2a\x86\x48")))
+    for data in (RSA, PKCS8, EC, SSH, plus, slash):
+        for form, text in pem_forms(data):
+            found = [x for k, x in kinds(f"a {text} b") if k == "pem"]
+            assert len(found) == 1 and found[0].startswith("-----BEGIN PRIVATE KEY-----") and found[0].endswith("-----END PRIVATE KEY-----"), form
+    for form, text in pem_forms(b"\x9c" * 64, "RSA PRIVATE KEY", ("Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF", "")):
+        assert [k for k, _ in kinds(text) if k == "pem"] == ["pem"], form
+    for form, text in (*pem_forms(CERT), *pem_forms(RSA[:-1]), *pem_forms(b"not a key, only a text of some length")):
+        assert [k for k, _ in kinds(text) if k == "pem"] == [], form
+
+
+def test_redact_pem_in_json(docs_of):
+    texts = {k: json.dumps({"id": 1, "private_key": text}) for k, (_, text) in enumerate(pem_forms(PKCS8))}
+    rows = S.redact(docs_of(list(texts.items()))).collect()
+    assert len(rows) == len(texts) and all("[secret]" in r.text and "PRIVATE KEY-----" not in r.text for r in rows)
+
+
 def test_structure_must_hold():
     assert kinds(text64(CERT)) == [] and kinds(text64(RSA[:-1])) == [] and kinds(text64(RSA + b"\0")) == []
     assert kinds("MIIB" + "A" * 60) == [] and kinds(text64(SSH[:40])) == []
