@@ -37,9 +37,9 @@ ESCAPED_END = re.compile(r"\\+[nrt]|<br\s*/?>|&(?:[a-z]+|#x?[0-9A-Fa-f]+);")
 ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED[^A-Za-z0-9]+DEK-Info:\s*[A-Z0-9-]+,\s*[0-9A-Fa-f]+")
 LINE_SUM = re.compile(r"""["'`]\s*\+\s*(?=\\*["'`]|\Z)""")      # strings added up in source
 NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/_=-]+")
-BASE64_DER = re.compile(r"(?<![A-Za-z0-9+/_=-])M[A-Za-z0-9+/_-]{39,}={0,2}")
+BASE64_DER = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-Za-z0-9+/_-]{39,}={0,2}")
 HEX_DER = re.compile(r"(?<![0-9A-Za-z])30[0-9A-Fa-f]{62,}")
-BASE64_SSH = re.compile(r"(?<![A-Za-z0-9+/_=-])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{20,}={0,2}")
+BASE64_SSH = re.compile(r"(?<![A-Za-z0-9+/_-])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{20,}={0,2}")
 SIGNED_TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])e[w-z][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{8,}")
 SSH_MAGIC = b"openssh-key-v1\x00"
 MAX_DEPTH = 12

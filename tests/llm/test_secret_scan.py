@@ -59,6 +59,14 @@ def test_confirmed_kinds():
     assert ("ssh", text64(SSH)) in kinds(text64(SSH))
 
 
+def test_assigned_keys():
+    for name in ("PRIVATE_KEY", "tls_key", "export K", "url?x=1&key", "x=", "ssh_key"):
+        for data in (RSA, PKCS8, EC):
+            assert kinds(f"a\n{name}={text64(data)}\nb") == [("der", text64(data))]
+        assert kinds(f"a\n{name}={text64(SSH)}\nb") == [("ssh", text64(SSH))]
+        assert kinds(f"{name}={text64(CERT)} {name}={text64(RSA[:-1])} {name}={text64(SSH[:40])}") == []
+
+
 def pem_forms(data, name="PRIVATE KEY", head=()):
     """How the lines of a PEM block are written in texts."""
     lines = [f"-----BEGIN {name}-----", *head, *re.findall(".{1,64}", text64(data)), f"-----END {name}-----"]
