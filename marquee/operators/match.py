@@ -6,7 +6,9 @@ top-1 (threshold on the winner only) -> optional studio re-rank of the top
 
 Blocking [decision]: a candidate qualifies when it shares at least one
 normalised title token with the wanted title and its release year is within
-±``year_tol`` (any year when the wanted year is NULL).
+±``year_tol`` (any year when the wanted year is NULL).  A title without
+normalised tokens (no ``[a-z0-9]``) is its own block key, lower-cased, without
+a trailing year: it meets candidates with exactly that title.
 
 Exact pruning (no cap, no sampling): inside one block every candidate has a
 guaranteed score ``LB`` (similarity 0, worst year gap, no bonus) and a best
@@ -34,7 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.functions.clean import day_distance, norm_text, norm_title, parse_date, prefix_year
+from marquee.functions.clean import TITLE_YEAR_SUFFIX, day_distance, norm_text, norm_title, parse_date, prefix_year
 from marquee.functions.similarity import indel_ratio
 
 
@@ -66,14 +68,21 @@ EPS = 1e-6
 
 
 def title_tokens(norm: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(norm, " "), lambda x: x != ""))
+    whole = (norm != "") & ~norm.rlike("[a-z0-9]")  # a raw title is one token
+    return F.when(whole, F.array(norm)).otherwise(F.array_distinct(F.filter(F.split(norm, " "), lambda x: x != "")))
+
+
+def or_raw_title(norm: Column, title: Column) -> Column:
+    """The normalised title, or the lower-cased raw one when nothing is left."""
+    raw = F.regexp_replace(norm_text(title), "(?U)" + TITLE_YEAR_SUFFIX, "")
+    return F.when(norm == "", F.trim(raw)).otherwise(norm)
 
 
 def prepare_catalogue(cat: DataFrame) -> DataFrame:
     """cand_id, cand_pos, title, release_date, vote_count, popularity, genre_ids
     -> normalised candidate rows."""
     return cat.select(
-        "cand_id", "cand_pos", norm_title("title").alias("c_norm"),
+        "cand_id", "cand_pos", or_raw_title(norm_title("title"), F.col("title")).alias("c_norm"),
         prefix_year("release_date").alias("c_year"), "release_date",
         F.coalesce(F.col("vote_count"), F.lit(0)).cast("double").alias("votes"),
         F.coalesce(F.col("popularity"), F.lit(0.0)).cast("double").alias("pop"),
@@ -212,6 +221,8 @@ def pick(wanted: DataFrame, catalogue: DataFrame, w: Weights = V3, companies: Da
     from marquee.session import materialize
 
     cands = prepare_catalogue(catalogue)
+    if "title" in wanted.columns:
+        wanted = wanted.withColumn("w_norm", or_raw_title(F.col("w_norm"), F.col("title")))
     # stage boundary: key-level candidates (UDF run once per distinct title pair)
     keyed = materialize(key_scores(wanted, cands, w, year_tol), "match-keyed")
     sc = score(wanted, keyed, w)

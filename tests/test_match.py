@@ -25,6 +25,18 @@ def test_winner_only_threshold(spark):
     assert r["matched_id"] == 2
 
 
+@pytest.mark.parametrize("w", [MT.V3, MT.SECONDARY])
+def test_title_without_ascii_meets_its_copy(spark, w):
+    cat = spark.createDataFrame(
+        [(1, 0, "千と千尋の神隠し", "2001-07-20", 9, 1.0, [16]), (2, 1, "Брат 千", "2001-05-01", 99, 9.0, [18]), (3, 2, "БРАТ", "1997-05-17", 5, 1.0, [18]), (4, 3, "!!!", "2001-01-01", 1, 1.0, [18])],
+        "cand_id long, cand_pos int, title string, release_date string, vote_count long, popularity double, "
+        "genre_ids array<int>")
+    wanted = spark.createDataFrame([(1, "千と千尋の神隠し (2001)", 2001), (2, "Брат", 1997), (3, "брат", None), (4, "千", 2001), (5, "", 2001), (6, None, 2001)],
+                                   "row_id long, title string, w_year int").withColumn("w_norm", MT.norm_title("title"))
+    got = {r["row_id"]: (r["matched_id"], r["sim"]) for r in MT.pick(wanted, cat, w).collect()}
+    assert got == {1: (1, 1.0), 2: (3, 1.0), 3: (3, 1.0), 4: (None, None), 5: (None, None), 6: (None, None)}
+
+
 def brute_force(w: pd.DataFrame, c: pd.DataFrame, comp: pd.DataFrame, wt: MT.Weights) -> dict:
     out = {}
     comp_by = comp.groupby("cand_id")["company"].apply(list).to_dict()
