@@ -88,7 +88,29 @@ def op10_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(100)) == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_html_text, op3_packing, op4_suffix_dedup, op5_warc, op6_winnowing, op7_bag_minhash, op8_byte_bpe, op9_secret_scan, op10_pivot_topk)}
+def op11_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.slots import shard
+
+    placed, _ = shard(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm import merkle
+
+    docs = read_table(spark, sf_dir, "documents", list(merkle.FIELDS))
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = merkle.digest(*[F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars")) if c == "n_chars" else c for c in merkle.FIELDS])
+    return merkle.verify(docs, tampered).select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marquee.llm.collocations import collocations
+
+    return collocations(read_table(spark, sf_dir, "documents", ["lang", "text"]))
+
+
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_html_text, op3_packing, op4_suffix_dedup, op5_warc, op6_winnowing, op7_bag_minhash, op8_byte_bpe, op9_secret_scan, op10_pivot_topk, op11_virtual_slots, op12_merkle_manifest, op13_collocations)}
 ORACLE_SQL: dict[str, str] = {
     "op10_pivot_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
