@@ -4,6 +4,8 @@ express."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,4 +152,44 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
         FROM f""",
+    "op12_merkle_manifest": """
+        WITH RECURSIVE b AS (SELECT *, encode(CAST(doc_id AS VARCHAR)) AS id FROM documents),
+        c AS (SELECT *, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, octet_length(id) + 1), lambda i: CAST(('0x' || hex(id[i:i])) AS BIGINT))),
+                lambda acc, x: list_reduce(list_prepend(xor(acc, x), range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))) AS crc FROM b),
+        f AS (SELECT doc_id, lang, coalesce(xor(crc, 4294967295) % 7 = 0, false) AS hit, n_chars, h(doc_id) || h(source) || h(lang) AS head, h(text) AS tail FROM c),
+        l AS (SELECT doc_id, lang, sha256(head || h(n_chars) || tail) AS leaf, sha256(head || h(n_chars + CASE WHEN hit THEN 1 ELSE 0 END) || tail) AS tampered FROM f),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM l),
+        g AS (SELECT lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS grp, count(*) OVER () AS n FROM (SELECT DISTINCT lang FROM l)),
+        t(lang, level, idx, n, h) AS (SELECT lang, 0, idx, n, leaf FROM r UNION ALL
+            SELECT lang, level + 1, idx // 2, (n + 1) // 2, sha256(h || coalesce(sib, '')) FROM (SELECT *, lead(h) OVER (PARTITION BY lang ORDER BY idx) AS sib FROM t WHERE n > 1) WHERE idx % 2 = 0),
+        s AS (SELECT lang, h AS subroot FROM t WHERE n = 1),
+        u(level, idx, n, h) AS (SELECT 0, grp, n, subroot FROM g JOIN s ON g.lang IS NOT DISTINCT FROM s.lang UNION ALL
+            SELECT level + 1, idx // 2, (n + 1) // 2, sha256(h || coalesce(sib, '')) FROM (SELECT *, lead(h) OVER (ORDER BY idx) AS sib FROM u WHERE n > 1) WHERE idx % 2 = 0),
+        p(doc_id, lang, leaf, step, idx, node, proof, upper) AS (SELECT doc_id, lang, leaf, 0, idx, tampered, '', false FROM r UNION ALL
+            SELECT p.doc_id, p.lang, p.leaf, CASE WHEN z.n > 1 THEN step + 1 ELSE 0 END, CASE WHEN z.n > 1 THEN p.idx // 2 ELSE grp END,
+                   CASE WHEN z.n = 1 THEN node WHEN p.idx % 2 = 0 THEN sha256(node || coalesce(y.h, '')) ELSE sha256(y.h || node) END, proof || coalesce(y.h, ''), z.n = 1
+            FROM p JOIN t z ON z.lang IS NOT DISTINCT FROM p.lang AND z.level = step AND z.idx = p.idx LEFT JOIN t y ON y.lang IS NOT DISTINCT FROM p.lang AND y.level = step AND y.idx = xor(p.idx, 1)
+            JOIN g ON g.lang IS NOT DISTINCT FROM p.lang WHERE NOT upper),
+        q(doc_id, lang, leaf, step, idx, node, proof) AS (SELECT doc_id, lang, leaf, step, idx, node, proof FROM p WHERE upper UNION ALL
+            SELECT q.doc_id, q.lang, q.leaf, step + 1, q.idx // 2, CASE WHEN q.idx % 2 = 0 THEN sha256(node || coalesce(y.h, '')) ELSE sha256(y.h || node) END, proof || coalesce(y.h, '')
+            FROM q JOIN u z ON z.level = step AND z.idx = q.idx AND z.n > 1 LEFT JOIN u y ON y.level = step AND y.idx = xor(q.idx, 1)),
+        e AS (SELECT * FROM q JOIN (SELECT max(level) AS last FROM u) ON step = last)
+        SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+        FROM e JOIN s ON s.lang IS NOT DISTINCT FROM e.lang CROSS JOIN (SELECT h AS root FROM u WHERE n = 1)""",
+    "op13_collocations": """
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+        o AS (SELECT lang, w[i:i + k - 1] AS phrase, k FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p), range(1, 5) AS r(k) WHERE i + k - 1 <= len(w)),
+        f AS (SELECT lang, phrase, k, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 30),
+        n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+        s AS (SELECT lang, phrase[i:i + m - 1] AS phrase, max(f) AS longer FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM f)) GROUP BY ALL),
+        c AS (SELECT f.*, unnest(range(1, k)) AS cut FROM f LEFT JOIN s USING (lang, phrase) WHERE k >= 2 AND (longer IS NULL OR 100 * longer < 80 * f)),
+        z AS (SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, CAST((2000000 * CAST(c.f AS HUGEINT)) // (x.f + y.f) AS BIGINT) AS score, cut
+              FROM c JOIN f x ON x.lang = c.lang AND x.phrase = c.phrase[1:cut] JOIN f y ON y.lang = c.lang AND y.phrase = c.phrase[cut + 1:]),
+        b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM z),
+        k AS (SELECT lang, array_to_string(phrase, ' ') AS phrase, a, l, r, score FROM b WHERE nth = 1),
+        t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM k)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000""",
 }
+# the field encoding of a leaf, written out: DuckDB macros would need their own statement
+ORACLE_SQL["op12_merkle_manifest"] = re.sub(r"\bh\(((?:\w+|n_chars \+ CASE WHEN hit THEN 1 ELSE 0 END))\)", r"coalesce(octet_length(encode(CAST(\1 AS VARCHAR))) || ':' || CAST(\1 AS VARCHAR), '-')", ORACLE_SQL["op12_merkle_manifest"])
