@@ -82,3 +82,39 @@ def test_digests(spark, docs_of, library):
 def test_encode_keeps_columns(docs_of, library):
     rows = B.encode(docs_of(EDGES), RANKS, out="kept").collect()
     assert len(rows) == len(EDGES) and all(list(r.kept) == library.encode_ordinary(r.text or "") and r.spans == "y" for r in rows)
+
+
+def thue_morse(n):
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_pieces_that_polynomial_hashes_confuse(spark, docs_of, library):
+    texts = [t for n in (1024, 4096) for t in thue_morse(n)]
+    _, pieces = B.encoder(RANKS)
+    assert [ids.tolist() for _, part in pieces.encode(texts) for ids in part] == [library.encode_ordinary(t) for t in texts]
+    rows = {r.doc_id: r.decoded_sha256 for r in B.roundtrip_digests(docs_of(list(enumerate(texts)), 1), RANKS).collect()}
+    assert rows == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+def test_long_texts_are_cut_where_a_piece_begins(library, monkeypatch):
+    from marquee.llm import pieces as P_
+
+    monkeypatch.setattr(P_, "SLICE_CHARS", 7)
+    for text in random_texts(400, 5) + ["x" * 100, " " * 50 + "a", "a" + "\n" * 40 + "b", "don't " * 9, "漢字かな交じり文" * 4]:
+        enc = P_.PieceEncoder(lambda new: B.encode_pieces(B.encoder(RANKS)[0], new))
+        if text:
+            assert enc.encode_long(text).tolist() == library.encode_ordinary(text), text
+
+
+def test_piece_caches_trim(library, monkeypatch):
+    from marquee.llm import pieces as P_
+
+    monkeypatch.setattr(P_, "CACHED_SHORT", 20)
+    monkeypatch.setattr(P_, "CACHED_LONG", 5)
+    monkeypatch.setattr(P_, "SLICE_CHARS", 60)
+    texts = random_texts(300, 7) + ["internationalization of " + str(i) * 20 for i in range(30)]
+    enc = P_.PieceEncoder(lambda new: B.encode_pieces(B.encoder(RANKS)[0], new))
+    got = [ids.tolist() for _ in range(2) for t in texts for ids in ([enc.encode_long(t)] if len(t) > 60 else enc.encode_slice([t]))]
+    assert got == [library.encode_ordinary(t) for t in texts] * 2
+    assert len(enc.short.keys) <= 40 and len(enc.long.numbers) <= 40

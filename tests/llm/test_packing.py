@@ -57,3 +57,36 @@ def test_pack_equals_the_library(docs_of):
 
 def test_special_strings_are_text(docs_of):
     assert sum(r.length for r in pack(docs_of([(1, "<|endoftext|>")]), FILE).collect()) > 2
+
+
+def test_ranks_of_the_file_give_the_ids_of_the_library():
+    from marquee.llm import packing
+
+    tok = Tokenizer.from_file(FILE)
+    tok.encode_special_tokens = True
+    ranks = packing._ranks(FILE)
+    assert ranks is not None and len(ranks) == tok.get_vocab_size() - 1
+    # every token encodes to itself, so merging by rank and by listed pairs agree
+    words = [(b.decode(), i) for b, i in ranks.items() if b.decode("utf-8", "ignore").encode() == b and not b.isspace()]
+    got = tok.encode_batch_fast([w for w, _ in words], add_special_tokens=False)
+    assert all(e.ids == [i] for e, (w, i) in zip(got, words) if len(tok.pre_tokenizer.pre_tokenize_str(w)) == 1)
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("aeinrst' \n.,1é漢"), 60)) for _ in range(400)]
+    mine = [ids.tolist() for _, part in packing.tokenizer(FILE).encode(texts) for ids in part]
+    assert mine == [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_other_files_go_through_the_library(tmp_path):
+    import json
+
+    from marquee.llm import packing
+
+    spec = json.load(open(FILE))
+    spec["model"]["merges"][10], spec["model"]["merges"][11] = spec["model"]["merges"][11], spec["model"]["merges"][10]
+    other = tmp_path / "swapped.json"
+    other.write_text(json.dumps(spec))
+    assert packing._ranks(str(other)) is None
+    tok = Tokenizer.from_file(str(other))
+    texts = ["the other nation is in it", "", "an end"]
+    mine = [ids.tolist() for _, part in packing.tokenizer(str(other)).encode(texts) for ids in part]
+    assert mine == [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
