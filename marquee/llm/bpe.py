@@ -155,10 +155,9 @@ def _seams(bpe: Bpe) -> dict[tuple[int, int], bool]:
     return bpe.seams
 
 
-def encode_pieces(bpe: Bpe, pieces: list[str]) -> list[list[int]]:
+def encode_pieces(bpe: Bpe, data: list[bytes]) -> list[list[int]]:
     """Ids of distinct pieces.  They are taken in byte order, so each keeps
     the table entries of the prefix that it shares with the one before."""
-    data = [p.encode("utf-8", "surrogatepass") for p in pieces]
     out: list = [None] * len(data)
     table = PrefixTable(bpe)
     for k in sorted(range(len(data)), key=data.__getitem__):

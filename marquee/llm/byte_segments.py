@@ -13,8 +13,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-from marquee.llm.pieces import _ODD1, _ODD2, _hashes
-from marquee.llm.shingles import mix
+from marquee.llm.pieces import LOW_BYTES, packed
+from marquee.llm.shingles import ODD, mix
 
 GRAM, ANCHOR, LENGTH = 25, 50, 100   # depth of the first buckets, of the anchors, length of the matches
 REACH = LENGTH - ANCHOR + 1          # anchor positions within a window
@@ -23,19 +23,29 @@ MAX_RUN = 64                         # windows of a segment; longer runs are cut
 
 def deepen(ids: np.ndarray, depth: int) -> np.ndarray:
     """Identifiers at twice the depth."""
-    return mix(ids[:-depth] * np.uint64(_ODD1) + mix(ids[depth:] + np.uint64(depth)))
+    return mix(ids[:-depth] * np.uint64(ODD) + mix(ids[depth:] + np.uint64(depth)))
+
+
+def _strings(data: np.ndarray, at: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """Hashes of the ``length`` bytes from each position, eight at a time
+    mixed into the hash so far."""
+    blocks = packed(data.tobytes())
+    out = np.full(len(at), seed, np.uint64)
+    for k in range(0, length, 8):
+        out = mix(out * np.uint64(ODD) + (blocks[at + k] & LOW_BYTES[min(8, length - k)]))
+    return out
 
 
 def identifiers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Identifiers of every position at depth ANCHOR and at depth LENGTH."""
     at = np.arange(max(0, len(data) - GRAM + 1))
-    anchor = deepen(mix(_hashes(data, at, at + GRAM, _ODD2)), GRAM)
+    anchor = deepen(_strings(data, at, GRAM, 1), GRAM)
     return anchor, deepen(anchor, ANCHOR)
 
 
 def second_identifiers(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Independent identifiers of the windows that begin at ``at``."""
-    return mix(_hashes(data, at, at + LENGTH, _ODD1))
+    return _strings(data, at, LENGTH, 2)
 
 
 def smallest_within(ids: np.ndarray, reach: int = REACH) -> np.ndarray:
@@ -74,7 +84,7 @@ def segments(data: np.ndarray, doc_at: np.ndarray):
         low, ends, doc = np.repeat(low, parts) + nth * MAX_RUN, np.repeat(ends, parts), np.repeat(doc, parts)
         ends = np.minimum(ends, low + MAX_RUN)
     high = ends - 1
-    own = mix(mix(whole[low] + np.uint64(1)) + whole[high] * np.uint64(_ODD1) + (high - low).astype(np.uint64))
+    own = mix(mix(whole[low] + np.uint64(1)) + whole[high] * np.uint64(ODD) + (high - low).astype(np.uint64))
     own ^= second_identifiers(data, low) + np.uint64(3) * second_identifiers(data, high)
     # repeats: only segments with a window that the slice has seen before can have one
     again = np.flatnonzero(pd.Series(whole).duplicated().to_numpy())

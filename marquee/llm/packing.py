@@ -13,6 +13,7 @@ one document, and no row leaves its partition.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 
@@ -27,27 +28,67 @@ WINDOW = 2048
 OPEN_WINDOWS = 64
 END_ID = 1
 _PARTITION_BITS = 40             # sequence numbers of one partition
+# fixed value: the split of byte-level BPE files
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _cached: dict = {}
 
 
 def tokenizer(path: str) -> PieceEncoder:
-    """Per worker process: a ``tokenizers`` file that encodes distinct pieces.
-    Strings of special tokens in a text are ordinary text."""
+    """Per worker process: the encoder of a ``tokenizers`` file.  Strings of
+    special tokens in a text are ordinary text.
+
+    Where the file is a plain byte-level BPE whose merges give rising ids, an
+    id is its token's rank, and pieces are merged by rank directly; any other
+    file goes through the library."""
     if path not in _cached:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
-        _cached[path] = PieceEncoder(lambda new: [e.ids for e in tok.encode_batch_fast(new, add_special_tokens=False)])
+        ranks = _ranks(path)
+        if ranks is not None:
+            import tiktoken
+
+            by_rank = tiktoken.Encoding("pieces", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            _cached[path] = PieceEncoder(lambda new: [by_rank(p.decode("utf-8")) for p in new])
+        else:
+            from tokenizers import Tokenizer
+
+            tok = Tokenizer.from_file(path)
+            tok.encode_special_tokens = True
+            _cached[path] = PieceEncoder(lambda new: [e.ids for e in tok.encode_batch_fast([p.decode("utf-8") for p in new], add_special_tokens=False)])
     return _cached[path]
 
 
+def _byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies:
+    printable Latin-1 stands for itself, the other bytes, in order, follow
+    from code point 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _ranks(path: str) -> dict[bytes, int] | None:
+    """Ids by token bytes, if the ids are the ranks of the merges."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    vocabulary, letters = model["vocab"], _byte_letters()
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [vocabulary[a + b] for a, b in merges]
+    if any(i >= j for i, j in zip(ids, ids[1:])) or any(max(vocabulary[a], vocabulary[b]) >= i for (a, b), i in zip(merges, ids)) or len(ids) + 256 != len(vocabulary):
+        return None
+    return {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
+
+
 class Packer:
     """Online packing.  ``emit(pieces)`` gets each finished sequence as a list
     of (document, start, ids); documents are opaque."""
@@ -100,11 +141,12 @@ class Packer:
             self.emit(out)
 
 
-def pack(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, window: int = WINDOW, open_windows: int = OPEN_WINDOWS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True, end_id: int = END_ID, window: int = WINDOW, open_windows: int = OPEN_WINDOWS) -> DataFrame:
     """Tokenize every whole text, append ``end_id``, and pack the ids.
 
     Returns one row per piece: (doc_id, start, length, ids as little-endian
-    unsigned 32-bit binary, doc_tokens, sequence_id, offset).  Null and empty
+    unsigned 32-bit binary, their ids_crc32, doc_tokens, sequence_id, offset);
+    without ``keep_ids`` the ids themselves are null.  Null and empty
     texts give the one id ``end_id``; rows with a null or a repeated doc_id
     are packed as documents of their own; other columns are not read.  An
     empty table gives no pieces.  Sequence ids carry the partition number, so
@@ -123,15 +165,16 @@ def pack(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str
             nonlocal done
             offset = 0
             for (doc, total), start, ids in parts:
-                rows.append((doc, start, len(ids), ids.astype("<u4").tobytes(), total, base + done, offset))
+                raw = ids.astype("<u4").tobytes()
+                rows.append((doc, start, len(ids), raw if keep_ids else None, zlib.crc32(raw), total, base + done, offset))
                 offset += len(ids)
             done += 1
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*rows))
             rows.clear()
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         packer = Packer(emit, window, open_windows)
         end = np.array([end_id], dtype=np.uint32)

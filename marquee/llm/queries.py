@@ -37,8 +37,8 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marquee.llm.packing import pack
 
-    pieces = pack(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), _vocabulary("byte_bpe_50k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    pieces = pack(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), _vocabulary("byte_bpe_50k.json"), keep_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
-from marquee.llm.pieces import _ODD1, _ODD2, _hashes, slices
+from marquee.llm.pieces import LOW_BYTES, byte_offsets, packed, slices
 
 WORDS = 5
+ODD = 0xC2B2AE3D27D4EB4F
+LONG_WORD = 256                  # bytes; longer words are hashed one by one
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -18,6 +21,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte strings: eight bytes at a time are mixed into the hash
+    so far, so equal hashes of different words are left to chance."""
+    length = end - begin
+    blocks = packed(data)
+    out = mix(length.astype(np.uint64) * np.uint64(ODD) + np.uint64(1))
+    left = np.flatnonzero(length <= LONG_WORD)
+    done = 0
+    while len(left := left[length[left] > done]):
+        block = blocks[begin[left] + done] & LOW_BYTES[np.minimum(length[left] - done, 8)]
+        out[left] = mix(mix(out[left] + block) * np.uint64(ODD) + np.uint64(done + 1))
+        done += 8
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[begin[i]:end[i]], digest_size=8).digest(), "little")
+    return out
+
+
 def canonical(text: str | None) -> str:
     """Lower-case words, one blank between them."""
     return " ".join((text or "").lower().split())
@@ -41,7 +61,8 @@ def multisets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndar
     begin = np.flatnonzero(is_start[:-1])
     end = np.append(begin[1:], len(chars))
     end -= blank[end - 1]
-    word = _hashes(chars, begin, end, _ODD1) ^ mix(_hashes(chars, begin, end, _ODD2))
+    data = joined.encode("utf-8", "surrogatepass")
+    word = word_hashes(data, byte_offsets(chars, len(data), begin), byte_offsets(chars, len(data), end))
     word_doc = np.searchsorted(doc_at, begin, side="right") - 1
     n_words = np.bincount(word_doc, minlength=len(texts))
     first_word = np.cumsum(n_words) - n_words
@@ -54,7 +75,7 @@ def multisets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndar
     for k in range(words):
         there = at + k < last
         nth = np.where(there, word[np.minimum(at + k, len(word) - 1)], np.uint64(0))
-        shingle = mix(shingle * np.uint64(_ODD2) + nth + np.uint64(k + 1))
+        shingle = mix(shingle * np.uint64(ODD) + nth + np.uint64(k + 1))
     order = np.lexsort((shingle, doc))
     shingle, doc = shingle[order], doc[order]
     new = np.ones(len(doc), dtype=bool)
