@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.clean import runtime_segment
 from marquee.operators.keys import keep_first, surrogate_key
+from marquee.operators.quantiles import exact_quantiles
 from marquee.session import materialize
 from marquee.sources import adapter
 
@@ -55,7 +56,8 @@ CANDIDATES = (RF, GBM)
 def tier_features(w: dict[str, DataFrame]) -> DataFrame:
     """N1 + C3 + E2: one row per film with revenue (0 when none), release
     season of its first day, runtime segment; duplicates of bk_film keep the
-    smallest surrogate key."""
+    smallest surrogate key.  A stage boundary: the quantiles of the labels
+    and of the imputation read it several times."""
     f = w["fact_daily_box_office"]
     per = f.groupBy("fk_film").agg(F.min("fk_date").alias("first_date_key"),
                                    F.sum("gross_revenue_per_day").alias("rev"))
@@ -67,15 +69,13 @@ def tier_features(w: dict[str, DataFrame]) -> DataFrame:
     df = j.select(*[F.col(c).cast("double").alias(c) if c in NUM_COLS else F.col(c) for c in cols],
                   F.coalesce(F.col("rev"), F.lit(0)).cast("double").alias("total_revenue"))
     df = keep_first(df, ["bk_film"], [F.col("sk_film")])
-    return df.withColumn("runtime_segment", runtime_segment("film_runtime_min"))
+    return materialize(df.withColumn("runtime_segment", runtime_segment("film_runtime_min")), "tier-films")
 
 
 def tier_labels(df: DataFrame) -> DataFrame:
     """Exact terciles of revenue over films with revenue > 0."""
-    q = df.filter(F.col("total_revenue") > 0).agg(
-        F.percentile("total_revenue", list(TIER_CUTS)).alias("q")).first()["q"]
-    q33, q66 = q
     r = F.col("total_revenue")
+    q33, q66 = (F.lit(q) for q in exact_quantiles(df, {"r": TIER_CUTS}, {"r": F.when(r > 0, r)})["r"])
     tier = F.when(r <= 0, F.lit(None).cast("string")).when(r >= q66, "High").when(r >= q33, "Mid").otherwise("Low")
     return df.withColumn("tier", tier)
 
@@ -83,8 +83,8 @@ def tier_labels(df: DataFrame) -> DataFrame:
 def impute(df: DataFrame) -> DataFrame:
     """Numeric medians over all (deduplicated) films; categories ->
     'Unknown'."""
-    med = df.agg(*[F.median(c).alias(c) for c in NUM_COLS]).first().asDict()
-    fills = {c: F.coalesce(F.col(c), F.lit(med[c] if med[c] is not None else 0.0)) for c in NUM_COLS}
+    med = exact_quantiles(df, {c: [0.5] for c in NUM_COLS})
+    fills = {c: F.coalesce(F.col(c), F.lit(med[c][0] if med[c][0] is not None else 0.0)) for c in NUM_COLS}
     fills.update({c: F.coalesce(F.col(c), F.lit("Unknown")) for c in CAT_COLS})
     return df.withColumns(fills)
 

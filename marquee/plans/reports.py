@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.operators.measures import running_share
-from marquee.plans.questions import films_with_revenue, scalar
+from marquee.operators.quantiles import exact_quantiles
+from marquee.plans.questions import films_with_revenue
+from marquee.session import materialize
 
 G = "gross_revenue_per_day"
 TIERS = (0.33, 0.66)        # budget tercile cut points [decision], as N2
@@ -25,12 +27,10 @@ def _ratio(n, d):
 
 def budget_tiers(w: dict[str, DataFrame]) -> DataFrame:
     """Films with revenue and a known (>0) budget, tagged Low/Mid/High by
-    exact budget terciles (two scalars from one percentile aggregate over
-    film-grain rows)."""
-    f = films_with_revenue(w).filter(F.col("film_budget_usd") > 0)
+    exact budget terciles (two scalars, selected over film-grain rows)."""
+    f = materialize(films_with_revenue(w).filter(F.col("film_budget_usd") > 0), "films-with-budget")
     b = F.col("film_budget_usd").cast("double")
-    q = scalar(f.agg(F.percentile(b, list(TIERS))))
-    q33, q66 = (q or [None, None])[0], (q or [None, None])[1]
+    q33, q66 = exact_quantiles(f, {"b": TIERS}, {"b": b})["b"]
     tier = F.when(b >= F.lit(q66), "High").when(b >= F.lit(q33), "Mid").otherwise("Low")
     return f.withColumn("budget_tier", tier)
 
