@@ -1,10 +1,11 @@
-"""Film revenue-tier classification (BQP2, SURVEY 2-N) with Spark ML.
+"""Film revenue-tier classification (BQP2, SURVEY 2-N).
 
-Everything stays in DataFrames: film-grain features (one aggregate of the
-fact), exact tercile labels and medians (a handful of scalars), a fitted
-``Pipeline`` of indexers / one-hot / assembler, cross-validated candidates
-and predictions for every film.  The only driver-side values are two
-quantiles, six medians, class counts and CV scores.
+Film-grain features come from one aggregate of the fact; labels and medians
+from exact distributed quantiles.  Both candidate models, for every fold and
+for all films, are grown by ``operators.ensembles``: quantile-binned numbers,
+one-value-against-the-rest splits of the categories (what one-hot columns
+would give), one pass over the rows for all trees that can grow together.
+The driver holds bin edges, category lists, class counts and the models.
 
 Fold assignment is stratified without a per-class window: films are ranked
 globally on (tier, hash(bk_film, seed)) with the range-partitioned rank of
@@ -14,18 +15,19 @@ rank; fold = rank mod k.  Classes of any size are split across tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.clean import runtime_segment
+from marquee.operators import ensembles as E
 from marquee.operators.keys import keep_first, surrogate_key
 from marquee.operators.quantiles import exact_quantiles
+from marquee.operators.trees import Columns
 from marquee.session import materialize
 from marquee.sources import adapter
 
@@ -37,8 +39,8 @@ TIER_CUTS = (0.33, 0.66)
 TIERS = ("Low", "Mid", "High")
 SEED = 42
 FOLDS = 5
-TRAIN_PARTITIONS = 8             # of the training rows, by hash of bk_film; bagging draws per partition
-FITS_AT_ONCE = 8
+PREDICTION_COLS = ("bk_film", "film_title", "film_genre", "runtime_segment", "release_season", "film_age_classification", "predicted_tier")
+BINS = 64                        # of a numeric column, at quantiles of the training films
 
 
 @dataclass
@@ -89,17 +91,6 @@ def impute(df: DataFrame) -> DataFrame:
     return df.withColumns(fills)
 
 
-def class_weights(train: DataFrame, label: str = "tier") -> DataFrame:
-    """Balanced weights n / (k · n_class) (k, n from a 3-row aggregate)."""
-    counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n, k = sum(counts.values()), len(counts)
-    expr = None
-    for cls, c in counts.items():
-        wv = F.lit(n / (k * c))
-        expr = F.when(F.col(label) == cls, wv) if expr is None else expr.when(F.col(label) == cls, wv)
-    return train.withColumn("weight", expr)
-
-
 def stratified_folds(df: DataFrame, label: str = "tier", key: str = "bk_film", k: int = FOLDS,
                      seed: int = SEED) -> DataFrame:
     """fold = (rank inside the class by hash(key, seed)) mod k."""
@@ -110,43 +101,49 @@ def stratified_folds(df: DataFrame, label: str = "tier", key: str = "bk_film", k
         "fold", ((F.col("_rk") - F.col("_first")) % k).cast("int")).drop("_h", "_rk", "_first")
 
 
-def feature_pipeline() -> list:
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in CAT_COLS]
-    ohe = OneHotEncoder(inputCols=[f"{c}_idx" for c in CAT_COLS], outputCols=[f"{c}_oh" for c in CAT_COLS],
-                        dropLast=True)
-    asm = VectorAssembler(inputCols=[f"{c}_oh" for c in CAT_COLS] + list(NUM_COLS), outputCol="features")
-    return [*idx, ohe, asm]
-
+@dataclass(frozen=True)
+class Encoding:
+    """Bin edges of the numeric columns and values of the categories, as
+    found in the training films; another category is none of them."""
+    edges: dict[str, list[float]]
+    values: dict[str, list[str]]
 
-def label_indexer(train: DataFrame):
-    return StringIndexer(inputCol="tier", outputCol="label", stringOrderType="alphabetAsc").fit(train)
+    @property
+    def columns(self) -> Columns:
+        sizes = [len(self.values[c]) + 1 for c in CAT_COLS] + [len(self.edges[c]) + 1 for c in NUM_COLS]
+        return Columns(tuple(sizes), (False,) * len(CAT_COLS) + (True,) * len(NUM_COLS))
 
+    def features(self) -> list[tuple[int, str]]:
+        """(cell, name) of every feature."""
+        base = self.columns.base
+        out = [(int(base[i]) + k, f"{c}={v}") for i, c in enumerate(CAT_COLS) for k, v in enumerate(self.values[c])]
+        return out + [(int(base[len(CAT_COLS) + i]), c) for i, c in enumerate(NUM_COLS)]
 
-def estimator(c: Candidate):
-    """Trees without checkpoints: the training rows are cached, so lineage
-    stays one step long, and node ids are not kept between levels."""
-    tree = dict(featuresCol="features", labelCol="label", seed=SEED, checkpointInterval=-1, cacheNodeIds=False,
-                maxMemoryInMB=1024)
-    if c.kind == "rf":
-        return RandomForestClassifier(weightCol="weight", **tree, **c.params)
-    return OneVsRest(classifier=GBTClassifier(**tree, **c.params), featuresCol="features", labelCol="label", parallelism=3)
 
+def encoding(train: DataFrame, bins: int = BINS) -> Encoding:
+    cuts = exact_quantiles(train, {c: [i / bins for i in range(1, bins)] for c in NUM_COLS})
+    values: dict[str, list[str]] = {c: [] for c in CAT_COLS}
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in CAT_COLS]))
+    for r in train.select(cells.alias("x")).select("x.*").distinct().orderBy("c", "v").collect():
+        values[r["c"]].append(r["v"])
+    return Encoding({c: sorted({q for q in qs if q is not None}) for c, qs in cuts.items()}, values)
 
-def dealt(df: DataFrame) -> DataFrame:
-    """Training rows in TRAIN_PARTITIONS partitions by hash of the film and
-    in a fixed order within them, whatever the number of rows: bagging and
-    subsampling, which draw per partition, give the same model each time."""
-    return df.repartition(TRAIN_PARTITIONS, "bk_film").sortWithinPartitions("bk_film")
 
+def encode(films: DataFrame, e: Encoding) -> DataFrame:
+    """(bk_film, key, label, fold, bins) of imputed films with tier and fold;
+    label and fold are -1 for films without a tier."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        numbers = [{v: i for i, v in enumerate(e.values[c])} for c in CAT_COLS]
+        for batch in batches:
+            cells = [[own.get(v, len(own)) for v in batch.column(4 + i).to_pylist()] for i, own in enumerate(numbers)]
+            first = 4 + len(CAT_COLS)
+            cells += [np.searchsorted(e.edges[c], batch.column(first + i).to_numpy(zero_copy_only=False)) for i, c in enumerate(NUM_COLS)]
+            bins = np.array(cells, "<i4").T
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([b.tobytes() for b in np.ascontiguousarray(bins)], pa.binary())], names=["bk_film", "key", "label", "fold", "bins"])
 
-def fit(train: DataFrame, c: Candidate) -> PipelineModel:
-    """Feature stages, the tree model, and nothing that needs a label."""
-    features = Pipeline(stages=feature_pipeline()).fit(train)
-    ready = dealt(label_indexer(train).transform(features.transform(train)).select("bk_film", "features", "label", "weight")).persist()
-    try:
-        return PipelineModel([*features.stages, estimator(c).fit(ready)])
-    finally:
-        ready.unpersist()
+    label = F.array_position(F.array(*map(F.lit, TIERS)), F.coalesce("tier", F.lit(""))) - 1
+    read = films.select("bk_film", F.xxhash64("bk_film").alias("key"), label.cast("int").alias("label"), F.coalesce("fold", F.lit(-1)).alias("fold"), *CAT_COLS, *NUM_COLS)
+    return read.mapInArrow(run, "bk_film string, key long, label int, fold int, bins binary")
 
 
 def scores(counts: list[tuple[float, float, int]]) -> tuple[float, float]:
@@ -161,42 +158,24 @@ def scores(counts: list[tuple[float, float, int]]) -> tuple[float, float]:
     return sum(n for y, p, n in counts if y == p) / total, f1 / total
 
 
-def evaluate(candidates, labelled: DataFrame, k: int = FOLDS, parallelism: int = FITS_AT_ONCE, done: dict | None = None) -> DataFrame:
-    """Per candidate and fold, train/test accuracy and weighted F1.
-
-    The feature stages are fitted once per fold and its rows cached for all
-    candidates; all four metrics of a fit come from one count of (split,
-    label, prediction).  Independent fits run at once, up to ``parallelism``.
-    ``done`` keeps the row of every finished fit, so an interrupted
-    evaluation that is called again goes on from there."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    done = {} if done is None else done
-    folds = {}
-    for fold in range(k):
-        if all((c.name, fold) in done for c in candidates):
-            continue
-        train = labelled.filter(F.col("fold") != fold)
-        features = Pipeline(stages=feature_pipeline()).fit(train)
-        rows = label_indexer(train).transform(features.transform(labelled))
-        folds[fold] = dealt(rows.select("bk_film", "features", "label", "weight", "fold")).persist()
-        folds[fold].count()
-
-    def one(c: Candidate, fold: int) -> None:
-        model = estimator(c).fit(folds[fold].filter(F.col("fold") != fold))
-        seen = model.transform(folds[fold]).groupBy((F.col("fold") == fold).alias("test"), "label", "prediction").agg(F.count(F.lit(1)).alias("n")).collect()
-        train, test = ([(r["label"], r["prediction"], r["n"]) for r in seen if r["test"] == t] for t in (False, True))
-        done[c.name, fold] = (c.name, fold, *scores(train), *scores(test))
-
-    todo = [(c, fold) for fold in folds for c in candidates if (c.name, fold) not in done]
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(todo)))) as pool:
-            list(pool.map(lambda a: one(*a), todo))
-    finally:
-        for rows in folds.values():
-            rows.unpersist()
-    return labelled.sparkSession.createDataFrame([done[c.name, fold] for c in candidates for fold in range(k)],
-                                                 "model string, fold int, train_accuracy double, train_f1 double, test_accuracy double, test_f1 double")
+def train(rows: DataFrame, c: Candidate, sample: E.Sample, columns: Columns) -> tuple[E.Forest | E.Boosting, DataFrame]:
+    """The model of every fit, and the rows with their scores (class shares
+    of a forest, raw scores of boosting)."""
+    p = c.params
+    if c.kind == "rf":
+        forest = E.train_forest(rows, sample, columns, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"], SEED)
+        return forest, materialize(E.forest_scores(rows, forest, len(columns.sizes)), "forest-scores")
+    return E.train_boosting(rows, sample, columns, p["maxIter"], p["maxDepth"], p["stepSize"], p["subsamplingRate"], SEED)
+
+
+def evaluate(candidates, scored: dict[str, DataFrame], k: int) -> list[tuple]:
+    """Per candidate and fold, train and test accuracy and weighted F1;
+    all four come from one count of (fold, split, label, prediction)."""
+    out = []
+    for c in candidates:
+        counts = E.fold_counts(scored[c.name], k, len(TIERS))
+        out += [(c.name, fold, *scores(counts[fold, False]), *scores(counts[fold, True])) for fold in range(k)]
+    return out
 
 
 def choose(cv: DataFrame, candidates) -> Candidate:
@@ -205,15 +184,26 @@ def choose(cv: DataFrame, candidates) -> Candidate:
     return max(candidates, key=lambda c: means.get(c.name, 0.0))
 
 
-def confidence(pred: DataFrame, kind: str) -> DataFrame:
-    """Max class probability rounded to 4.  One-vs-rest models emit
-    raw margins only: the per-class sigmoid is normalised to sum to 1."""
-    if kind == "rf":
-        p = vector_to_array("probability")
-    else:
-        sig = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-x)))
-        p = F.transform(sig, lambda x: x / F.aggregate(sig, F.lit(0.0), lambda a, b: a + b))
-    return pred.withColumn("tier_confidence", F.round(F.array_max(p), 4))
+def predictions(scored: DataFrame, films: DataFrame, kind: str, k: int) -> DataFrame:
+    """Tier and confidence of every film by the fit on all labelled
+    ones.  B37: the largest class probability, rounded to 4 places; raw
+    scores of boosting become probabilities by softmax."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<f8").reshape(batch.num_rows, k + 1, len(TIERS))[:, k]
+            share = own if kind == "rf" else E.softmax(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([TIERS[i] for i in share.argmax(1).tolist()], pa.string()), pa.array(share.max(1))], names=["key", "predicted_tier", "share"])
+
+    given = scored.mapInArrow(run, "key long, predicted_tier string, share double")
+    joined = films.withColumn("key", F.xxhash64("bk_film")).join(given.dropDuplicates(["key"]), "key")
+    return joined.select(*PREDICTION_COLS, F.round("share", 4).alias("tier_confidence"))
+
+
+def importances(spark, model: E.Forest | E.Boosting, e: Encoding, k: int) -> DataFrame:
+    """Share of the impurity decrease by feature, of the fit on all."""
+    found = model.importances(k)
+    rows = sorted(((name, float(found[cell])) for cell, name in e.features()), key=lambda t: -t[1])
+    return spark.createDataFrame(rows, "feature string, importance double")
 
 
 @dataclass
@@ -221,47 +211,27 @@ class TierRun:
     features: DataFrame
     cv: DataFrame
     winner: Candidate
-    model: PipelineModel
+    model: E.Forest | E.Boosting
     predictions: DataFrame
     importances: DataFrame
 
 
-def run(w: dict[str, DataFrame], candidates=CANDIDATES, k: int = FOLDS, done: dict | None = None) -> TierRun:
+def run(w: dict[str, DataFrame], candidates=CANDIDATES, k: int = FOLDS) -> TierRun:
     """N1-N10 end to end."""
     feats = materialize(impute(tier_labels(tier_features(w))), "tier-features")
+    spark = feats.sparkSession
     hist = feats.filter(F.col("tier").isNotNull())
-    labelled = materialize(class_weights(stratified_folds(hist)), "tier-folds")
-    cv = materialize(evaluate(candidates, labelled, k, done=done), "tier-cv")
+    folds = stratified_folds(hist, k=k).select(F.col("bk_film").alias("_film"), "fold")
+    films = materialize(feats.join(folds, F.col("bk_film") == F.col("_film"), "left").drop("_film"), "tier-folds")
+    e = encoding(films.filter(F.col("tier").isNotNull()))
+    rows = materialize(E.partitioned(encode(films, e).drop("bk_film"), films.count()), "tier-rows")
+    sample = E.sample_of(rows, k, len(TIERS))
+    models, scored = {}, {}
+    for c in candidates:
+        models[c.name], scored[c.name] = train(rows, c, sample, e.columns)
+    cv = spark.createDataFrame(evaluate(candidates, scored, k), "model string, fold int, train_accuracy double, train_f1 double, test_accuracy double, test_f1 double")
     best = choose(cv, candidates)
-    model = fit(labelled, best)
-    labels = label_indexer(labelled).labels
-    to_tier = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("prediction").cast("int") + 1)
-    pred = confidence(model.transform(feats), best.kind).withColumn("predicted_tier", to_tier)
-    out = pred.select("bk_film", "film_title", "film_genre", "runtime_segment", "release_season",
-                      "film_age_classification", "predicted_tier", "tier_confidence")
-    return TierRun(feats, cv, best, model, out, importances(model, best.kind))
-
-
-def importances(model: PipelineModel, kind: str) -> DataFrame:
-    """Feature importances with names from the assembler metadata
-    (one-vs-rest: mean over the per-class models)."""
-    spark = model.stages[0].sparkSession if hasattr(model.stages[0], "sparkSession") else None
-    est = model.stages[-1]
-    if kind == "rf":
-        imp = est.featureImportances.toArray()
-    else:
-        arrs = [m.featureImportances.toArray() for m in est.models]
-        imp = sum(arrs) / len(arrs)
-    names = []
-    ohe = model.stages[len(CAT_COLS)]
-    for c, size in zip(CAT_COLS, ohe.categorySizes, strict=True):
-        labels = model.stages[CAT_COLS.index(c)].labels
-        names += [f"{c}={labels[i]}" if i < len(labels) else f"{c}=__invalid" for i in range(size - 1)]
-    names += list(NUM_COLS)
-    from pyspark.sql import SparkSession
-    spark = spark or SparkSession.getActiveSession()
-    rows = sorted(zip(names, [float(x) for x in imp], strict=False), key=lambda t: -t[1])
-    return spark.createDataFrame(rows, "feature string, importance double")
+    return TierRun(feats, cv, best, models[best.name], predictions(scored[best.name], feats, best.kind, k), importances(spark, models[best.name], e, k))
 
 
 def where_to_invest(trend: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -274,7 +244,6 @@ def where_to_invest(trend: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 _RUNS: dict = {}
-_DONE: dict = {}                 # finished fits of runs that were ended, by run
 
 
 def run_once(spark, sf_dir: str, loader, candidates=CANDIDATES) -> TierRun:
@@ -282,7 +251,7 @@ def run_once(spark, sf_dir: str, loader, candidates=CANDIDATES) -> TierRun:
     predictions and importances of that run serve every ML query."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), adapter._stamp(spark, sf_dir), tuple(c.name for c in candidates))
     if key not in _RUNS:
-        r = run(loader(spark, sf_dir), candidates, done=_DONE.setdefault(key, {}))
+        r = run(loader(spark, sf_dir), candidates)
         r.predictions = materialize(r.predictions, "tier-predictions")
         _RUNS[key] = r
     return _RUNS[key]
