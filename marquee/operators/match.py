@@ -22,15 +22,25 @@ Documentaries are dropped from blocks that contain a non-documentary, which
 is exactly the reference's row-level rule restricted to one block.
 
 Candidates are generated and scored once per distinct wanted (title, year)
-key — only the date bonus depends on the row — and a second exact prune
-keeps per key only candidates whose key score plus the largest bonus can
-still reach the key's k-th score.  Similarity is computed once per distinct
-(wanted title, candidate title) pair with the Arrow UDF of
-``functions.similarity``.
+key; only the date bonus depends on the row.  Candidates that no score, tie
+or bonus tells apart are reduced to the first ones of the final order.
+
+The similarity search filters before it verifies.  Every title carries its
+length and its character counts, which bound the longest common subsequence
+and so the score from above, in built-in expressions.  A probe of each key's
+rarest block verifies only the candidates with the best bounds and so gives
+the key a floor that its best candidates reach.  All blocks are then joined on
+(token, year, length class), with the length classes that can still reach the
+floor, so a hot block is dealt by length and pairs that are too unlike are
+never formed; of the pairs, those whose bound is below the floor are dropped,
+and the rest are verified by the Arrow UDF of ``functions.similarity``, once
+per distinct pair of titles.  A last exact prune keeps per key only candidates
+whose key score plus the largest bonus can still reach the key's k-th score.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -89,6 +99,48 @@ def prepare_catalogue(cat: DataFrame) -> DataFrame:
         F.coalesce(F.array_contains("genre_ids", DOC_GENRE), F.lit(False)).alias("doc"))
 
 
+# characters that are counted one by one; all others count together
+COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
+LENGTH_STEP = 1.15               # ratio of the lengths of neighbouring classes
+LENGTH_CLASSES = 48              # the last one has all longer titles
+
+
+def char_counts(s: Column) -> Column:
+    """How often each counted character occurs, and how many others there are."""
+    counts = [F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit(""))) for ch in COUNTED]
+    return F.array(*counts, F.length(F.translate(s, COUNTED, "")))
+
+
+def length_class(n: Column) -> Column:
+    return F.least(F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(LENGTH_STEP)), F.lit(LENGTH_CLASSES)).cast("int")
+
+
+def similarity_bound(a: str, b: str) -> Column:
+    """No smaller than the indel similarity of titles ``a`` and ``b``: a
+    common subsequence has each character at most as often as both."""
+    shared = F.aggregate(F.zip_with(f"{a}_chars", f"{b}_chars", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    total = F.col(f"{a}_len") + F.col(f"{b}_len")
+    return F.when(total == 0, 1.0).otherwise(2.0 * shared / total)
+
+
+def measured(df: DataFrame, title: str, name: str) -> DataFrame:
+    return df.withColumns({f"{name}_len": F.length(title), f"{name}_chars": char_counts(F.col(title))})
+
+
+def _kept(w: Weights) -> int:
+    return w.top if w.studio else 1
+
+
+def distinguishable(cands: DataFrame, w: Weights) -> DataFrame:
+    """Of candidates that are equal in all that scores, ties and bonuses look
+    at, the first ``k`` of the final order; others can never be chosen."""
+    seen = ["c_norm", "c_year", "doc"] + [c for c, weight in (("votes", w.votes), ("pop", w.pop)) if weight or c in w.ties]
+    if w.date_bonus:
+        seen.append("release_date")
+    order = Window.partitionBy(*seen).orderBy("cand_pos", "cand_id")
+    return cands.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= _kept(w)).drop("_nth")
+
+
 def _bounds(df: DataFrame, w: Weights, year_gap: int) -> DataFrame:
     base = w.votes * F.col("votes") + w.pop * F.col("pop") - w.doc * F.col("doc").cast("double")
     best_bonus = max([b for _, b in w.date_bonus], default=0)
@@ -118,28 +170,47 @@ def pruned_blocks(cands: DataFrame, w: Weights, by_year: bool, year_gap: int) ->
     if w.doc_filter:
         nd = tok.groupBy(*keys).agg(F.max((~F.col("doc")).cast("int")).alias("_any_nondoc"))
         tok = tok.join(nd, keys).filter(~(F.col("doc") & (F.col("_any_nondoc") == 1))).drop("_any_nondoc")
-    k = w.top if w.studio else 1
-    th = kth_largest(tok, keys, "lb", k)
+    th = kth_largest(tok, keys, "lb", _kept(w))
     return tok.join(th, keys, "left").filter(F.col("kth").isNull() | (F.col("ub") >= F.col("kth") - EPS))
 
 
-def candidates(wanted: DataFrame, cands: DataFrame, w: Weights, year_tol: int = 1,
-               key=("row_id",)) -> DataFrame:
-    """Distinct (key, cand_id) pairs of the blocking rule, after exact
-    pruning.  ``wanted`` holds ``key`` columns plus w_norm, w_year."""
-    key = list(key)
-    base = list(dict.fromkeys(key + ["w_norm", "w_year"]))
-    cols = ["cand_id", "cand_pos", "c_norm", "c_year", "release_date", "votes", "pop", "doc"]
-    wt = wanted.select(*base, F.explode(title_tokens(F.col("w_norm"))).alias("token"))
-    known = wt.filter(F.col("w_year").isNotNull()).select(
-        *base, "token", F.explode(F.sequence(F.col("w_year") - year_tol, F.col("w_year") + year_tol))
-        .alias("c_year"))
-    by_year = pruned_blocks(cands, w, True, year_tol)
-    p1 = known.join(by_year, ["token", "c_year"]).select(*base, *cols)
-    unknown = wt.filter(F.col("w_year").isNull()).select(*base, "token")
-    any_year = pruned_blocks(cands, w, False, 0)
-    p2 = unknown.join(any_year, ["token"]).select(*base, *cols)
-    return p1.unionByName(p2).dropDuplicates([*key, "cand_id"])
+CANDIDATE = ["cand_id", "cand_pos", "c_norm", "c_year", "release_date", "votes", "pop", "doc", "c_len", "c_chars"]
+
+
+def blocks(cands: DataFrame, w: Weights, year_tol: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Pruned blocks by (token, year) and, for wanted titles without a year,
+    by token; with the length class of the candidate."""
+    dealt = cands.withColumn("length_class", length_class(F.col("c_len")))
+    return pruned_blocks(dealt, w, True, year_tol), pruned_blocks(dealt, w, False, 0)
+
+
+def _wanted_blocks(keys: DataFrame, year_tol: int) -> tuple[DataFrame, DataFrame]:
+    """Keys by (token, year) of the blocks they meet, and those without a
+    year by token."""
+    wt = keys.withColumn("token", F.explode(title_tokens(F.col("w_norm"))))
+    known = wt.filter(F.col("w_year").isNotNull()).withColumn("c_year", F.explode(F.sequence(F.col("w_year") - year_tol, F.col("w_year") + year_tol)))
+    return known, wt.filter(F.col("w_year").isNull())
+
+
+def candidates(keys: DataFrame, block: tuple[DataFrame, DataFrame], w: Weights, year_tol: int = 1) -> DataFrame:
+    """Distinct (key, candidate) pairs of the blocking rule, after
+    exact pruning.  ``keys`` holds w_norm, w_year, w_len, w_chars and a floor
+    (or null); candidates whose length keeps them below the floor are left
+    out before a pair is formed."""
+    base = keys.columns
+    out = []
+    for wanted, cands, on in zip(_wanted_blocks(keys, year_tol), block, (["token", "c_year"], ["token"])):
+        most = cands.groupBy(*on).agg(F.max("ub").alias("_most"))
+        rows = wanted.join(most, on)
+        # similarity that a candidate of the block needs, and the length ratio that allows it
+        need = (F.col("floor") - EPS - (F.col("_most") - w.sim)) / w.sim if w.sim else F.when(F.col("floor").isNotNull(), F.lit(0.0))
+        need = F.greatest(F.coalesce(need, F.lit(0.0)), F.lit(0.0))
+        ratio = need / (2.0 - F.least(need, F.lit(1.0)))
+        low = length_class(F.floor(F.col("w_len") * ratio - EPS))
+        high = F.when(ratio > 0, length_class(F.ceil(F.col("w_len") / F.greatest(ratio, F.lit(1e-9)) + EPS))).otherwise(LENGTH_CLASSES)
+        rows = rows.filter(need <= 1.0 + EPS).withColumn("length_class", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.greatest(high, low))))
+        out.append(rows.join(cands.select(*dict.fromkeys([*on, "length_class", *CANDIDATE])), [*on, "length_class"]).select(*base, *CANDIDATE))
+    return out[0].unionByName(out[1]).dropDuplicates(["w_norm", "w_year", "cand_id"])
 
 
 def with_similarity(pairs: DataFrame, left: str, right: str, name: str) -> DataFrame:
@@ -152,6 +223,55 @@ def with_similarity(pairs: DataFrame, left: str, right: str, name: str) -> DataF
 NO_YEAR = -99999  # join stand-in for a NULL wanted year (not a valid year)
 
 
+def _base(w: Weights, sim: str) -> Column:
+    dyear = F.coalesce(F.abs(F.col("c_year") - F.col("w_year")), F.lit(0)).cast("double")
+    return (w.votes * F.col("votes") + w.pop * F.col("pop") + w.sim * F.col(sim) - w.year * dyear
+            - w.doc * F.col("doc").cast("double"))
+
+
+def probed(keys: DataFrame, block: tuple[DataFrame, DataFrame], w: Weights, year_tol: int) -> DataFrame:
+    """The floor of each key: the k-th best score among the candidates with
+    the best bounds in its rarest block; null where there are fewer.  Where
+    documentaries may be dropped only other candidates count."""
+    out = []
+    for wanted, cands, on in zip(_wanted_blocks(keys, year_tol), block, (["token", "c_year"], ["token"])):
+        size = cands.groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+        rare = wanted.join(size, "token").groupBy("w_norm", "w_year").agg(F.min_by("token", F.struct("_n", "token")).alias("_rare"))
+        same = (F.col("w_norm") == F.col("_k")) & F.col("w_year").eqNullSafe(F.col("_y"))
+        at = wanted.join(rare.select(F.col("w_norm").alias("_k"), F.col("w_year").alias("_y"), "_rare"), same).filter(F.col("token") == F.col("_rare"))
+        near = at.withColumn("length_class", F.explode(F.sequence(length_class(F.col("w_len")) - 1, length_class(F.col("w_len")) + 1)))
+        pairs = near.drop("floor").join(cands.select(*dict.fromkeys([*on, "length_class", *CANDIDATE])), [*on, "length_class"])
+        out.append(pairs.select("w_norm", "w_year", "w_len", "w_chars", *CANDIDATE))
+    pairs = out[0].unionByName(out[1])
+    if w.doc_filter:
+        pairs = pairs.filter(~F.col("doc"))
+    k = _kept(w)
+    best = Window.partitionBy("w_norm", "w_year").orderBy(F.desc("_ub"), "cand_id")
+    pairs = pairs.withColumn("_bound", similarity_bound("w", "c")).withColumn("_ub", _base(w, "_bound"))
+    top = pairs.withColumn("_nth", F.row_number().over(best)).filter(F.col("_nth") <= k)
+    exact = with_similarity(top.select("w_norm", "w_year", *CANDIDATE), "w_norm", "c_norm", "sim").withColumn("base", _base(w, "sim"))
+    return exact.groupBy("w_norm", "w_year").agg(F.when(F.count(F.lit(1)) >= k, F.min("base")).alias("floor"))
+
+
+def filtered_pairs(wanted: DataFrame, cands: DataFrame, w: Weights, year_tol: int = 1) -> DataFrame:
+    """Pairs (key, candidate) to be verified: all that can be among the first
+    k of a key, and few others."""
+    from marquee.session import materialize
+
+    catalogue = materialize(measured(distinguishable(cands, w), "c_norm", "c"), "match-catalogue")
+    block = tuple(materialize(x, "match-blocks") for x in blocks(catalogue, w, year_tol))
+    keys = materialize(measured(wanted.select("w_norm", "w_year").distinct(), "w_norm", "w"), "match-keys")
+    floor = materialize(probed(keys, block, w, year_tol).select(F.col("w_norm").alias("_k"), F.col("w_year").alias("_y"), "floor"), "match-floor")
+    same = (F.col("w_norm") == F.col("_k")) & F.col("w_year").eqNullSafe(F.col("_y"))
+    pairs = candidates(keys.join(floor, same, "left").drop("_k", "_y"), block, w, year_tol)
+    best_bonus = max([b for _, b in w.date_bonus], default=0)
+    pairs = pairs.withColumn("_bound", similarity_bound("w", "c"))
+    pairs = pairs.filter(F.col("floor").isNull() | (_base(w, "_bound") + best_bonus >= F.col("floor") - EPS))
+    if w.doc_filter:                 # a floor comes from a candidate that is no documentary
+        pairs = pairs.filter(F.col("floor").isNull() | ~F.col("doc"))
+    return materialize(pairs.drop("w_len", "w_chars", "c_len", "c_chars"), "match-pairs")
+
+
 def key_scores(wanted: DataFrame, cands: DataFrame, w: Weights, year_tol: int = 1) -> DataFrame:
     """Candidates and their row-independent score (everything but the date
     bonus) once per distinct (title, year) key — the candidate set depends
@@ -159,20 +279,16 @@ def key_scores(wanted: DataFrame, cands: DataFrame, w: Weights, year_tol: int =
     candidate set is its key's).  Then a second exact prune: a candidate
     whose key score plus the largest possible bonus is below the key's k-th
     score cannot enter the top k of any row of that key."""
-    keys = wanted.select("w_norm", "w_year").distinct()
-    kp = candidates(keys, cands, w, year_tol, key=["w_norm", "w_year"])
-    kp = with_similarity(kp, "w_norm", "c_norm", "sim")
+    kp = with_similarity(filtered_pairs(wanted, cands, w, year_tol), "w_norm", "c_norm", "sim")
     dyear = F.coalesce(F.abs(F.col("c_year") - F.col("w_year")), F.lit(0)).cast("double")
-    base = (w.votes * F.col("votes") + w.pop * F.col("pop") + w.sim * F.col("sim") - w.year * dyear
-            - w.doc * F.col("doc").cast("double"))
-    kp = kp.withColumns({"dyear": dyear, "base": base,
+    kp = kp.withColumns({"dyear": dyear, "base": _base(w, "sim"),
                          "_wy": F.coalesce(F.col("w_year"), F.lit(NO_YEAR))})
     kk = ["w_norm", "_wy"]
     if w.doc_filter:
         nd = kp.groupBy(*kk).agg(F.max((~F.col("doc")).cast("int")).alias("_nd"))
         kp = kp.join(nd, kk).filter(~(F.col("doc") & (F.col("_nd") == 1))).drop("_nd")
     best_bonus = max([b for _, b in w.date_bonus], default=0)
-    kth = kth_largest(kp, kk, "base", w.top if w.studio else 1)
+    kth = kth_largest(kp, kk, "base", _kept(w))
     return kp.join(kth, kk, "left").filter(
         F.col("kth").isNull() | (F.col("base") + best_bonus >= F.col("kth") - EPS))
 

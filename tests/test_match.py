@@ -72,6 +72,9 @@ def brute_force(w: pd.DataFrame, c: pd.DataFrame, comp: pd.DataFrame, wt: MT.Wei
             continue
         key = lambda x: tuple([-x["score"]] + [-float(x[t]) for t in wt.ties] + [x["cand_pos"], x["cand_id"]])
         cands.sort(key=key)
+        if wt.min_score is not None and cands[0]["score"] <= wt.min_score:
+            out[row.row_id] = None
+            continue
         if wt.min_sim is not None and cands[0]["sim"] < wt.min_sim:
             out[row.row_id] = None
             continue
@@ -95,7 +98,7 @@ def brute_force(w: pd.DataFrame, c: pd.DataFrame, comp: pd.DataFrame, wt: MT.Wei
     return out
 
 
-@pytest.mark.parametrize("preset", ["V1", "V3", "V4"])
+@pytest.mark.parametrize("preset", ["V1", "V2", "V3", "V4", "SECONDARY"])
 def test_pick_equals_brute_force(spark, preset):
     wt = getattr(MT, preset)
     dv = adapter.driver(spark, SF001)
@@ -107,3 +110,43 @@ def test_pick_equals_brute_force(spark, preset):
     want = brute_force(w, c, comp.toPandas(), wt)
     assert got == want
     assert sum(v is not None for v in got.values()) > 0
+
+
+def titles(spark, names, year=2000):
+    return spark.createDataFrame([(i, i % 7, n, f"{year}-01-01", 3, 1.0, [18]) for i, n in enumerate(names)],
+                                 "cand_id long, cand_pos int, title string, release_date string, vote_count long, popularity double, "
+                                 "genre_ids array<int>")
+
+
+def words(n, seed):
+    import random
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 14))) for _ in range(n)]
+
+
+def test_common_word_verifies_few_pairs(spark):
+    names = [f"common {x}" for x in words(400, 1)]
+    cands = MT.prepare_catalogue(titles(spark, names))
+    wanted = spark.createDataFrame([(f"common {x[:-1]}q", 2000) for x in words(400, 1)], "w_norm string, w_year int")
+    pairs = MT.filtered_pairs(wanted, cands, MT.SECONDARY)
+    assert pairs.count() < 400 * 400 / 10
+    got = {r["w_norm"]: r["s"] for r in MT.with_similarity(pairs, "w_norm", "c_norm", "sim").groupBy("w_norm").agg(MT.F.max("sim").alias("s")).collect()}
+    assert got == {r.w_norm: max(indel_ratio_py(r.w_norm, n) for n in names) for r in wanted.collect()}
+
+
+def test_equal_candidates_are_reduced(spark):
+    cat = titles(spark, ["the same film"] * 300 + ["the other film"] * 200)
+    cands = MT.prepare_catalogue(cat)
+    assert MT.distinguishable(cands, MT.SECONDARY).count() == 2
+    assert MT.distinguishable(cands, MT.V3).count() == 2 * MT.V3.top
+    wanted = spark.createDataFrame([(1, "the same film", "the same film", 2000)], "row_id long, title string, w_norm string, w_year int")
+    r = MT.pick(wanted, cat, MT.SECONDARY).first()
+    assert (r["matched_id"], r["sim"]) == (0, 1.0)
+
+
+def test_bound_is_never_below_the_similarity(spark):
+    a = words(60, 3) + ["", "a b c", "žluťoučký kůň", "the the the"]
+    df = spark.createDataFrame([(x, y) for x in a for y in a[::3]], "x string, y string")
+    df = MT.measured(MT.measured(df, "x", "w"), "y", "c").withColumn("bound", MT.similarity_bound("w", "c"))
+    for r in df.select("x", "y", "bound").collect():
+        assert r["bound"] >= indel_ratio_py(r["x"], r["y"]) - 1e-12
