@@ -5,7 +5,9 @@ its own: one in a container that is named as boilerplate (menu, header,
 footer, sidebar, notice, advert, form, comments), or with mostly link text,
 is dropped; a form or a container named after its layout (content and sidebar
 together) is a mere wrapper, which marked text inside it or the larger part
-of the running text overrules; one that is long and rich in stop words is kept; the others stay
+of the running text overrules; a container with a boilerplate word within a
+longer name (share-price-story) is overruled when it alone holds the larger
+part of the running text; one that is long and rich in stop words is kept; the others stay
 open (``short``, or ``near`` when they lean towards text).  On a page whose
 stop words are not known length alone decides.  Second pass: an
 open block takes the label of the decided neighbours, nearest first, within
@@ -27,10 +29,11 @@ from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
 BLOCK_TAGS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
-    footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section
+    footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select
     summary table tbody td tfoot th thead title tr ul""".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript textarea title template svg math iframe object canvas noframes noembed xmp".split())
+RAW_TAGS = frozenset("script style noscript textarea title template svg math iframe object canvas noframes noembed xmp select datalist".split())
+LIST_BOXES = frozenset("select optgroup option".split())     # end where any other block begins
 BOILER_TAGS = frozenset("nav header footer aside form menu button select option fieldset dialog search label input head".split())
 ONE_BY_ONE = frozenset("li dt dd td th tr option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -42,6 +45,9 @@ LAYOUT_WORDS = frozenset("layout template columns".split())
 CONTENT_WORDS = frozenset("content main article post primary body text story entry center centre".split())
 SIDE_WORDS = frozenset("sidebar sidebars rail widget widgets header banner ad ads".split())    # what a layout has beside its content
 MODIFIERS = ("has-", "with-", "no-", "is-", "not-")
+TOPICS = ("category-", "cat-", "tag-", "topic-", "term-", "type-", "status-", "format-", "comments-open", "comments-closed")    # names that classify the text
+SURE_WORDS = frozenset("""comment comments comentarios commentaires kommentare disqus cookie cookies consent gdpr footer breadcrumb breadcrumbs menu nav
+    navbar navigation navi pager pagination sidebar sidebars adslot adsense adsbygoogle advert advertisement advertising outbrain taboola""".split())
 HEADER_WORDS = frozenset("header head masthead banner".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 BOILER_WORDS = frozenset("""ad ads advert advertisement advertising adslot adsense adsbygoogle banner bottombar breadcrumb breadcrumbs byline-links
@@ -75,7 +81,7 @@ _WIDE = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003fff
 WIDE = 3                         # letters that a character of the East Asian scripts counts for
 _STRIP = re.compile(r"^\W+|\W+$")
 KEEP, DROP, SHORT, NEAR = "keep", "drop", "short", "near"
-WRAPPER, FIRM = 1, 2             # strengths of a boilerplate flag
+WRAPPER, SOFT, FIRM = 1, 2, 3    # strengths of a boilerplate flag; SOFT: by a word within a longer name
 
 
 @dataclass
@@ -84,7 +90,8 @@ class Block:
     links: int                   # code points inside links
     tag: str
     main: int                    # number of the container of the main text that it is in, or 0
-    boiler: int                  # inside a container named as boilerplate: WRAPPER, FIRM or 0
+    boiler: int                  # inside a container named as boilerplate: WRAPPER, SOFT, FIRM or 0
+    soft: int = 0                # number of the outermost container flagged SOFT
     label: str = ""
 
 
@@ -101,7 +108,9 @@ def _named(name: str, inside: bool) -> int:
     if not found:
         return 0
     layout = LAYOUT_WORDS.intersection(parts) or (parts[0] not in BOILER_WORDS and parts[-1] in WRAPPER_ENDS and CONTENT_WORDS.intersection(parts))
-    return WRAPPER if layout and found <= SIDE_WORDS else FIRM
+    if layout and found <= SIDE_WORDS:
+        return WRAPPER
+    return FIRM if name in BOILER_WORDS or found & SURE_WORDS else SOFT
 
 
 def _hints(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
@@ -122,18 +131,20 @@ def _hints(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
                     firm |= value != "form"
                 named_main |= value in ("main", "article")
             elif key in ("class", "id"):
+                first = value.replace("_", "-").split()[:1]
+                first = first[0] if first else ""
                 for name in value.replace("_", "-").split():
                     if name == "main" and key == "class":
                         class_main = True
                     elif name in MAIN_WORDS:
                         named_main = True
-                    elif tag == "article":
-                        if name in BOILER_WORDS or name.startswith("comment"):
+                    elif tag == "article":       # only its first name says what it is
+                        if name == first and not name.startswith(TOPICS) and (name in BOILER_WORDS or name.startswith(("comment", "div-comment"))):
                             boiler = FIRM
-                    elif tag not in UNNAMED_TAGS and not name.startswith(MODIFIERS):
+                    elif tag not in UNNAMED_TAGS and not name.startswith(MODIFIERS + TOPICS):
                         named = _named(name, inside)
                         boiler = max(boiler, named)
-                        firm |= named == FIRM and (name in BOILER_WORDS or "sidebar" not in name)
+                        firm |= named >= SOFT and (name in BOILER_WORDS or "sidebar" not in name)
             elif key == "itemprop":
                 named_main |= value == "articlebody"
             elif (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
@@ -143,18 +154,63 @@ def _hints(tag: str, attributes: str, inside: bool) -> tuple[int, bool]:
     return boiler, main or named_main or (class_main and not boiler)
 
 
+class Open:
+    """The open elements, as (tag, boilerplate, main text, soft container),
+    with where each tag and the block-level ones stand, so that no step looks
+    through all of them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, int, int]] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, element: tuple[str, int, int, int]) -> None:
+        self.at.setdefault(element[0], []).append(len(self.stack))
+        if element[0] in BLOCK_TAGS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+
+    def pop(self) -> None:
+        name = self.stack.pop()[0]
+        self.at[name].pop()
+        if name in BLOCK_TAGS:
+            self.blocks.pop()
+
+    def close(self, name: str) -> None:
+        """End tag; one without a start, or of an inline element around the
+        open block, closes nothing."""
+        where = self.at.get(name)
+        if not where or (name not in BLOCK_TAGS and self.blocks and self.blocks[-1] > where[-1]):
+            return
+        for _ in range(len(self.stack) - where[-1]):
+            self.pop()
+
+    def block(self) -> tuple[str, int, int, int]:
+        return self.stack[self.blocks[-1]] if self.blocks else ("body", 0, 0, 0)
+
+
+def _ends(open_tag: str, name: str) -> bool:
+    """The start of block ``name`` ends the open element: inline elements,
+    paragraphs and items, and list boxes that were never closed."""
+    if open_tag in LIST_BOXES:
+        return name not in LIST_BOXES or open_tag == name
+    return open_tag not in BLOCK_TAGS or open_tag == "p" or (name == open_tag and name in ONE_BY_ONE)
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []       # (tag, boilerplate, main text)
+    opened = Open()
+    stack = opened.stack
     parts: list[str] = []
-    links, in_link, n_main = 0, False, 0
-    tag, boiler, main, cut = "body", 0, 0, False     # of the open block; cut: in an inline element named as boilerplate
+    endless: set[str] = set()                    # raw tags without an end tag from here on
+    links, in_link, n_main, n_soft = 0, False, 0, 0
+    tag, boiler, main, soft, cut = "body", 0, 0, 0, False    # of the open block; cut: in an inline element named as boilerplate
 
     def finish() -> None:
         nonlocal links
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, links, tag, main, boiler))
+            out.append(Block(text, links, tag, main, boiler, soft))
         parts.clear()
         links = 0
 
@@ -189,9 +245,16 @@ def blocks(page: str) -> list[Block]:
             if block:
                 finish()
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else (n if name in ("script", "style", "textarea", "title") else at)
-            continue
+                end = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                    continue
+                endless.add(name)
+                if name in ("script", "style", "textarea", "title"):
+                    at = n
+            if name != "select":
+                continue
+            block = True                         # a list box without an end: up to the next other block
         if name in VOID_TAGS:
             if name == "hr":
                 finish()
@@ -200,26 +263,25 @@ def blocks(page: str) -> list[Block]:
             finish()
         if close:
             in_link = in_link and not block and name != "a"
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if not block and stack[k][0] in BLOCK_TAGS:      # an inline end tag closes no block
-                    break
+            opened.close(name)
         else:
             in_link = in_link or name == "a"
-            while block and stack and (stack[-1][0] not in BLOCK_TAGS or stack[-1][0] == "p" or (name == stack[-1][0] and name in ONE_BY_ONE)):
-                stack.pop()                      # open inline elements, paragraphs and items end here
-            _, up_boiler, up_main = stack[-1] if stack else ("", 0, 0)
+            while block and stack and _ends(stack[-1][0], name):
+                opened.pop()
+            _, up_boiler, up_main, up_soft = stack[-1] if stack else ("", 0, 0, 0)
             hints = _hints(name, attributes, up_main > 0)
             if hints[1] and up_boiler == WRAPPER:            # marked text inside a mere wrapper
                 up_boiler = 0
             if hints[1] and not up_main:
                 n_main += 1
                 up_main = n_main
-            stack.append((name, max(up_boiler, hints[0]), up_main))
-        tag, boiler, main = next((x for x in reversed(stack) if x[0] in BLOCK_TAGS), ("body", 0, 0))
-        cut = bool(stack) and stack[-1][1] > boiler
+            flag = FIRM if hints[0] == SOFT and name == "a" else hints[0]
+            if flag == SOFT and not up_soft:
+                n_soft += 1
+                up_soft = n_soft
+            opened.push((name, max(up_boiler, flag), up_main, up_soft))
+        tag, boiler, main, soft = opened.block()
+        cut = bool(stack) and stack[-1][1] == FIRM > boiler
     finish()
     return out
 
@@ -252,6 +314,21 @@ def first_pass(found: list[Block]) -> None:
         for b in found:
             if b.label == NEAR:
                 b.label = KEEP
+    # a container with a boilerplate word in a longer name drops its text
+    # unless it alone holds the larger part of what runs
+    soft = [b for b in found if b.boiler == SOFT]
+    if soft:
+        held: Counter[int] = Counter()
+        for b in found:
+            if b.label in (KEEP, NEAR):
+                held[b.soft if b.boiler == SOFT else 0] += len(b.text)
+        largest = max((k for k in held if k), key=lambda k: (held[k], -k), default=0)
+        marked = any(b.main and not b.boiler and b.label != DROP and b.tag not in HEADINGS for b in found)
+        for b in soft:
+            if b.soft == largest and not marked and 2 * held[largest] > held.total():
+                b.boiler = 0
+            else:
+                b.label = DROP
     # a wrapper drops its text unless that is the larger part of what runs
     wrapped = [b for b in found if b.boiler == WRAPPER]
     if wrapped:

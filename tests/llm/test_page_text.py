@@ -104,6 +104,49 @@ def test_odd_pages(page):
     assert isinstance(H.main_text(page), str)
 
 
+def test_options_without_end_tags():
+    for box in ("<select><option>one<option>two</select>", "<select><optgroup label=x><option>one</optgroup><option>two</select>", "<select><option>one<option>two", "<datalist><option value=1>one<option>two</datalist>"):
+        assert H.main_text(f"<article><p>{LONG}</p>{box}<p>Short one.</p><p>{LONG}</p></article>") == f"{LONG}\nShort one.\n{LONG}", box
+        assert H.main_text(f"<div><p>{LONG}</p><form>{box}</form><p>{LONG}</p></div>") == f"{LONG}\n{LONG}", box
+
+
+@pytest.mark.parametrize("names", ["post category-legal comments-open", "post-12 post type-post tag-share tag-newsletter", "story legal", "category-comments", "hentry social"])
+def test_article_keeps_its_text_whatever_its_topics(names):
+    for tag in ("article", "div"):
+        if tag == "article" or "-" in names.split()[-1]:
+            assert H.main_text(f"{ENDS[0]}<{tag} class='{names}'><h1>Headline</h1><p>{LONG}</p></{tag}>{ENDS[1]}") == f"Headline\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["comment", "comment-body odd", "teaser", "promo"])
+def test_articles_that_are_no_article(name):
+    assert H.main_text(f"<main><p>{LONG}</p><article class='{name}'><p>{LONG}</p></article></main>") == LONG
+
+
+@pytest.mark.parametrize("name", ["legal-news", "social-science-article", "share-price-story", "search-for-a-cure", "alert-levels"])
+def test_a_word_within_a_name_is_overruled_by_the_larger_part(name):
+    story = f"<div class='{name}'><h1>Headline</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div>"
+    assert H.main_text(f"{ENDS[0]}{story}{ENDS[1]}") == f"Headline\n{LONG}\nShort one.\n{LONG}"
+    # beside a longer text it is what it says
+    assert H.main_text(f"{ENDS[0]}<div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>{story}") == "\n".join([LONG] * 3)
+    assert H.main_text(f"<article><p>{LONG}</p></article>{story}") == LONG
+
+
+@pytest.mark.parametrize("name", ["comment-list", "user-comments", "cookie-wall", "page-footer", "related comments"])
+def test_sure_words_are_never_overruled(name):
+    thread = f"<div class='{name}'>" + f"<p>{LONG}</p>" * 5 + "</div>"
+    assert H.main_text(f"<div><p>{LONG}</p></div>{thread}") == LONG
+
+
+@pytest.mark.parametrize("page", ["<b>x" * 250_000, "<div>" * 90_000 + "</section>" * 60_000, "<object>x" * 100_000, "<svg>" * 150_000, "<i><p>" + "<b>" * 100_000 + "</i>" * 100_000,
+                                  "<select><option>" * 60_000, "<p>a<b>b" * 100_000, "</p>" * 200_000])
+def test_linear_time(page):
+    import time
+
+    start = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - start < 6
+
+
 def test_extract_over_the_table(spark):
     """Held against the article element of the test pages."""
     from marquee.llm import queries
