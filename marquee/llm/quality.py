@@ -42,7 +42,7 @@ def _slot(feature: str) -> int:
 
 
 def _shape(word: str) -> str:
-    return _RUN.sub(r"\1", "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "a" if c.isalpha() else c for c in word[:40]))
+    return _RUN.sub(r"\1", "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "a" if c.isalpha() else c for c in word))
 
 
 def features(text: str | None) -> np.ndarray:
