@@ -8,8 +8,9 @@ without white space; of scripts that are written without blanks, a character.
 
 A text is handled in chunks that end at white space, each with the tokens of
 the next ones that its windows reach into, so the arrays of an expression
-stay small however long the text is.  (Only a run of more than CHUNK_CHARS
-code points without white space is cut inside.)  The sliding minimum is taken
+stay small however long the text is.  A run of more than CHUNK_CHARS code
+points without white space counts as several tokens of that length, cut from
+its start, so equal runs give equal tokens wherever they stand.  The sliding minimum is taken
 by doubling: minima over 2, 4, 8 ... hashes, with the position packed below
 the hash such that a later position is smaller.
 """
@@ -24,8 +25,9 @@ WINDOW = 1 << DOUBLINGS
 CHUNK_CHARS = 4096
 _PLACES = (1 << 13) - 1          # token offsets within a chunk and its overlap
 _OVERLAP = GRAM + WINDOW - 2
-_CHUNK = rf"(?s).{{1,{CHUNK_CHARS}}}(?!\S)|.{{1,{CHUNK_CHARS}}}"
-_UNSPACED = r"\x{2E80}-\x{A4CF}\x{AC00}-\x{D7FF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+_CHUNK = rf"(?s).{{1,{CHUNK_CHARS}}}(?!\S)|\S{{1,{CHUNK_CHARS}}}|\s+"
+# Thai, Lao, Burmese, Khmer, and the East Asian scripts
+_UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{A4CF}\x{AC00}-\x{D7FF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
 _TOKEN = rf"[^\s{_UNSPACED}]+|\S"
 NO_ID = (1 << 63) - 1
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def tokens(text):
-    return re.findall(r"[^\s⺀-꓏가-퟿豈-﫿]+|\S", text or "")
+    return re.findall("[^\\s\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uac00-\ud7ff\uf900-\ufaff]+|\\S", text or "")
 
 
 def passages_found(a, b):
@@ -26,12 +26,12 @@ def fingerprints(spark, texts):
 def test_equals_plain_winnowing(spark, monkeypatch):
     """Against window by window selection over the gram hashes, with chunks
     small enough that texts span many."""
-    monkeypatch.setattr(W, "_CHUNK", r"(?s).{1,60}(?!\S)|.{1,60}")
+    monkeypatch.setattr(W, "_CHUNK", r"(?s).{1,60}(?!\S)|\S{1,60}|\s+")
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["a", "bb", "ccc", "dd\n", "é"]) for _ in range(rng.randrange(0, 150))) for _ in range(40)] + ["same " * 100, "漢字" * 40, "x" * 500]
     got = fingerprints(spark, texts)
     for i, text in enumerate(texts):
-        pieces = [t for c in re.findall(r".{1,60}(?!\S)|.{1,60}", text, re.S) for t in tokens(c)]
+        pieces = [t for c in re.findall(r".{1,60}(?!\S)|\S{1,60}|\s+", text, re.S) for t in tokens(c)]
         grams = [pieces[p:p + W.GRAM] for p in range(len(pieces) - W.GRAM + 1)]
         if len(grams) < W.WINDOW:
             assert len(got[i]) == bool(pieces)
@@ -57,6 +57,21 @@ def test_shared_passages_are_found(spark):
         assert {h for _, h in got[0]} & {h for _, h in got[i]}
 
 
+def test_shared_passages_over_chunk_ends(spark):
+    """Long runs and scripts without blanks, at any place in the text."""
+    rng = random.Random(4)
+    n = W.GRAM + W.WINDOW - 1
+    thai = "".join(chr(0x0E01 + rng.randrange(46)) for _ in range(n))
+    burmese = "".join(chr(0x1000 + rng.randrange(42)) for _ in range(n))
+    blob = "".join(rng.choice("abcdef0123456789") for _ in range(9000))
+    run = f" {blob} " + " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    for shared, letters in ((thai, "\u0e01\u0e02\u0e03"), (burmese, "\u1000\u1001\u1002"), (run, "a b c ")):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.choice([10, 4080, 4095, 5000]))) + shared + "".join(rng.choice(letters) for _ in range(30)) for _ in range(8)]
+        got = fingerprints(spark, texts)
+        for i in range(1, 8):
+            assert {h for _, h in got[0]} & {h for _, h in got[i]}, (i, letters)
+
+
 def test_edited_and_next(spark, docs_of):
     rows = [r for r in EDGES if r[0] != 5] + [(90 + i, f"text {i} " * (i + 3)) for i in range(30)]
     got = {r.doc_id: r for r in W.compare_edited(docs_of(rows, 5)).collect()}
