@@ -12,11 +12,17 @@ for a query when its k-th score exceeds the next bound.
 Pivots and ring edges come from a bounded sample and only steer the work:
 every vector is indexed, and results are exact for any pivots.  The directory
 of annuli has at most PIVOTS * RINGS entries whatever the size of the table.
-Queries and vectors travel in blocks of bounded size.
+
+Queries and vectors travel in blocks of bounded size.  A task holds a run of
+vector blocks, of annuli next to each other, and the blocks of queries that
+want them pass by: each vector is sent once for every LANE_BLOCKS query blocks
+(a million queries), and each query once for every run that can hold one of
+its best.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +35,17 @@ from marquee.session import materialize
 PIVOTS, RINGS = 32, 8
 SAMPLE_ROWS = 8192               # vectors, the first by a hash of their id, from which pivots and edges are taken
 BLOCK_ROWS, QUERY_ROWS = 2048, 1024
-BLOCKS_IN_RUN = 64               # blocks that one task searches for a block of queries
+BLOCKS_IN_RUN = 64               # vector blocks that a task holds, at most
+LANE_BLOCKS = 1024               # query blocks that pass by one copy of a run
+EXACT = 1 << 53                  # whole numbers up to here are exact as doubles
 SCALE = 1024
 
 
 def quantized(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(vec_id, v): floor(scale * x) of every component.  Vectors that are
-    null or hold a null or non-finite component, and null ids, are left out."""
+    null or hold a null or non-finite component, and null ids, are left out;
+    an empty vector stays, repeated rows stay, other columns are not read, an
+    empty table gives no rows."""
     x = F.col("e")
     whole = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     got = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
@@ -109,8 +119,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
 
     ``vectors`` and ``queries`` are (vec_id, v array<bigint>) without nulls.
     Several query rows of one id count as one, the least; repeated vectors
-    are candidates each.  Shorter vectors are filled up with zeros.  Scores
-    must stay within 2**53.  An empty table or no queries give no rows."""
+    are candidates each.  Shorter vectors are filled up with zeros.  Vectors
+    whose squared length passes 2**53, where scores would no longer be exact,
+    raise ``ValueError``.  An empty table or no queries give no rows; other
+    columns are not read."""
     spark = vectors.sparkSession
     width = vectors.agg(F.max(F.size("v"))).first()[0]
     if not width:
@@ -123,17 +135,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
     edges = np.stack([np.quantile(far[of == p, p], np.arange(1, rings) / rings) if (of == p).any() else np.full(rings - 1, np.inf) for p in range(len(centres))])
 
     def keyed(batches) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in batches:
             x = _matrix(batch.column(1), width)
             d = _distances(x, centres)
             p = d.argmin(axis=1)
             own = d[np.arange(len(x)), p]
             ring = (own[:, None] > edges[p]).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((p * rings + ring).astype(np.int32)), pa.array(own), pa.array((x * x).sum(axis=1))], names=["vec_id", "v", "annulus", "far", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((p * rings + ring).astype(np.int32)), pa.array(own), pa.array((x * x).sum(axis=1)), pa.array(np.arange(seen, seen + len(x)))], names=["vec_id", "v", "annulus", "far", "norm", "nth"])
+            seen += len(x)
 
-    index = materialize(vectors.select("vec_id", "v").mapInArrow(keyed, "vec_id long, v array<long>, annulus int, far double, norm double"), "topk-index")
+    index = materialize(vectors.select("vec_id", "v").mapInArrow(keyed, "vec_id long, v array<long>, annulus int, far double, norm double, nth long"), "topk-index")
     directory = index.groupBy("annulus").agg(F.min("far"), F.max("far"), F.max("norm"), F.count(F.lit(1))).orderBy("annulus").collect()   # at most pivots * rings rows
     annuli, near_, far_, norm_, count_ = (np.array(c) for c in zip(*map(tuple, directory)))
+    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    n_queries, longest = asked.select(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda t, c: t + c.cast("double") * c.cast("double")))).first()
+    if max(norm_.max(), longest or 0) > EXACT:
+        raise ValueError("squared lengths beyond 2**53: scores would not be exact")
+    if not n_queries:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     parts = F.element_at(F.create_map(*[F.lit(int(y)) for a, c in zip(annuli, count_) for y in (a, -(-c // BLOCK_ROWS))]), F.col("annulus"))
     slack = 1e-6 * (1 + norm_.max())             # the bounds are floating point
 
@@ -144,67 +164,77 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
 
     def blocked(key: list, table: pa.Table) -> pa.Table:
         x = _matrix(table.column("v").combine_chunks(), width)
+        data = x.astype(kept)
         ids = table.column("vec_id").to_numpy()
-        return pa.table({"block": pa.array([key[-1].as_py()], pa.int64()), "annulus": pa.array([int(table.column("annulus")[0].as_py())], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([x.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([key[-1].as_py()], pa.int64()), "annulus": pa.array([int(table.column("annulus")[0].as_py())], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
 
+    kept = np.int32 if max(norm_.max(), longest or 0) < float(1 << 62) and math.sqrt(max(norm_.max(), longest or 0)) < (1 << 31) - 1 else np.int64
     packed = "block long, annulus int, ids binary, data binary"
-    block = F.col("annulus").cast("long") * (1 << 40) + F.pmod(F.xxhash64("vec_id", "v"), parts)
+    # blocks are numbered through the annuli, so runs of them hold few
+    sizes = -(-count_ // BLOCK_ROWS)
+    first_block = np.cumsum(sizes) - sizes
+    n_blocks = int(sizes.sum())
+    in_run = max(1, min(BLOCKS_IN_RUN, n_blocks // (2 * spark.sparkContext.defaultParallelism)))
+    runs = -(-n_blocks // in_run)
+    begins = F.element_at(F.create_map(*[F.lit(int(y)) for a, b in zip(annuli, first_block) for y in (a, b)]), F.col("annulus"))
+    block = begins.cast("long") + F.pmod(F.xxhash64("vec_id", "v", "nth"), parts)
     blocks = materialize(index.withColumn("block", block).select("block", "vec_id", "v", "annulus").groupBy("block").applyInArrow(blocked, packed), "topk-blocks")
-    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_queries = asked.count()
-    if not n_queries:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    batch = F.pmod(F.xxhash64("vec_id"), F.lit(-(-n_queries // QUERY_ROWS)))
+    n_heads = -(-n_queries // QUERY_ROWS)
+    batch = F.pmod(F.xxhash64("vec_id"), F.lit(n_heads))
     query_blocks = materialize(asked.select(batch.alias("block"), "vec_id", "v", F.lit(0).alias("annulus")).groupBy("block").applyInArrow(blocked, packed).select(F.col("block").alias("queries"), "ids", "data"), "topk-queries")
 
     def unpack(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(ids, dtype=np.int64), np.frombuffer(data, dtype=np.float64).reshape(-1, width)
+        return np.frombuffer(ids, dtype=np.int64), np.frombuffer(data, dtype=kept).reshape(-1, width).astype(np.float64)
+
+    def runs_of(wanted: np.ndarray) -> list[int]:
+        """Runs with blocks of the annuli at these places."""
+        return sorted({r for i in wanted.tolist() for r in range(int(first_block[i]) // in_run, int(first_block[i] + sizes[i] - 1) // in_run + 1)})
 
     def homes(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, ids, data in zip(*(c.to_pylist() for c in batch.columns)):
-                best = bounds(unpack(ids, data)[1])
-                home = np.unique(best.argmax(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(home), pa.int64()), pa.array(annuli[home].astype(np.int32)), pa.array(best.max(axis=0)[home])], names=["queries", "annulus", "bound"])
+                home = np.unique(bounds(unpack(ids, data)[1]).argmax(axis=1))
+                first = sorted({int(first_block[i]) // in_run for i in home.tolist()})       # where the best annulus begins: enough for a floor
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(first), pa.int64()), pa.array(first, pa.int32())], names=["queries", "run"])
 
-    n_blocks = blocks.count()
-    runs = max(1, -(-n_blocks // BLOCKS_IN_RUN))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lanes = -(-n_heads // LANE_BLOCKS)
     column_of = {int(a): i for i, a in enumerate(annuli)}
 
     def search(pairs: DataFrame, heads: DataFrame, only_home: bool) -> DataFrame:
-        """Best of every query over the blocks of the paired annuli; heads are
-        the query blocks, with the floors of their scores."""
-        run = F.pmod(F.xxhash64("block"), F.lit(runs))
-        todo = pairs.join(blocks, "annulus").select("queries", run.alias("run"), "bound", "annulus", "ids", "data", F.lit(None).cast("binary").alias("floors"))
-        first = todo.select("queries", "run").distinct().join(heads, "queries").select("queries", "run", F.lit(float("inf")).alias("bound"), F.lit(-1).alias("annulus"), "ids", "data", "floors")
-        rows = first.unionByName(todo).repartition(n, "queries", "run").sortWithinPartitions("queries", "run", F.col("bound").desc(), "annulus")
+        """Best of every query over the blocks of the runs it is paired with;
+        heads are the query blocks, with the floors of their scores."""
+        run = F.floor(F.col("block") / in_run).cast("int")
+        held = blocks.select(run.alias("run"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "annulus", "ids", "data", F.lit(None).cast("binary").alias("floors"))
+        lane = F.pmod(F.col("queries"), F.lit(lanes)).cast("int")
+        passing = pairs.join(heads, "queries").select("run", lane.alias("lane"), F.lit(1 << 30).alias("annulus"), "ids", "data", "floors")
+        rows = held.unionByName(passing).repartition(min(n, runs * lanes), "run", "lane").sortWithinPartitions("run", "lane", "annulus")
 
         def expand(batches) -> Iterator[pa.RecordBatch]:
-            best, q, limit, home = None, None, None, None
+            at, here = None, []
             for batch in batches:
-                for annulus, ids, data, floors in zip(*(batch.column(c).to_pylist() for c in ("annulus", "ids", "data", "floors"))):
-                    vecs, x = unpack(ids, data)
-                    if annulus < 0:
-                        if best is not None:
-                            yield best.rows()
-                        q, limit = x, bounds(x)
-                        best, home = Best(vecs, k, None if floors is None else np.frombuffer(floors, dtype=np.float64)), limit.argmax(axis=1)
+                for *place, annulus, ids, data, floors in zip(*(batch.column(c).to_pylist() for c in ("run", "lane", "annulus", "ids", "data", "floors"))):
+                    if place != at:
+                        at, here = place, []
+                    if annulus < 1 << 30:
+                        here.append((column_of[annulus], *unpack(ids, data)))
                         continue
-                    at = column_of[annulus]
-                    who = np.flatnonzero(home == at if only_home else limit[:, at] >= best.floor)
-                    if len(who):
-                        best.offer(who, q[who] @ x.T, vecs)
-            if best is not None:
-                yield best.rows()
+                    own, q = unpack(ids, data)
+                    limit = bounds(q)
+                    best, home = Best(own, k, None if floors is None else np.frombuffer(floors, dtype=np.float64)), limit.argmax(axis=1)
+                    for column, vecs, x in sorted(here, key=lambda b: -limit[:, b[0]].max()):
+                        who = np.flatnonzero(home == column if only_home else limit[:, column] >= best.floor)
+                        if len(who):
+                            best.offer(who, q[who] @ x.T, vecs)
+                    yield best.rows()
 
         return rows.mapInArrow(expand, _HITS)
 
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     open_heads = query_blocks.withColumn("floors", F.lit(None).cast("binary"))
-    seeds = search(query_blocks.mapInArrow(homes, "queries long, annulus int, bound double"), open_heads, True)
+    seeds = search(query_blocks.mapInArrow(homes, "queries long, run int"), open_heads, True)
     floors = materialize(seeds.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k), "topk-floors")
-    floors_of = floors.withColumn("queries", F.pmod(F.xxhash64("query_id"), F.lit(-(-n_queries // QUERY_ROWS)))).groupBy("queries").agg(F.collect_list(F.struct("query_id", "floor")).alias("known"))
+    floors_of = floors.withColumn("queries", F.pmod(F.xxhash64("query_id"), F.lit(n_heads))).groupBy("queries").agg(F.collect_list(F.struct("query_id", "floor")).alias("known"))
 
     def widen(batches) -> Iterator[pa.RecordBatch]:
         """Query blocks with an array of floors."""
@@ -221,8 +251,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
         for batch in batches:
             for number, ids, data, floors in zip(*(c.to_pylist() for c in batch.columns)):
                 limit = bounds(unpack(ids, data)[1])
-                here = np.flatnonzero((limit >= np.frombuffer(floors, dtype=np.float64)[:, None]).any(axis=0))
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(here), pa.int64()), pa.array(annuli[here].astype(np.int32)), pa.array(limit.max(axis=0)[here])], names=["queries", "annulus", "bound"])
+                here = runs_of(np.flatnonzero((limit >= np.frombuffer(floors, dtype=np.float64)[:, None]).any(axis=0)))
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(here), pa.int64()), pa.array(here, pa.int32())], names=["queries", "run"])
 
-    hits = search(heads.mapInArrow(wanted, "queries long, annulus int, bound double"), heads, False)
+    hits = search(heads.mapInArrow(wanted, "queries long, run int"), heads, False)
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -51,3 +51,26 @@ def test_query_equals_sql(spark):
     want = duckdb.sql(queries.ORACLE_SQL["op10_pivot_topk"]).fetchall()
     assert sorted(want) == sorted(map(tuple, queries.op10_pivot_topk(spark, sf).select("query_id", "rank", "vec_id", "score").collect()))
     assert isinstance(want[0][3], int) and np.isfinite(len(want))
+
+
+def test_clashing_columns_repeated_queries_and_lanes(spark, monkeypatch):
+    monkeypatch.setattr(K, "QUERY_ROWS", 4)
+    monkeypatch.setattr(K, "LANE_BLOCKS", 2)
+    monkeypatch.setattr(K, "BLOCK_ROWS", 20)
+    rng = random.Random(9)
+    rows = [(i, [rng.randrange(-9, 9) for _ in range(4)]) for i in range(150)]
+    df = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in rows], "vec_id long, v array<long>, annulus int, block string, run int")
+    asked = df.where("vec_id % 3 = 0")
+    got = K.top_k(df, asked.unionByName(asked), 5).collect()
+    assert sorted(map(tuple, got)) == brute(rows, [r for r in rows if r[0] % 3 == 0], 5)
+
+
+def test_scores_that_would_not_be_exact_raise(spark):
+    table = spark.createDataFrame([(0, [1e300, 1.0]), (100, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    vectors = K.quantized(table)
+    with pytest.raises(Exception, match="2\\*\\*53|OVERFLOW|overflow"):
+        K.top_k(vectors, vectors).collect()
+    big = spark.createDataFrame([(0, [1 << 26, 0]), (1, [1, 1])], "vec_id long, v array<long>")
+    assert sorted(map(tuple, K.top_k(big, big).collect())) == [(0, 1, 1, 1 << 26), (1, 1, 0, 1 << 26)]
+    with pytest.raises(ValueError, match="exact"):
+        K.top_k(big, spark.createDataFrame([(2, [1 << 27, 0])], "vec_id long, v array<long>"))
