@@ -230,7 +230,8 @@ def joined(spans, kinds: tuple[str, ...] = KINDS):
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span (overlapping ones as one) replaced by
-    ``mark``; all rows and columns stay, null texts stay null."""
+    ``mark``; all rows and columns stay, null texts stay null, repeated rows
+    stay repeated, and an empty table stays empty."""
     names = docs.columns
 
     def clean(t: str | None) -> str | None:
