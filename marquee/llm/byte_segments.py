@@ -1,11 +1,11 @@
 """Anchored segments of byte strings, vectorised over a slice of texts.
 
-Bucket identifiers of all positions are refined by pointers: the identifier
-at depth 2d of a position is made of the identifiers at depth d of the
-position and of the one d bytes later, so depth 25 gives 50 and 50 gives 100.
-Each 100-byte window goes to the bucket of the smallest depth-50 identifier
-inside it; windows in a row with the same one form a segment.  Equal windows
-therefore meet in equal buckets wherever they stand.
+Content identifiers of all positions are hashes: that at depth 2d is made of
+those at depth d of the position and of the one d bytes later, so depth 25
+gives 50 and 50 gives 100.  Each 100-byte window goes to the bucket of the
+smallest depth-50 identifier inside it; windows in a row with the same one
+form a segment.  Equal windows therefore meet in equal buckets wherever they
+stand.
 """
 
 from __future__ import annotations

@@ -1,10 +1,7 @@
-"""Exact removal of repeated byte strings by bucket-pointer refinement.
+"""Exact removal of repeated byte strings, by buckets that are refined.
 
 A byte goes when a 100-byte string that covers it also starts earlier
-(smaller doc_id, or the same document and an earlier start).  Positions are
-refined from q-gram buckets on, as in bucket-pointer suffix sorting, but a
-bucket is dropped as soon as it holds one occurrence, and buckets are content
-identifiers, so any executor computes them:
+(smaller doc_id, or the same document and an earlier start).
 
 1. One scan cuts every text into anchored segments (``byte_segments``) and
    keeps, per task, the earliest occurrence of each (bucket, segment); later
@@ -13,13 +10,17 @@ identifiers, so any executor computes them:
 2. A shuffle by bucket, sorted by segment and position, streams past: later
    occurrences of a segment are removed.  A bucket that still holds different
    segments stays open.
-3. Open segments are refined to single windows: the documents that hold them
-   give the bytes, a second shuffle by bucket brings those together, and the
-   windows are sorted by their identifiers.  Windows of buckets with very
-   many segments are shuffled one by one instead, combined per task as in 1.
+3. The documents that hold open segments give the bytes, and a second shuffle
+   by bucket brings those together.  There the windows are sorted by
+   bucket-pointer refinement (``bucket_pointers``): from q-gram buckets on,
+   each bucket is sorted on the bucket identifiers of later offsets and the
+   updates are reused, to a depth of 100 bytes; neighbours are then compared
+   byte for byte.  Windows of buckets with very many segments are shuffled
+   one by one instead, by their identifiers, combined per task as in 1.
 4. Removed ranges meet their documents.
 
-Identifiers have 128 bits (bucket and segment, or two window hashes).
+The identifiers of steps 1 and 2, which distribute the work, have 128 bits
+(bucket and segment, or two window hashes).
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm import byte_segments as seg
+from marquee.llm.bucket_pointers import refined, same_as_before
 from marquee.llm.byte_segments import LENGTH
 from marquee.session import materialize
 
@@ -262,13 +264,25 @@ def _resolve(batches) -> Iterator[pa.RecordBatch]:
 
     def compare() -> pa.RecordBatch | None:
         nonlocal held, size
-        first, second, of, offset = _windows([h[3] for h in held])
-        bucket = np.array([h[0] for h in held], dtype=np.int64)[of]
+        data = b"".join(h[3] for h in held)
+        sizes = np.fromiter((len(h[3]) for h in held), dtype=np.int64, count=len(held))
+        n = sizes - LENGTH + 1
+        ends = np.cumsum(n)
+        offset = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        of = np.repeat(np.arange(len(held)), n)
+        at = np.repeat(np.cumsum(sizes) - sizes, n) + offset
         doc = np.array([h[1] for h in held], dtype=np.int64)[of]
         place = np.array([h[2] for h in held], dtype=np.int64)[of] + (offset << (_TIE_BITS + _LOW_BITS))
         held, size = [], 0
-        order = np.lexsort((place, doc, second, first, bucket))
-        _, later = _Earliest()(first[order] ^ seg.mix(bucket[order].view(np.uint64)), second[order], doc[order], place[order])
+        window = np.full(len(data), -1)
+        window[at] = np.arange(len(at))
+        sorted_ = refined(data, sizes, LENGTH)
+        sorted_ = sorted_[window[sorted_] >= 0]
+        number = window[sorted_]
+        group = np.cumsum(~same_as_before(data, sorted_, LENGTH))
+        order = number[np.lexsort((place[number], doc[number], group))]
+        key = np.sort(group)
+        _, later = _Earliest()(key, key, doc[order], place[order])
         gone = order[later]
         if not len(gone):
             return None

@@ -63,3 +63,29 @@ def test_clean_text(docs_of):
 
 def test_empty(docs_of):
     assert S.dedup(docs_of([(1, "x")]).limit(0)).count() == 0
+
+
+def test_bucket_pointers():
+    import numpy as np
+
+    from marquee.llm.bucket_pointers import refined, same_as_before
+
+    rng = random.Random(11)
+    for trial in range(60):
+        letters = rng.choice([b"a", b"ab", b"abcdefgh"])
+        strings = [bytes(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(rng.randrange(1, 12))]
+        strings += [rng.choice(strings) * rng.randrange(1, 5) for _ in range(3)]
+        data, depth = b"".join(strings), rng.choice([8, 13, 20, 40])
+        sizes = np.array(list(map(len, strings)))
+        order = refined(data, sizes, depth)
+        assert sorted(order.tolist()) == list(range(len(data)))
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        full = [i for i in order.tolist() if ends[i] - i >= depth]
+        seen, last = set(), None
+        for i in full:                           # equal strings stand together
+            if data[i:i + depth] != last:
+                last = data[i:i + depth]
+                assert last not in seen
+                seen.add(last)
+        same = same_as_before(data, np.array(full, dtype=np.int64), depth)
+        assert same.tolist() == [k > 0 and data[i:i + depth] == data[full[k - 1]:full[k - 1] + depth] for k, i in enumerate(full)]
