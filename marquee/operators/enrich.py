@@ -122,9 +122,51 @@ def first_geo_binding(geo: DataFrame, key: str = "name", pos: str = "pos") -> Da
     return g.groupBy(key).agg(F.min_by(row, F.col(pos)).alias("b")).select(key, "b.*")
 
 
-def most_frequent(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Most frequent ``value`` per ``key``; ties -> smallest value."""
-    c = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+def binding_geography(geo: DataFrame, countries: DataFrame) -> DataFrame:
+    """(name, city, iso2, continent) of the first binding of each name
+    that says anything; where it has no country code, the code comes from its
+    country label."""
+    label = countries.groupBy(F.lower(F.trim("name")).alias("_label")).agg(F.min(F.upper("iso2")).alias("_iso"))
+    b = first_geo_binding(geo).join(label, F.lower(F.trim("country")) == F.col("_label"), "left")
+    iso = F.coalesce(F.upper(F.when(~is_blank("iso2"), F.trim("iso2"))), F.col("_iso"))
+    b = b.select("name", F.when(~is_blank("hq"), F.trim("hq")).alias("city"), iso.alias("iso2"))
+    ct = countries.groupBy(F.upper("iso2").alias("_code")).agg(F.min("continent").alias("continent"))
+    return b.join(ct, F.col("iso2") == F.col("_code"), "left").select("name", "city", "iso2", "continent")
+
+
+def company_geography(rows: DataFrame, key: str, chosen: DataFrame, geo: DataFrame, countries: DataFrame) -> DataFrame:
+    """City and continent of each row's company by a chain of lookups, with
+    the source of each value.
+
+    ``rows``: ``key``, city and continent as far as known, country (a label)
+    and main_studio; ``chosen``: ``key``, company_name, city, continent, the
+    company picked from the movie record.  In order: what is known; the chosen
+    company; the binding of that company, or where there is none of the main
+    studio, asked only if the company lacks city or continent; for the
+    continent last the country label."""
+    c = chosen.select(F.col(key).alias("_key"), "company_name", F.col("city").alias("_c_city"), F.col("continent").alias("_c_continent"))
+    j = rows.join(c, rows[key] == F.col("_key"), "left").withColumn("_name", F.coalesce("company_name", "main_studio"))
+    b = binding_geography(geo, countries).select(F.col("name").alias("_b_name"), F.col("city").alias("_b_city"), F.col("continent").alias("_b_continent"))
+    j = j.join(b, F.col("_name") == F.col("_b_name"), "left")
+    asked = F.col("_c_city").isNull() | F.col("_c_continent").isNull()
+    label = countries.groupBy(F.lower(F.trim("name")).alias("_label")).agg(F.min("continent").alias("_l_continent"))
+    j = j.join(label, F.lower(F.trim("country")) == F.col("_label"), "left")
+    out = [F.col(key), F.col("_name").alias("geo_company")]
+    chains = {"city": [("known", F.col("city")), ("company", F.col("_c_city")), ("binding", F.when(asked, F.col("_b_city")))],
+              "continent": [("known", F.col("continent")), ("company", F.col("_c_continent")), ("binding", F.when(asked, F.col("_b_continent"))), ("country", F.col("_l_continent"))]}
+    for name, chain in chains.items():
+        source = F.lit(None).cast("string")
+        for label_, value in reversed(chain):
+            source = F.when(value.isNotNull(), F.lit(label_)).otherwise(source)
+        out += [F.coalesce(*[v for _, v in chain]).alias(name), source.alias(f"{name}_source")]
+    return j.select(*out)
+
+
+def most_frequent(df: DataFrame, key: str, value: str, name: str, rows: Column | None = None) -> DataFrame:
+    """Most frequent ``value`` per ``key``; ties -> smallest value.
+    ``rows``: how many rows each row stands for, where ``df`` was reduced."""
+    n = F.count(F.lit(1)) if rows is None else F.sum(rows)
+    c = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(n.alias("_n"))
     return c.groupBy(key).agg(F.min_by(F.col(value), F.struct(-F.col("_n"), F.col(value))).alias(name),
                               F.max("_n").alias(f"{name}_days"))
 

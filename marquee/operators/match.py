@@ -45,9 +45,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marquee.functions.clean import TITLE_YEAR_SUFFIX, day_distance, norm_text, norm_title, parse_date, prefix_year
 from marquee.functions.similarity import indel_ratio
+from marquee.operators.cache import KeyedCache
+from marquee.operators.keys import keep_first
 
 
 @dataclass(frozen=True)
@@ -375,6 +378,54 @@ def pick(wanted: DataFrame, catalogue: DataFrame, w: Weights = V3, companies: Da
                       .alias("match_source"))
 
 
+MATCHES = T.StructType([T.StructField("w_norm", T.StringType()), T.StructField("w_year", T.IntegerType()), T.StructField("matched_id", T.LongType()), T.StructField("found_by", T.StringType())])
+MATCH_KEYS = ["w_norm", "w_year"]
+CACHE, PRIMARY, FALLBACK, UNMATCHED = "cache", "primary", "secondary", "unmatched"
+
+
+def match_cache(spark, path: str, buckets: int = 64) -> KeyedCache:
+    return KeyedCache(spark, path, MATCHES, MATCH_KEYS, ["matched_id"], buckets)
+
+
+def full_match(wanted: DataFrame, catalogue: DataFrame, cache: KeyedCache, companies: DataFrame | None = None,
+               primary: Weights = V3, secondary: Weights = SECONDARY) -> DataFrame:
+    """K10 with A7 and C16: (row_id, matched_id, match_source).
+
+    A title and year in the cache is not searched.  Of the rows of any other
+    key the first is searched, with its hints, by ``primary``, and if that
+    finds nothing by ``secondary``; what is found goes into the cache, and the
+    other rows of the key take it from there.  Keys that nothing is found for
+    are not cached and will be searched again.  ``match_source`` is cache,
+    primary, secondary or unmatched."""
+    from marquee.session import materialize
+
+    rows = wanted
+    if "title" in wanted.columns:
+        rows = wanted.withColumn("w_norm", or_raw_title(F.col("w_norm"), F.col("title")))
+    rows = rows.withColumn("w_year", F.col("w_year").cast("int"))
+    looked = materialize(cache.hits(rows, "matched_id"), "match-looked")
+    known = looked.filter("cache_hit").select("row_id", F.col("cached_matched_id").alias("matched_id"), F.lit(CACHE).alias("match_source"))
+    missing = looked.filter("not cache_hit").drop("cached_matched_id", "cache_hit")
+    first = materialize(keep_first(missing, MATCH_KEYS, [F.col("row_id")]), "match-first")
+    if first.isEmpty():
+        return known
+    tried = materialize(pick(first, catalogue, primary, companies), "match-primary")
+    rest = first.join(tried.filter(F.col("matched_id").isNull()).select("row_id"), "row_id", "left_semi")
+    fallback = pick(rest, catalogue, secondary)
+    found = tried.select("row_id", "matched_id", F.lit(PRIMARY).alias("found_by")).unionByName(fallback.select("row_id", "matched_id", F.lit(FALLBACK).alias("found_by")))
+    found = materialize(first.select("row_id", *MATCH_KEYS).join(found.filter(F.col("matched_id").isNotNull()), "row_id"), "match-found")
+    cache.upsert(found)
+    f = found.select(F.col("row_id").alias("_rep"), *[F.col(k).alias(f"_{k}") for k in MATCH_KEYS], "matched_id", "found_by")
+    same = F.col("w_norm").eqNullSafe(F.col("_w_norm")) & F.col("w_year").eqNullSafe(F.col("_w_year"))
+    source = F.when(F.col("matched_id").isNull(), UNMATCHED).when(F.col("row_id") == F.col("_rep"), F.col("found_by")).otherwise(CACHE)
+    return known.unionByName(missing.join(f, same, "left").select("row_id", "matched_id", source.alias("match_source")))
+
+
+def source_counts(matches: DataFrame) -> DataFrame:
+    """Rows by the way their match was found, all four in one row."""
+    return matches.agg(*[F.count_if(F.col("match_source") == s).alias(f"n_{s}") for s in (CACHE, PRIMARY, FALLBACK, UNMATCHED)], F.count(F.lit(1)).alias("rows"))
+
+
 def match_stats(matches: DataFrame) -> DataFrame:
     """Matched / unmatched counters."""
     return matches.agg(F.count_if(F.col("match_source") == "matched").alias("matched"),

@@ -211,7 +211,7 @@ QUERIES.update({
 from marquee.functions.clean import money, norm_title, percent, prefix_year, last_part  # noqa: E402
 from marquee.operators import enrich as EN  # noqa: E402
 from marquee.sources import lookups as LK  # noqa: E402
-from marquee.sources.io import split_entities  # noqa: E402
+from marquee.sources.io import tagged_entities  # noqa: E402
 
 COMPANY_SCHEMA = "array<struct<id:bigint,name:string,origin_country:string>>"
 
@@ -297,8 +297,22 @@ def c15_geo_binding(spark, sf):
 
 def d12_most_frequent_studio(spark, sf):
     dv = adapter.driver(spark, sf)
-    raw = LK.raw_daily(dv, loaded(spark, sf))
-    return EN.most_frequent(raw, "bk_film", "studio", "main_studio")
+    studios = LK.film_studios(dv, loaded(spark, sf))
+    return EN.most_frequent(studios, "bk_film", "studio", "main_studio", F.col("days"))
+
+
+def c15_company_geography(spark, sf):
+    """The geography chain over all films.  Movies without a release date are
+    not found by the search and have no company record; their main studio is
+    asked for."""
+    dv, d = _details(spark, sf)
+    chosen = EN.choose_company(d.filter(F.col("release_date") != ""), LK.companies(dv), LK.countries(dv))
+    studios = LK.film_studios(dv, loaded(spark, sf))
+    main = EN.most_frequent(studios, "bk_film", "studio", "main_studio", F.col("days"))
+    label = studios.groupBy("bk_film").agg(F.min("country").alias("country"))
+    number = F.substring("bk_film", 2, 8).cast("bigint").alias("movie_id")
+    rows = main.join(label, "bk_film").select(number, "main_studio", "country", F.lit(None).cast("string").alias("city"), F.lit(None).cast("string").alias("continent"))
+    return EN.company_geography(rows, "movie_id", chosen, LK.company_geo(dv), LK.countries(dv))
 
 
 def d14_best_person(spark, sf):
@@ -352,12 +366,7 @@ def a10_split_entities(spark, sf):
         "daily": ["fk_date", "bk_film", "bk_actor", "bk_director", "bk_production_company",
                   "gross_revenue_per_day", "days_since_release"],
     }
-    parts = split_entities(raw, spec)
-    out = None
-    for name, df in parts.items():
-        r = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("entity"), "n_rows")
-        out = r if out is None else out.unionByName(r)
-    return out
+    return tagged_entities(raw, spec).groupBy("entity").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def i1_incremental_append(spark, sf):
@@ -376,7 +385,7 @@ def i1_incremental_append(spark, sf):
 
 for _fn in (e4_franchise, e5_lead_actor, e6_lead_director, e7_lead_producer, h1_json_roundtrip, h2_languages,
             h3_company_names, h4_rating_source, c13_fallback, c14_company_choice, c15_geo_binding,
-            d12_most_frequent_studio, d14_best_person, a7_cache_upsert, c16_cache_hit, a10_split_entities,
+            c15_company_geography, d12_most_frequent_studio, d14_best_person, a7_cache_upsert, c16_cache_hit, a10_split_entities,
             i1_incremental_append):
     QUERIES[_fn.__name__] = _fn
 
@@ -402,6 +411,32 @@ def _match(weights):
     return run
 
 
+def _under_checkpoint(spark, name):
+    import uuid
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _cached_match(spark, sf, cache):
+    dv = adapter.driver(spark, sf)
+    first = adapter.shared_first(dv)
+    comp = LK.candidate_companies(LK.movie_details(dv, first))
+    return MT.full_match(LK.wanted_titles(dv, first), LK.catalogue(dv, first), cache, comp)
+
+
+def k10_match_cached(spark, sf):
+    """The full match, from an empty cache on."""
+    return _cached_match(spark, sf, MT.match_cache(spark, _under_checkpoint(spark, "match-cache")))
+
+
+def d18_source_counts(spark, sf):
+    """How matches were found, in a run from an empty cache and in one after."""
+    cache = MT.match_cache(spark, _under_checkpoint(spark, "match-cache"))
+    runs = [MT.source_counts(_cached_match(spark, sf, cache)).withColumn("run", F.lit(k)) for k in (1, 2)]
+    return runs[0].unionByName(runs[1])
+
+
+QUERIES["k10_match_cached"] = k10_match_cached
+QUERIES["d18_source_counts"] = d18_source_counts
 QUERIES["k1_ratio"] = k1_ratio
 QUERIES["k10_match"] = _match(MT.V3)
 QUERIES["k10_match_v1"] = _match(MT.V1)
@@ -435,6 +470,24 @@ QUERIES.update({
 })
 
 
+def _ml_tables(spark, sf):
+    """Both result tables, written after the warehouse they are
+    derived from and read back."""
+    w = loaded(spark, sf)
+    return ML.write_outputs(spark, Q.genre_trend(w), ML.run_once(spark, sf, loaded).predictions, _under_checkpoint(spark, "ml"))
+
+
+def n10_ml_tier_predictions(spark, sf):
+    """The written predictions, with what holds for each of them."""
+    t = _ml_tables(spark, sf)["ml_tier_predictions"]
+    sound = F.col("predicted_tier").isin(*ML.TIERS) & F.col("tier_confidence").between(1 / len(ML.TIERS) - 1e-4, 1)
+    return t.drop("predicted_tier", "tier_confidence").withColumn("sound", sound)
+
+
+QUERIES["a5_ml_genre_trends"] = lambda spark, sf: _ml_tables(spark, sf)["ml_genre_trends"]
+QUERIES["n10_ml_tier_predictions"] = n10_ml_tier_predictions
+
+
 # ---------------------------------------------------------------- remaining lookups / SQL text
 from marquee.functions.clean import business_key, claim_year  # noqa: E402
 
@@ -497,3 +550,25 @@ def q1_pipeline_fact(spark, sf):
 
 
 QUERIES["q1_pipeline_fact"] = q1_pipeline_fact
+
+
+# ---------------------------------------------------------------- from the sheet to the warehouse
+from marquee.plans import sheet as SH  # noqa: E402
+
+
+def _chain(spark, sf):
+    return SH.run_once(spark, sf, lambda: _under_checkpoint(spark, "sheet-chain"))
+
+
+def a9_enriched_sheet(spark, sf):
+    """The written enriched sheet by film: what was filled, and what each
+    film's days add up to."""
+    cols = ["bk_film", "match_source", "film_runtime_min", "film_budget_usd", "imdb_rating", "rt_rating", "primary_language_film", "secondary_language_film"]
+    days = _chain(spark, sf)["sheet"].groupBy(*cols).agg(F.count(F.lit(1)).alias("n_days"), F.sum("gross_revenue_per_day").alias("total_revenue"))
+    return as_report(days)
+
+
+QUERIES["a9_enriched_sheet"] = a9_enriched_sheet
+QUERIES["q1_sheet_films"] = lambda spark, sf: as_report(_chain(spark, sf)["dim_film"])
+QUERIES["q1_sheet_companies"] = lambda spark, sf: _chain(spark, sf)["dim_production_company"]
+QUERIES["q1_sheet_fact"] = lambda spark, sf: as_report(_chain(spark, sf)["fact_daily_box_office"])

@@ -30,6 +30,8 @@ from marquee.operators.quantiles import exact_quantiles
 from marquee.operators.trees import Columns
 from marquee.session import materialize
 from marquee.sources import adapter
+from marquee.sources.io import conform, write_table
+from marquee.sources.schemas import ML_OUTPUT
 
 # --- fixed values: feature lists and model settings of the reference -----
 NUM_COLS = ("film_runtime_min", "film_budget_usd", "imdb_rating", "rt_rating",
@@ -243,6 +245,15 @@ def where_to_invest(trend: DataFrame, predictions: DataFrame) -> DataFrame:
     return g.join(share, "film_genre").select("film_genre", "genre_projected_revenue", "n_films", "high_tier_share")
 
 
+def write_outputs(spark, trend: DataFrame, tiers: DataFrame, root: str) -> dict[str, DataFrame]:
+    """The two result tables in their declared layout, overwritten,
+    the trends first, and read back.  Called after the load of the tables that
+    they are derived from."""
+    for name, table in (("ml_genre_trends", trend), ("ml_tier_predictions", tiers)):
+        write_table(conform(table, ML_OUTPUT[name]), f"{root.rstrip('/')}/{name}")
+    return {name: spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{name}") for name, schema in ML_OUTPUT.items()}
+
+
 _RUNS: dict = {}
 
 

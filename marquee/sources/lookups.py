@@ -168,6 +168,39 @@ def raw_daily(dv: DriverFrames, stg: dict[str, DataFrame]) -> DataFrame:
         F.when(F.col("fk_date") % 5 == 0, alt).otherwise(F.col("production_company")).alias("studio"))
 
 
+def film_studios(dv: DriverFrames, stg: dict[str, DataFrame]) -> DataFrame:
+    """(bk_film, studio, country, days): the studio texts of a film's daily
+    rows and on how many days each stands; the fact is reduced before the
+    company names are joined."""
+    f = stg["stg_fact_daily_box_office"]
+    comp = stg["stg_dim_production_company"].select("bk_production_company", "production_company", "country_production_company")
+    days = f.groupBy("fk_film", "fk_production_company", (F.col("fk_date") % 5 == 0).alias("_alt")).agg(F.count(F.lit(1)).alias("days"))
+    j = days.join(comp, days["fk_production_company"] == comp["bk_production_company"])
+    alt = padded("Supplier#", (F.substring("fk_film", 2, 8).cast("bigint") + 1) % F.lit(dv.n_supplier))
+    return j.select(F.col("fk_film").alias("bk_film"), F.when(F.col("_alt"), alt).otherwise(F.col("production_company")).alias("studio"),
+                    F.col("country_production_company").alias("country"), "days")
+
+
+# columns of the daily sheet before it is enriched; a film's runtime and a
+# company's city are known for some only
+SHEET_FILM = ("bk_film", "film_title", "film_release_year", "film_genre", "film_age_classification", "main_filming_country", "secondary_filming_country",
+              "tertiary_filming_country", "film_awards_won", "film_awards_nominations", "film_oscars_won", "film_oscar_nominations")
+
+
+def raw_sheet(stg: dict[str, DataFrame]) -> DataFrame:
+    """The daily sheet as it is delivered: a row per film and day with the
+    attributes of film, people and company (A2)."""
+    f = stg["stg_fact_daily_box_office"]
+    number = F.substring("bk_film", 2, 8).cast("bigint")
+    film = stg["stg_dim_film"].select(*SHEET_FILM, F.when(number % 3 == 0, F.col("film_runtime_min")).alias("film_runtime_min"))
+    actor, director = stg["stg_dim_actor"], stg["stg_dim_director"]
+    known = F.substring("bk_production_company", 2, 8).cast("bigint") % 2 == 0
+    comp = stg["stg_dim_production_company"].select("bk_production_company", "production_company", "country_production_company", F.when(known, F.col("city_production_company")).alias("city_production_company"))
+    j = (f.join(film, f["fk_film"] == film["bk_film"]).join(actor, f["fk_actor"] == actor["bk_actor"])
+         .join(director, f["fk_director"] == director["bk_director"]).join(comp, f["fk_production_company"] == comp["bk_production_company"]))
+    return j.drop("fk_film", "fk_actor", "fk_director", "fk_production_company")
+
+
 def catalogue(dv: DriverFrames, first: DataFrame | None = None) -> DataFrame:
     """Movie search catalogue (FIXTURES §4): one candidate per part."""
     if first is None:

@@ -74,6 +74,15 @@ LOG_QUALITY_CHECKS = _struct(
     ("etl_result", S, False),
 )
 
+ML_GENRE_TRENDS = _struct(
+    ("film_genre", S, False), ("genre_trend", S, False), ("genre_projected_revenue", T.DoubleType(), True),
+)
+
+ML_TIER_PREDICTIONS = _struct(
+    ("bk_film", S, False), ("film_title", S, False), ("film_genre", S, False), ("runtime_segment", S, False), ("release_season", S, False),
+    ("film_age_classification", S, False), ("predicted_tier", S, False), ("tier_confidence", T.DoubleType(), False),
+)
+
 # VARCHAR(n) limits of the staging DDL (checked by conform()).
 MAX_LENGTH = {
     "bk_film": 400, "film_title": 200, "film_genre": 100, "film_age_classification": 100,
@@ -90,6 +99,9 @@ MAX_LENGTH = {
 }
 
 
+ML_OUTPUT = {"ml_genre_trends": ML_GENRE_TRENDS, "ml_tier_predictions": ML_TIER_PREDICTIONS}
+
+
 def with_surrogate(schema: T.StructType, sk: str) -> T.StructType:
     return T.StructType([T.StructField(sk, I, False), *schema.fields])
 

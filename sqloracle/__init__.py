@@ -4,5 +4,5 @@
 ``queries.ORACLE`` maps query keys to SQL bodies that read those CTEs.
 """
 
-import sqloracle.matching  # noqa: F401  (registers its queries)
+import sqloracle.chain  # noqa: F401  (registers its queries and those of matching)
 from sqloracle.queries import oracle_sql  # noqa: F401

@@ -674,7 +674,7 @@ rege("c13_fallback", """SELECT m.movie_id, coalesce(m.b, r.v, f.v) AS budget_usd
   LEFT JOIN (SELECT cast(substr(bk_film, 2, 8) AS bigint) AS movie_id,
                     CASE WHEN film_budget_usd > 0 THEN cast(film_budget_usd AS bigint) END AS v FROM stg_dim_film) f
     ON m.movie_id = f.movie_id""")
-rege("c14_company_choice", """SELECT b.movie_id, b.company_id, b.company_name, b.city, b.iso2, ct.continent
+C14 = """SELECT b.movie_id, b.company_id, b.company_name, b.city, b.iso2, ct.continent
   FROM (SELECT movie_id, unnest(bb) FROM (SELECT movie_id, arg_min({'company_id': id, 'company_name': name,
                                   'city': city, 'iso2': iso},
                                   (NOT (city IS NOT NULL OR iso IS NOT NULL), pos)) AS bb
@@ -686,7 +686,8 @@ rege("c14_company_choice", """SELECT b.movie_id, b.company_id, b.company_name, b
                           FROM movie_details) e
                   LEFT JOIN companies c ON e.u.id = c.company_id) x
          GROUP BY movie_id) y) b
-  LEFT JOIN countries ct ON length(b.iso2) = 2 AND upper(b.iso2) = upper(ct.iso2)""")
+  LEFT JOIN countries ct ON length(b.iso2) = 2 AND upper(b.iso2) = upper(ct.iso2)"""
+rege("c14_company_choice", C14)
 rege("c15_geo_binding", """SELECT name, unnest(b) FROM (
   SELECT name, arg_min({'pos': pos, 'hq': hq, 'country': country, 'iso2': iso2}, pos) AS b
     FROM company_geo WHERE hq IS NOT NULL OR country IS NOT NULL OR iso2 IS NOT NULL GROUP BY name) t""")
