@@ -1,9 +1,12 @@
 """Semantic measures (O1-O18) and hierarchy rollups.
 
-Each measure is ``f(star, by) -> DataFrame`` with one row per ``by`` group;
-``star`` is the fact joined to the dimensions carrying the ``by`` columns
-(``warehouse.star``).  The reference documents these only by name, so each
-formula is a [decision] stated in its docstring and mirrored in the oracle.
+Each measure is ``f(star, by) -> DataFrame`` with one row per ``by`` group.
+It names the keys it groups by, the attributes it needs and its sums, and
+``Star`` resolves them: the fact is reduced to the foreign keys that matter,
+then only the dimensions that hold a named column are joined, then the sums
+are merged.  ``star`` may also be a frame that has all the columns already.
+The reference documents these only by name, so each formula is a [decision]
+stated in its docstring and mirrored in the oracle.
 
 Entity-level measures (per film / actor / genre) aggregate the fact to the
 entity grain first and average those totals second — budget and ratings are
@@ -16,6 +19,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 G, DAYS = "gross_revenue_per_day", "days_since_release"
+STAR_DIMS = {"dim_film": ("fk_film", "sk_film"), "dim_date": ("fk_date", "sk_date"), "dim_actor": ("fk_actor", "sk_actor"),
+             "dim_director": ("fk_director", "sk_director"), "dim_production_company": ("fk_production_company", "sk_production_company")}
+# how partial sums are taken of fact rows, and merged
+PARTIAL = {"sum": F.sum, "count": F.count, "max": F.max}
+MERGED = {"sum": F.sum, "count": F.sum, "max": F.max}
+
+
+class Star:
+    """The loaded star, for measures: finds the dimension of a column."""
+
+    def __init__(self, w: dict[str, DataFrame], fact: str = "fact_daily_box_office", dims=STAR_DIMS):
+        self.fact = w[fact]
+        self.dims = {name: (w[name], fk, sk) for name, (fk, sk) in dims.items() if name in w}
+        if "dim_date" in self.dims and "proper_date" in w["dim_date"].columns:
+            date, fk, sk = self.dims["dim_date"]
+            self.dims["dim_date"] = (date.withColumn("week_no", week_no(F.col("proper_date"))), fk, sk)
+
+    def dimension(self, column: str) -> str:
+        for name, (dim, _, _) in self.dims.items():
+            if column in dim.columns:
+                return name
+        raise KeyError(f"no dimension has {column}")
+
+    def grouped(self, keys: list[str], attrs: list[str], aggs: dict[str, tuple[str, str]]) -> DataFrame:
+        """One row per ``keys`` and ``attrs`` with the named sums of fact
+        rows, ("sum" | "count" | "max", column)."""
+        own = [k for k in keys if k in self.fact.columns]
+        named: dict[str, list[str]] = {}
+        for c in [*keys, *attrs]:
+            if c not in own:
+                named.setdefault(self.dimension(c), []).append(c)
+        reduced_to = list(dict.fromkeys([*own, *[self.dims[d][1] for d in named]]))
+        out = _aggregated(self.fact, reduced_to, aggs, PARTIAL)
+        for name, columns in named.items():
+            dim, fk, sk = self.dims[name]
+            out = out.join(dim.select(F.col(sk).alias("_sk"), *columns), F.col(fk) == F.col("_sk")).drop("_sk")
+        if named:
+            out = _aggregated(out, [*keys, *attrs], {n: (kind, n) for n, (kind, _) in aggs.items()}, MERGED)
+        return out
+
+
+def _aggregated(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str]], how) -> DataFrame:
+    if not aggs:
+        return df.select(*keys).distinct()
+    return df.groupBy(*keys).agg(*[how[kind](F.lit(1) if c == "*" else F.col(c)).alias(n) for n, (kind, c) in aggs.items()])
+
+
+def _grouped(star: Star | DataFrame, keys, attrs=(), **aggs) -> DataFrame:
+    if isinstance(star, Star):
+        return star.grouped(list(keys), list(attrs), aggs)
+    return _aggregated(star, [*keys, *attrs], aggs, PARTIAL)
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -26,34 +80,32 @@ def _by(by) -> list[str]:
     return list(by or [])
 
 
-def total_revenue(star: DataFrame, by=()) -> DataFrame:
+def total_revenue(star, by=()) -> DataFrame:
     """Σ gross."""
-    return star.groupBy(*_by(by)).agg(F.sum(G).cast("double").alias("total_revenue"))
+    return _grouped(star, _by(by), r=("sum", G)).select(*_by(by), F.col("r").cast("double").alias("total_revenue"))
 
 
-def total_films(star: DataFrame, by=()) -> DataFrame:
+def total_films(star, by=()) -> DataFrame:
     """Distinct films with at least one fact row."""
-    return star.groupBy(*_by(by)).agg(F.countDistinct("fk_film").alias("total_films"))
+    return _grouped(star, [*_by(by), "fk_film"]).groupBy(*_by(by)).agg(F.count("fk_film").alias("total_films"))
 
 
-def avg_daily_revenue(star: DataFrame, by=()) -> DataFrame:
+def avg_daily_revenue(star, by=()) -> DataFrame:
     """O1: Σ gross / fact rows."""
-    return star.groupBy(*_by(by)).agg(_ratio(F.sum(G), F.count(F.lit(1))).alias("avg_daily_revenue"))
+    g = _grouped(star, _by(by), r=("sum", G), n=("count", "*"))
+    return g.select(*_by(by), _ratio(F.col("r"), F.col("n")).alias("avg_daily_revenue"))
 
 
-def avg_days_since_release(star: DataFrame, by=()) -> DataFrame:
+def avg_days_since_release(star, by=()) -> DataFrame:
     """O2: mean of days_since_release over fact rows (NULL skipped)."""
-    return star.groupBy(*_by(by)).agg(_ratio(F.sum(DAYS), F.count(DAYS)).alias("avg_days_since_release"))
+    g = _grouped(star, _by(by), s=("sum", DAYS), n=("count", DAYS))
+    return g.select(*_by(by), _ratio(F.col("s"), F.col("n")).alias("avg_days_since_release"))
 
 
-def _per_entity(star: DataFrame, by, entity: str, extra=()) -> DataFrame:
-    return star.groupBy(*_by(by), entity, *extra).agg(F.sum(G).alias("_rev"))
-
-
-def avg_film_attribute(star: DataFrame, by, attr: str, name: str) -> DataFrame:
+def avg_film_attribute(star, by, attr: str, name: str) -> DataFrame:
     """Average of a film attribute over the distinct films in scope."""
-    films = star.groupBy(*_by(by), "fk_film").agg(F.first(attr).alias("_v"))
-    return films.groupBy(*_by(by)).agg(_ratio(F.sum("_v"), F.count("_v")).alias(name))
+    films = _grouped(star, [*_by(by), "fk_film"], [attr])
+    return films.groupBy(*_by(by)).agg(_ratio(F.sum(attr), F.count(attr)).alias(name))
 
 
 def avg_imdb_rating(star, by=()):
@@ -64,9 +116,11 @@ def avg_rt_rating(star, by=()):
     return avg_film_attribute(star, by, "rt_rating", "avg_rt_rating")
 
 
-def avg_entity_revenue(star: DataFrame, by, entity: str, name: str) -> DataFrame:
-    """Total per entity, then the mean over entities."""
-    e = _per_entity(star, by, entity)
+def avg_entity_revenue(star, by, entity: str, name: str, known: bool = False) -> DataFrame:
+    """Total per entity, then the mean over entities (D16);
+    ``known``: entities that are NULL don't count."""
+    e = _grouped(star, [*_by(by), entity], _rev=("sum", G))
+    e = e.filter(F.col(entity).isNotNull()) if known else e
     return e.groupBy(*_by(by)).agg(_ratio(F.sum("_rev"), F.count(F.lit(1))).alias(name))
 
 
@@ -75,21 +129,19 @@ def avg_actor_revenue(star, by=()):
 
 
 def avg_genre_revenue(star, by=()):
-    return avg_entity_revenue(star.filter(F.col("film_genre").isNotNull()), by, "film_genre",
-                              "avg_genre_revenue")
+    return avg_entity_revenue(star, by, "film_genre", "avg_genre_revenue", known=True)
 
 
 def avg_revenue_per_film(star, by=()):
     return avg_entity_revenue(star, by, "fk_film", "avg_revenue_per_film")
 
 
-def film_days(star: DataFrame, by=()) -> DataFrame:
+def film_days(star, by=()) -> DataFrame:
     """Per film: its longest run (max days since release) and revenue."""
-    return star.groupBy(*_by(by), "fk_film", "film_genre").agg(
-        F.max(DAYS).alias("film_days"), F.sum(G).alias("film_revenue"))
+    return _grouped(star, [*_by(by), "fk_film"], ["film_genre"], film_days=("max", DAYS), film_revenue=("sum", G))
 
 
-def avg_genre_days(star: DataFrame, by=()) -> DataFrame:
+def avg_genre_days(star, by=()) -> DataFrame:
     """Per genre, the mean over its films of the film's max days."""
     f = film_days(star, by).filter(F.col("film_genre").isNotNull())
     return f.groupBy(*_by(by), "film_genre").agg(
@@ -104,22 +156,22 @@ def _vs_group(per: DataFrame, key: str, value: str, name: str, group_name: str)
     return j.withColumn(name, F.col(value).cast("double") - F.col(group_name))
 
 
-def kpi_days_vs_genre(star: DataFrame) -> DataFrame:
+def kpi_days_vs_genre(star) -> DataFrame:
     """Film max days − genre average of film max days."""
     f = film_days(star).filter(F.col("film_genre").isNotNull())
     return _vs_group(f, "film_genre", "film_days", "kpi_days_vs_genre", "genre_avg_days").select(
         "fk_film", "film_genre", "film_days", "genre_avg_days", "kpi_days_vs_genre")
 
 
-def kpi_revenue_vs_actor(star: DataFrame) -> DataFrame:
+def kpi_revenue_vs_actor(star) -> DataFrame:
     """Film revenue − average film revenue of the same lead actor."""
-    f = star.groupBy("fk_actor", "fk_film").agg(F.sum(G).alias("film_revenue"))
+    f = _grouped(star, ["fk_actor", "fk_film"], film_revenue=("sum", G))
     out = _vs_group(f, "fk_actor", "film_revenue", "kpi_revenue_vs_actor", "actor_avg_revenue")
     return out.select("fk_actor", "fk_film", F.col("film_revenue").cast("double").alias("film_revenue"),
                       "actor_avg_revenue", "kpi_revenue_vs_actor")
 
 
-def kpi_revenue_vs_genre(star: DataFrame) -> DataFrame:
+def kpi_revenue_vs_genre(star) -> DataFrame:
     """Film revenue − average film revenue of the genre."""
     f = film_days(star).filter(F.col("film_genre").isNotNull())
     out = _vs_group(f, "film_genre", "film_revenue", "kpi_revenue_vs_genre", "genre_avg_revenue")
@@ -127,33 +179,33 @@ def kpi_revenue_vs_genre(star: DataFrame) -> DataFrame:
                       "genre_avg_revenue", "kpi_revenue_vs_genre")
 
 
-def kpi_roi(star: DataFrame) -> DataFrame:
+def kpi_roi(star) -> DataFrame:
     """Film revenue / film budget (NULL when the budget is 0/NULL)."""
-    f = star.groupBy("fk_film").agg(F.sum(G).alias("rev"), F.first("film_budget_usd").alias("budget"))
+    f = _grouped(star, ["fk_film"], ["film_budget_usd"], rev=("sum", G)).withColumnRenamed("film_budget_usd", "budget")
     return f.select("fk_film", F.col("rev").cast("double").alias("film_revenue"),
                     F.col("budget").cast("double").alias("film_budget_usd"),
                     F.when(F.col("budget") > 0, _ratio(F.col("rev"), F.col("budget"))).alias("roi"))
 
 
-def revenue_per_budget_dollar(star: DataFrame, by=()) -> DataFrame:
+def revenue_per_budget_dollar(star, by=()) -> DataFrame:
     """Σ film revenue / Σ film budget over the distinct films in scope."""
-    f = star.groupBy(*_by(by), "fk_film").agg(F.sum(G).alias("rev"), F.first("film_budget_usd").alias("b"))
-    return f.groupBy(*_by(by)).agg(_ratio(F.sum("rev"), F.sum("b")).alias("revenue_per_budget_dollar"))
+    f = _grouped(star, [*_by(by), "fk_film"], ["film_budget_usd"], rev=("sum", G))
+    return f.groupBy(*_by(by)).agg(_ratio(F.sum("rev"), F.sum("film_budget_usd")).alias("revenue_per_budget_dollar"))
 
 
-def revenue_last_week(star: DataFrame, by=(), days: int = 7, date_col: str = "proper_date") -> DataFrame:
+def revenue_last_week(star, by=(), days: int = 7, date_col: str = "proper_date") -> DataFrame:
     """Revenue of the last ``days`` days before the latest date of the
     whole fact (E9).  The latest date is one scalar."""
-    last = star.agg(F.max(date_col)).first()[0]
-    recent = star.filter(F.col(date_col) > F.date_sub(F.lit(last), days))
-    return recent.groupBy(*_by(by)).agg(F.sum(G).cast("double").alias("revenue_last_week"))
+    last = _grouped(star, [date_col]).agg(F.max(date_col)).first()[0]
+    recent = _grouped(star, [*_by(by), date_col], r=("sum", G)).filter(F.col(date_col) > F.date_sub(F.lit(last), days))
+    return recent.groupBy(*_by(by)).agg(F.sum("r").cast("double").alias("revenue_last_week"))
 
 
 def week_no(d: Column, origin: str = "1970-01-05") -> Column:
     return F.floor(F.datediff(d, F.lit(origin).cast("date")) / 7).cast("int")
 
 
-def weekly_revenue_change(star: DataFrame, by=(), date_col: str = "proper_date") -> DataFrame:
+def weekly_revenue_change(star, by=(), date_col: str = "proper_date") -> DataFrame:
     """O18 (E8): weekly revenue minus the previous calendar week's revenue
     of the same group; NULL when that week is absent.  Equi-join on
     (group, week − 1), null-safe on the group."""
@@ -162,9 +214,16 @@ def weekly_revenue_change(star: DataFrame, by=(), date_col: str = "proper_date")
                     F.col("_delta").cast("double").alias("weekly_revenue_change"))
 
 
-def _weekly_delta(star: DataFrame, by=(), date_col: str = "proper_date") -> DataFrame:
+def weekly_revenue(star, by=(), date_col: str = "proper_date") -> DataFrame:
+    """Σ gross by group and calendar week: (by, week_no, rev)."""
+    if not isinstance(star, Star):
+        star = star.withColumn("week_no", week_no(F.col(date_col)))
+    return _grouped(star, [*_by(by), "week_no"], rev=("sum", G))
+
+
+def _weekly_delta(star, by=(), date_col: str = "proper_date") -> DataFrame:
     keys = _by(by)
-    wk = star.groupBy(*keys, week_no(F.col(date_col)).alias("week_no")).agg(F.sum(G).alias("rev"))
+    wk = weekly_revenue(star, by, date_col)
     prev = wk.select(*[F.col(k).alias(f"_p_{k}") for k in keys], (F.col("week_no") + 1).alias("_p_week"),
                      F.col("rev").alias("_prev"))
     cond = wk["week_no"] == prev["_p_week"]
@@ -174,7 +233,7 @@ def _weekly_delta(star: DataFrame, by=(), date_col: str = "proper_date") -> Data
     return j.select(*keys, "week_no", "rev", (F.col("rev") - F.col("_prev")).alias("_delta"))
 
 
-def avg_weekly_change(star: DataFrame, by=()) -> DataFrame:
+def avg_weekly_change(star, by=()) -> DataFrame:
     """Mean of O18 over the weeks that have a previous week (exact
     decimal sum / count)."""
     ch = _weekly_delta(star, by)
@@ -187,11 +246,11 @@ def hierarchy(df: DataFrame, levels: list[str], aggs: list[Column]) -> DataFrame
     return df.rollup(*levels).agg(*aggs, F.grouping_id(*levels).alias("level_id"))
 
 
-def revenue_hierarchy(star: DataFrame, levels: list[str]) -> DataFrame:
+def revenue_hierarchy(star, levels: list[str]) -> DataFrame:
     """D15 for revenue and distinct films: the fact is first reduced to
     (levels, film) — a partial aggregate — so the rollup's row expansion
     runs on that small frame, not on fact rows."""
-    pre = star.groupBy(*levels, "fk_film").agg(F.sum(G).alias("_rev"))
+    pre = _grouped(star, [*levels, "fk_film"], _rev=("sum", G))
     return hierarchy(pre, levels, [F.sum("_rev").cast("double").alias("total_revenue"),
                                    F.countDistinct("fk_film").alias("n_films")])
 

@@ -83,53 +83,46 @@ QUERIES.update({
 from marquee.operators import measures as M  # noqa: E402
 
 
-def _star(w, dims=("film", "date")):
-    return warehouse.star(w, dims)
-
-
 MEASURES = {
-    "m_total_revenue": (M.total_revenue, ["calendar_year"], ("film", "date")),
-    "m_total_films": (M.total_films, ["calendar_year"], ("film", "date")),
-    "m_avg_daily": (M.avg_daily_revenue, ["calendar_year"], ("film", "date")),
-    "m_avg_days": (M.avg_days_since_release, ["film_genre"], ("film", "date")),
-    "m_avg_imdb": (M.avg_imdb_rating, ["calendar_year"], ("film", "date")),
-    "m_avg_rt": (M.avg_rt_rating, ["calendar_year"], ("film", "date")),
-    "m_avg_actor_rev": (M.avg_actor_revenue, ["nationality_actor"], ("film", "date", "actor")),
-    "m_avg_genre_rev": (M.avg_genre_revenue, ["calendar_year"], ("film", "date")),
-    "m_avg_rev_per_film": (M.avg_revenue_per_film, ["film_genre"], ("film", "date")),
-    "m_avg_genre_days": (M.avg_genre_days, [], ("film", "date")),
-    "m_avg_weekly_change": (M.avg_weekly_change, ["film_age_classification"], ("film", "date")),
-    "m_weekly_change": (M.weekly_revenue_change, ["film_genre"], ("film", "date")),
-    "m_last_week": (M.revenue_last_week, ["film_genre"], ("film", "date")),
-    "m_rev_per_budget": (M.revenue_per_budget_dollar, ["calendar_year"], ("film", "date")),
+    "m_total_revenue": (M.total_revenue, ["calendar_year"]),
+    "m_total_films": (M.total_films, ["calendar_year"]),
+    "m_avg_daily": (M.avg_daily_revenue, ["calendar_year"]),
+    "m_avg_days": (M.avg_days_since_release, ["film_genre"]),
+    "m_avg_imdb": (M.avg_imdb_rating, ["calendar_year"]),
+    "m_avg_rt": (M.avg_rt_rating, ["calendar_year"]),
+    "m_avg_actor_rev": (M.avg_actor_revenue, ["nationality_actor"]),
+    "m_avg_genre_rev": (M.avg_genre_revenue, ["calendar_year"]),
+    "m_avg_rev_per_film": (M.avg_revenue_per_film, ["film_genre"]),
+    "m_avg_genre_days": (M.avg_genre_days, []),
+    "m_avg_weekly_change": (M.avg_weekly_change, ["film_age_classification"]),
+    "m_weekly_change": (M.weekly_revenue_change, ["film_genre"]),
+    "m_last_week": (M.revenue_last_week, ["film_genre"]),
+    "m_rev_per_budget": (M.revenue_per_budget_dollar, ["calendar_year"]),
 }
-for _k, (_fn, _by, _dims) in MEASURES.items():
-    QUERIES[_k] = (lambda fn, by, dims: lambda spark, sf: fn(_star(loaded(spark, sf), dims), by))(_fn, _by, _dims)
+for _k, (_fn, _by) in MEASURES.items():
+    QUERIES[_k] = (lambda fn, by: lambda spark, sf: fn(M.Star(loaded(spark, sf)), by))(_fn, _by)
 
 for _k, _fn in {"m_kpi_days": M.kpi_days_vs_genre, "m_kpi_actor": M.kpi_revenue_vs_actor,
                 "m_kpi_genre": M.kpi_revenue_vs_genre, "m_roi": M.kpi_roi}.items():
-    QUERIES[_k] = (lambda fn: lambda spark, sf: fn(_star(loaded(spark, sf))))(_fn)
+    QUERIES[_k] = (lambda fn: lambda spark, sf: fn(M.Star(loaded(spark, sf))))(_fn)
 
 # ---------------------------------------------------------------- hierarchies
 HIERARCHIES = {
-    "h_calendar": (["calendar_year", "calendar_season", "month_number"], ("date",)),
-    "h_marketing": (["calendar_year", "marketing_season", "is_holiday", "holiday_name"], ("date",)),
-    "h_weekday": (["weekday_type", "weekday_name"], ("date",)),
-    "h_actor": (["nationality_actor", "surname_actor", "first_name_actor"], ("actor",)),
-    "h_director": (["nationality_director", "surname_director", "first_name_director"], ("director",)),
-    "h_company": (["continent_production_company", "country_production_company",
-                   "city_production_company", "production_company"], ("company",)),
+    "h_calendar": ["calendar_year", "calendar_season", "month_number"],
+    "h_marketing": ["calendar_year", "marketing_season", "is_holiday", "holiday_name"],
+    "h_weekday": ["weekday_type", "weekday_name"],
+    "h_actor": ["nationality_actor", "surname_actor", "first_name_actor"],
+    "h_director": ["nationality_director", "surname_director", "first_name_director"],
+    "h_company": ["continent_production_company", "country_production_company", "city_production_company", "production_company"],
 }
 
 
-def _hier(levels, dims):
-    def run(spark, sf):
-        return M.revenue_hierarchy(_star(loaded(spark, sf), dims), levels)
-    return run
+def _hier(levels):
+    return lambda spark, sf: M.revenue_hierarchy(M.Star(loaded(spark, sf)), levels)
 
 
-for _k, (_lv, _dims) in HIERARCHIES.items():
-    QUERIES[_k] = _hier(_lv, _dims)
+for _k, _lv in HIERARCHIES.items():
+    QUERIES[_k] = _hier(_lv)
 
 
 # ---------------------------------------------------------------- cleaners

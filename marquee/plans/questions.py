@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.clean import bracket
+from marquee.operators.measures import Star, weekly_revenue
 from marquee.operators.quantiles import exact_quantiles
 from marquee.plans.warehouse import star
 from marquee.session import materialize
@@ -126,10 +127,6 @@ def bq3(w: dict[str, DataFrame]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- BQ4
-def week_no(d: Column) -> Column:
-    return F.floor(F.datediff(d, F.lit(WEEK_ORIGIN).cast("date")) / 7).cast("int")
-
-
 def weekly_change(weekly: DataFrame, keys: list[str], week: str = "week_no",
                   value: str = "rev") -> DataFrame:
     """Value minus the value of the previous calendar week of the same
@@ -141,9 +138,7 @@ def weekly_change(weekly: DataFrame, keys: list[str], week: str = "week_no",
 
 
 def genre_weekly(w: dict[str, DataFrame]) -> DataFrame:
-    s = star(w, ("film", "date")).filter(F.col("film_genre").isNotNull())
-    return (s.groupBy("film_genre", week_no(F.col("proper_date")).alias("week_no"))
-            .agg(F.sum("gross_revenue_per_day").alias("rev")))
+    return weekly_revenue(Star(w), ["film_genre"]).filter(F.col("film_genre").isNotNull())
 
 
 def bq4(w: dict[str, DataFrame]) -> DataFrame:
