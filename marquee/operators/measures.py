@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marquee.functions.clean import safe_ratio as _ratio
+
 G, DAYS = "gross_revenue_per_day", "days_since_release"
 STAR_DIMS = {"dim_film": ("fk_film", "sk_film"), "dim_date": ("fk_date", "sk_date"), "dim_actor": ("fk_actor", "sk_actor"),
              "dim_director": ("fk_director", "sk_director"), "dim_production_company": ("fk_production_company", "sk_production_company")}
@@ -72,10 +74,6 @@ def _grouped(star: Star | DataFrame, keys, attrs=(), **aggs) -> DataFrame:
     return _aggregated(star, [*keys, *attrs], aggs, PARTIAL)
 
 
-def _ratio(num: Column, den: Column) -> Column:
-    return F.try_divide(num.cast("double"), den.cast("double"))
-
-
 def _by(by) -> list[str]:
     return list(by or [])
 

@@ -565,3 +565,64 @@ QUERIES["a9_enriched_sheet"] = a9_enriched_sheet
 QUERIES["q1_sheet_films"] = lambda spark, sf: as_report(_chain(spark, sf)["dim_film"])
 QUERIES["q1_sheet_companies"] = lambda spark, sf: _chain(spark, sf)["dim_production_company"]
 QUERIES["q1_sheet_fact"] = lambda spark, sf: as_report(_chain(spark, sf)["fact_daily_box_office"])
+
+
+# ---------------------------------------------------------------- readers, log, gate and small cleaners
+from marquee.sources import io as IO  # noqa: E402
+from marquee.sources import schemas as SC  # noqa: E402
+
+TITLE_ALIASES = ("Title", "Movie", "film_title")
+
+
+def a1_csv_sheet(spark, sf):
+    """The films as a delivered CSV file (title under a name of
+    its own, no budget column, some runtimes unreadable), read back typed and
+    conformed to staging."""
+    film = loaded(spark, sf)["stg_dim_film"]
+    number = F.substring("bk_film", 2, 8).cast("bigint")
+    sent = film.select("bk_film", F.col("film_title").alias("Movie"), *[
+        F.when(number % 7 == 0, F.lit("unknown")).otherwise(F.col(c).cast("string")).alias(c) if c == "film_runtime_min" else F.col(c)
+        for c in film.columns if c not in ("bk_film", "film_title", "film_budget_usd")])
+    path = _under_checkpoint(spark, "films-csv")
+    sent.write.option("header", True).csv(path)
+    types = {f.name: f.dataType for f in SC.STG_DIM_FILM.fields}
+    layout = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in sent.columns])
+    got = IO.require_columns(IO.read_csv(spark, path, layout), ["bk_film", "film_genre"])
+    got = got.withColumnRenamed(IO.first_present(got, TITLE_ALIASES), "film_title")
+    return as_report(IO.conform(got, SC.STG_DIM_FILM))
+
+
+def a6_log_history(spark, sf):
+    """Two validation runs appended to one log, counted by run."""
+    path = _under_checkpoint(spark, "log-history")
+    for run_id, tables in ((1, loaded(spark, sf)), (2, dirty(spark, sf))):
+        IO.append_log(DQ.run_rules_eager(tables).withColumn("run_id", F.lit(run_id)), path)
+    return spark.read.parquet(path).groupBy("run_id", "etl_result").agg(F.count(F.lit(1)).alias("n_checks"))
+
+
+def l20_gate(spark, sf):
+    """What the gate would stop the dirty load for, one failure waived."""
+    return DQ.unwaived(DQ.run_rules_eager(dirty(spark, sf)), [(2, "stg_dim_film")])
+
+
+def b10_poster_url(spark, sf):
+    _, d = _details(spark, sf)
+    return d.select("movie_id", C.poster_url("poster_path", LK.POSTER_BASE).alias("poster_url"))
+
+
+def d10_class_weights(spark, sf):
+    """Balanced weights, films / (classes * films of the class)."""
+    tiers = ML.tier_labels(ML.tier_features(loaded(spark, sf))).filter(F.col("tier").isNotNull())
+    per = tiers.groupBy("tier").agg(F.count(F.lit(1)).alias("n_films"))
+    total, classes = per.agg(F.sum("n_films"), F.count(F.lit(1))).first()
+    return per.withColumn("weight", C.safe_ratio(F.lit(total), F.col("n_films") * F.lit(classes)))
+
+
+for _fn in (a1_csv_sheet, a6_log_history, l20_gate, b10_poster_url, d10_class_weights):
+    QUERIES[_fn.__name__] = _fn
+QUERIES["b11_to_number"] = _clean("person", lambda t: ["birth_existing", C.to_number("birth_existing").alias("as_number")])
+QUERIES["b28_fill_missing"] = _clean("person", lambda t: ["birth_existing", "birth_candidate", C.fill_missing("birth_existing", "birth_candidate").alias("filled"),
+                                                          C.fill_missing("birth_existing", "birth_candidate", blank_is_missing=True).alias("filled_blank")])
+QUERIES["b13_or_unknown"] = _on(loaded, lambda w: w["stg_dim_film"].select("bk_film", C.or_unknown("film_genre").alias("genre")))
+QUERIES["b36_clamp_zero"] = _on(loaded, lambda w: w["stg_dim_film"].select("bk_film", C.clamp_zero(F.col("film_runtime_min") - 110).alias("minutes_over")))
+QUERIES["b38_safe_ratio"] = _on(loaded, lambda w: w["stg_dim_film"].select("bk_film", C.safe_ratio("film_awards_nominations", "film_awards_won").alias("nominations_per_award")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.clean import runtime_segment
+from marquee.functions.clean import or_unknown, runtime_segment
 from marquee.operators import ensembles as E
 from marquee.operators.keys import keep_first, surrogate_key
 from marquee.operators.quantiles import exact_quantiles
@@ -89,7 +89,7 @@ def impute(df: DataFrame) -> DataFrame:
     'Unknown'."""
     med = exact_quantiles(df, {c: [0.5] for c in NUM_COLS})
     fills = {c: F.coalesce(F.col(c), F.lit(med[c][0] if med[c][0] is not None else 0.0)) for c in NUM_COLS}
-    fills.update({c: F.coalesce(F.col(c), F.lit("Unknown")) for c in CAT_COLS})
+    fills.update({c: or_unknown(c) for c in CAT_COLS})
     return df.withColumns(fills)
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.clean import bracket
+from marquee.functions.clean import bracket, clamp_zero
 from marquee.operators.measures import Star, weekly_revenue
 from marquee.operators.quantiles import exact_quantiles
 from marquee.plans.warehouse import star
@@ -337,5 +337,5 @@ def genre_trend(w: dict[str, DataFrame], threshold: float = TREND_THRESHOLD) ->
              .when(F.col("slope") > thresh, F.lit("Growing"))
              .when(F.col("slope") < -thresh, F.lit("Declining"))
              .otherwise(F.lit("Stable")))
-    value = F.when(F.col("n") < 2, F.col("mean")).otherwise(F.greatest(proj, F.lit(0.0)))
+    value = F.when(F.col("n") < 2, F.col("mean")).otherwise(clamp_zero(proj))
     return m.select("film_genre", trend.alias("genre_trend"), value.alias("genre_projected_revenue"))

@@ -60,17 +60,29 @@ def materialize(df, name: str = "t"):
     checkpoint folder and read it back.
 
     One job (a reliable ``checkpoint()`` computes its input twice), lineage
-    cut, files survive executor loss, and AQE gets real statistics.
+    cut, files survive executor loss, and AQE gets real statistics.  The
+    table stays until ``drop_tables``.
     """
     import uuid
 
     spark = df.sparkSession
-    root = checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> bool:
+    """Delete the stage tables of this application; results that still read
+    them end.  For the end of a job, or between jobs of a long session whose
+    results have been written elsewhere."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 _SHIPPED: set = set()
 
 

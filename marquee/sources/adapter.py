@@ -61,14 +61,16 @@ _DRIVERS: dict = {}
 
 
 def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
-    """Modification times of the tables as Spark's file systems report them,
-    so that changed data is noticed on shared stores too."""
+    """Names, sizes and modification times of the tables' files as Spark's
+    file systems report them, so that changed data is noticed on shared
+    stores too, where folders have no time of their own."""
     sc = spark.sparkContext
     out = []
     for name in ("lineitem", "part", "orders", "customer", "supplier", "nation", "region"):
         path = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
         fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-        out.append(fs.getFileStatus(path).getModificationTime() if fs.exists(path) else None)
+        files = fs.listStatus(path) if fs.exists(path) else []
+        out.append(tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)))
     return tuple(out)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from marquee.plans import ml as ML
 from sqloracle.matching import FULL
-from sqloracle.queries import C14, ENRICH, ORACLE, TIER_BASE, TIER_LAB, reg
+from marquee.sources import lookups as LK
+from sqloracle.queries import C14, ENRICH, FILM_TEXTS, ORACLE, PERSON_TEXTS, TIER_BASE, TIER_LAB, dq_log_sql, reg
 
 LABELS = ("labels_of", "SELECT lower(trim(name)) AS label, min(upper(iso2)) AS iso2, min(continent) AS continent FROM countries GROUP BY 1")
 CODES = ("codes_of", "SELECT upper(iso2) AS code, min(continent) AS continent FROM countries GROUP BY 1")
@@ -78,3 +79,22 @@ reg("q1_sheet_fact", f"""SELECT fk_date, {', '.join(f'cast(dense_rank() OVER (OR
 ORACLE["a5_ml_genre_trends"] = ORACLE["bqp1_genre_trend"]
 reg("n10_ml_tier_predictions", f"""SELECT bk_film, film_title, {', '.join(f"coalesce({c}, 'Unknown') AS {c}" for c in ML.CAT_COLS)}, runtime_segment, true AS sound
   FROM tier_lab JOIN (SELECT bk_film AS b, any_value(film_title) AS film_title FROM dim_film GROUP BY 1) t ON b = bk_film""", [TIER_BASE, TIER_LAB])
+
+# ------------------------------------------------------------------ readers, log, gate and small cleaners
+reg("a1_csv_sheet", f"""SELECT f.* EXCLUDE (film_runtime_min, film_budget_usd, imdb_rating, rt_rating), CASE WHEN {_number.format('bk_film')} % 7 <> 0 THEN film_runtime_min END AS film_runtime_min,
+       cast(NULL AS double) AS film_budget_usd, {_double('f', 'imdb_rating', 'rt_rating')} FROM stg_dim_film f""")
+_counts = "SELECT cast({run} AS integer) AS run_id, etl_result, count(*) AS n_checks FROM ({log}) l GROUP BY 2"
+reg("a6_clean", _counts.format(run=1, log=dq_log_sql()))
+reg("a6_dirty", _counts.format(run=2, log=dq_log_sql()), dirty=True)
+ORACLE["a6_log_history"] = f"SELECT * FROM ({ORACLE.pop('a6_clean')}) a UNION ALL SELECT * FROM ({ORACLE.pop('a6_dirty')}) b"
+reg("l20_gate", f"SELECT * FROM ({dq_log_sql()}) l WHERE etl_result = 'FAIL' AND NOT (id_check = 2 AND etl_table = 'stg_dim_film')", dirty=True)
+reg("b10_poster_url", f"SELECT movie_id, '{LK.POSTER_BASE}' || poster_path AS poster_url FROM movie_details", ENRICH[:1])
+reg("d10_class_weights", """SELECT tier, n_films, cast(sum(n_films) OVER () AS double) / (n_films * count(*) OVER ()) AS weight
+  FROM (SELECT tier, count(*) AS n_films FROM tier_lab WHERE tier IS NOT NULL GROUP BY 1) g""", [TIER_BASE, TIER_LAB])
+_texts = [FILM_TEXTS, PERSON_TEXTS]
+reg("b11_to_number", "SELECT c_custkey, birth_existing, TRY_CAST(birth_existing AS double) AS as_number FROM person_texts", _texts)
+reg("b28_fill_missing", """SELECT c_custkey, birth_existing, birth_candidate, coalesce(birth_existing, birth_candidate) AS filled,
+       CASE WHEN birth_existing IS NULL OR trim(birth_existing) = '' THEN birth_candidate ELSE birth_existing END AS filled_blank FROM person_texts""", _texts)
+reg("b13_or_unknown", "SELECT bk_film, coalesce(film_genre, 'Unknown') AS genre FROM stg_dim_film")
+reg("b36_clamp_zero", "SELECT bk_film, greatest(cast(film_runtime_min - 110 AS double), 0.0) AS minutes_over FROM stg_dim_film")
+reg("b38_safe_ratio", "SELECT bk_film, cast(film_awards_nominations AS double) / nullif(film_awards_won, 0) AS nominations_per_award FROM stg_dim_film")

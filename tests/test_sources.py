@@ -66,3 +66,27 @@ def test_small_cleaners(spark):
                   .alias("cy")).first()
     assert r["u"] == "https://img/x/p.jpg" and r["u0"] is None and r["ph"] is None and r["n"] == 12.5
     assert r["g"] == "Unknown" and r["z"] == 0.0 and r["r"] is None and r["bk"] == "the film|" and r["cy"] == 1923
+
+
+def test_stage_tables_can_be_dropped(spark, monkeypatch):
+    import os
+
+    from marquee import session
+
+    # other results of the test session stay: the folder is one of its own
+    root = session._tables(spark) + "-dropped"
+    monkeypatch.setattr(session, "_tables", lambda _: root)
+    kept = session.materialize(spark.range(3), "t")
+    assert kept.count() == 3 and os.path.isdir(root.replace("file:", ""))
+    assert session.drop_tables(spark) and not os.path.isdir(root.replace("file:", ""))
+    assert not session.drop_tables(spark)
+
+
+def test_stamp_sees_changed_files(spark, tmp_path):
+    from marquee.sources import adapter
+
+    spark.range(2).write.parquet(str(tmp_path / "part.parquet"))
+    first = adapter._stamp(spark, str(tmp_path))
+    assert first == adapter._stamp(spark, str(tmp_path))
+    spark.range(2).write.mode("append").parquet(str(tmp_path / "part.parquet"))
+    assert first != adapter._stamp(spark, str(tmp_path))
