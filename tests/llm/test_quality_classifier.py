@@ -67,3 +67,53 @@ def test_edges(spark, docs_of):
 def test_query(spark):
     rows = queries.op1_ordinal_quality(spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == 1000 and all(abs(r.expected_grade - r.p_grade_1 - r.p_grade_2) < 1e-9 and r.keep == (r.p_grade_2 >= Q.KEEP_TAIL) for r in rows)
+
+
+def plain_slots(text):
+    """The feature slots of a text, word by word, nothing cached or counted
+    ahead."""
+    import itertools
+    import zlib
+
+    def slot(feature):
+        return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % (1 << Q.BITS)
+
+    def shape(word):
+        letters = ["0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word]
+        letters = ["a" if c.islower() else x for c, x in zip(word, letters)]
+        return "".join(k for k, _ in itertools.groupby(letters))
+
+    words = (text or "").split()
+    if not words:
+        return {slot("\x00empty")}
+    out = {slot(w.lower().strip(Q._SIGNS) or w) for w in words}
+    shapes = [shape(w) for w in words]
+    shares = {s: shapes.count(s) for s in set(shapes)}
+    shares["\x00again"] = sum(a == b for a, b in zip(words, words[1:]))
+    shares["\x00caps"] = sum("A" in s and "a" not in s for s in shapes)
+    # the two counts above take part in the third
+    shares["\x00signs"] = sum(len(s) > 1 and s[-1] not in "aA0.,;:?)\"'»”" for s in shapes) + shares["\x00again"] + shares["\x00caps"]
+    for s, n in shares.items():
+        for k, step in enumerate(Q.STEPS):
+            if n >= step * len(words):
+                out.add(slot(f"\x00{k}{s}"))
+    return out
+
+
+def test_scores_equal_a_plain_version(spark, docs_of):
+    import math
+
+    long = "Überlange" * 30 + "9" * 50 + "!"
+    texts = [t for _, t in EDGES] + [long, long[:40], f"{long} {long} x", "AAA BBB ccc", "end! end! end!"]
+    docs = docs_of(list(enumerate(texts)))
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(len(texts))], "doc_id long, grade int")
+    model = Q.train(docs, ratings, 3)
+    got = {r.doc_id: r for r in Q.score(docs, model).collect()}
+    for i, text in enumerate(texts):
+        slots = plain_slots(text)
+        assert slots == set(Q.features(text).tolist()), text[:60]
+        total = sum(model.weights[s] for s in slots)
+        tails = [1 / (1 + math.exp(t - total)) for t in model.thresholds]
+        assert np.allclose(got[i].tails, tails) and abs(got[i].expected_grade - sum(tails)) < 1e-9
+    # two long words that differ behind their fortieth character differ in shape
+    assert set(Q.features(long).tolist()) != set(Q.features(long[:40]).tolist())
