@@ -48,11 +48,11 @@ def corpus(seed, n):
     return [(rng.choice(["en", "en", None, "de"]), "".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randrange(60)))) for _ in range(n)] + [("en", "new york city hall ") for _ in range(40)]
 
 
-@pytest.mark.parametrize("hot", [1 << 20, 0])
-def test_equals_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(C, "HOT_SHARE", 200 if not hot else C.HOT_SHARE)
+@pytest.mark.parametrize("entries", [1 << 20, 100])
+def test_equals_brute_force(spark, monkeypatch, entries):
+    monkeypatch.setattr(C.phrases, "__defaults__", (C.MIN_COUNT, 10_000, entries))
     rows = corpus(1, 300) + [("en" if i % 2 else None, t) for i, (_, t) in enumerate(EDGES)]
-    got = sorted(tuple(r) for r in C.collocations(frame(spark, rows), least=4, top=50, hot_least=hot).collect())
+    got = sorted(tuple(r) for r in C.collocations(frame(spark, rows), least=4, top=50).collect())
     assert got == brute(rows, 4, 50)
     assert C.collocations(frame(spark, rows).limit(0)).count() == 0
 
