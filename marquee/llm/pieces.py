@@ -14,12 +14,11 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-SLICE_CHARS = 1_000_000          # code points handled at once; a longer text is cut where a piece begins
-CACHED_SHORT = 1_000_000         # encoded pieces of up to seven bytes kept per worker
-CACHED_LONG = 200_000            # and of longer ones
+SLICE_CHARS = 500_000            # code points handled at once; a longer text is cut where a piece begins
+CACHED_SHORT = 300_000           # encoded pieces of up to seven bytes kept per worker
+CACHED_LONG = 80_000             # and of longer ones
 LONGEST_KEPT = 64                # bytes of a piece that is kept
 
 _state: dict = {}
@@ -30,9 +29,8 @@ def char_classes() -> np.ndarray:
     if "classes" not in _state:
         import regex
 
-        points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-        every = "".join(map(chr, points))
-        at = np.array(points)
+        at = np.concatenate([np.arange(0xD800, dtype="<u4"), np.arange(0xE000, 0x110000, dtype="<u4")])
+        every = at.tobytes().decode("utf-32-le")
         table = np.full(0x110000, OTHER, dtype=np.uint8)
         for cls, prop in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
             for m in regex.finditer(prop, every):
@@ -233,6 +231,8 @@ class PieceEncoder:
         is_short = length < 8
         at, size = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
         keys = packed(data)[start[is_short]] & LOW_BYTES[length[is_short]] | length[is_short].astype(np.uint64) << np.uint64(56)
+        import pandas as pd              # not at the top: other users of this module do without it
+
         codes, distinct = pd.factorize(keys)
         flat, kind_at, kind_size = self.short.ids_of(distinct, self.encode_new)
         at[is_short], size[is_short] = kind_at[codes], kind_size[codes]

@@ -41,7 +41,7 @@ from marquee.session import materialize
 SLICE_BYTES = 300_000
 BUCKET_IN_TASK = 256             # open segments of one bucket that a task compares at once
 COMBINED_KEYS = 100_000          # repeated keys that a task remembers
-CONTEXT_BYTES = 1_000_000        # open segments refined at once
+CONTEXT_BYTES = 500_000          # open segments refined at once
 _TIE_BITS, _LOW_BITS = 24, 8     # place: start, tie of the document, flag and number of windows
 _FLAG = 64
 NO_ID = (1 << 63) - 1            # null doc_ids come last
