@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Every run of GRAM tokens is hashed; of each window of WINDOW hashes in a row
+Every run of GRAM tokens has a hash, rolled on from that of the run before;
+of each window of WINDOW hashes in a row
 the smallest is chosen, the rightmost of equal ones; the chosen hashes with
 their positions are the fingerprint.  Two texts that share a passage of
 GRAM + WINDOW - 1 tokens share a fingerprint entry from it.  A token is a run
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 GRAM, DOUBLINGS = 5, 4           # tokens of a gram; a window has 2**DOUBLINGS grams
 WINDOW = 1 << DOUBLINGS
-CHUNK_CHARS = 4096
+CHUNK_CHARS = 512                # rolling takes time with the square of the grams of a chunk
 _PLACES = (1 << 13) - 1          # token offsets within a chunk and its overlap
 _OVERLAP = GRAM + WINDOW - 2
 _CHUNK = rf"(?s).{{1,{CHUNK_CHARS}}}(?!\S)|\S{{1,{CHUNK_CHARS}}}|\s+"
@@ -49,25 +50,46 @@ def _double(minima: Column, span: int) -> Column:
     return _let(minima, lambda a: F.zip_with(a, F.slice(a, span + 1, 1 << 30), lambda x, y: F.least(x, y)))
 
 
+def _turned(x: Column, bits: int) -> Column:
+    """The 64 bits of x rotated to the left."""
+    return F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(x, 64 - bits)) if bits else x
+
+
+def rolled(tokens: Column) -> Column:
+    """Hashes of all grams of GRAM tokens, rolling: a cyclic polynomial, in
+    which the hash is turned by one bit, the token that leaves is taken out
+    and the one that comes is put in.  For GRAM tokens or more."""
+    def joined(parts: list[Column]) -> Column:
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.bitwiseXOR(x)
+        return out
+
+    first = joined([_turned(F.get(tokens, F.lit(k)), GRAM - 1 - k) for k in range(GRAM)])
+    steps = F.greatest(F.size(tokens) - GRAM, F.lit(0))
+    pairs = F.zip_with(F.slice(tokens, F.lit(1), steps), F.slice(tokens, F.lit(GRAM + 1), steps), lambda gone, come: _turned(gone, GRAM).bitwiseXOR(come))
+    return F.aggregate(pairs, F.array(first), lambda done, change: F.concat(done, F.array(_turned(F.element_at(done, -1), 1).bitwiseXOR(change))))
+
+
 def _chosen(tokens: Column, only: Column) -> Column:
     """Packed minima of the windows of some tokens, distinct and in order.
     ``only``: there are no other tokens, so fewer grams than a window count
     as one, and fewer tokens than a gram as a gram."""
     grams = F.size(tokens) - GRAM + 1
 
-    def packed(p: Column, *parts: Column) -> Column:
-        return F.xxhash64(*parts).bitwiseAND(F.lit(~_PLACES)).bitwiseOR((F.lit(_PLACES) - p).cast("long"))
+    def packed(hash_: Column, p: Column) -> Column:
+        return hash_.bitwiseAND(F.lit(~_PLACES)).bitwiseOR((F.lit(_PLACES) - p).cast("long"))
 
-    def minima(count: Column) -> Column:
-        out = F.transform(F.slice(tokens, F.lit(1), count), lambda t, p: packed(p, t, *(F.get(tokens, p + k) for k in range(1, GRAM))))
+    def minima() -> Column:
+        out = F.transform(rolled(tokens), packed)
         for k in range(DOUBLINGS):
             out = _double(out, 1 << k)
         return out
 
     none = F.array().cast("array<long>")
-    several = F.array_distinct(F.slice(minima(grams), F.lit(1), grams - WINDOW + 1))
-    few = F.array(F.array_min(minima(grams)))
-    tiny = F.array(packed(F.lit(0), tokens))
+    several = F.array_distinct(F.slice(minima(), F.lit(1), grams - WINDOW + 1))
+    few = F.array(F.array_min(minima()))
+    tiny = F.array(packed(F.xxhash64(tokens), F.lit(0)))
     return F.when(grams >= WINDOW, several).when(~only, none).when(grams >= 1, few).when(F.size(tokens) > 0, tiny).otherwise(none)
 
 

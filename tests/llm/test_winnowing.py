@@ -1,9 +1,11 @@
+import functools
 import hashlib
 import random
 import re
 
 from llm_cases import EDGES, docs_of  # noqa: F401
 from marquee.llm import winnowing as W
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -36,8 +38,9 @@ def test_equals_plain_winnowing(spark, monkeypatch):
         if len(grams) < W.WINDOW:
             assert len(got[i]) == bool(pieces)
             continue
-        rows = spark.createDataFrame([(p, [[w] for w in g]) for p, g in enumerate(grams)], "p int, g array<array<string>>")
-        hashed = rows.select("p", F.shiftright(F.xxhash64(*(F.xxhash64(F.col("g")[k][0]) for k in range(W.GRAM))), 13).alias("h")).collect()
+        rows = spark.createDataFrame([(p, g) for p, g in enumerate(grams)], "p int, g array<string>").select("p", F.transform("g", lambda w: F.xxhash64(w)).alias("t"))
+        # every gram hashed anew, not rolled
+        hashed = rows.select("p", F.shiftright(functools.reduce(Column.bitwiseXOR, [W._turned(F.col("t")[k], W.GRAM - 1 - k) for k in range(W.GRAM)]), 13).alias("h")).collect()
         h = {r.p: r.h for r in hashed}
         want = set()
         for s in range(len(grams) - W.WINDOW + 1):
