@@ -1,7 +1,6 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Every run of GRAM tokens has a hash, rolled on from that of the run before;
-of each window of WINDOW hashes in a row
+Every run of GRAM tokens has a rolling hash; of each window of WINDOW hashes in a row
 the smallest is chosen, the rightmost of equal ones; the chosen hashes with
 their positions are the fingerprint.  Two texts that share a passage of
 GRAM + WINDOW - 1 tokens share a fingerprint entry from it.  A token is a run
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 GRAM, DOUBLINGS = 5, 4           # tokens of a gram; a window has 2**DOUBLINGS grams
 WINDOW = 1 << DOUBLINGS
-CHUNK_CHARS = 512                # rolling takes time with the square of the grams of a chunk
+CHUNK_CHARS = 4096
 _PLACES = (1 << 13) - 1          # token offsets within a chunk and its overlap
 _OVERLAP = GRAM + WINDOW - 2
 _CHUNK = rf"(?s).{{1,{CHUNK_CHARS}}}(?!\S)|\S{{1,{CHUNK_CHARS}}}|\s+"
@@ -56,19 +55,24 @@ def _turned(x: Column, bits: int) -> Column:
 
 
 def rolled(tokens: Column) -> Column:
-    """Hashes of all grams of GRAM tokens, rolling: a cyclic polynomial, in
-    which the hash is turned by one bit, the token that leaves is taken out
-    and the one that comes is put in.  For GRAM tokens or more."""
-    def joined(parts: list[Column]) -> Column:
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.bitwiseXOR(x)
-        return out
-
-    first = joined([_turned(F.get(tokens, F.lit(k)), GRAM - 1 - k) for k in range(GRAM)])
-    steps = F.greatest(F.size(tokens) - GRAM, F.lit(0))
-    pairs = F.zip_with(F.slice(tokens, F.lit(1), steps), F.slice(tokens, F.lit(GRAM + 1), steps), lambda gone, come: _turned(gone, GRAM).bitwiseXOR(come))
-    return F.aggregate(pairs, F.array(first), lambda done, change: F.concat(done, F.array(_turned(F.element_at(done, -1), 1).bitwiseXOR(change))))
+    """Hashes of all grams of GRAM tokens by a cyclic polynomial, the rolling
+    hash in which a step turns the hash by one bit, takes out the token that
+    leaves and puts in the one that comes.  An expression has no running
+    state, so each value is not stepped on from its neighbour but joined from
+    the hashes of shorter runs that neighbours share: of 1, 2, 4 ... tokens.
+    What comes behind the last gram is null."""
+    def joined(x: Column, y: Column, by: int) -> Column:
+        return _turned(x, by).bitwiseXOR(y)
+
+    def twice(run: Column, length: int) -> Column:
+        return _let(run, lambda a: F.zip_with(a, F.slice(a, length + 1, 1 << 30), lambda x, y: joined(x, y, length)))
+
+    out, length = tokens, 1
+    for bit in bin(GRAM)[3:]:
+        out, length = twice(out, length), 2 * length
+        if bit == "1":
+            out, length = F.zip_with(out, F.slice(tokens, length + 1, 1 << 30), lambda x, y: joined(x, y, 1)), length + 1
+    return F.slice(out, F.lit(1), F.greatest(F.size(tokens) - GRAM + 1, F.lit(0)))
 
 
 def _chosen(tokens: Column, only: Column) -> Column:
