@@ -474,7 +474,7 @@ def n10_ml_tier_predictions(spark, sf):
     """The written predictions, with what holds for each of them."""
     t = _ml_tables(spark, sf)["ml_tier_predictions"]
     sound = F.col("predicted_tier").isin(*ML.TIERS) & F.col("tier_confidence").between(1 / len(ML.TIERS) - 1e-4, 1)
-    return t.drop("predicted_tier", "tier_confidence").withColumn("sound", sound)
+    return t.withColumn("sound", sound).drop("predicted_tier", "tier_confidence")
 
 
 QUERIES["a5_ml_genre_trends"] = lambda spark, sf: _ml_tables(spark, sf)["ml_genre_trends"]
