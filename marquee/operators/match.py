@@ -22,7 +22,8 @@ Documentaries are dropped from blocks that contain a non-documentary, which
 is exactly the reference's row-level rule restricted to one block.
 
 Candidates are generated and scored once per distinct wanted (title, year)
-key; only the date bonus depends on the row.  Candidates that no score, tie
+key; only the date bonus depends on the row, and it is given once per distinct
+(key, day of the hint).  Candidates that no score, tie
 or bonus tells apart are reduced to the first ones of the final order.
 
 The similarity search filters before it verifies.  Every title carries its
@@ -296,41 +297,71 @@ def key_scores(wanted: DataFrame, cands: DataFrame, w: Weights, year_tol: int =
         F.col("kth").isNull() | (F.col("base") + best_bonus >= F.col("kth") - EPS))
 
 
-def score(wanted: DataFrame, keyed: DataFrame, w: Weights) -> DataFrame:
-    """Row-level pairs and score = key score + date bonus of the row's hint.
+def final_order(w: Weights, score: Column) -> list[Column]:
+    """Candidates from the best on: score, the ties of ``w``, position, id."""
+    tie_cols = {"sim": F.col("sim"), "votes": F.col("votes"), "pop": F.col("pop"),
+                "dyear": F.col("dyear"), "doc": F.col("doc").cast("int")}
+    return [score.desc()] + [tie_cols[t].desc() for t in w.ties] + [F.asc("cand_pos"), F.asc("cand_id")]
 
-    Without a date bonus every row of a key sees the same ranking, so only
-    the key's top k (ties included) are paired with its rows.  With a bonus,
-    a row's pairs are (a) that top k plus (b) candidates released within the
-    bonus window of the row's hint, found by a band join: buckets of the
-    window width, equi-join on (key, bucket ± 1), then the exact day test.
-    Every other candidate has no bonus and a key score below k others that
-    are paired, so it cannot enter the row's top k.  Dates are parsed once
-    per row and once per candidate, not per pair."""
-    rows = wanted.withColumn("_wy", F.coalesce(F.col("w_year"), F.lit(NO_YEAR)))
-    kk = ["w_norm", "_wy"]
+
+def first_of(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of each key; a rank filter that Spark applies
+    before the shuffle (WindowGroupLimit)."""
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_nth") <= k).drop("_nth")
+
+
+KEY, DAY = ["w_norm", "_wy"], "_day"
+NO_DAY = -(1 << 30)  # join stand-in for a missing or unreadable day
+
+
+def day_number(date: Column) -> Column:
+    return F.coalesce(F.datediff(parse_date(date), F.lit("1900-01-01").cast("date")), F.lit(NO_DAY))
+
+
+def asked(wanted: DataFrame, w: Weights) -> DataFrame:
+    """Rows with what their ranking depends on: the key and, where dates give
+    a bonus, the day of the row's hint."""
+    day = day_number(F.col("date_hint")) if w.date_bonus and "date_hint" in wanted.columns else F.lit(NO_DAY)
+    return wanted.withColumns({"_wy": F.coalesce(F.col("w_year"), F.lit(NO_YEAR)), DAY: day})
+
+
+def score(questions: DataFrame, keyed: DataFrame, w: Weights) -> DataFrame:
+    """The first k candidates of every question (key, day) with
+    score = key score + date bonus of the day.
+
+    Without a date bonus they are the key's first k.  With one they are among
+    (a) the key's first k: a candidate without a bonus has all that are before
+    it in the key before it here too; (b) candidates released within the bonus
+    window of the day, found by a band join: buckets of the window width,
+    equi-join on (key, bucket ± 1), then the exact day test.  Candidates of
+    one key and release day get the same bonus from any question, so of these
+    only the first k for each size of the bonus can be chosen, and (b) pairs
+    days with days: its size does not grow with the rows or candidates of a
+    key and day."""
+    k = _kept(w)
     keyed = keyed.drop("w_year")
-    top = keyed.filter(F.col("kth").isNull() | (F.col("base") >= F.col("kth") - EPS))
-    if not (w.date_bonus and "date_hint" in wanted.columns):
-        return rows.join(top, kk).withColumn("score", F.col("base"))
+    top = first_of(keyed, KEY, final_order(w, F.col("base")), k)
+    if not w.date_bonus:
+        return questions.join(top, KEY).withColumn("score", F.col("base"))
+    keyed, top = (x.withColumn("_cd", day_number(F.col("release_date"))) for x in (keyed, top))
     width = max(lim for lim, _ in w.date_bonus) + 1
-    origin = F.lit("1900-01-01").cast("date")
-    rows = rows.withColumn("_hd", parse_date(F.col("date_hint")))
-    keyed = keyed.withColumn("_cd", parse_date(F.col("release_date")))
-    top = top.withColumn("_cd", parse_date(F.col("release_date")))
-    bucket = lambda d: F.floor(F.datediff(d, origin) / width).cast("int")
-    near = keyed.filter(F.col("_cd").isNotNull()).withColumn(
-        "_b", F.explode(F.sequence(bucket(F.col("_cd")) - 1, bucket(F.col("_cd")) + 1)))
-    rb = rows.filter(F.col("_hd").isNotNull()).withColumn("_b", bucket(F.col("_hd")))
-    days = F.abs(F.datediff(F.col("_hd"), F.col("_cd")))
-    band = rb.join(near, [*kk, "_b"]).drop("_b").filter(days <= width - 1)
-    pairs = rows.join(top, kk).unionByName(band).dropDuplicates(["row_id", "cand_id"])
+    dated = keyed.filter(F.col("_cd") != NO_DAY)
+    near = None
+    for b in sorted({0.0, *(float(b) for _, b in w.date_bonus)}):
+        best = first_of(dated, [*KEY, "_cd"], final_order(w, F.col("base") + F.lit(b)), k)
+        near = best if near is None else near.unionByName(best)
+    near = near.dropDuplicates([*KEY, "cand_id"])
+    bucket = lambda d: F.floor(F.col(d) / width).cast("int")
+    near = near.withColumn("_b", F.explode(F.sequence(bucket("_cd") - 1, bucket("_cd") + 1)))
+    known = questions.filter(F.col(DAY) != NO_DAY).withColumn("_b", bucket(DAY))
+    days = F.when((F.col(DAY) != NO_DAY) & (F.col("_cd") != NO_DAY), F.abs(F.col(DAY) - F.col("_cd")))
+    band = known.join(near, [*KEY, "_b"]).drop("_b").filter(days <= width - 1)
+    pairs = questions.join(top, KEY).unionByName(band).dropDuplicates([*KEY, DAY, "cand_id"])
     expr = None
     for lim, b in w.date_bonus:
         expr = F.when(days <= lim, F.lit(float(b))) if expr is None else expr.when(days <= lim, F.lit(float(b)))
     out = pairs.withColumn("score", F.col("base") + F.coalesce(expr, F.lit(0.0)))
-    # exact: k members of the key's top k score at least ``kth`` for this row
-    return out.filter(F.col("kth").isNull() | (F.col("score") >= F.col("kth") - EPS))
+    return first_of(out, [*KEY, DAY], final_order(w, F.col("score")), k)
 
 
 def pick(wanted: DataFrame, catalogue: DataFrame, w: Weights = V3, companies: DataFrame | None = None,
@@ -344,20 +375,21 @@ def pick(wanted: DataFrame, catalogue: DataFrame, w: Weights = V3, companies: Da
         wanted = wanted.withColumn("w_norm", or_raw_title(F.col("w_norm"), F.col("title")))
     # stage boundary: key-level candidates (UDF run once per distinct title pair)
     keyed = materialize(key_scores(wanted, cands, w, year_tol), "match-keyed")
-    sc = score(wanted, keyed, w)
-    tie_cols = {"sim": F.col("sim"), "votes": F.col("votes"), "pop": F.col("pop"),
-                "dyear": F.col("dyear"), "doc": F.col("doc").cast("int")}
-    order = [F.desc("score")] + [tie_cols[t].desc() for t in w.ties] + [F.asc("cand_pos"), F.asc("cand_id")]
-    top = max(1, w.top if w.studio else 1)
-    ranked = sc.withColumn("rank", F.row_number().over(Window.partitionBy("row_id").orderBy(*order)))
-    ranked = ranked.filter(F.col("rank") <= top)  # WindowGroupLimit before the shuffle
-    first = ranked.filter(F.col("rank") == 1)
+    rows = asked(wanted, w)
+    found = score(rows.select(*KEY, DAY).distinct(), keyed, w).drop("release_date")
+    pairs = rows.join(found, [*KEY, DAY])
+    if w.date_bonus:
+        pairs = pairs.dropDuplicates(["row_id", "cand_id"])
+    own = Window.partitionBy("row_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(own.orderBy(*final_order(w, F.col("score")))))
+    ranked = ranked.filter(F.col("rank") <= _kept(w))  # WindowGroupLimit before the shuffle
     ok = F.lit(True) if w.min_sim is None else (F.col("sim") >= F.lit(w.min_sim) - 1e-12)
     if w.min_score is not None:
         ok = ok & (F.col("score") > F.lit(w.min_score))
-    passed = first.filter(ok).select("row_id")
-    chosen = ranked.join(passed, "row_id")
+    chosen = ranked.withColumn("_ok", F.max(F.when(F.col("rank") == 1, ok)).over(own)).filter("_ok")
+    chosen = chosen.select("row_id", "cand_id", "score", "sim", "rank", *[c for c in ("studio_hint",) if c in wanted.columns])
     if w.studio and companies is not None and "studio_hint" in wanted.columns:
+        chosen = materialize(chosen, "match-chosen")      # read by the re-rank and by its similarities
         cc = chosen.select("row_id", "cand_id", "studio_hint").join(companies, "cand_id")
         cc = cc.select("row_id", "cand_id", norm_text("studio_hint").alias("_h"), norm_text("company").alias("_c"))
         cc = cc.filter(F.col("_c") != "")

@@ -150,3 +150,25 @@ def test_bound_is_never_below_the_similarity(spark):
     df = MT.measured(MT.measured(df, "x", "w"), "y", "c").withColumn("bound", MT.similarity_bound("w", "c"))
     for r in df.select("x", "y", "bound").collect():
         assert r["bound"] >= indel_ratio_py(r["x"], r["y"]) - 1e-12
+
+
+@pytest.mark.parametrize("days", [3, 300])
+def test_rows_of_one_key_and_day_are_ranked_once(spark, days):
+    """Many rows and candidates under one title and year, all close enough to
+    be told apart by the date bonus: the ranking is made per day, not per row
+    and candidate, and is what the brute force finds."""
+    import datetime
+
+    def day(i):
+        return str(datetime.date(2000, 1, 1) + datetime.timedelta(i % days))
+    cat = spark.createDataFrame([(i, i % 5, "the same film", day(i * 7), 3, 1.0 + i % 40 / 100, [18]) for i in range(240)],
+                                "cand_id long, cand_pos int, title string, release_date string, vote_count long, popularity double, genre_ids array<int>")
+    wanted = spark.createDataFrame([(i, "the same film", "the same film", 2000, day(i * 11) if i % 50 else ["", None, "soon"][i % 3], f"studio {i % 9}") for i in range(160)],
+                                   "row_id long, title string, w_norm string, w_year int, date_hint string, studio_hint string")
+    comp = spark.createDataFrame([(i, f"studio {i % 4}") for i in range(0, 240, 2)], "cand_id long, company string")
+    got = {r["row_id"]: r["matched_id"] for r in MT.pick(wanted, cat, MT.V3, comp).collect()}
+    assert got == brute_force(wanted.toPandas(), MT.prepare_catalogue(cat).toPandas(), comp.toPandas(), MT.V3)
+    keyed = MT.key_scores(wanted, MT.prepare_catalogue(cat), MT.V3)
+    questions = MT.asked(wanted, MT.V3).select(*MT.KEY, MT.DAY).distinct()
+    assert keyed.count() > 200
+    assert MT.score(questions, keyed, MT.V3).count() == MT.V3.top * questions.count() <= MT.V3.top * (days + 1)
