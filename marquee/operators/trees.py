@@ -9,8 +9,9 @@ boosting round, all cross-validation folds) share each pass over the rows:
   by (column, bin); the sums of a node meet in one task, which picks the best
   split.  What is sent does not grow with the rows, and only the splits reach
   the driver;
-* the rows of a node that has at most ``task_rows`` are sent as they are, and
-  one task grows the whole subtree under it by the same rule.
+* the rows of a node that has at most ``task_rows`` are sent as they are, in
+  the narrowest integers that hold them, and one task grows the whole subtree
+  under it by the same rule; there are more such tasks where more is sent.
 
 Statistics are integers (bagging counts, residuals in fixed point), so sums
 do not depend on their order: the same trees come out for any number of
@@ -27,8 +28,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-TASK_ROWS = 4096
+TASK_ROWS = 1 << 17              # some MB as they are sent, a tree of a few hundred nodes
+SENT_BYTES = 32 << 20            # of whole rows that one task is given
 FIXED = float(1 << 30)           # residuals and curvatures are counted in units of 2**-30
 NODES = "tree int, node int, column int, cut int, stats binary, gain double, left long, right long"
 
@@ -70,15 +73,19 @@ class Trees:
     def positions(self, bins: np.ndarray, trees: np.ndarray | None = None) -> np.ndarray:
         """Node of every row (columns x rows) in every tree."""
         trees = np.arange(len(self.column)) if trees is None else trees
-        at = np.ones((len(trees), bins.shape[1]), np.int32)
-        t, rows = trees[:, None], np.arange(bins.shape[1])[None, :]
+        n, flat = bins.shape[1], np.ascontiguousarray(bins).ravel()
+        columns, cuts = self.column.ravel(), self.cut.ravel()
+        at = np.ones((len(trees), n), np.intp)
+        first, rows = trees[:, None] * self.column.shape[1], np.arange(n)[None, :]
         for _ in range(self.column.shape[1].bit_length() - 2):
-            column = self.column[t, at]
+            here = at + first
+            column = columns.take(here)
             inner = column >= 0
             if not inner.any():
                 break
-            value, cut = bins[np.maximum(column, 0), rows], self.cut[t, at]
-            right = np.where(self.ordered[np.maximum(column, 0)], value > cut, value != cut)
+            own = np.maximum(column, 0)
+            value, cut = flat.take(own * n + rows), cuts.take(here)
+            right = np.where(self.ordered.take(own), value > cut, value != cut)
             at = np.where(inner, 2 * at + right, at)
         return at
 
@@ -113,9 +120,8 @@ def poisson(*parts) -> np.ndarray:
 # ------------------------------------------------------------ one node
 def histogram(bins: np.ndarray, stats: np.ndarray, columns: Columns) -> tuple[np.ndarray, np.ndarray]:
     """(cell, sums) of the cells that have rows; a cell is a (column, bin)."""
-    base = columns.base
-    cell = (bins + base[:-1, None]).ravel()
-    sums = np.stack([np.bincount(cell, np.tile(s, len(bins)), base[-1]) for s in stats.T], 1)
+    weights = [s.astype(np.float64) for s in stats.T]
+    sums = np.concatenate([np.stack([np.bincount(own, w, size) for w in weights], 1) for own, size in zip(bins, columns.sizes)])
     here = np.flatnonzero(sums[:, 0])
     return here, np.rint(sums[here]).astype(np.int64)
 
@@ -173,10 +179,11 @@ def subtree(bins: np.ndarray, stats: np.ndarray, rule: Rule, tree: int, root: in
     todo = [(root, np.arange(bins.shape[1]))]
     while todo:
         node, rows = todo.pop()
-        total = stats[rows].sum(0)
+        there = stats[rows]
+        total = there.sum(0)
         split = None
         if node.bit_length() <= rule.depth and not _pure(total, rule):
-            here, there = bins[:, rows], stats[rows]
+            here = bins[:, rows]
             split = best_split(*histogram(here, there, rule.columns), total, rule, tree, node)
         if split is None:
             yield tree, node, -1, 0, total.tobytes(), 0.0, 0, 0
@@ -192,13 +199,33 @@ def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), schema)], names=[n for n, _ in schema])
 
 
-_SENT = [("tree", pa.int32()), ("node", pa.int32()), ("whole", pa.bool_()), ("payload", pa.binary())]
+_SENT = [("slot", pa.int32()), ("tree", pa.int32()), ("node", pa.int32()), ("whole", pa.bool_()), ("payload", pa.binary())]
 _NODES = [("tree", pa.int32()), ("node", pa.int32()), ("column", pa.int32()), ("cut", pa.int32()), ("stats", pa.binary()), ("gain", pa.float64()), ("left", pa.int64()), ("right", pa.int64())]
 
 
-def _sender(members: Callable, trees: Trees, open_nodes: dict[tuple[int, int], bool], rule: Rule):
-    """Statistics or rows of the open nodes in a batch of rows.  ``members``
-    turns a record batch into (bins, iterator of (tree, rows, statistics))."""
+def packed(bins: np.ndarray, stats: np.ndarray) -> bytes:
+    """Bins (columns x rows) and statistics (rows x statistics) of rows, each
+    in the narrowest integers that hold all of them."""
+    out = [np.uint32(bins.shape[1]).tobytes()]
+    for x, kinds in ((bins, ("u1", "<u2", "<u4")), (stats, ("i1", "<i2", "<i4", "<i8"))):
+        low, high = (x.min(), x.max()) if x.size else (0, 0)
+        kind = next(k for k in kinds if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+        out += [kind.rjust(3).encode(), np.ascontiguousarray(x, kind).tobytes()]
+    return b"".join(out)
+
+
+def unpacked(payload: bytes, n_columns: int, n_stats: int) -> tuple[np.ndarray, np.ndarray]:
+    n, at, out = int(np.frombuffer(payload, "<u4", 1)[0]), 4, []
+    for shape in ((n_columns, n), (n, n_stats)):
+        kind = np.dtype(payload[at:at + 3].decode().strip())
+        out.append(np.frombuffer(payload, kind, shape[0] * shape[1], at + 3).reshape(shape).astype(np.int64))
+        at += 3 + shape[0] * shape[1] * kind.itemsize
+    return out[0], out[1]
+
+
+def _sender(members: Callable, trees: Trees, open_nodes: dict[tuple[int, int], tuple[bool, int]], rule: Rule):
+    """Statistics or rows of the open nodes, given as (whether rows are sent,
+    slot), in a batch of rows.  ``members`` turns a record batch into (bins, iterator of (tree, rows, statistics))."""
     by_tree: dict[int, list[int]] = {}
     for t, node in open_nodes:
         by_tree.setdefault(t, []).append(node)
@@ -217,12 +244,13 @@ def _sender(members: Callable, trees: Trees, open_nodes: dict[tuple[int, int], b
                     here = np.flatnonzero(at == node)
                     if not len(here):
                         continue
-                    if open_nodes[t, node]:
-                        payload = own[:, here].astype("<i4").T.tobytes() + stats[here].astype("<i8").tobytes()
+                    whole, slot = open_nodes[t, node]
+                    if whole:
+                        payload = packed(own[:, here], stats[here])
                     else:
                         cells, sums = histogram(own[:, here], stats[here], rule.columns)
                         payload = cells.astype("<i4").tobytes() + sums.astype("<i8").tobytes()
-                    out.append((t, node, open_nodes[t, node], payload))
+                    out.append((slot, t, node, whole, payload))
                     held += len(payload)
                 if held > 8 << 20:
                     yield _batch(out, _SENT)
@@ -236,20 +264,20 @@ def _grower(rule: Rule, n_stats: int):
     """Splits of open nodes from what all partitions sent, sorted by node."""
     n_columns = len(rule.columns.sizes)
 
-    def arrays(payload: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-        n = len(payload) // (4 * width + 8 * n_stats)
-        return np.frombuffer(payload, "<i4", n * width), np.frombuffer(payload, "<i8", n * n_stats, 4 * n * width).reshape(n, n_stats)
+    def arrays(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n = len(payload) // (4 + 8 * n_stats)
+        return np.frombuffer(payload, "<i4", n), np.frombuffer(payload, "<i8", n * n_stats, 4 * n).reshape(n, n_stats)
 
     def node_rows(head: tuple, payloads: list[bytes]) -> Iterator[tuple]:
         tree, node, whole = head
         if whole:
-            parts = [arrays(p, n_columns) for p in payloads]
-            bins = np.concatenate([b.reshape(-1, n_columns) for b, _ in parts]).T
+            parts = [unpacked(p, n_columns, n_stats) for p in payloads]
+            bins = np.concatenate([b for b, _ in parts], 1)
             yield from subtree(bins, np.concatenate([s for _, s in parts]), rule, tree, node)
             return
         total_cells = np.zeros((int(rule.columns.base[-1]), n_stats), np.int64)
         for p in payloads:
-            cells, sums = arrays(p, 1)
+            cells, sums = arrays(p)
             total_cells[cells] += sums
         cells = np.flatnonzero(total_cells[:, 0])
         sums = total_cells[cells]
@@ -289,10 +317,16 @@ def grow(rows: DataFrame, members: Callable, sizes: dict[int, int], rule: Rule,
     n = len(sizes)
     shape = (n, 1 << rule.depth + 1)
     trees = Trees(np.full(shape, -1, np.int32), np.zeros(shape, np.int32), np.zeros((*shape, n_stats), np.int64), np.zeros(shape), np.array(rule.columns.ordered))
-    open_nodes = {(t, 1): size <= rule.task_rows for t, size in sizes.items()}
-    while open_nodes:
-        sent = rows.mapInArrow(_sender(members, trees, open_nodes, rule), "tree int, node int, whole boolean, payload binary")
-        sent = sent.repartition(max(1, min(tasks, len(open_nodes))), "tree", "node").sortWithinPartitions("tree", "node")
+    sizes = {(t, 1): size for t, size in sizes.items()}
+    row_bytes = len(rule.columns.sizes) + 4 * n_stats
+    while sizes:
+        sent_bytes = row_bytes * sum(size for size in sizes.values() if size <= rule.task_rows)
+        parts = max(1, min(max(tasks, sent_bytes // SENT_BYTES), len(sizes)))
+        # nodes are dealt out in turn, the largest first, so that tasks have equal work
+        dealt = sorted(sizes, key=lambda node: (-sizes[node], node))
+        open_nodes = {node: (sizes[node] <= rule.task_rows, i % parts) for i, node in enumerate(dealt)}
+        sent = rows.mapInArrow(_sender(members, trees, open_nodes, rule), "slot int, tree int, node int, whole boolean, payload binary")
+        sent = sent.repartitionById(parts, F.col("slot")).drop("slot").sortWithinPartitions("tree", "node")
         made = sent.mapInArrow(_grower(rule, n_stats), NODES).toArrow()
         tree, node, column, cut = (made[c].to_numpy() for c in ("tree", "node", "column", "cut"))
         trees.column[tree, node], trees.cut[tree, node], trees.gain[tree, node] = column, cut, made["gain"].to_numpy()
@@ -301,7 +335,7 @@ def grow(rows: DataFrame, members: Callable, sizes: dict[int, int], rule: Rule,
         # what a pass has split and not finished goes on
         done = set(zip(tree.tolist(), node.tolist()))
         left, right = made["left"].to_pylist(), made["right"].to_pylist()
-        open_nodes = {(t, child): size <= rule.task_rows
-                      for t, i, c, a, b in zip(tree.tolist(), node.tolist(), column.tolist(), left, right) if c >= 0
-                      for child, size in ((2 * i, a), (2 * i + 1, b)) if (t, child) not in done}
+        sizes = {(t, child): size
+                 for t, i, c, a, b in zip(tree.tolist(), node.tolist(), column.tolist(), left, right) if c >= 0
+                 for child, size in ((2 * i, a), (2 * i + 1, b)) if (t, child) not in done}
     return trees

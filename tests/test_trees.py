@@ -144,3 +144,24 @@ def test_no_rows(spark):
     data = tuple(x[:0] for x in table())
     forest = E.train_forest(frame(spark, data, 2), E.Sample(((0,) * 3,) * 2), COLUMNS, 2, 3, 1, 1)
     assert (forest.trees.column == -1).all()
+
+
+def test_trees_of_some_rows_take_one_pass(spark, monkeypatch):
+    """Every pass is a job, and boosting makes hundreds of rounds: trees whose
+    rows one task holds are grown in a single pass, whatever their depth."""
+    data = table(6000, 3)
+    passes, sender = [], T._sender
+    monkeypatch.setattr(T, "_sender", lambda members, trees, nodes, rule: passes.append(nodes) or sender(members, trees, nodes, rule))
+    E.train_boosting(frame(spark, data, 3), sample(data), COLUMNS, 2, 4, 0.1, 0.9, 7)
+    assert len(passes) == 2
+    slots = [slot for _, slot in passes[0].values()]
+    assert max(map(slots.count, slots)) - min(map(slots.count, slots)) <= 1
+
+
+@pytest.mark.parametrize("high, bins_high", [(1, 3), (12, 300), (1 << 30, 70_000), (1 << 40, 2)])
+def test_packed_rows_come_back(high, bins_high):
+    rng = np.random.default_rng(4)
+    bins, stats = rng.integers(0, bins_high, (4, 50)), rng.integers(-high, high + 1, (50, 3))
+    got = T.unpacked(T.packed(bins, stats), 4, 3)
+    assert (got[0] == bins).all() and (got[1] == stats).all()
+    assert [x.shape for x in T.unpacked(T.packed(bins[:, :0], stats[:0]), 4, 3)] == [(4, 0), (0, 3)]
