@@ -4,7 +4,9 @@ Each measure is ``f(star, by) -> DataFrame`` with one row per ``by`` group.
 It names the keys it groups by, the attributes it needs and its sums, and
 ``Star`` resolves them: the fact is reduced to the foreign keys that matter,
 then only the dimensions that hold a named column are joined, then the sums
-are merged.  ``star`` may also be a frame that has all the columns already.
+are merged.  Where film and day both matter there is nothing to reduce (a fact
+row is a film's day): the dimensions are joined at once, with the rows dealt
+out by film in tasks of a bounded size if films are kept apart.  ``star`` may also be a frame that has all the columns already.
 The reference documents these only by name, so each formula is a [decision]
 stated in its docstring and mirrored in the oracle.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marquee.functions.clean import safe_ratio as _ratio
 
@@ -24,6 +27,8 @@ G, DAYS = "gross_revenue_per_day", "days_since_release"
 STAR_DIMS = {"dim_film": ("fk_film", "sk_film"), "dim_date": ("fk_date", "sk_date"), "dim_actor": ("fk_actor", "sk_actor"),
              "dim_director": ("fk_director", "sk_director"), "dim_production_company": ("fk_production_company", "sk_production_company")}
 # how partial sums are taken of fact rows, and merged
+GRAIN = {"fk_film", "fk_date"}   # what tells fact rows apart
+TASK_ROWS = 1 << 20              # fact rows of one task that aggregates by film
 PARTIAL = {"sum": F.sum, "count": F.count, "max": F.max}
 MERGED = {"sum": F.sum, "count": F.sum, "max": F.max}
 
@@ -53,15 +58,31 @@ class Star:
             if c not in own:
                 named.setdefault(self.dimension(c), []).append(c)
         reduced_to = list(dict.fromkeys([*own, *[self.dims[d][1] for d in named]]))
-        out = _aggregated(self.fact, reduced_to, aggs, PARTIAL)
+        whole = bool(named) and GRAIN <= set(reduced_to)
+        if whole:
+            out = self.fact.select(*reduced_to, *dict.fromkeys(c for _, c in aggs.values() if c != "*" and c not in reduced_to))
+            if "fk_film" in keys:
+                out = out.repartition(max(1, -(-self.fact.count() // TASK_ROWS)), "fk_film")
+        else:
+            out = _aggregated(self.fact, reduced_to, aggs, PARTIAL)
         for name, columns in named.items():
             dim, fk, sk = self.dims[name]
             out = out.join(dim.select(F.col(sk).alias("_sk"), *columns), F.col(fk) == F.col("_sk")).drop("_sk")
-        if named:
+        if whole:
+            out = _aggregated(out, [*keys, *attrs], aggs, PARTIAL)
+            out = out.select(*[_as_merged(out, n) if n in aggs and aggs[n][0] == "sum" else F.col(n) for n in out.columns])
+        elif named:
             out = _aggregated(out, [*keys, *attrs], {n: (kind, n) for n, (kind, _) in aggs.items()}, MERGED)
         return out
 
 
+def _as_merged(df: DataFrame, name: str) -> Column:
+    """A sum in the type that a sum of sums has."""
+    kind = df.schema[name].dataType
+    wide = T.DecimalType(min(38, kind.precision + 10), kind.scale) if isinstance(kind, T.DecimalType) else kind
+    return F.col(name).cast(wide).alias(name)
+
+
 def _aggregated(df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str]], how) -> DataFrame:
     if not aggs:
         return df.select(*keys).distinct()
@@ -245,12 +266,24 @@ def hierarchy(df: DataFrame, levels: list[str], aggs: list[Column]) -> DataFrame
 
 
 def revenue_hierarchy(star, levels: list[str]) -> DataFrame:
-    """D15 for revenue and distinct films: the fact is first reduced to
-    (levels, film) — a partial aggregate — so the rollup's row expansion
-    runs on that small frame, not on fact rows."""
+    """D15 for revenue and distinct films: the fact is reduced to (levels,
+    film), and a film's rows are marked where they are its first of a group,
+    for the groups of every depth (one sort by film and levels).  Sums of the
+    marks are the distinct films, so the rollup's row expansion runs on the
+    totals of the lowest level only."""
     pre = _grouped(star, [*levels, "fk_film"], _rev=("sum", G))
-    return hierarchy(pre, levels, [F.sum("_rev").cast("double").alias("total_revenue"),
-                                   F.countDistinct("fk_film").alias("n_films")])
+    depth = len(levels)
+    marks = []
+    for d in range(depth):
+        nth = F.row_number().over(Window.partitionBy("fk_film", *levels[:d]).orderBy(*levels[d:]))
+        marks.append(((nth == 1) & F.col("fk_film").isNotNull()).cast("int").alias(f"_first{d}"))
+    marks.append(F.col("fk_film").isNotNull().cast("int").alias(f"_first{depth}"))
+    lowest = pre.select(*levels, "_rev", *marks).groupBy(*levels).agg(F.sum("_rev").alias("_rev"), *[F.sum(f"_first{d}").alias(f"_first{d}") for d in range(depth + 1)])
+    films = None
+    for d in range(depth + 1):
+        at, n = F.grouping_id(*levels) == (1 << (depth - d)) - 1, F.sum(f"_first{d}")
+        films = F.when(at, n) if films is None else films.when(at, n)
+    return hierarchy(lowest, levels, [F.sum("_rev").cast("double").alias("total_revenue"), films.alias("n_films")])
 
 
 def running_share(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
