@@ -4,9 +4,9 @@ Each measure is ``f(star, by) -> DataFrame`` with one row per ``by`` group.
 It names the keys it groups by, the attributes it needs and its sums, and
 ``Star`` resolves them: the fact is reduced to the foreign keys that matter,
 then only the dimensions that hold a named column are joined, then the sums
-are merged.  Where film and day both matter there is nothing to reduce (a fact
-row is a film's day): the dimensions are joined at once, with the rows dealt
-out by film in tasks of a bounded size if films are kept apart.  ``star`` may also be a frame that has all the columns already.
+are merged.  Where films are kept apart and days matter too there is nothing to
+reduce (a fact row is a film's day): the rows are dealt out by film in tasks of
+a bounded size, joined and summed there.  ``star`` may also be a frame that has all the columns already.
 The reference documents these only by name, so each formula is a [decision]
 stated in its docstring and mirrored in the oracle.
 
@@ -58,11 +58,10 @@ class Star:
             if c not in own:
                 named.setdefault(self.dimension(c), []).append(c)
         reduced_to = list(dict.fromkeys([*own, *[self.dims[d][1] for d in named]]))
-        whole = bool(named) and GRAIN <= set(reduced_to)
+        whole = "fk_film" in keys and bool(named) and GRAIN <= set(reduced_to)
         if whole:
             out = self.fact.select(*reduced_to, *dict.fromkeys(c for _, c in aggs.values() if c != "*" and c not in reduced_to))
-            if "fk_film" in keys:
-                out = out.repartition(max(1, -(-self.fact.count() // TASK_ROWS)), "fk_film")
+            out = out.repartition(max(2, -(-self.fact.count() // TASK_ROWS)), "fk_film")
         else:
             out = _aggregated(self.fact, reduced_to, aggs, PARTIAL)
         for name, columns in named.items():
