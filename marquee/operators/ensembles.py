@@ -10,7 +10,7 @@ all labelled rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.operators.trees import FIXED, Columns, Rule, Trees, grow, poisson, uniform
+from marquee.operators.trees import FIXED, NODES, Columns, Rule, Trees, grow, packed, poisson, subtree, uniform, unpacked
 from marquee.session import materialize
 
 PARTITION_ROWS = 1 << 14
+LEAST_ROWS = 1 << 11             # of a partition, where there are fewer than cores
 KEEP_ROUNDS = 10                 # rounds after which the scores are written
 SCORED = "key long, label int, fold int, bins binary, scores binary"
 
@@ -53,7 +54,7 @@ def sample_of(rows: DataFrame, folds: int, classes: int) -> Sample:
 
 
 def partitioned(rows: DataFrame, n: int) -> DataFrame:
-    return rows.repartition(max(1, -(-n // PARTITION_ROWS)), "key")
+    return rows.repartition(max(1, -(-n // PARTITION_ROWS), min(_tasks(rows), -(-n // LEAST_ROWS))), "key")
 
 
 def _read(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -176,13 +177,71 @@ def softmax(raw: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def _splits(trees: Trees) -> Trees:
+    """What places a row: the splits alone."""
+    return Trees(trees.column, trees.cut, None, None, trees.ordered)
+
+
+def _no_trees(n: int, rule: Rule, n_stats: int) -> Trees:
+    shape = (n, 1 << rule.depth + 1)
+    return Trees(np.full(shape, -1, np.int32), np.zeros(shape, np.int32), np.zeros((*shape, n_stats), np.int64), np.zeros(shape), np.array(rule.columns.ordered))
+
+
+def _grown_by_fit(rows: DataFrame, fit_rounds: Callable, fits: int, classes: int, rounds: int, rule: Rule) -> list[Trees]:
+    """The trees of all rounds: the labelled rows of each fit meet in a task."""
+    width = len(rule.columns.sizes)
+
+    def send(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, label, fold, bins = _read(batch, width)
+            owns = [np.flatnonzero((label >= 0) & (fold != fit)) for fit in range(fits)]
+            sent = [(fit, packed(bins[:, own], np.stack([key[own], label[own]], 1))) for fit, own in enumerate(owns) if len(own)]
+            if sent:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sent), (pa.int32(), pa.binary()))], names=["fit", "payload"])
+
+    def grow_fits(batches) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for fit, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                parts.setdefault(fit, []).append(unpacked(payload, width, 2))
+        for fit, own in parts.items():
+            bins, keyed = np.concatenate([b for b, _ in own], 1), np.concatenate([k for _, k in own])
+            out = []
+            for node in fit_rounds(fit, keyed[:, 0], keyed[:, 1], bins):
+                out.append(node)
+                if len(out) > 5000:
+                    yield _nodes(out)
+                    out = []
+            if out:
+                yield _nodes(out)
+
+    def _nodes(out: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.float64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["round", *(n.split()[0] for n in NODES.split(", "))])
+
+    sent = rows.mapInArrow(send, "fit int, payload binary").repartitionById(fits, F.col("fit"))
+    made = sent.mapInArrow(grow_fits, "round int, " + NODES).toArrow()
+    done = [_no_trees(fits * classes, rule, 3) for _ in range(rounds)]
+    at, tree, node, column, cut, gain = (made[c].to_numpy() for c in ("round", "tree", "node", "column", "cut", "gain"))
+    stats = np.frombuffer(b"".join(made["stats"].to_pylist()), np.int64).reshape(-1, 3)
+    for number, trees in enumerate(done):
+        own = np.flatnonzero(at == number)
+        here = tree[own], node[own]
+        trees.column[here], trees.cut[here], trees.gain[here], trees.stats[here] = column[own], cut[own], gain[own], stats[own]
+    return done
+
+
 def train_boosting(rows: DataFrame, sample: Sample, columns: Columns, rounds: int, depth: int, rate: float, subsample: float, seed: int, keep: int = KEEP_ROUNDS, **limits) -> tuple[Boosting, DataFrame]:
     """Softmax boosting: in each round one tree a class and fit on the
     residuals, from the rows that (row, round, fit) draws.  Returns the model
     and the rows with ``scores``, the raw scores of every fit and class.
 
-    Scores are written every ``keep`` rounds; between, tasks add the trees
-    since then, always in the same order."""
+    Rounds are passes over the rows.  Where there are more than ``keep`` of
+    them and every fit has at most ``task_rows`` rows, a fit's rows are sent
+    once, to one task that grows all its rounds: what a task is sent stays
+    bounded.  Otherwise scores are written every ``keep`` rounds; between,
+    tasks add the trees since then, always in the same order.  Both ways give
+    the same trees and scores."""
     fits, classes, width = sample.folds + 1, sample.classes, len(columns.sizes)
     sizes = np.array([sample.of_fit(f) for f in range(fits)])
     start = np.log(np.maximum(sizes, 1e-9) / np.maximum(sizes.sum(1, keepdims=True), 1))
@@ -195,6 +254,14 @@ def train_boosting(rows: DataFrame, sample: Sample, columns: Columns, rounds: in
             raw = raw + rate * values[np.arange(fits * classes)[:, None], trees.positions(bins)].T
         return raw
 
+    def statistics(label, raw) -> Iterator[tuple[int, np.ndarray]]:
+        """(class, statistics) of the drawn rows of a fit."""
+        residual = np.eye(classes)[label] - softmax(raw)
+        size = np.abs(residual)
+        fixed = np.rint(np.stack([residual, size * (1 - size)]) * FIXED).astype(np.int64)
+        for c in range(classes):
+            yield c, np.stack([np.ones(len(label), np.int64), fixed[0, :, c], fixed[1, :, c]], 1)
+
     def members_of(pending, number: int):
         def members(batch):
             key, label, fold, bins = _read(batch, width)
@@ -204,14 +271,25 @@ def train_boosting(rows: DataFrame, sample: Sample, columns: Columns, rounds: in
                 for fit in range(fits):
                     own = np.flatnonzero((label >= 0) & (fold != fit))
                     own = own[uniform(seed, key[own], number, fit) < subsample]
-                    residual = np.eye(classes)[label[own]] - softmax(raw[own, fit])
-                    size = np.abs(residual)
-                    fixed = np.rint(np.stack([residual, size * (1 - size)]) * FIXED).astype(np.int64)
-                    for c in range(classes):
-                        yield fit * classes + c, own, np.stack([np.ones(len(own), np.int64), fixed[0, :, c], fixed[1, :, c]], 1)
+                    for c, stats in statistics(label[own], raw[own, fit]):
+                        yield fit * classes + c, own, stats
             return bins, each()
         return members
 
+    def fit_rounds(fit: int, key, label, bins) -> Iterator[tuple]:
+        """(round, node ...) of all trees of a fit, grown from its rows."""
+        raw = np.tile(start[fit], (len(key), 1))
+        for number in range(rounds):
+            own = np.flatnonzero(uniform(seed, key, number, fit) < subsample)
+            trees = _no_trees(classes, rule, 3)
+            here = bins[:, own]
+            for c, stats in statistics(label[own], raw[own]):
+                for node in subtree(here, stats, rule, fit * classes + c, 1) if len(own) else ():
+                    at = c, node[1]
+                    trees.column[at], trees.cut[at], trees.stats[at] = node[2], node[3], np.frombuffer(node[4], np.int64)
+                    yield number, *node
+            raw = raw + rate * leaf_values(trees, classes)[np.arange(classes)[:, None], trees.positions(bins)].T
+
     def updated(frame: DataFrame, pending) -> DataFrame:
         def run(batches) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -219,12 +297,16 @@ def train_boosting(rows: DataFrame, sample: Sample, columns: Columns, rounds: in
         return frame.mapInArrow(run, SCORED)
 
     first = start.astype("<f8").tobytes()
-    state = rows.select("key", "label", "fold", "bins", F.lit(first).alias("scores")).persist()
+    state = rows.select("key", "label", "fold", "bins", F.lit(first).alias("scores"))
+    if rounds > keep and sizes.sum(1).max() <= rule.task_rows:
+        done = _grown_by_fit(rows, fit_rounds, fits, classes, rounds, rule)
+        return Boosting(done, classes, start, columns.base), materialize(updated(state, [(_splits(t), leaf_values(t, classes)) for t in done]), "boosting-scores")
+    state = state.persist()
     done, pending = [], []
     for number in range(rounds):
         trees = grow(state, members_of(pending, number), counts, rule, 3, _tasks(rows))
         done.append(trees)
-        pending.append((Trees(trees.column, trees.cut, None, None, trees.ordered), leaf_values(trees, classes)))
+        pending.append((_splits(trees), leaf_values(trees, classes)))
         if len(pending) == keep or number == rounds - 1:
             # read back in as many partitions as were written, whatever their size
             after = materialize(updated(state, pending), "boosting-scores").persist()

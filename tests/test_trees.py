@@ -158,6 +158,23 @@ def test_trees_of_some_rows_take_one_pass(spark, monkeypatch):
     assert max(map(slots.count, slots)) - min(map(slots.count, slots)) <= 1
 
 
+def test_many_rounds_of_bounded_fits_take_no_pass_each(spark, monkeypatch):
+    """A job a round is hundreds of jobs: the rows of a fit that one task
+    holds are sent once, for all rounds, and give the same model."""
+    data = table(400, 9)
+    passes, sender = [], T._sender
+    monkeypatch.setattr(T, "_sender", lambda members, trees, nodes, rule: passes.append(nodes) or sender(members, trees, nodes, rule))
+    train = lambda keep: E.train_boosting(frame(spark, data, 3), sample(data), COLUMNS, 6, 3, 0.3, 0.8, 7, keep=keep)
+    by_round, scored = train(6)
+    assert len(passes) == 6
+    by_fit, scored_by_fit = train(5)
+    assert len(passes) == 6
+    for a, b in zip(by_round.rounds, by_fit.rounds, strict=True):
+        assert all((x == y).all() for x, y in ((a.column, b.column), (a.cut, b.cut), (a.stats, b.stats), (a.gain, b.gain)))
+    scores = [{r["key"]: bytes(r["scores"]) for r in df.collect()} for df in (scored, scored_by_fit)]
+    assert len(scores[0]) == 400 and scores[0] == scores[1]
+
+
 @pytest.mark.parametrize("high, bins_high", [(1, 3), (12, 300), (1 << 30, 70_000), (1 << 40, 2)])
 def test_packed_rows_come_back(high, bins_high):
     rng = np.random.default_rng(4)
