@@ -6,6 +6,8 @@ DataFrames; nothing collects rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,9 +94,37 @@ def tagged_entities(df: DataFrame, spec: dict[str, list[str]]) -> DataFrame:
     return df.select(F.explode(F.array(*rows)).alias("row")).select("row.*").distinct()
 
 
+ROWS = "daily"                   # the entity at the grain of the rows
+TASK_ROWS = 1 << 18              # rows of a wide table that one task holds
+
+
+def row_tasks(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Tasks that rows of a written table are dealt to."""
+    return max(1, -(-df.count() // rows))
+
+
+def dealt_entities(df: DataFrame, spec: dict[str, list[str]], tasks: int) -> DataFrame:
+    """The rows of ``tagged_entities`` for a written table, which is read
+    twice, in the columns that are needed.
+
+    The entities that have few rows for many of ``df`` are split from its
+    distinct rows in their columns, which are reduced within the tasks.  The
+    rows of ``ROWS`` are mostly distinct: they are dealt out first, so that no
+    task holds more of them than its share."""
+    few = {name: cols for name, cols in spec.items() if name != ROWS}
+    out = []
+    if few:
+        out.append(tagged_entities(df.select(*dict.fromkeys(c for cols in few.values() for c in cols)).distinct(), few))
+    if ROWS in spec:
+        rows = df.select(*spec[ROWS]).repartition(tasks, *spec[ROWS]).distinct()
+        out.append(rows.select(F.lit(ROWS).alias("entity"), F.struct(*spec[ROWS]).alias(ROWS)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out).select("entity", *spec)
+
+
 def write_entities(df: DataFrame, spec: dict[str, list[str]], path: str) -> dict[str, DataFrame]:
-    """A10: the entities written once, a folder each, and read back."""
-    write_table(tagged_entities(df, spec), path, partition_by=["entity"])
+    """A10: the entities of a written table, written once, a folder each, and
+    read back."""
+    write_table(dealt_entities(df, spec, row_tasks(df)), path, partition_by=["entity"])
     written = df.sparkSession.read.parquet(path)
     return {name: written.filter(F.col("entity") == name).select(f"{name}.*") for name in spec}
 

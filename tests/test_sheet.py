@@ -71,3 +71,33 @@ def test_model_tables(spark, tmp_path):
     import pytest
     with pytest.raises(Exception, match="predicted_tier is NULL"):
         ml.write_outputs(spark, trend, tiers.withColumn("predicted_tier", F.lit(None).cast("string")), str(tmp_path))
+
+
+def test_entities_of_rows_are_dealt_out(spark, tmp_path, monkeypatch):
+    """Rows that are mostly distinct are not gathered by the tasks that read
+    them: they are dealt over tasks of a bounded number, repeats meet there."""
+    from marquee.sources import io
+    monkeypatch.setattr(io, "TASK_ROWS", 100)
+    rows = [(i % 7, f"t{i % 7}", i % 450, i % 3) for i in range(900)] + [(None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "bk int, t string, day int, v int").coalesce(1)
+    spec = {"film": ["bk", "t"], "daily": ["bk", "day", "v"]}
+    assert io.row_tasks(df, 100) == 10
+    text = plan(io.dealt_entities(df, spec, 10))
+    assert "REPARTITION_BY_NUM" in text and ", 10)" in text
+    parts = io.write_entities(df, spec, str(tmp_path / "e"))
+    for name, cols in spec.items():
+        want = {tuple(r) for r in df.select(*cols).distinct().collect()}
+        got = [tuple(r) for r in parts[name].collect()]
+        assert len(got) == len(want) and set(got) == want and parts[name].columns == cols
+
+
+def test_the_sheet_is_written_by_bounded_tasks(spark, monkeypatch):
+    """Writing by year sorts the wide rows of each task."""
+    from marquee.operators import match as MT
+    from marquee.sources import adapter, io
+    monkeypatch.setattr(io.row_tasks, "__defaults__", (500,))
+    raw = LK.raw_sheet(warehouse.load(spark, SF001))
+    dv = adapter.driver(spark, SF001)
+    out = sheet.enrich(spark, dv, raw, MT.match_cache(spark, tempfile.mkdtemp(prefix="marquee-sheet-") + "/cache"))
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 5967 and len(sizes) > 6 and max(sizes) < 2000
