@@ -125,8 +125,10 @@ def rule_row_predicates(t: dict[str, DataFrame]) -> DataFrame:
 def orphan_rows_all(t: dict[str, DataFrame], parents=PARENTS) -> DataFrame:
     """Rule 4 for every FK in one pass over the fact: each row is exploded
     into (fk name, key as text) pairs and counted — the shuffle carries one
-    row per distinct key per FK, not the fact — then one anti join against
-    the union of the tagged parent keys.  Returns (fk, n)."""
+    row per distinct key per FK, not the fact — then one outer join with
+    the union of the tagged parent keys keeps those without a parent (Spark
+    moves an anti join below the count, to every exploded row).  Returns
+    (fk, n)."""
     fact = t[FACT]
     pairs = F.explode(F.array(*[F.struct(F.lit(fk).alias("fk"), F.col(fk).cast("string").alias("k"))
                                 for _, fk, _, _ in parents]))
@@ -136,8 +138,8 @@ def orphan_rows_all(t: dict[str, DataFrame], parents=PARENTS) -> DataFrame:
     for _, fk, dim, key in parents:
         d = t[dim].select(F.lit(fk).alias("fk"), F.col(key).cast("string").alias("k"))
         keys = d if keys is None else keys.unionByName(d)
-    miss = per_key.join(keys.distinct(), ["fk", "k"], "left_anti")
-    # a NULL FK never has a parent: the anti join on NULL keeps it, as LEFT JOIN ... IS NULL
+    # a NULL FK never has a parent
+    miss = per_key.join(keys.distinct().withColumn("_parent", F.lit(True)), ["fk", "k"], "left").filter(F.col("_parent").isNull())
     return miss.groupBy("fk").agg(F.sum("c").cast("bigint").alias("n"))
 
 

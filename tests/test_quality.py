@@ -58,3 +58,18 @@ def test_totals_match_fixture(spark):
     assert film.count() == 200
     assert film.agg(F.countDistinct("film_genre")).first()[0] == 104
     assert str(film.agg(F.sum("imdb_rating")).first()[0]) == "1034.3"
+
+
+def test_orphans_are_looked_up_per_key(spark, tmp_path):
+    """The parents meet the counted keys, not a row for every key of every
+    fact row."""
+    fact = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (3, None)], "fk_a int, fk_b int")
+    t = {DQ.FACT: fact, "a": spark.createDataFrame([(1,), (1,), (None,)], "k int"), "b": spark.createDataFrame([(7,), (9,)], "k int")}
+    for name, df in t.items():       # written tables, whose sizes Spark knows
+        df.write.parquet(f"{tmp_path}/{name}")
+    t = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in t}
+    got = DQ.orphan_rows_all(t, (("A", "fk_a", "a", "k"), ("B", "fk_b", "b", "k")))
+    assert {r["fk"]: r["n"] for r in got.collect()} == {"fk_a": 2, "fk_b": 2}
+    kinds = [line.strip(" :+-").split()[0] for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    below = kinds[kinds.index("Join"):kinds.index("Generate")]
+    assert "Aggregate" in below
