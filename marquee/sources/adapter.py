@@ -112,22 +112,34 @@ def first_day(daily: DataFrame) -> DataFrame:
     return daily.groupBy("l_partkey").agg(F.min("d").alias("d0"))
 
 
-def shared_daily(dv: DriverFrames) -> DataFrame:
-    """The daily aggregate, written once per folder (stage boundary under
-    the checkpoint folder) and shared by every consumer."""
+def part_days(dv: DriverFrames) -> DataFrame:
+    """(l_partkey, d0, d1, undated): first and last ship day of each part and
+    how many of its lineitems have none.  Two columns of lineitem, reduced
+    within the tasks; the daily aggregate is not needed for it."""
+    d = F.col("l_shipdate").cast("date")
+    return (dv.t("lineitem", ["l_partkey", "l_shipdate"]).groupBy("l_partkey")
+            .agg(F.min(d).alias("d0"), F.max(d).alias("d1"), F.count_if(d.isNull()).alias("undated")))
+
+
+def shared_days(dv: DriverFrames) -> DataFrame:
+    """``part_days``, written once per folder (stage boundary under the
+    checkpoint folder)."""
     from marquee.session import materialize
-    if "_daily_materialized" not in dv._frames:
-        dv._frames["_daily_materialized"] = materialize(daily_revenue(dv), "daily")
-    return dv._frames["_daily_materialized"]
+    if "_days_materialized" not in dv._frames:
+        dv._frames["_days_materialized"] = materialize(part_days(dv), "part_days")
+    return dv._frames["_days_materialized"]
 
 
 def shared_first(dv: DriverFrames) -> DataFrame:
     """Per-part first day, written once per folder: every film-level lookup
     reuses it instead of re-aggregating lineitem."""
-    from marquee.session import materialize
-    if "_first_materialized" not in dv._frames:
-        dv._frames["_first_materialized"] = materialize(first_day(shared_daily(dv)), "first_day")
-    return dv._frames["_first_materialized"]
+    return shared_days(dv).select("l_partkey", "d0")
+
+
+def undated(dv: DriverFrames) -> bool:
+    """Whether a lineitem of a part has no ship day, which the fact's layout
+    does not admit."""
+    return not shared_days(dv).filter(F.col("l_partkey").isNotNull() & (F.col("undated") > 0)).isEmpty()
 
 
 def stg_dim_film(dv: DriverFrames, first: DataFrame) -> DataFrame:
@@ -202,35 +214,34 @@ def stg_dim_company(dv: DriverFrames) -> DataFrame:
     )
 
 
-def stg_fact(dv: DriverFrames, daily: DataFrame, first: DataFrame) -> DataFrame:
-    f = daily.join(first, "l_partkey")
-    p = F.col("l_partkey")
+def stg_fact(dv: DriverFrames, daily: DataFrame, first: DataFrame | None) -> DataFrame:
+    """The daily fact; without ``first`` the same rows, but for the days since
+    release: every part has a first day, so the join drops only null parts."""
+    f = daily.filter(F.col("l_partkey").isNotNull()) if first is None else daily.join(first, "l_partkey")
+    days = [] if first is None else [F.datediff("d", "d0").cast("int").alias("days_since_release")]
     return f.select(
         date_key(F.col("d")).alias("fk_date"),
-        *fact_keys(dv, p),
+        *fact_keys(dv, F.col("l_partkey")),
         F.col("gross").alias("gross_revenue_per_day"),
-        F.datediff("d", "d0").cast("int").alias("days_since_release"),
+        *days,
     )
 
 
-def stg_dim_date(daily: DataFrame) -> DataFrame:
-    bounds = daily.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+def stg_dim_date(days: DataFrame, lo: str = "d", hi: str = "d") -> DataFrame:
+    bounds = days.agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))
     return dim_date_from_bounds(bounds)
 
 
 def staging(spark: SparkSession, sf_dir: str, dv: DriverFrames | None = None,
-            materialize=None) -> dict[str, DataFrame]:
-    """The six clean staging tables.  ``materialize`` (e.g. a reliable
-    checkpoint) is applied to the daily aggregate that both the film
-    dimension and the fact derive from, so ``lineitem`` is read once."""
+            shared: bool = False) -> dict[str, DataFrame]:
+    """The six clean staging tables.  With ``shared``, the film and date
+    dimensions and the fact take the days of each part from ``shared_days``,
+    so that the dimensions do not wait for the daily aggregate."""
     dv = dv or driver(spark, sf_dir)
-    if materialize is not None:
-        daily, first = shared_daily(dv), shared_first(dv)
-    else:
-        daily = daily_revenue(dv)
-        first = first_day(daily)
+    daily = daily_revenue(dv)
+    first = shared_first(dv) if shared else first_day(daily)
     return {
-        "stg_dim_date": stg_dim_date(daily),
+        "stg_dim_date": stg_dim_date(shared_days(dv), "d0", "d1") if shared else stg_dim_date(daily),
         "stg_dim_film": stg_dim_film(dv, first),
         "stg_dim_actor": stg_dim_actor(dv),
         "stg_dim_director": stg_dim_director(dv),
@@ -240,10 +251,10 @@ def staging(spark: SparkSession, sf_dir: str, dv: DriverFrames | None = None,
 
 
 def dirty_staging(spark: SparkSession, sf_dir: str, dv: DriverFrames | None = None,
-                  materialize=None) -> dict[str, DataFrame]:
+                  shared: bool = False) -> dict[str, DataFrame]:
     """FIXTURES §2: staging with known rule violations."""
     dv = dv or driver(spark, sf_dir)
-    clean = staging(spark, sf_dir, dv, materialize)
+    clean = staging(spark, sf_dir, dv, shared)
     film = clean["stg_dim_film"]
     film_no = F.substring("bk_film", 2, 8).cast("bigint")
     dirty_film = film.unionByName(film.filter(film_no % 500 == 0))
