@@ -28,6 +28,7 @@ from marquee.operators import ensembles as E
 from marquee.operators.keys import keep_first, surrogate_key
 from marquee.operators.quantiles import exact_quantiles
 from marquee.operators.trees import Columns
+from marquee.plans.warehouse import film_totals
 from marquee.session import materialize
 from marquee.sources import adapter
 from marquee.sources.io import conform, write_table
@@ -62,9 +63,7 @@ def tier_features(w: dict[str, DataFrame]) -> DataFrame:
     season of its first day, runtime segment; duplicates of bk_film keep the
     smallest surrogate key.  A stage boundary: the quantiles of the labels
     and of the imputation read it several times."""
-    f = w["fact_daily_box_office"]
-    per = f.groupBy("fk_film").agg(F.min("fk_date").alias("first_date_key"),
-                                   F.sum("gross_revenue_per_day").alias("rev"))
+    per = film_totals(w)
     film = w["dim_film"]
     d = w["dim_date"].select("sk_date", F.col("calendar_season").alias("release_season"))
     j = (film.join(per, film["sk_film"] == per["fk_film"], "left")
