@@ -15,16 +15,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.operators.trees import FIXED, NODES, Columns, Rule, Trees, grow, packed, poisson, subtree, uniform, unpacked
+from marquee.operators.trees import DRAWN_BITS, FIXED, Columns, Grown, Held, Rule, Trees, as_poisson, as_uniform, grow, hashed, held_tree, packed, poisson, rehashed, uniform, unpacked
 from marquee.session import materialize
 
 PARTITION_ROWS = 1 << 14
 LEAST_ROWS = 1 << 11             # of a partition, where there are fewer than cores
 KEEP_ROUNDS = 10                 # rounds after which the scores are written
+BLOCK_TREES = 100                # of a forest whose shares are added up together
 SCORED = "key long, label int, fold int, bins binary, scores binary"
+GROWN = "slot int, tree int, chunk long, payload binary"
 
 
 @dataclass(frozen=True)
@@ -67,6 +70,113 @@ def _tasks(rows: DataFrame) -> int:
     return rows.sparkSession.sparkContext.defaultParallelism
 
 
+# ------------------------------------------------------------ held tables
+@dataclass
+class HeldRows:
+    """The rows of a whole table."""
+    key: np.ndarray
+    label: np.ndarray
+    fold: np.ndarray
+    bins: np.ndarray | None          # columns x rows
+
+    def learnt(self, fit: int) -> np.ndarray:
+        """Whether the fit learns from a row."""
+        return (self.label >= 0) & (self.fold != fit)
+
+
+def _held(payloads: list[bytes], width: int) -> tuple[HeldRows, list[int]]:
+    """The rows of packed batches, and the number of rows of each."""
+    parts = []
+    for payload in payloads:
+        n = int(np.frombuffer(payload, "<u4", 1)[0])
+        bins, marks = unpacked(payload[8 * n + 4:], width, 2)
+        parts.append((np.frombuffer(payload, "<i8", n, 4), marks.astype(np.int32), bins.astype("<i4")))
+    key, marks = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    return HeldRows(key, marks[:, 0], marks[:, 1], np.concatenate([p[2] for p in parts], 1)), [len(p[0]) for p in parts]
+
+
+def _by_slot(rows: DataFrame, width: int, slots: int, work: Callable, name: str) -> DataFrame:
+    """What ``work`` makes of all rows in one task for each slot: GROWN rows
+    (slot, tree, None, a tree) and (slot, None, chunk, scores of its rows),
+    and once (-1, None, chunk, its rows as an Arrow batch).
+
+    ``work`` is given (slot, HeldRows) and yields (tree, Grown) and, last,
+    the scores (rows x any number)."""
+    def send(batches) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
+            if not batch.num_rows:
+                continue
+            key, label, fold, bins = _read(batch, width)
+            payload = np.uint32(len(key)).tobytes() + key.astype("<i8").tobytes() + packed(bins, np.stack([label, fold], 1))
+            for slot in range(slots):
+                yield _grown([(slot, None, task << 32 | number, payload)])
+
+    def grow_slot(batches) -> Iterator[pa.RecordBatch]:
+        sent: dict[int, dict[int, bytes]] = {}
+        for batch in batches:
+            for slot, _, chunk, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                sent.setdefault(slot, {})[chunk] = payload
+        for slot, chunks in sent.items():
+            order = sorted(chunks)
+            if slot == 0:
+                for chunk in order:
+                    yield _grown([(-1, None, chunk, chunks[chunk])])
+            held, sizes = _held([chunks.pop(chunk) for chunk in order], width)
+            for tree, made in work(slot, held):
+                if tree is not None:
+                    yield _grown([(slot, tree, None, made.payload())])
+                    continue
+                ends = np.cumsum(sizes)
+                for chunk, size, end in zip(order, sizes, ends.tolist()):
+                    yield _grown([(slot, None, chunk, np.ascontiguousarray(made[end - size:end], "<f8").tobytes())])
+
+    sent = rows.mapInArrow(send, GROWN).repartitionById(slots, F.col("slot"))
+    return materialize(sent.mapInArrow(grow_slot, GROWN), name)
+
+
+def _grown(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["slot", "tree", "chunk", "payload"])
+
+
+def _trees_of(made: DataFrame, count: int, rule: Rule, n_stats: int) -> Trees:
+    """Trees 0 to count - 1; a tree that was not grown stays a leaf of zeros."""
+    trees, size = _no_trees(count, rule, n_stats), 1 << rule.depth + 1
+    grown = made.where("tree is not null").select("tree", "payload").toArrow()
+    for tree, payload in zip(grown["tree"].to_pylist(), grown["payload"]):
+        payload = payload.as_py()
+        trees.column[tree] = np.frombuffer(payload, np.int32, size)
+        trees.cut[tree] = np.frombuffer(payload, np.int32, size, 4 * size)
+        trees.stats[tree] = np.frombuffer(payload, np.int64, size * n_stats, 8 * size).reshape(size, n_stats)
+        trees.gain[tree] = np.frombuffer(payload, np.float64, size, 8 * size + 8 * size * n_stats)
+    return trees
+
+
+def _rejoined(made: DataFrame, width: int, n: int, scores: Callable) -> DataFrame:
+    """SCORED rows: ``scores`` of what all slots say, in their order."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        rows, parts = None, []
+
+        def joined() -> pa.RecordBatch:
+            held = _held([rows], width)[0]
+            plain = pa.RecordBatch.from_arrays([pa.array(held.key), pa.array(held.label, pa.int32()), pa.array(held.fold, pa.int32()), pa.array([b.tobytes() for b in np.ascontiguousarray(held.bins.T, "<i4")], pa.binary())], names=["key", "label", "fold", "bins"])
+            return _scored(plain, scores([np.frombuffer(p, "<f8").reshape(len(held.key), -1) for p in parts]))
+        for batch in batches:
+            for slot, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if slot >= 0:
+                    parts.append(payload)
+                    continue
+                if rows is not None:
+                    yield joined()
+                rows, parts = payload, []
+        if rows is not None:
+            yield joined()
+
+    said = made.where("tree is null").repartition(max(1, -(-n // PARTITION_ROWS)), "chunk").sortWithinPartitions("chunk", "slot")
+    return said.select("slot", "payload").mapInArrow(run, SCORED)
+
+
 # ------------------------------------------------------------ forest
 @dataclass
 class Forest:
@@ -76,8 +186,7 @@ class Forest:
 
     def leaves(self) -> np.ndarray:
         """Class shares of every node, tree x node x class."""
-        mass = self.trees.stats[..., 1:] * np.repeat(self.weights, self.count, 0)[:, None, :]
-        return mass / np.maximum(mass.sum(-1, keepdims=True), 1e-300)
+        return leaf_shares(self.trees.stats, np.repeat(self.weights, self.count, 0)[:, None, :])
 
     def importances(self, fit: int) -> np.ndarray:
         """Mean over trees of each feature's share of the impurity decrease,
@@ -100,15 +209,60 @@ def _importances(trees: Trees, own, base: np.ndarray, per_tree: bool) -> np.ndar
     return out / out.sum() if out.sum() > 0 else out
 
 
+def _forest_rule(sample: Sample, columns: Columns, count: int, depth: int, min_leaf: int, seed: int, limits: dict) -> tuple[np.ndarray, np.ndarray, Rule]:
+    """(rows by fit and class, class weights by fit, rule).  Classes are
+    weighted by n / (classes * class size), and each node looks at about the
+    square root of the features."""
+    sizes = np.array([sample.of_fit(f) for f in range(sample.folds + 1)])
+    weights = sizes.sum(1, keepdims=True) / (sample.classes * np.maximum(sizes, 1))
+    features = sum(1 if o else s for s, o in zip(columns.sizes, columns.ordered))
+    return sizes, weights, Rule("gini", columns, depth, min_leaf, np.repeat(weights, count, 0), int(features ** 0.5) / features, seed, **limits)
+
+
 def train_forest(rows: DataFrame, sample: Sample, columns: Columns, count: int, depth: int, min_leaf: int, seed: int, **limits) -> Forest:
-    """``count`` trees for every fit: rows are drawn with Poisson(1) counts by
-    (row, tree), classes weighted by n / (classes * class size), and each node
-    looks at about the square root of the features."""
+    """``count`` trees for every fit, from rows that are drawn with Poisson(1)
+    counts by (row, tree)."""
+    return scored_forest(rows, sample, columns, count, depth, min_leaf, seed, **limits)[0]
+
+
+def scored_forest(rows: DataFrame, sample: Sample, columns: Columns, count: int, depth: int, min_leaf: int, seed: int, **limits) -> tuple[Forest, DataFrame]:
+    """The forest, and the rows with the class shares of every fit.
+
+    A table of at most ``held_rows`` is sent whole to tasks that each grow a
+    block of the trees of a fit and place the rows in them; otherwise all
+    trees grow in shared passes.  Both ways give the same trees and scores."""
     fits, classes, width = sample.folds + 1, sample.classes, len(columns.sizes)
-    sizes = np.array([sample.of_fit(f) for f in range(fits)])
-    weights = sizes.sum(1, keepdims=True) / (classes * np.maximum(sizes, 1))
-    features = sum(1 if o else s for s, o in zip(columns.sizes, columns.ordered))
-    rule = Rule("gini", columns, depth, min_leaf, np.repeat(weights, count, 0), int(features ** 0.5) / features, seed, **limits)
+    sizes, weights, rule = _forest_rule(sample, columns, count, depth, min_leaf, seed, limits)
+    blocks, n = _blocks(count), rows.count()
+    if 0 < n <= rule.held_rows:
+        def work(slot: int, held: HeldRows) -> Iterator[tuple]:
+            fit, block = divmod(slot, len(blocks))
+            learnt, shares = held.learnt(fit), np.zeros((classes, n))
+            table, of_key = Held(held.bins, columns, np.maximum(held.label, 0), classes), hashed(seed, held.key)
+            held.bins = None
+            for t in range(fit * count + blocks[block].start, fit * count + blocks[block].stop):
+                drawn = np.where(learnt, as_poisson(rehashed(of_key, 2, t)), 0)
+                weight = np.where(drawn > 0, drawn * float(1 << DRAWN_BITS) + 1, 0.0)
+
+                def sums(rows=None) -> np.ndarray:
+                    both = table.sums(weight, rows).astype(np.int64)
+                    return np.concatenate([(both & (1 << DRAWN_BITS) - 1).sum(1, keepdims=True), both >> DRAWN_BITS], 1)
+                grown = held_tree(table, rule, t, sums(), sums, 1 + classes)
+                own = leaf_shares(grown.stats, weights[fit])
+                at = np.empty(n, np.intp)
+                for node, there in grown.leaves:
+                    at[slice(None) if there is None else there] = node
+                for c in range(classes):
+                    shares[c] += own[:, c].take(at)
+                yield t, grown
+            yield None, shares.T
+
+        made = _by_slot(rows, width, fits * len(blocks), work, "forest-blocks")
+        forest = Forest(_trees_of(made, fits * count, rule, 1 + classes), count, weights, columns.base)
+
+        def scores(parts: list[np.ndarray]) -> np.ndarray:
+            return np.concatenate([_block_mean(parts[f * len(blocks):(f + 1) * len(blocks)], count) for f in range(fits)], 1)
+        return forest, materialize(_rejoined(made, width, n, scores), "forest-scores")
 
     def members(batch):
         key, label, fold, bins = _read(batch, width)
@@ -124,7 +278,23 @@ def train_forest(rows: DataFrame, sample: Sample, columns: Columns, count: int,
         return bins, each()
 
     trees = grow(rows, members, {t: int(sizes[t // count].sum()) for t in range(fits * count)}, rule, 1 + classes, _tasks(rows))
-    return Forest(trees, count, weights, columns.base)
+    forest = Forest(trees, count, weights, columns.base)
+    return forest, materialize(forest_scores(rows, forest, width), "forest-scores")
+
+
+def leaf_shares(stats: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Class shares of nodes."""
+    mass = stats[..., 1:] * weights
+    return mass / np.maximum(mass.sum(-1, keepdims=True), 1e-300)
+
+
+def _blocks(count: int) -> list[range]:
+    return [range(start, min(start + BLOCK_TREES, count)) for start in range(0, count, BLOCK_TREES)]
+
+
+def _block_mean(sums: list[np.ndarray], count: int) -> np.ndarray:
+    """Mean of trees from the sums of their blocks, added in their order."""
+    return np.sum(sums, 0) / count
 
 
 def forest_scores(rows: DataFrame, forest: Forest, width: int) -> DataFrame:
@@ -141,8 +311,11 @@ def forest_scores(rows: DataFrame, forest: Forest, width: int) -> DataFrame:
                 bins = _read(part, width)[3]
                 shares = []
                 for fit in range(len(column) // count):
-                    own = np.arange(fit * count, (fit + 1) * count)
-                    shares.append(leaves[own[:, None], trees.positions(bins, own)].mean(0))
+                    sums = []
+                    for block in _blocks(count):
+                        own = fit * count + np.array(block)
+                        sums.append(leaves[own[:, None], trees.positions(bins, own)].sum(0))
+                    shares.append(_block_mean(sums, count))
                 yield _scored(part, np.concatenate(shares, 1))
 
     return rows.mapInArrow(run, SCORED)
@@ -166,9 +339,9 @@ class Boosting:
         return out / out.sum() if len(self.rounds) and out.sum() > 0 else out
 
 
-def leaf_values(trees: Trees, classes: int) -> np.ndarray:
-    """The Newton step of every node, tree x node."""
-    residual, curvature = trees.stats[..., 1], trees.stats[..., 2]
+def leaf_values(stats: np.ndarray, classes: int) -> np.ndarray:
+    """The Newton step of every node."""
+    residual, curvature = stats[..., 1], stats[..., 2]
     return np.where(curvature > 0, (classes - 1) / classes * residual / np.maximum(curvature, 1), 0.0)
 
 
@@ -187,59 +360,15 @@ def _no_trees(n: int, rule: Rule, n_stats: int) -> Trees:
     return Trees(np.full(shape, -1, np.int32), np.zeros(shape, np.int32), np.zeros((*shape, n_stats), np.int64), np.zeros(shape), np.array(rule.columns.ordered))
 
 
-def _grown_by_fit(rows: DataFrame, fit_rounds: Callable, fits: int, classes: int, rounds: int, rule: Rule) -> list[Trees]:
-    """The trees of all rounds: the labelled rows of each fit meet in a task."""
-    width = len(rule.columns.sizes)
-
-    def send(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, label, fold, bins = _read(batch, width)
-            owns = [np.flatnonzero((label >= 0) & (fold != fit)) for fit in range(fits)]
-            sent = [(fit, packed(bins[:, own], np.stack([key[own], label[own]], 1))) for fit, own in enumerate(owns) if len(own)]
-            if sent:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*sent), (pa.int32(), pa.binary()))], names=["fit", "payload"])
-
-    def grow_fits(batches) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for fit, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                parts.setdefault(fit, []).append(unpacked(payload, width, 2))
-        for fit, own in parts.items():
-            bins, keyed = np.concatenate([b for b, _ in own], 1), np.concatenate([k for _, k in own])
-            out = []
-            for node in fit_rounds(fit, keyed[:, 0], keyed[:, 1], bins):
-                out.append(node)
-                if len(out) > 5000:
-                    yield _nodes(out)
-                    out = []
-            if out:
-                yield _nodes(out)
-
-    def _nodes(out: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.float64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["round", *(n.split()[0] for n in NODES.split(", "))])
-
-    sent = rows.mapInArrow(send, "fit int, payload binary").repartitionById(fits, F.col("fit"))
-    made = sent.mapInArrow(grow_fits, "round int, " + NODES).toArrow()
-    done = [_no_trees(fits * classes, rule, 3) for _ in range(rounds)]
-    at, tree, node, column, cut, gain = (made[c].to_numpy() for c in ("round", "tree", "node", "column", "cut", "gain"))
-    stats = np.frombuffer(b"".join(made["stats"].to_pylist()), np.int64).reshape(-1, 3)
-    for number, trees in enumerate(done):
-        own = np.flatnonzero(at == number)
-        here = tree[own], node[own]
-        trees.column[here], trees.cut[here], trees.gain[here], trees.stats[here] = column[own], cut[own], gain[own], stats[own]
-    return done
-
-
 def train_boosting(rows: DataFrame, sample: Sample, columns: Columns, rounds: int, depth: int, rate: float, subsample: float, seed: int, keep: int = KEEP_ROUNDS, **limits) -> tuple[Boosting, DataFrame]:
     """Softmax boosting: in each round one tree a class and fit on the
     residuals, from the rows that (row, round, fit) draws.  Returns the model
     and the rows with ``scores``, the raw scores of every fit and class.
 
     Rounds are passes over the rows.  Where there are more than ``keep`` of
-    them and every fit has at most ``task_rows`` rows, a fit's rows are sent
-    once, to one task that grows all its rounds: what a task is sent stays
-    bounded.  Otherwise scores are written every ``keep`` rounds; between,
+    them and at most ``held_rows`` rows, the rows are sent once to one task
+    for each fit, which grows all its rounds and keeps the scores: what a task
+    is sent stays bounded.  Otherwise scores are written every ``keep`` rounds; between,
     tasks add the trees since then, always in the same order.  Both ways give
     the same trees and scores."""
     fits, classes, width = sample.folds + 1, sample.classes, len(columns.sizes)
@@ -276,19 +405,38 @@ def train_boosting(rows: DataFrame, sample: Sample, columns: Columns, rounds: in
             return bins, each()
         return members
 
-    def fit_rounds(fit: int, key, label, bins) -> Iterator[tuple]:
-        """(round, node ...) of all trees of a fit, grown from its rows."""
-        raw = np.tile(start[fit], (len(key), 1))
+    def fit_rounds(fit: int, held: HeldRows) -> Iterator[tuple]:
+        """All trees of a fit, and the scores of all rows."""
+        table, learnt = Held(held.bins, columns), held.learnt(fit)
+        of_key, label, held.bins = hashed(seed, held.key), held.label, None
+        raw = np.repeat(start[fit][:, None], len(label), 1)
         for number in range(rounds):
-            own = np.flatnonzero(uniform(seed, key, number, fit) < subsample)
-            trees = _no_trees(classes, rule, 3)
-            here = bins[:, own]
-            for c, stats in statistics(label[own], raw[own]):
-                for node in subtree(here, stats, rule, fit * classes + c, 1) if len(own) else ():
-                    at = c, node[1]
-                    trees.column[at], trees.cut[at], trees.stats[at] = node[2], node[3], np.frombuffer(node[4], np.int64)
-                    yield number, *node
-            raw = raw + rate * leaf_values(trees, classes)[np.arange(classes)[:, None], trees.positions(bins)].T
+            drawn = learnt & (as_uniform(rehashed(of_key, 2, number, fit)) < subsample)
+            once = drawn.astype(np.float64)
+            of_root = table.sums(once)
+            e = np.exp(raw - raw.max(0))
+            e /= e.sum(0)
+            for c in range(classes):
+                residual = (label == c) - e[c]
+                size = np.abs(residual)
+                residual = np.where(drawn, np.rint(residual * FIXED), 0.0)
+                curvature = np.where(drawn, np.rint(size * (1 - size) * FIXED), 0.0)
+
+                def sums(rows=None) -> np.ndarray:
+                    return np.concatenate([of_root if rows is None else table.sums(once, rows), table.sums(residual, rows)], 1).astype(np.int64)
+                grown = held_tree(table, rule, fit * classes + c, sums(), sums, 3)
+                for node, rows in grown.leaves:
+                    own = int((curvature if rows is None else curvature.take(rows)).sum())
+                    while node:
+                        grown.stats[node, 2] += own
+                        node //= 2
+                values = leaf_values(grown.stats, classes)
+                step = np.empty(len(label))
+                for node, rows in grown.leaves:
+                    step[slice(None) if rows is None else rows] = rate * values[node]
+                raw[c] += step
+                yield number * fits * classes + fit * classes + c, grown
+        yield None, raw.T
 
     def updated(frame: DataFrame, pending) -> DataFrame:
         def run(batches) -> Iterator[pa.RecordBatch]:
@@ -298,15 +446,19 @@ def train_boosting(rows: DataFrame, sample: Sample, columns: Columns, rounds: in
 
     first = start.astype("<f8").tobytes()
     state = rows.select("key", "label", "fold", "bins", F.lit(first).alias("scores"))
-    if rounds > keep and sizes.sum(1).max() <= rule.task_rows:
-        done = _grown_by_fit(rows, fit_rounds, fits, classes, rounds, rule)
-        return Boosting(done, classes, start, columns.base), materialize(updated(state, [(_splits(t), leaf_values(t, classes)) for t in done]), "boosting-scores")
+    n = rows.count()
+    if rounds > keep and 0 < n <= rule.held_rows:
+        made = _by_slot(rows, width, fits, fit_rounds, "boosting-fits")
+        trees = _trees_of(made, rounds * fits * classes, rule, 3)
+        own = [slice(number * fits * classes, (number + 1) * fits * classes) for number in range(rounds)]
+        done = [Trees(trees.column[r], trees.cut[r], trees.stats[r], trees.gain[r], trees.ordered) for r in own]
+        return Boosting(done, classes, start, columns.base), materialize(_rejoined(made, width, n, lambda parts: np.concatenate(parts, 1)), "boosting-scores")
     state = state.persist()
     done, pending = [], []
     for number in range(rounds):
         trees = grow(state, members_of(pending, number), counts, rule, 3, _tasks(rows))
         done.append(trees)
-        pending.append((_splits(trees), leaf_values(trees, classes)))
+        pending.append((_splits(trees), leaf_values(trees.stats, classes)))
         if len(pending) == keep or number == rounds - 1:
             # read back in as many partitions as were written, whatever their size
             after = materialize(updated(state, pending), "boosting-scores").persist()

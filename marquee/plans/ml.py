@@ -28,7 +28,7 @@ from marquee.operators import ensembles as E
 from marquee.operators.keys import keep_first, surrogate_key
 from marquee.operators.quantiles import exact_quantiles
 from marquee.operators.trees import Columns
-from marquee.plans.warehouse import film_totals
+from marquee.plans.warehouse import _parallel, film_totals
 from marquee.session import materialize
 from marquee.sources import adapter
 from marquee.sources.io import conform, write_table
@@ -164,8 +164,7 @@ def train(rows: DataFrame, c: Candidate, sample: E.Sample, columns: Columns) ->
     of a forest, raw scores of boosting)."""
     p = c.params
     if c.kind == "rf":
-        forest = E.train_forest(rows, sample, columns, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"], SEED)
-        return forest, materialize(E.forest_scores(rows, forest, len(columns.sizes)), "forest-scores")
+        return E.scored_forest(rows, sample, columns, p["numTrees"], p["maxDepth"], p["minInstancesPerNode"], SEED)
     return E.train_boosting(rows, sample, columns, p["maxIter"], p["maxDepth"], p["stepSize"], p["subsamplingRate"], SEED)
 
 
@@ -227,9 +226,9 @@ def run(w: dict[str, DataFrame], candidates=CANDIDATES, k: int = FOLDS) -> TierR
     e = encoding(films.filter(F.col("tier").isNotNull()))
     rows = materialize(E.partitioned(encode(films, e).drop("bk_film"), films.count()), "tier-rows")
     sample = E.sample_of(rows, k, len(TIERS))
-    models, scored = {}, {}
-    for c in candidates:
-        models[c.name], scored[c.name] = train(rows, c, sample, e.columns)
+    # side by side, and boosting first: it has the fewest and longest tasks
+    trained = _parallel({c.name: (lambda c=c: train(rows, c, sample, e.columns)) for c in sorted(candidates, key=lambda c: c.kind != "gbt")})
+    models, scored = ({name: made[i] for name, made in trained.items()} for i in (0, 1))
     cv = spark.createDataFrame(evaluate(candidates, scored, k), "model string, fold int, train_accuracy double, train_f1 double, test_accuracy double, test_f1 double")
     best = choose(cv, candidates)
     return TierRun(feats, cv, best, models[best.name], predictions(scored[best.name], feats, best.kind, k), importances(spark, models[best.name], e, k))

@@ -182,3 +182,49 @@ def test_packed_rows_come_back(high, bins_high):
     got = T.unpacked(T.packed(bins, stats), 4, 3)
     assert (got[0] == bins).all() and (got[1] == stats).all()
     assert [x.shape for x in T.unpacked(T.packed(bins[:, :0], stats[:0]), 4, 3)] == [(4, 0), (0, 3)]
+
+
+def test_a_held_table_takes_no_pass(spark, monkeypatch):
+    """Passes over all rows send statistics for every tree, a level each: a
+    table that a task can hold is sent whole instead, also where a tree has
+    more rows than are sent at once, and gives the same trees and scores."""
+    data = table(700, 11)
+    passes, sender = [], T._sender
+    monkeypatch.setattr(T, "_sender", lambda members, trees, nodes, rule: passes.append(nodes) or sender(members, trees, nodes, rule))
+    rows, s = frame(spark, data, 3), sample(data)
+
+    def trained(task_rows):
+        forest, shares = E.scored_forest(rows, s, COLUMNS, 5, 4, 2, 42, task_rows=task_rows)
+        model, scores = E.train_boosting(rows, s, COLUMNS, 4, 3, 0.3, 0.8, 7, keep=2, task_rows=task_rows)
+        return [forest.trees, *model.rounds], [{r["key"]: (r["label"], r["fold"], bytes(r["bins"]), bytes(r["scores"])) for r in df.collect()} for df in (shares, scores)]
+    held = trained(50)
+    assert not passes
+    passed = trained(20)
+    assert len(passes) > 8
+    for a, b in zip(held[0], passed[0], strict=True):
+        assert all((x == y).all() for x, y in ((a.column, b.column), (a.cut, b.cut), (a.stats, b.stats), (a.gain, b.gain)))
+    assert all(len(x) == 700 for x in held[1]) and held[1] == passed[1]
+
+
+def test_held_sums():
+    """Of all rows, of many and of few, by class and without."""
+    rng = np.random.default_rng(8)
+    n = 3 * T.FEW_ROWS
+    columns = T.Columns((70, 3, 300, 64, 5000, 1), (True, False, False, True, False, True))
+    bins = np.stack([rng.integers(0, s, n) for s in columns.sizes])
+    weights, label = rng.integers(-(1 << 30), 1 << 30, n).astype(float), rng.integers(0, 3, n)
+    assert sorted(c for group in columns.joint for c in group) == list(range(6)) and len(columns.joint) < 6
+    for classes in (1, 3):
+        held = T.Held(bins, columns, label if classes > 1 else None, classes)
+        for rows in (None, np.arange(0, n, 2), np.arange(1, n, 700), np.arange(0)):
+            own = np.arange(n) if rows is None else rows
+            want = np.zeros((columns.base[-1], classes))
+            for c in range(6):
+                np.add.at(want, (columns.base[c] + bins[c, own], label[own] if classes > 1 else 0), weights[own])
+            assert (held.sums(weights, rows) == want).all()
+
+
+def test_poisson_by_bits():
+    hashes = np.concatenate([T.hashed(1, np.arange(100_000)), (np.concatenate([T.POISSON, [0.0]]) * 2.0 ** 53).astype(np.uint64) << np.uint64(11), np.array([2 ** 64 - 1], np.uint64)])
+    assert (T.as_poisson(hashes) == np.searchsorted(T.POISSON, T.as_uniform(hashes), side="right")).all()
+    assert (T.rehashed(T.hashed(5, np.arange(9)), 2, 7, 3) == T.hashed(5, np.arange(9), 7, 3)).all()
