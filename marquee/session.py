@@ -75,6 +75,13 @@ def _tables(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over.  It does so
+    when the driver's JVM collects what stands for them, which with a large
+    heap is long after; between the stages of a long chain they would add up."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_tables(spark: SparkSession) -> bool:
     """Delete the stage tables of this application; results that still read
     them end.  For the end of a job, or between jobs of a long session whose

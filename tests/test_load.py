@@ -51,6 +51,14 @@ def test_a_dimension_does_not_wait_for_the_facts(spark, folder):
     assert fact.count() == 2 + 2 * 2 and written(spark, folder) == [warehouse.DW_FACT]      # film 2 comes twice, film 9 is unknown
 
 
+def test_dimensions_with_keys_are_written_on_demand(spark, folder):
+    """Staging is all that the chain from the sheet reads of a load."""
+    w = warehouse.load(spark, folder)
+    dims = [dw for dw, *_ in warehouse.DIMS]
+    assert w[warehouse.STG_FACT].count() and not any(map(w.written, dims)) and all(dw in w for dw in dims)
+    assert w.rows("dim_film", ["bk_film"]).count() == 4 and all(map(w.written, dims)) and w["dim_film"] is w["dim_film"]
+
+
 def test_tables_of_a_load(spark, folder):
     w = warehouse.load(spark, folder)
     assert set(w) == {*warehouse.STAGING, *SC.WAREHOUSE} and len(w) == len(set(w)) and "other" not in w

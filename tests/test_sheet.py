@@ -101,3 +101,49 @@ def test_the_sheet_is_written_by_bounded_tasks(spark, monkeypatch):
     out = sheet.enrich(spark, dv, raw, MT.match_cache(spark, tempfile.mkdtemp(prefix="marquee-sheet-") + "/cache"))
     sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) == 5967 and len(sizes) > 6 and max(sizes) < 2000
+
+
+def test_daily_rows_meet_their_text_in_one_join(spark, tmp_path):
+    """The text of film, people and company is joined to the distinct keys of
+    the facts; each daily row is sent once, narrow, and not once per record."""
+    from test_load import write
+    folder = write(spark, tmp_path, [(1, 1, 10.5), (1, 1, 2.0), (1, 3, 4.25), (2, 2, 8.0), (2, 5, 1.0), (9, 1, 7.0), (None, 1, 3.0)])
+    for sf in (folder, SF001):
+        w = warehouse.load(spark, sf)
+        raw, heads = LK.raw_sheet(w), LK.sheet_heads(w)
+        rows = LK.sheet_rows(heads, w, 3)
+        assert sorted(rows.columns) == sorted(raw.columns)
+        assert sorted(map(str, rows.select(*raw.columns).collect())) == sorted(map(str, raw.collect()))
+    assert rows.count() == 5967 and heads.count() < 500
+    text = plan(LK.sheet_rows(spark.createDataFrame(heads.collect(), heads.schema), w, 3))
+    assert text.count("Join") == 1 and text.count("fk_date") and "customer" not in text
+    sizes = rows.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) == 3
+
+
+def test_the_chain_writes_no_raw_sheet(spark, monkeypatch):
+    from marquee.operators import match as MT
+    names, written = [], sheet.materialize
+    monkeypatch.setattr(sheet, "materialize", lambda df, name: names.append((name, "gross_revenue_per_day" in df.columns)) or written(df, name))
+    monkeypatch.setattr(MT, "match_cache", lambda *_: None)
+    monkeypatch.setattr(MT, "full_match", lambda wanted, *_: (_ for _ in ()).throw(KeyError("here")))
+    import pytest
+    with pytest.raises(KeyError, match="here"):
+        sheet.stage(spark, SF001, tempfile.mkdtemp(prefix="marquee-sheet-"))
+    assert names and not any(daily for _, daily in names)
+
+
+def test_release_lets_shuffle_files_go(spark):
+    import time
+
+    from marquee.session import release
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: manager.getAllFiles().size()
+    spark.range(1000).repartition(50).write.format("noop").mode("overwrite").save()
+    before = files()
+    assert before
+    release(spark)
+    end = time.time() + 30
+    while files() >= before and time.time() < end:
+        time.sleep(0.2)
+    assert files() < before
